@@ -53,13 +53,13 @@ def month_name_upper(col, language: str = "en") -> Column:
 
 def to_double(col) -> Column:
     """Coerce to a number; unparsable text becomes null."""
-    return F.try_cast(F.trim(_c(col).cast("string")), "double")
+    return F.trim(_c(col).cast("string")).try_cast("double")
 
 
 def to_integer(col) -> Column:
     """Coerce to an integer per row: unparsable or fractional values become null (P5, row mode)."""
     d = to_double(col)
-    return F.when(d == F.floor(d), F.try_cast(d, "bigint"))
+    return F.when(d == F.floor(d), d.try_cast("bigint"))
 
 
 def any_fractional(col) -> Column:
@@ -95,7 +95,7 @@ def parse_locale_number(col, decimal_mark: str = ",", group_mark: str = ".",
     v = F.regexp_replace(_c(col).cast("string"), r"[\$\s]", "")
     v = F.replace(v, F.lit(group_mark), F.lit(""))
     v = F.replace(v, F.lit(decimal_mark), F.lit("."))
-    return F.try_cast(v, dtype)
+    return v.try_cast(dtype)
 
 
 # -- P14 / P15 ---------------------------------------------------------------

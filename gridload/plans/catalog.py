@@ -261,3 +261,313 @@ def p17_filter_const(spark, d):
 @query("p18_projection", sql="SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def p18_projection(spark, d):
     return T(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+
+
+# =============================================================================
+# Typing: P2-P11, A7, A8, P15
+# =============================================================================
+from ..functions import columns as C  # noqa: E402
+from ..functions import constants as K  # noqa: E402
+from ..operators import profile as PR  # noqa: E402
+from ..operators import typing_ops as TY  # noqa: E402
+
+
+def _sql_list(values):
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+@query("p2_drop_null_columns", sql="SELECT * FROM orders")
+def p2_drop_null_columns(spark, d):
+    o = X.orders(spark, d).withColumn("o_comment", F.lit(None).cast("string"))
+    return TY.drop_all_null_columns(o)
+
+
+@query("p3_drop_null_rows", sql="SELECT * FROM customer WHERE c_mktsegment <> 'AUTOMOBILE'")
+def p3_drop_null_rows(spark, d):
+    c = T(spark, d, "customer")
+    blank = c.columns
+    holed = c.select(*[F.when(F.col("c_mktsegment") != "AUTOMOBILE", F.col(x)).alias(x) for x in blank])
+    return TY.drop_all_null_rows(holed)
+
+
+_DIRTY_HEADERS = ["Customer Key!", "  Company   Name ", "Nation#Key", "Acct Bal ($)", "Segment?"]
+_HEADER_MAPPING = {
+    "Customer Key!": {"target": "customer_id", "confidence": 0.95},
+    "Company Name": {"target": "company_name", "confidence": 0.9},
+    "Acct Bal ($)": {"target": "balance", "confidence": 0.4},
+    "Segment?": {"target": "segment", "confidence": 0.75},
+}
+
+
+@query("p4_rename_mapping", sql="""
+SELECT c_custkey AS customer_id, c_name AS company_name, c_nationkey AS "NationKey",
+       c_acctbal AS "Acct Bal ", c_mktsegment AS segment FROM customer
+""")
+def p4_rename_mapping(spark, d):
+    sheet = T(spark, d, "customer").toDF(*_DIRTY_HEADERS)
+    return TY.apply_mapping(sheet, _HEADER_MAPPING)
+
+
+_INT_SQL = ("CASE WHEN TRY_CAST(trim({c}) AS DOUBLE) = floor(TRY_CAST(trim({c}) AS DOUBLE)) "
+            "THEN TRY_CAST(TRY_CAST(trim({c}) AS DOUBLE) AS BIGINT) END")
+
+
+@query("p5_to_integer_row", sql=f"""
+SELECT order_key, {_INT_SQL.format(c='order_key')} AS order_key_int,
+       {_INT_SQL.format(c='amount_dot')} AS amount_int FROM {X.ORDERS_TEXT_SQL}
+""")
+def p5_to_integer_row(spark, d):
+    t = X.orders_text(spark, d)
+    return t.select("order_key", C.to_integer("order_key").alias("order_key_int"),
+                    C.to_integer("amount_dot").alias("amount_int"))
+
+
+@query("p5_to_integer_column", sql=f"""
+SELECT {_INT_SQL.format(c='order_key')} AS order_key, amount_dot FROM {X.ORDERS_TEXT_SQL}
+""")
+def p5_to_integer_column(spark, d):
+    t = X.orders_text(spark, d).select("order_key", "amount_dot")
+    return TY.cast_columns(t, {"order_key": "int", "amount_dot": "int"}, int_mode="column")
+
+
+@query("p6_to_float", sql=f"""
+SELECT order_key, TRY_CAST(trim(amount_plain) AS DOUBLE) AS amount_plain_f,
+       TRY_CAST(trim(amount_dot) AS DOUBLE) AS amount_dot_f FROM {X.ORDERS_TEXT_SQL}
+""")
+def p6_to_float(spark, d):
+    t = X.orders_text(spark, d)
+    return t.select("order_key", C.to_double("amount_plain").alias("amount_plain_f"),
+                    C.to_double("amount_dot").alias("amount_dot_f"))
+
+
+def _sql_ts(c):
+    fmts = ["%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%d-%m-%Y"]
+    return "coalesce(" + ", ".join(f"try_strptime(trim({c}), '{f}')" for f in fmts) + ")"
+
+
+@query("p7_to_datetime", sql=f"""
+SELECT order_key, {_sql_ts('order_date')} AS order_ts, {_sql_ts('order_date_iso')} AS order_ts_iso,
+       {_sql_ts('priority')} AS priority_ts FROM {X.ORDERS_TEXT_SQL}
+""")
+def p7_to_datetime(spark, d):
+    t = X.orders_text(spark, d)
+    return t.select("order_key", C.to_timestamp_multi("order_date").alias("order_ts"),
+                    C.to_timestamp_multi("order_date_iso").alias("order_ts_iso"),
+                    C.to_timestamp_multi("priority").alias("priority_ts"))
+
+
+@query("p8_to_boolean", sql=f"""
+SELECT order_key, status_word,
+  CASE WHEN lower(trim(status_word)) IN ({_sql_list(K.BOOL_TRUE_WORDS)}) THEN true
+       WHEN lower(trim(status_word)) IN ({_sql_list(K.BOOL_FALSE_WORDS)}) THEN false END AS status_flag
+FROM {X.ORDERS_TEXT_SQL}
+""")
+def p8_to_boolean(spark, d):
+    t = X.orders_text(spark, d)
+    return t.select("order_key", "status_word", C.to_boolean("status_word").alias("status_flag"))
+
+
+_TOKEN_SQL = """CASE priority WHEN '1-URGENT' THEN ' nan ' WHEN '2-HIGH' THEN 'N/A' WHEN '3-MEDIUM' THEN ' null'
+  WHEN '4-NOT SPECIFIED' THEN '' ELSE ' ' || priority || ' ' END"""
+
+
+def _with_tokens(t):
+    p = F.col("priority")
+    tok = (F.when(p == "1-URGENT", " nan ").when(p == "2-HIGH", "N/A").when(p == "3-MEDIUM", " null")
+           .when(p == "4-NOT SPECIFIED", "").otherwise(F.concat(F.lit(" "), p, F.lit(" "))))
+    return t.select("order_key", tok.alias("raw"))
+
+
+@query("p9_text_normalise", sql=f"""
+SELECT order_key, CASE WHEN trim(raw) = 'nan' THEN NULL ELSE trim(raw) END AS clean
+FROM (SELECT order_key, {_TOKEN_SQL} AS raw FROM {X.ORDERS_TEXT_SQL})
+""")
+def p9_text_normalise(spark, d):
+    return _with_tokens(X.orders_text(spark, d)).select("order_key", C.normalize_text("raw").alias("clean"))
+
+
+@query("p10_null_tokens", sql=f"""
+SELECT order_key, CASE WHEN lower(trim(raw)) IN ({_sql_list(K.NULL_TOKENS)}) THEN NULL ELSE trim(raw) END AS clean
+FROM (SELECT order_key, {_TOKEN_SQL} AS raw FROM {X.ORDERS_TEXT_SQL})
+""")
+def p10_null_tokens(spark, d):
+    return _with_tokens(X.orders_text(spark, d)).select(
+        "order_key", C.normalize_text("raw", null_tokens=True).alias("clean"))
+
+
+@query("p11_locale_money", sql=f"""
+SELECT order_key, amount_money,
+  TRY_CAST(replace(replace(regexp_replace(amount_money, '[\\$\\s]', '', 'g'), '.', ''), ',', '.') AS DECIMAL(19,4))
+    AS amount
+FROM {X.ORDERS_TEXT_SQL}
+""")
+def p11_locale_money(spark, d):
+    t = X.orders_text(spark, d)
+    return t.select("order_key", "amount_money", C.parse_locale_number("amount_money").alias("amount"))
+
+
+_TEXT_COLS = ["order_key", "cust_key", "amount_plain", "amount_money", "amount_dot", "order_date",
+              "order_date_iso", "status_word", "priority"]
+
+
+def _sql_vote_class(v):
+    nc = f"replace({v}, ',', '')"
+    return (f"CASE WHEN lower({v}) IN ({_sql_list(K.BOOL_TRUE_WORDS + K.BOOL_FALSE_WORDS)}) THEN 'BOOLEAN' "
+            f"WHEN regexp_matches({v}, '{K.VOTE_DATE_PATTERNS[0]}') OR regexp_matches({v}, '{K.VOTE_DATE_PATTERNS[1]}') "
+            f"THEN 'DATE' WHEN regexp_matches({v}, '{K.VOTE_DATETIME_PATTERN}') THEN 'DATETIME' "
+            f"WHEN regexp_matches({nc}, '{K.VOTE_INTEGER_PATTERN}') THEN 'INTEGER' "
+            f"WHEN regexp_matches({nc}, '{K.VOTE_DECIMAL_PATTERNS[0]}') OR regexp_matches({v}, '{K.VOTE_DECIMAL_PATTERNS[1]}') "
+            f"THEN 'DECIMAL' ELSE 'STRING' END")
+
+
+def _sql_type_vote(src, cols):
+    types = TY.VOTE_TYPES
+    counts = ", ".join(f"count(*) FILTER (WHERE cls = '{t}') AS n_{t.lower()}" for t in types)
+    best = "greatest(" + ", ".join(f"n_{t.lower()}" for t in types) + ")"
+    pick = "CASE " + " ".join(f"WHEN n_{t.lower()} = {best} THEN '{t}'" for t in types) + " END"
+    return f"""
+WITH l AS (UNPIVOT (SELECT {', '.join(cols)} FROM {src}) ON {', '.join(cols)} INTO NAME column_name VALUE value),
+c AS (SELECT column_name, {_sql_vote_class('trim(value)')} AS cls FROM l WHERE value IS NOT NULL),
+g AS (SELECT column_name, count(cls) AS n_values, {counts} FROM c GROUP BY column_name)
+SELECT *, CASE WHEN n_values > 0 AND {best} >= {K.VOTE_THRESHOLD} * n_values THEN {pick} ELSE 'STRING' END
+  AS detected_type FROM g"""
+
+
+@query("a7_type_vote", sql=_sql_type_vote(X.ORDERS_TEXT_SQL, _TEXT_COLS))
+def a7_type_vote(spark, d):
+    return TY.type_vote(X.orders_text(spark, d), _TEXT_COLS)
+
+
+def _sql_kind(src, cols, order_expr, n=K.KIND_SAMPLE_ROWS):
+    v = "lower(trim(value))"
+    kind = (f"CASE WHEN regexp_matches({v}, '{K.EMAIL_PATTERN}') THEN 'email' "
+            f"WHEN regexp_matches({v}, '{K.PHONE_PATTERN}') THEN 'phone' "
+            f"WHEN regexp_matches({v}, '{K.NUMERIC_PATTERN}') THEN 'numeric' "
+            f"WHEN regexp_matches({v}, '{K.DATE_PATTERN}') THEN 'date' "
+            f"WHEN {v} IN ({_sql_list(K.BOOL_TRUE_WORDS + K.BOOL_FALSE_WORDS)}) THEN 'boolean' END")
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in TY.KIND_ORDER)
+    pick = "CASE " + " ".join(f"WHEN n_{k} >= {K.KIND_THRESHOLD} * n_sampled THEN '{k}'"
+                              for k in TY.KIND_ORDER) + " ELSE 'string' END"
+    casts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in cols)
+    return f"""
+WITH b AS (SELECT {order_expr} AS _o, {casts} FROM {src}),
+l AS (UNPIVOT b ON {', '.join(cols)} INTO NAME column_name VALUE value),
+s AS (SELECT * FROM l WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY _o) <= {n}),
+g AS (SELECT column_name, count(*) AS n_sampled, {counts} FROM (SELECT column_name, {kind} AS kind FROM s) GROUP BY column_name)
+SELECT column_name, n_sampled, {', '.join('n_' + k for k in TY.KIND_ORDER)}, {pick} AS inferred_kind FROM g"""
+
+
+@query("a8_kind_orders_text", sql=_sql_kind(X.ORDERS_TEXT_SQL, _TEXT_COLS, "CAST(order_key AS BIGINT)"))
+def a8_kind_orders_text(spark, d):
+    t = X.orders_text(spark, d).withColumn("_k", F.col("order_key").cast("bigint"))
+    return TY.semantic_kind(t, ["_k"], _TEXT_COLS)
+
+
+_SHEET_COLS = ["customer_id", "company_name", "customer_code", "total_amount", "email", "segment"]
+
+
+@query("a8_kind_customer_sheet", sql=_sql_kind(X.CUSTOMER_SHEET_SQL, _SHEET_COLS, "customer_id"))
+def a8_kind_customer_sheet(spark, d):
+    s = X.customer_sheet(spark, d).withColumn("_k", F.col("customer_id"))
+    return TY.semantic_kind(s, ["_k"], _SHEET_COLS)
+
+
+@query("p15_token_patterns", sql=f"""
+WITH t AS (SELECT lang, unnest(regexp_extract_all(text, '\\S+')) AS tok FROM documents)
+SELECT lang, count(*) AS n_tokens,
+  count(*) FILTER (WHERE regexp_matches(tok, '{K.EMAIL_PATTERN}')) AS n_email,
+  count(*) FILTER (WHERE regexp_matches(tok, '{K.PHONE_PATTERN}')) AS n_phone,
+  count(*) FILTER (WHERE regexp_matches(tok, '{K.NUMERIC_PATTERN}')) AS n_numeric,
+  count(*) FILTER (WHERE regexp_matches(tok, '{K.DATE_PATTERN}')) AS n_date
+FROM t GROUP BY lang
+""")
+def p15_token_patterns(spark, d):
+    docs = T(spark, d, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"\S+"), 0))
+                                          .alias("tok"))
+    return docs.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n_tokens"),
+        *[F.count_if(C.matches("tok", k)).alias(f"n_{k}") for k in ["email", "phone", "numeric", "date"]])
+
+
+# =============================================================================
+# Profiles: A2-A6
+# =============================================================================
+
+def _sql_profile(src, cols):
+    parts = []
+    for c in cols:
+        parts.append(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS null_count, "
+                     f"count(DISTINCT {c}) AS distinct_count FROM {src}")
+    body = " UNION ALL ".join(parts)
+    return (f"SELECT *, round((null_count * 100.0) / n_rows, 4) AS null_pct, "
+            f"round((null_count * 100.0) / n_rows, 4) > 50 AS null_warning FROM ({body})")
+
+
+_ORDERS_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+@query("a2_profile_orders", sql=_sql_profile("orders", _ORDERS_COLS))
+def a2_profile_orders(spark, d):
+    return PR.column_profile(X.orders(spark, d), _ORDERS_COLS)
+
+
+_NK_COLS = ["o_orderkey", "o_custkey_n", "o_orderstatus", "o_totalprice"]
+
+
+@query("a2_profile_nullkey", sql=_sql_profile(X.NULLKEY_ORDERS_SQL, _NK_COLS))
+def a2_profile_nullkey(spark, d):
+    return PR.column_profile(X.nullkey_orders(spark, d), _NK_COLS)
+
+
+def _sql_numeric(src, col):
+    return f"""
+WITH x AS (SELECT TRY_CAST({col} AS DOUBLE) AS x FROM {src}),
+q AS (SELECT quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM x),
+b AS (SELECT q1, q3, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower_bound, q3 + 1.5 * (q3 - q1) AS upper_bound FROM q)
+SELECT '{col}' AS column_name, count(x) AS n_values, round(min(x), 6) AS min_value, round(max(x), 6) AS max_value,
+  round(avg(x), 6) AS mean_value, round(stddev_samp(x), 6) AS std_value,
+  round(any_value(q1), 6) AS q1, round(any_value(q3), 6) AS q3, round(any_value(iqr), 6) AS iqr,
+  round(any_value(lower_bound), 6) AS lower_bound, round(any_value(upper_bound), 6) AS upper_bound,
+  count(*) FILTER (WHERE x < lower_bound OR x > upper_bound) AS outliers
+FROM x, b"""
+
+
+@query("a3_numeric_profile_orders", sql=_sql_numeric("orders", "o_totalprice"))
+def a3_numeric_profile_orders(spark, d):
+    return PR.numeric_profile(X.orders(spark, d), "o_totalprice")
+
+
+@query("a3_numeric_profile_lineitem", sql=_sql_numeric("lineitem", "l_extendedprice"))
+def a3_numeric_profile_lineitem(spark, d):
+    return PR.numeric_profile(T(spark, d, "lineitem"), "l_extendedprice")
+
+
+def _sql_value_checks(src, cols):
+    email = f"regexp_matches(trim(value), '{K.EMAIL_PATTERN}')"
+    phone = f"regexp_matches(regexp_replace(value, '[^\\d+]', '', 'g'), '{K.PHONE_PATTERN}')"
+    date = f"{_sql_ts('value')} IS NOT NULL"
+    return f"""
+WITH l AS (UNPIVOT (SELECT {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in cols)} FROM {src})
+           ON {', '.join(cols)} INTO NAME column_name VALUE value)
+SELECT column_name, count(*) AS n_values,
+  count(*) FILTER (WHERE {email}) AS valid_emails, count(*) FILTER (WHERE NOT {email}) AS invalid_emails,
+  count(*) FILTER (WHERE {phone}) AS valid_phones, count(*) FILTER (WHERE NOT {phone}) AS invalid_phones,
+  count(*) FILTER (WHERE {date}) AS valid_dates, count(*) FILTER (WHERE NOT ({date})) AS invalid_dates,
+  count(*) FILTER (WHERE NOT {email}) > 0.1 * count(*) AS email_warning
+FROM l WHERE value IS NOT NULL GROUP BY column_name"""
+
+
+_CHECK_COLS = ["email", "customer_code", "company_name"]
+
+
+@query("a4_a6_value_checks_customer", sql=_sql_value_checks(X.CUSTOMER_SHEET_SQL, _CHECK_COLS))
+def a4_a6_value_checks_customer(spark, d):
+    return PR.value_checks(X.customer_sheet(spark, d), _CHECK_COLS)
+
+
+_CHECK_TEXT_COLS = ["cust_key", "order_date", "order_date_iso", "amount_dot"]
+
+
+@query("a4_a6_value_checks_orders_text", sql=_sql_value_checks(X.ORDERS_TEXT_SQL, _CHECK_TEXT_COLS))
+def a4_a6_value_checks_orders_text(spark, d):
+    return PR.value_checks(X.orders_text(spark, d), _CHECK_TEXT_COLS)
