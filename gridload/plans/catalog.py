@@ -571,3 +571,157 @@ _CHECK_TEXT_COLS = ["cust_key", "order_date", "order_date_iso", "amount_dot"]
 @query("a4_a6_value_checks_orders_text", sql=_sql_value_checks(X.ORDERS_TEXT_SQL, _CHECK_TEXT_COLS))
 def a4_a6_value_checks_orders_text(spark, d):
     return PR.value_checks(X.orders_text(spark, d), _CHECK_TEXT_COLS)
+
+
+# =============================================================================
+# Validation: V1-V13, W3, W6, A11
+# =============================================================================
+from ..operators import rules as R  # noqa: E402
+
+_SHEET_SPECS = [
+    R.ColumnSpec("customer_id", "customer_id", "INTEGER", nullable=False),
+    R.ColumnSpec("company_name", "company_name", "STRING", max_length=40, nullable=False),
+    R.ColumnSpec("customer_code", "customer_code", "STRING", max_length=12),
+    R.ColumnSpec("total_amount", "total_amount", "DECIMAL"),
+    R.ColumnSpec("email", "email", "STRING", max_length=100),
+    R.ColumnSpec("phone", "phone", "STRING"),
+]
+_SHEET_CONSTRAINTS = {"not_null_columns": ["email"], "unique_columns": ["customer_id"]}
+
+
+def _sheet_issues(spark, d):
+    sheet = X.customer_sheet(spark, d)
+    return R.validate(sheet, _SHEET_SPECS, F.col("customer_id") + 2, _SHEET_CONSTRAINTS, as_of=X.AS_OF)
+
+
+def _issue_sql(row, col, value, rule, message, sev, fix, src, where):
+    fix_sql = "NULL" if fix is None else "'" + fix.replace("'", "''") + "'"
+    return (f"SELECT CAST({row} AS BIGINT) AS row_number, '{col}' AS column_name, CAST({value} AS VARCHAR) AS value, "
+            f"'{rule}' AS rule_name, {message} AS message, '{sev}' AS severity, CAST({fix_sql} AS VARCHAR) "
+            f"AS suggested_fix FROM {src} WHERE {where}")
+
+
+def _q(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+_SHEET_ISSUES_SQL = " UNION ALL ".join([
+    _issue_sql("customer_id + 2", "customer_code", "customer_code", "string_length",
+               _q("Length exceeds the maximum allowed (12 characters)"), "ERROR", None,
+               X.CUSTOMER_SHEET_SQL, "length(customer_code) > 12"),
+    _issue_sql("customer_id + 2", "total_amount", "total_amount", "positive_number",
+               _q("Value should be positive"), "WARNING", None, X.CUSTOMER_SHEET_SQL,
+               "TRY_CAST(total_amount AS DOUBLE) < 0"),
+    _issue_sql("customer_id + 2", "email", "email", "email_format", _q("Invalid email format"), "WARNING",
+               None, X.CUSTOMER_SHEET_SQL, f"NOT regexp_matches(email, '{K.EMAIL_PATTERN}')"),
+    _issue_sql("customer_id + 2", "customer_code", "customer_code", "potential_duplicate",
+               _q("Possible duplicate value in column 'customer_code'"), "WARNING",
+               "Check whether duplicates are intended", X.CUSTOMER_SHEET_SQL,
+               f"customer_code IN (SELECT customer_code FROM {X.CUSTOMER_SHEET_SQL} GROUP BY 1 HAVING count(*) > 1)"),
+    "SELECT 0, 'phone', '', 'missing_column', 'Expected column ''phone'' not found', 'ERROR', "
+    "'Check the sheet''s column names'",
+    "SELECT 0, 'segment', '', 'extra_column', 'Unexpected column ''segment'' found', 'INFO', "
+    "'Consider adding it to the mapping'",
+])
+
+
+@query("v_issues_customer_sheet", sql=_SHEET_ISSUES_SQL)
+def v_issues_customer_sheet(spark, d):
+    return _sheet_issues(spark, d)
+
+
+@query("a11_verdict_customer_sheet", sql=f"""
+WITH i AS ({_SHEET_ISSUES_SQL}), n AS (SELECT count(*) AS processed_rows FROM {X.CUSTOMER_SHEET_SQL}),
+s AS (SELECT count(*) FILTER (WHERE severity = 'ERROR') AS error_count,
+             count(*) FILTER (WHERE severity = 'WARNING') AS warning_count,
+             count(*) FILTER (WHERE severity = 'INFO') AS info_count,
+             count(*) FILTER (WHERE severity = 'CRITICAL') AS critical_count,
+             count(DISTINCT CASE WHEN severity = 'ERROR' AND row_number > 0 THEN row_number END) AS rows_with_errors
+      FROM i)
+SELECT processed_rows, error_count, warning_count, info_count, critical_count,
+  round(error_count / processed_rows, 6) AS error_rate, error_count / processed_rows <= {K.MAX_ERROR_RATE} AS is_valid,
+  processed_rows - error_count AS valid_rows, processed_rows - rows_with_errors AS rows_without_errors,
+  error_count / processed_rows > {K.MAX_ERROR_RATE} AS high_error_rate_warning
+FROM n, s
+""")
+def a11_verdict_customer_sheet(spark, d):
+    return R.verdict(_sheet_issues(spark, d), X.customer_sheet(spark, d))
+
+
+@query("w6_top_issues_customer_sheet", sql=f"""
+SELECT *, row_number() OVER (PARTITION BY severity ORDER BY row_number, column_name, rule_name, message, value)
+  AS issue_rank
+FROM ({_SHEET_ISSUES_SQL}) i
+QUALIFY issue_rank <= CASE severity WHEN 'ERROR' THEN 10 WHEN 'WARNING' THEN 5 ELSE 10 END
+""")
+def w6_top_issues_customer_sheet(spark, d):
+    return R.top_issues(_sheet_issues(spark, d))
+
+
+_ORDER_SPECS = [
+    R.ColumnSpec("o_orderkey", "order_id", "INTEGER", nullable=False),
+    R.ColumnSpec("o_custkey_n", "customer_id", "INTEGER", nullable=False),
+    R.ColumnSpec("o_totalprice", "total", "DECIMAL"),
+    R.ColumnSpec("o_orderdate", "order_date", "DATETIME"),
+    R.ColumnSpec("o_orderstatus", "status", "BOOLEAN"),
+    R.ColumnSpec("o_orderpriority", "priority", "STRING", max_length=8),
+]
+_ORDER_CONSTRAINTS = {"not_null_columns": ["customer_id"], "unique_columns": ["customer_id"]}
+_NK = X.NULLKEY_ORDERS_SQL
+
+
+@query("v_issues_nullkey_orders", sql=" UNION ALL ".join([
+    _issue_sql("o_orderkey + 2", "o_custkey_n", "o_custkey_n", "required_value",
+               _q("Required field cannot be empty"), "ERROR", None, _NK, "o_custkey_n IS NULL"),
+    _issue_sql("o_orderkey + 2", "o_custkey_n", "'NULL'", "not_null_constraint",
+               _q("Column 'customer_id' cannot be null"), "ERROR", "Provide a valid value", _NK,
+               "o_custkey_n IS NULL"),
+    _issue_sql("o_orderkey + 2", "o_orderstatus", "o_orderstatus", "data_type_validation",
+               _q("Not a valid boolean value"), "ERROR", "Convert to type BOOLEAN", _NK,
+               f"lower(trim(o_orderstatus)) NOT IN ({_sql_list(K.BOOL_CHECK_WORDS)})"),
+    _issue_sql("o_orderkey + 2", "o_orderpriority", "o_orderpriority", "string_length",
+               _q("Length exceeds the maximum allowed (8 characters)"), "ERROR", None, _NK,
+               "length(o_orderpriority) > 8"),
+    _issue_sql("o.o_orderkey + 2", "o_custkey_n", "o.o_custkey_n", "unique_constraint",
+               _q("Duplicate value in unique column 'customer_id'"), "ERROR", "Ensure unique values",
+               f"{_NK} o JOIN (SELECT o_custkey_n AS k FROM {_NK} GROUP BY 1 HAVING count(*) > 1) g "
+               "ON o.o_custkey_n IS NOT DISTINCT FROM g.k", "true"),
+]))
+def v_issues_nullkey_orders(spark, d):
+    o = X.nullkey_orders(spark, d)
+    return R.validate(o, _ORDER_SPECS, F.col("o_orderkey") + 2, _ORDER_CONSTRAINTS, as_of=X.AS_OF)
+
+
+def _sql_special(c):
+    return "CASE " + " ".join(f"WHEN contains({c}, {_q(ch)}) THEN {_q(ch)}" for ch in K.SPECIAL_CHARS) + " END"
+
+
+_DOC_SPECS = [R.ColumnSpec("text", "body", "STRING", max_length=20000),
+              R.ColumnSpec("lang", "lang", "STRING", max_length=2),
+              R.ColumnSpec("source", "source", "STRING", max_length=4)]
+
+
+@query("v_issues_documents", sql=" UNION ALL ".join([
+    _issue_sql("doc_id + 2", c, c, "string_length", _q(f"Length exceeds the maximum allowed ({n} characters)"),
+               "ERROR", None, "documents", f"length({c}) > {n}")
+    for c, n in [("text", 20000), ("lang", 2), ("source", 4)]] + [
+    _issue_sql("doc_id + 2", c, c, "special_characters",
+               f"'Contains potentially problematic characters: ' || {_sql_special(c)}", "INFO", None,
+               "documents", f"{_sql_special(c)} IS NOT NULL") for c in ["text", "lang", "source"]]))
+def v_issues_documents(spark, d):
+    docs = T(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    return R.validate(docs, _DOC_SPECS, F.col("doc_id") + 2, structure=False)
+
+
+@query("w3_possible_duplicates_lineitem", sql="""
+SELECT l_linenumber AS value, count(*) AS n_rows FROM lineitem
+WHERE l_linenumber IN (SELECT l_linenumber FROM lineitem GROUP BY 1 HAVING count(*) > 1)
+GROUP BY l_linenumber
+""")
+def w3_possible_duplicates_lineitem(spark, d):
+    li = T(spark, d, "lineitem")
+    specs = [R.ColumnSpec(c, c, "STRING") for c in li.columns]
+    reg = R.RuleRegistry()  # only the duplicate scan: no business rules
+    issues = R.validate(li, specs, F.lit(0), registry=reg, structure=False)
+    dup = issues.filter(F.col("rule_name") == "potential_duplicate")
+    return dup.groupBy(F.col("value").cast("int").alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
