@@ -725,3 +725,488 @@ def w3_possible_duplicates_lineitem(spark, d):
     issues = R.validate(li, specs, F.lit(0), registry=reg, structure=False)
     dup = issues.filter(F.col("rule_name") == "potential_duplicate")
     return dup.groupBy(F.col("value").cast("int").alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# =============================================================================
+# Change capture and audit: C1-C7, J10, W4, W5
+# =============================================================================
+from ..operators import cdc as CD  # noqa: E402
+
+_NEW_ORDERS_SQL = (f"(SELECT o.* FROM orders o WHERE NOT EXISTS (SELECT 1 FROM {X.TARGET_ORDERS_SQL} t "
+                   "WHERE t.o_orderkey = o.o_orderkey))")
+
+
+def _new_orders(spark, d):
+    return I.filter_new(X.orders(spark, d), X.target_orders(spark, d), ["o_orderkey"])
+
+
+@query("c1_insert_details", sql=f"""
+SELECT CAST(1 AS BIGINT) AS log_id, CAST(o_orderkey AS VARCHAR) AS record_id, 'o_orderstatus' AS column_name,
+       CAST(NULL AS VARCHAR) AS old_value, o_orderstatus AS new_value, 'NVARCHAR' AS data_type FROM {_NEW_ORDERS_SQL}
+UNION ALL
+SELECT 1, CAST(o_orderkey AS VARCHAR), 'o_totalprice', NULL, CAST(o_totalprice AS VARCHAR), 'FLOAT' FROM {_NEW_ORDERS_SQL}
+""")
+def c1_insert_details(spark, d):
+    return CD.insert_details(_new_orders(spark, d), "o_orderkey", ["o_orderstatus", "o_totalprice"])
+
+
+@query("c1_operation_log", sql=f"""
+SELECT CAST(1 AS BIGINT) AS log_id, 'SYSTEM' AS username, 'INSERT' AS operation_type, 'orders' AS table_name,
+       'Data' AS schema_name, count(*) AS record_count, 'SUCCESS' AS operation_status,
+       TIMESTAMP '{X.AS_OF}' AS operation_timestamp, 'gridload' AS application_name
+FROM {_NEW_ORDERS_SQL}
+""")
+def c1_operation_log(spark, d):
+    return CD.operation_log(_new_orders(spark, d), [], "INSERT", "orders", X.AS_OF)
+
+
+_CDC_COLS = ["o_orderstatus", "o_totalprice", "o_orderpriority"]
+_CDC_TYPES = {"o_orderstatus": "NVARCHAR", "o_totalprice": "FLOAT", "o_orderpriority": "NVARCHAR"}
+
+
+@query("c2_update_details", sql=" UNION ALL ".join(
+    f"SELECT CAST(1 AS BIGINT) AS log_id, CAST(b.o_orderkey AS VARCHAR) AS record_id, '{c}' AS column_name, "
+    f"CAST(b.{c} AS VARCHAR) AS old_value, CAST(a.{c} AS VARCHAR) AS new_value, '{_CDC_TYPES[c]}' AS data_type "
+    f"FROM {X.ORDERS_BEFORE_SQL} b JOIN {X.ORDERS_AFTER_SQL} a ON b.o_orderkey = a.o_orderkey "
+    f"WHERE b.{c} IS DISTINCT FROM a.{c}" for c in _CDC_COLS))
+def c2_update_details(spark, d):
+    return CD.diff(X.orders_before(spark, d), X.orders_after(spark, d), "o_orderkey", _CDC_COLS)
+
+
+@query("c3_delete_details", sql=" UNION ALL ".join(
+    f"SELECT CAST(1 AS BIGINT) AS log_id, CAST(b.o_orderkey AS VARCHAR) AS record_id, '{c}' AS column_name, "
+    f"CAST(b.{c} AS VARCHAR) AS old_value, CAST(NULL AS VARCHAR) AS new_value, '{_CDC_TYPES[c]}' AS data_type "
+    f"FROM {X.ORDERS_BEFORE_SQL} b WHERE NOT EXISTS (SELECT 1 FROM {X.ORDERS_AFTER_SQL} a "
+    f"WHERE a.o_orderkey = b.o_orderkey)" for c in _CDC_COLS))
+def c3_delete_details(spark, d):
+    before, after = X.orders_before(spark, d), X.orders_after(spark, d)
+    deleted = before.join(after.select("o_orderkey"), "o_orderkey", "left_anti")
+    return CD.delete_details(deleted, "o_orderkey", _CDC_COLS)
+
+
+_CLASSIFY_SQL = f"""(SELECT coalesce(b.o_orderkey, a.o_orderkey) AS o_orderkey,
+  CASE WHEN b.o_orderkey IS NULL THEN 'INSERT' WHEN a.o_orderkey IS NULL THEN 'DELETE'
+       WHEN {' OR '.join(f'b.{c} IS DISTINCT FROM a.{c}' for c in _CDC_COLS)} THEN 'UPDATE'
+       ELSE 'UNCHANGED' END AS change_type
+FROM {X.ORDERS_BEFORE_SQL} b FULL OUTER JOIN {X.ORDERS_AFTER_SQL} a ON b.o_orderkey = a.o_orderkey)"""
+
+
+@query("c4_classify_changes", sql=f"SELECT * FROM {_CLASSIFY_SQL}")
+def c4_classify_changes(spark, d):
+    return CD.classify(X.orders_before(spark, d), X.orders_after(spark, d), "o_orderkey", _CDC_COLS)
+
+
+@query("c5_operation_log", sql=f"""
+SELECT CAST(row_number() OVER (ORDER BY change_type) AS BIGINT) AS log_id, change_type, 'SYSTEM' AS username,
+       change_type AS operation_type, 'orders' AS table_name, 'Data' AS schema_name, count(*) AS record_count,
+       'SUCCESS' AS operation_status, TIMESTAMP '{X.AS_OF}' AS operation_timestamp, 'gridload' AS application_name
+FROM {_CLASSIFY_SQL} WHERE change_type <> 'UNCHANGED' GROUP BY change_type
+""")
+def c5_operation_log(spark, d):
+    cls = c4_classify_changes(spark, d).filter(F.col("change_type") != "UNCHANGED")
+    return CD.operation_log(cls, ["change_type"], F.col("change_type"), "orders", X.AS_OF)
+
+
+@query("c6_validation_errors", sql=f"""
+SELECT CAST(row_number() OVER (ORDER BY row_number NULLS FIRST, column_name NULLS FIRST, rule_name NULLS FIRST,
+         message NULLS FIRST, value NULLS FIRST) AS BIGINT) AS error_id,
+       CAST(1 AS BIGINT) AS log_id, CAST(row_number AS INTEGER) AS row_number, column_name, rule_name AS error_type,
+       message AS error_description, value AS invalid_value, suggested_fix AS expected_format,
+       TIMESTAMP '{X.AS_OF}' AS error_timestamp
+FROM ({_SHEET_ISSUES_SQL}) i
+""")
+def c6_validation_errors(spark, d):
+    return CD.validation_error_rows(_sheet_issues(spark, d), 1, X.AS_OF)
+
+
+_YEAR_OP_SQL = ("CASE year WHEN 1995 THEN 'INSERT' WHEN 1996 THEN 'UPDATE' WHEN 1997 THEN 'DELETE' "
+                "WHEN 1998 THEN 'SELECT' WHEN 1999 THEN 'BULK_INSERT' WHEN 2000 THEN 'MERGE' ELSE 'INSERT' END")
+_YEAR_ST_SQL = ("CASE year WHEN 1996 THEN 'FAILED' WHEN 1998 THEN 'PARTIAL' WHEN 2000 THEN 'RUNNING' "
+                "ELSE 'SUCCESS' END")
+
+
+def _case(col, mapping, default):
+    e = None
+    for k, v in mapping.items():
+        e = F.when(F.col(col) == k, v) if e is None else e.when(F.col(col) == k, v)
+    return e.otherwise(default)
+
+
+@query("c7_audit_summary", sql=f"""
+WITH lg AS (SELECT CAST(row_number() OVER (ORDER BY year) AS BIGINT) AS log_id, year, 'SYSTEM' AS username,
+              {_YEAR_OP_SQL} AS operation_type, 'orders' AS table_name, count AS record_count,
+              {_YEAR_ST_SQL} AS operation_status, TIMESTAMP '{X.AS_OF}' AS operation_timestamp
+            FROM (SELECT year(o_orderdate) AS year, count(*) AS count FROM orders GROUP BY 1)),
+er AS (SELECT year(o_orderdate) - 1994 AS log_id FROM {X.NULLKEY_ORDERS_SQL} WHERE o_custkey_n IS NULL)
+SELECT log_id, username, operation_type, table_name, record_count, operation_status, operation_timestamp,
+  CASE operation_status WHEN 'SUCCESS' THEN 'Exitoso' WHEN 'FAILED' THEN 'Fallido' WHEN 'PARTIAL' THEN 'Parcial'
+       ELSE operation_status END AS status_label,
+  CASE operation_type WHEN 'INSERT' THEN 'Inserción' WHEN 'UPDATE' THEN 'Actualización'
+       WHEN 'DELETE' THEN 'Eliminación' WHEN 'SELECT' THEN 'Consulta' WHEN 'BULK_INSERT' THEN 'Inserción Masiva'
+       ELSE operation_type END AS operation_label,
+  (SELECT count(*) FROM er WHERE er.log_id = lg.log_id) AS validation_errors
+FROM lg
+""")
+def c7_audit_summary(spark, d):
+    o = X.orders(spark, d).withColumn("year", F.year("o_orderdate"))
+    ops = {1995: "INSERT", 1996: "UPDATE", 1997: "DELETE", 1998: "SELECT", 1999: "BULK_INSERT", 2000: "MERGE"}
+    sts = {1996: "FAILED", 1998: "PARTIAL", 2000: "RUNNING"}
+    log = CD.operation_log(o, ["year"], _case("year", ops, "INSERT"), "orders", X.AS_OF,
+                           status=_case("year", sts, "SUCCESS"))
+    issues = R.validate(X.nullkey_orders(spark, d), _ORDER_SPECS, F.col("o_orderkey") + 2, structure=False)
+    req = issues.filter(F.col("rule_name") == "required_value")
+    years = o.select(F.col("o_orderkey"), (F.col("year") - 1994).cast("bigint").alias("log_id"))
+    errors = req.join(years, req["row_number"] - 2 == years["o_orderkey"]).select("log_id")
+    return CD.audit_summary(log, errors)
+
+
+@query("w5_surrogate_ids", sql=f"""
+SELECT o_orderkey, (SELECT max(o_orderkey) FROM {X.TARGET_ORDERS_SQL})
+       + row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS new_id
+FROM {_NEW_ORDERS_SQL}
+""")
+def w5_surrogate_ids(spark, d):
+    new = _new_orders(spark, d).select("o_orderkey", "o_orderdate")
+    mx = X.target_orders(spark, d).agg(F.max("o_orderkey").alias("_mx"))
+    ids = CD.assign_ids(new, ["o_orderdate", "o_orderkey"], 0, "_rel")
+    return ids.crossJoin(F.broadcast(mx)).select(  # one-row aggregate
+        "o_orderkey", (F.col("_mx") + F.col("_rel")).cast("bigint").alias("new_id"))
+
+
+@query("w4_row_positions", sql="SELECT o_orderkey, o_orderkey + 2 AS sheet_row FROM orders")
+def w4_row_positions(spark, d):
+    pos = CD.row_positions(X.orders(spark, d).select("o_orderkey"))
+    return pos.select("o_orderkey", (F.col("row_position") + 2).alias("sheet_row"))
+
+
+# =============================================================================
+# Warehouse SQL: A1/J7, J4-J6, J8, J9, J11, J12, P12-P14, P16, S4, S7, S12, A15, A16, O1, O2, O5
+# =============================================================================
+from ..operators import recon as RC  # noqa: E402
+
+
+@query("a1_customer_summary", sql=f"""
+SELECT c.*, count(o.o_orderkey) AS total_orders,
+  coalesce(sum(CAST(o.o_totalprice AS DECIMAL(18,2))), 0) AS total_order_value,
+  max(o.o_orderdate) AS last_order_date,
+  CASE WHEN max(o.o_orderdate) >= TIMESTAMP '{X.AS_OF}' - INTERVAL 3 MONTH THEN 'Active'
+       WHEN max(o.o_orderdate) >= TIMESTAMP '{X.AS_OF}' - INTERVAL 12 MONTH THEN 'Inactive'
+       ELSE 'Dormant' END AS customer_status
+FROM customer c LEFT JOIN {X.SPARSE_ORDERS_SQL} o ON c.c_custkey = o.o_custkey
+GROUP BY ALL
+""")
+def a1_customer_summary(spark, d):
+    return RC.customer_summary(T(spark, d, "customer"), X.sparse_orders(spark, d), X.AS_OF)
+
+
+@query("j8_correlated_count", sql="""
+SELECT o_orderkey, o_custkey, o_orderstatus,
+  (SELECT count(*) FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R') AS returned_lines
+FROM orders o
+""")
+def j8_correlated_count(spark, d):
+    o = X.orders(spark, d).select("o_orderkey", "o_custkey", "o_orderstatus")
+    li = T(spark, d, "lineitem").filter(F.col("l_returnflag") == "R")
+    return RC.count_children(o, li, "o_orderkey", "l_orderkey", "returned_lines")
+
+
+@query("j4_distinct_join", sql="""
+SELECT DISTINCT concat_ws('', CAST(o.o_custkey AS VARCHAR), CAST(TRY_CAST(l.l_orderkey AS BIGINT) AS VARCHAR)) AS rec_id,
+  o.o_orderdate, o.o_custkey, l.l_returnflag AS item,
+  regexp_replace('T-' || CAST(l.l_suppkey AS VARCHAR) || '-' || l.l_linestatus, '^[^-]*-[^-]*-', '') AS third_name
+FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey
+""")
+def j4_distinct_join(spark, d):
+    o, li = X.orders(spark, d), T(spark, d, "lineitem")
+    j = o.join(li, o["o_orderkey"] == li["l_orderkey"])
+    return j.select(
+        C.concat_skip_nulls("o_custkey", F.col("l_orderkey").try_cast("bigint")).alias("rec_id"),
+        "o_orderdate", "o_custkey", F.col("l_returnflag").alias("item"),
+        C.after_second_dash(F.concat(F.lit("T-"), F.col("l_suppkey").cast("string"), F.lit("-"),
+                                     F.col("l_linestatus"))).alias("third_name")).distinct()
+
+
+# -- reconciliation load (E4): raw rows, then P12, J5, P16 ---------------------
+
+_RECON_RAW_SQL = """(SELECT
+  CASE WHEN o.o_orderpriority = '3-MEDIUM' THEN '' ELSE 'ORD' || CAST(o.o_orderkey AS VARCHAR) END AS id,
+  CASE WHEN o.o_orderstatus = 'F' THEN 'CERRADO' ELSE ' ' END AS month,
+  CAST(CAST(o.o_orderdate AS DATE) AS VARCHAR) AS collection_date,
+  o.o_orderpriority AS account_no,
+  CAST(o.o_custkey AS VARCHAR) AS nit_payer,
+  CASE WHEN o.o_orderpriority = '4-NOT SPECIFIED' THEN '' ELSE CAST(o.o_custkey AS VARCHAR) END AS nit_beneficiary,
+  CAST(CAST(floor(o.o_totalprice / 100000) AS BIGINT) AS VARCHAR) AS movement_value,
+  CAST(CAST(floor(l.ext / 100000) AS BIGINT) AS VARCHAR) AS captured_value,
+  CAST(o.o_orderkey AS VARCHAR) AS package_id,
+  CASE WHEN o.o_orderstatus = 'P' THEN ' ' ELSE CAST(o.o_orderkey AS VARCHAR) END AS package_id_captured
+FROM orders o JOIN (SELECT l_orderkey, sum(l_extendedprice) AS ext FROM lineitem GROUP BY 1) l
+  ON o.o_orderkey = l.l_orderkey)"""
+
+
+def _recon_raw(spark, d):
+    o = X.orders(spark, d)
+    li = T(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("ext"))
+    j = o.join(li, o["o_orderkey"] == li["l_orderkey"])
+    key = F.col("o_orderkey").cast("string")
+    return j.select(
+        F.when(F.col("o_orderpriority") == "3-MEDIUM", "").otherwise(F.concat(F.lit("ORD"), key)).alias("id"),
+        F.when(F.col("o_orderstatus") == "F", "CERRADO").otherwise(" ").alias("month"),
+        F.col("o_orderdate").cast("date").cast("string").alias("collection_date"),
+        F.col("o_orderpriority").alias("account_no"),
+        F.col("o_custkey").cast("string").alias("nit_payer"),
+        F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "").otherwise(F.col("o_custkey").cast("string"))
+        .alias("nit_beneficiary"),
+        F.floor(F.col("o_totalprice") / 100000).cast("bigint").cast("string").alias("movement_value"),
+        F.floor(F.col("ext") / 100000).cast("bigint").cast("string").alias("captured_value"),
+        key.alias("package_id"),
+        F.when(F.col("o_orderstatus") == "P", " ").otherwise(key).alias("package_id_captured"))
+
+
+_MONTHS_ES_SQL = "[" + ", ".join(f"'{m}'" for m in K.SPANISH_MONTHS) + "]"
+_P12_SQL = f"""(SELECT * REPLACE (
+    coalesce(CASE WHEN length(rtrim(id)) = 0 THEN NULL ELSE id END, concat_ws('', nit_payer, package_id)) AS id,
+    coalesce(CASE WHEN length(rtrim(month)) = 0 THEN NULL ELSE month END,
+             list_extract({_MONTHS_ES_SQL}, month(TRY_CAST(collection_date AS DATE)))) AS month,
+    TRY_CAST(collection_date AS DATE) AS collection_date)
+  FROM {_RECON_RAW_SQL})"""
+
+
+def _p12(spark, d):
+    return RC.default_on_write(_recon_raw(spark, d), "id", ["nit_payer", "package_id"], "month",
+                               "collection_date", language="es")
+
+
+@query("p12_default_on_write", sql=f"SELECT * FROM {_P12_SQL}")
+def p12_default_on_write(spark, d):
+    return _p12(spark, d)
+
+
+_MONTH_DIM_SQL = """(SELECT acct, y, m, name FROM (
+  SELECT *, row_number() OVER (PARTITION BY acct, y, m ORDER BY name) AS rn FROM (
+    SELECT DISTINCT o_orderpriority AS acct, year(o_orderdate) AS y, month(o_orderdate) AS m,
+           'CTA ' || o_orderpriority || ' ' || CAST(year(o_orderdate) AS VARCHAR) || '-' || CAST(month(o_orderdate) AS VARCHAR) AS name
+    FROM orders
+    UNION ALL
+    SELECT DISTINCT o_orderpriority, year(o_orderdate), month(o_orderdate),
+           'CTA ' || o_orderpriority || ' ' || CAST(year(o_orderdate) AS VARCHAR) || '-' || CAST(month(o_orderdate) AS VARCHAR) || ' B'
+    FROM orders WHERE month(o_orderdate) IN (3, 6))) WHERE rn = 1)"""
+
+
+def _month_dim(spark, d):
+    o = X.orders(spark, d)
+    base = o.select(F.col("o_orderpriority").alias("acct"), F.year("o_orderdate").alias("y"),
+                    F.month("o_orderdate").alias("m")).distinct()
+    name = F.concat(F.lit("CTA "), F.col("acct"), F.lit(" "), F.col("y").cast("string"), F.lit("-"),
+                    F.col("m").cast("string"))
+    dim = base.withColumn("name", name).unionByName(
+        base.filter(F.col("m").isin(3, 6)).withColumn("name", F.concat(name, F.lit(" B"))))
+    return RC.dedupe_dimension(dim, ["acct", "y", "m"], ["name"])
+
+
+_J5_SQL = f"""(SELECT r.*, dm.name AS account_name FROM {_P12_SQL} r
+  LEFT JOIN {_MONTH_DIM_SQL} dm ON dm.acct = r.account_no AND dm.y = year(r.collection_date)
+   AND dm.m = month(r.collection_date) - 1)"""
+
+
+def _j5(spark, d):
+    return RC.enrich_month(_p12(spark, d), _month_dim(spark, d), "account_no", "collection_date",
+                           "acct", "y", "m", "name", "account_name")
+
+
+@query("j5_month_enrich", sql=f"SELECT * FROM {_J5_SQL}")
+def j5_month_enrich(spark, d):
+    return _j5(spark, d)
+
+
+def _sql_check(a, b):
+    return (f"CASE WHEN length(rtrim({a})) > 0 AND length(rtrim({b})) > 0 AND {a} = {b} "
+            f"THEN 'CORRECTO' ELSE 'INCORRECTO' END")
+
+
+_P16_PAIRS = {"check_nit": ("nit_payer", "nit_beneficiary"), "check_value": ("movement_value", "captured_value"),
+              "check_id": ("package_id", "package_id_captured")}
+
+
+def _sql_p16(src):
+    checks = ", ".join(f"{_sql_check(a, b)} AS {n}" for n, (a, b) in _P16_PAIRS.items())
+    all_ok = " AND ".join(f"{_sql_check(a, b)} = 'CORRECTO'" for a, b in _P16_PAIRS.values())
+    return (f"SELECT *, {checks}, CASE WHEN {all_ok} THEN 'VALIDADO' ELSE 'INVALIDO' END AS val_check, "
+            f"'INVALIDO' AS val_check_lagged FROM {src}")
+
+
+@query("p16_recon_checks", sql=_sql_p16(_RECON_RAW_SQL))
+def p16_recon_checks(spark, d):
+    return RC.reconciliation_checks(_recon_raw(spark, d), _P16_PAIRS)
+
+
+@query("e4_reconciliation_load", sql=_sql_p16(_J5_SQL))
+def e4_reconciliation_load(spark, d):
+    return RC.reconciliation_checks(_j5(spark, d), _P16_PAIRS)
+
+
+@query("j6_snowflake", sql="""
+SELECT l.l_orderkey, l.l_linenumber, o.o_custkey, c.c_mktsegment, n.n_name, r.r_name
+FROM (SELECT DISTINCT * FROM orders) o JOIN lineitem l ON o.o_orderkey = l.l_orderkey
+LEFT JOIN customer c ON c.c_custkey = o.o_custkey
+LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey
+LEFT JOIN region r ON r.r_regionkey = n.n_regionkey
+WHERE r.r_name <> '' AND instr(upper(c.c_mktsegment), upper(substr(r.r_name, 1, 1))) > 0
+""")
+def j6_snowflake(spark, d):
+    o = X.orders(spark, d).distinct()
+    li = T(spark, d, "lineitem")
+    c = T(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    # nation and region are fixed-size code lists (25 and 5 rows): safe to broadcast
+    n = F.broadcast(T(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+    r = F.broadcast(T(spark, d, "region"))
+    j = (o.join(li, o["o_orderkey"] == li["l_orderkey"])
+         .join(c, F.col("c_custkey") == F.col("o_custkey"), "left")
+         .join(n, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+         .join(r, F.col("r_regionkey") == F.col("n_regionkey"), "left"))
+    needle = F.upper(F.substring("r_name", 1, 1))
+    return j.filter((F.col("r_name") != "") & (F.instr(F.upper("c_mktsegment"), needle) > 0)) \
+        .select("l_orderkey", "l_linenumber", "o_custkey", "c_mktsegment", "n_name", "r_name") \
+        .orderBy("o_custkey")
+
+
+@query("j9_bridge_join", sql="""
+SELECT p.p_partkey, p.p_name, s.s_suppkey, s.s_name
+FROM part p LEFT JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) b ON b.l_partkey = p.p_partkey
+LEFT JOIN supplier s ON s.s_suppkey = b.l_suppkey
+WHERE p.p_size > 25
+""")
+def j9_bridge_join(spark, d):
+    p = T(spark, d, "part").filter(F.col("p_size") > 25).select("p_partkey", "p_name")
+    b = T(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    s = T(spark, d, "supplier").select("s_suppkey", "s_name")
+    return (p.join(b, b["l_partkey"] == p["p_partkey"], "left")
+            .join(s, s["s_suppkey"] == b["l_suppkey"], "left")
+            .select("p_partkey", "p_name", "s_suppkey", "s_name").orderBy("p_partkey", "s_suppkey"))
+
+
+@query("j11_lookup_default", sql="""
+SELECT e.event_id, e.user_name, coalesce(u.uid, 0) AS user_ref
+FROM (SELECT event_id, 'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS user_name FROM events) e
+LEFT JOIN (SELECT c_name, min(c_custkey) AS uid FROM customer WHERE c_mktsegment <> 'AUTOMOBILE' GROUP BY 1) u
+  ON u.c_name = e.user_name
+""")
+def j11_lookup_default(spark, d):
+    ev = T(spark, d, "events").select(
+        "event_id", F.concat(F.lit("Customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("user_name"))
+    users = T(spark, d, "customer").filter(F.col("c_mktsegment") != "AUTOMOBILE")
+    return RC.lookup_default(ev, users, "user_name", "c_name", "c_custkey", "user_ref")
+
+
+_SESSION_AS_OF = "2024-01-20 00:00:00"
+
+
+@query("j12_active_sessions", sql=f"""
+SELECT s.session_id, s.user_id, c.c_name, s.login_time
+FROM (SELECT event_id AS session_id, user_id, ts AS login_time, event_type <> 'error' AS is_active FROM events) s
+JOIN customer c ON c.c_custkey = s.user_id
+WHERE s.is_active AND s.login_time >= TIMESTAMP '{_SESSION_AS_OF}' - INTERVAL 24 HOUR
+  AND s.login_time <= TIMESTAMP '{_SESSION_AS_OF}'
+""")
+def j12_active_sessions(spark, d):
+    s = T(spark, d, "events").select(F.col("event_id").alias("session_id"), "user_id",
+                                     F.col("ts").alias("login_time"),
+                                     (F.col("event_type") != "error").alias("is_active"))
+    c = T(spark, d, "customer").select("c_custkey", "c_name")
+    return RC.active_sessions(s, c, _SESSION_AS_OF).select("session_id", "user_id", "c_name", "login_time")
+
+
+@query("p13_phase_durations", sql="""
+WITH p AS (SELECT user_id, CAST(ts AS DATE) AS day, min(ts) AS s, max(ts) AS e FROM events GROUP BY 1, 2)
+SELECT day, count(*) AS phases, sum(floor(epoch_us(e) / 1000) - floor(epoch_us(s) / 1000)) AS total_ms,
+       round(avg(floor(epoch_us(e) / 1000) - floor(epoch_us(s) / 1000)), 3) AS avg_ms
+FROM p GROUP BY day
+""")
+def p13_phase_durations(spark, d):
+    ph = RC.phase_durations(T(spark, d, "events"), "user_id", "ts")
+    return ph.groupBy("day").agg(F.count(F.lit(1)).alias("phases"), F.sum("duration_ms").alias("total_ms"),
+                                 F.round(F.avg("duration_ms"), 3).alias("avg_ms"))
+
+
+_EVENT_LABELS = {"click": "Clic", "view": "Vista", "purchase": "Compra"}
+
+
+@query("p14_decode_labels", sql="""
+SELECT CASE event_type WHEN 'click' THEN 'Clic' WHEN 'view' THEN 'Vista' WHEN 'purchase' THEN 'Compra'
+       ELSE event_type END AS event_label, count(*) AS n
+FROM events GROUP BY 1
+""")
+def p14_decode_labels(spark, d):
+    ev = T(spark, d, "events")
+    return ev.groupBy(C.decode("event_type", _EVENT_LABELS).alias("event_label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_YEAR_BOUNDS = [f"{y}-01-01" for y in range(1996, 2002)]
+
+
+@query("s7_range_partitions", sql=f"""
+SELECT 1 + {' + '.join(f"CAST(o_orderdate >= TIMESTAMP '{b}' AS INTEGER)" for b in _YEAR_BOUNDS)} AS partition_no,
+       count(*) AS n_rows, min(o_orderdate) AS min_date, max(o_orderdate) AS max_date
+FROM orders GROUP BY 1
+""")
+def s7_range_partitions(spark, d):
+    o = X.orders(spark, d).withColumn("partition_no", C.range_right_partition("o_orderdate", _YEAR_BOUNDS))
+    return o.groupBy("partition_no").agg(F.count(F.lit(1)).alias("n_rows"), F.min("o_orderdate").alias("min_date"),
+                                         F.max("o_orderdate").alias("max_date"))
+
+
+@query("s12_orphans", sql="""
+SELECT o_custkey, count(*) AS orphan_rows FROM orders o
+WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_acctbal >= 0 AND c.c_custkey = o.o_custkey)
+GROUP BY o_custkey
+""")
+def s12_orphans(spark, d):
+    parent = T(spark, d, "customer").filter(F.col("c_acctbal") >= 0)
+    return RC.orphans(X.orders(spark, d), parent, "o_custkey", "c_custkey")
+
+
+_SUMMARY_TABLES = ["customer", "orders", "lineitem", "part", "supplier"]
+
+
+@query("s4_source_summary", sql=" UNION ALL ".join(
+    f"SELECT '{t}' AS source_name, count(*) AS row_count, (SELECT count(*) FROM (DESCRIBE {t})) AS column_count, "
+    f"count(*) > 0 AS has_data FROM {t}" for t in _SUMMARY_TABLES))
+def s4_source_summary(spark, d):
+    return RC.source_summary({t: T(spark, d, t) for t in _SUMMARY_TABLES})
+
+
+@query("s4_source_sample", sql="SELECT * FROM orders ORDER BY o_orderkey LIMIT 5")
+def s4_source_sample(spark, d):
+    return X.orders(spark, d).orderBy("o_orderkey").limit(5)
+
+
+@query("a15_batch_counts", sql="SELECT CAST(ts AS DATE) AS batch_day, count(*) AS record_count FROM events GROUP BY 1")
+def a15_batch_counts(spark, d):
+    return T(spark, d, "events").groupBy(F.to_date("ts").alias("batch_day")).agg(
+        F.count(F.lit(1)).alias("record_count"))
+
+
+@query("a16_distinct_rows", sql="SELECT DISTINCT o_custkey, o_orderstatus FROM orders")
+def a16_distinct_rows(spark, d):
+    return X.orders(spark, d).select("o_custkey", "o_orderstatus").distinct()
+
+
+@query("o1_order_by", sql="SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey")
+def o1_order_by(spark, d):
+    return T(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal") \
+        .orderBy(F.col("c_acctbal").desc(), "c_custkey")
+
+
+@query("o2_top_n", sql="SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+def o2_top_n(spark, d):
+    return X.orders(spark, d).orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(10)
+
+
+@query("o5_union_issues", sql=f"""
+SELECT rule_name, severity, count(*) AS n FROM (
+  SELECT rule_name, severity FROM ({_SHEET_ISSUES_SQL})
+  UNION ALL
+  SELECT rule_name, severity FROM ({ORACLE['v_issues_documents']})) GROUP BY ALL
+""")
+def o5_union_issues(spark, d):
+    u = _sheet_issues(spark, d).unionByName(v_issues_documents(spark, d))
+    return u.groupBy("rule_name", "severity").agg(F.count(F.lit(1)).alias("n"))

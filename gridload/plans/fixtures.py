@@ -141,7 +141,7 @@ ORDERS_BEFORE_SQL = ("(SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice
 
 
 def orders_after(spark: SparkSession, d: str) -> DataFrame:
-    """After image: urgent orders of 2001 deleted, high-priority prices raised 5 %,
+    """After image: urgent orders of 2001 deleted, high-priority prices raised by 100,
     low-priority open orders lose their status, and orders of 2001 re-keyed as new inserts."""
     o = orders(spark, d)
     y = F.year("o_orderdate")
@@ -150,7 +150,7 @@ def orders_after(spark: SparkSession, d: str) -> DataFrame:
         "o_orderkey", "o_custkey",
         F.when((F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "O"),
                F.lit(None).cast("string")).otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
-        F.when(F.col("o_orderpriority") == "2-HIGH", F.round(F.col("o_totalprice") * 1.05, 2))
+        F.when(F.col("o_orderpriority") == "2-HIGH", F.col("o_totalprice") + 100.0)
         .otherwise(F.col("o_totalprice")).alias("o_totalprice"),
         "o_orderpriority")
     added = o.filter((y == 2001) & (F.col("o_orderpriority") == "3-MEDIUM")).select(
@@ -161,7 +161,7 @@ def orders_after(spark: SparkSession, d: str) -> DataFrame:
 
 ORDERS_AFTER_SQL = """(SELECT o_orderkey, o_custkey,
    CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'O' THEN NULL ELSE o_orderstatus END AS o_orderstatus,
-   CASE WHEN o_orderpriority = '2-HIGH' THEN round(o_totalprice * 1.05, 2) ELSE o_totalprice END AS o_totalprice,
+   CASE WHEN o_orderpriority = '2-HIGH' THEN o_totalprice + 100.0 ELSE o_totalprice END AS o_totalprice,
    o_orderpriority
  FROM orders WHERE NOT (o_orderpriority = '1-URGENT' AND year(o_orderdate) = 2001)
  UNION ALL
