@@ -1117,7 +1117,7 @@ def j12_active_sessions(spark, d):
 
 @query("p13_phase_durations", sql="""
 WITH p AS (SELECT user_id, CAST(ts AS DATE) AS day, min(ts) AS s, max(ts) AS e FROM events GROUP BY 1, 2)
-SELECT day, count(*) AS phases, sum(floor(epoch_us(e) / 1000) - floor(epoch_us(s) / 1000)) AS total_ms,
+SELECT day, count(*) AS phases, CAST(sum(floor(epoch_us(e) / 1000) - floor(epoch_us(s) / 1000)) AS BIGINT) AS total_ms,
        round(avg(floor(epoch_us(e) / 1000) - floor(epoch_us(s) / 1000)), 3) AS avg_ms
 FROM p GROUP BY day
 """)
