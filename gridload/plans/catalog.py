@@ -1210,3 +1210,68 @@ SELECT rule_name, severity, count(*) AS n FROM (
 def o5_union_issues(spark, d):
     u = _sheet_issues(spark, d).unionByName(v_issues_documents(spark, d))
     return u.groupBy("rule_name", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+# =============================================================================
+# Fuzzy linkage: J13 (best match, greedy), A12
+# =============================================================================
+from ..operators import match as M  # noqa: E402
+
+
+def _name_words(spark, d):
+    """Distinct words of part names (the left list, grows with the vocabulary)."""
+    w = T(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    return w.select(F.col("word").alias("lid"), F.col("word").alias("lname"))
+
+
+def _name_variants(spark, d):
+    """Right list: each word with a dropped second letter, a prefix, a plural, upper case, reversed."""
+    w = T(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
+    v = (w.select(F.concat(F.substring("w", 1, 1), F.expr("substr(w, 3)")).alias("v"))
+         .unionByName(w.select(F.concat(F.lit("x"), F.col("w")).alias("v")))
+         .unionByName(w.select(F.concat(F.col("w"), F.lit("s")).alias("v")))
+         .unionByName(w.select(F.upper("w").alias("v")))
+         .unionByName(w.select(F.reverse("w").alias("v")))).distinct()
+    return v.select(F.col("v").alias("rid"), F.col("v").alias("rname"))
+
+
+_WORDS_SQL = "(SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part)"
+_VARIANTS_SQL = f"""(SELECT DISTINCT v FROM (
+  SELECT substr(word, 1, 1) || substr(word, 3) AS v FROM {_WORDS_SQL}
+  UNION ALL SELECT 'x' || word FROM {_WORDS_SQL}
+  UNION ALL SELECT word || 's' FROM {_WORDS_SQL}
+  UNION ALL SELECT upper(word) FROM {_WORDS_SQL}
+  UNION ALL SELECT reverse(word) FROM {_WORDS_SQL}))"""
+_BEST_SQL = f"""(WITH s AS (SELECT w.word AS lid, r.v AS rid, lower(w.word) AS a, lower(r.v) AS b
+                FROM {_WORDS_SQL} w, {_VARIANTS_SQL} r),
+  sc AS (SELECT lid, rid, (simple + CASE WHEN contains(b, a) OR contains(a, b) THEN 100.0 ELSE simple END) / 2.0
+           AS score
+         FROM (SELECT *, 100.0 * (1.0 - levenshtein(a, b) / greatest(length(a), length(b), 1)) AS simple FROM s))
+SELECT w.word AS left_id, w.word AS left_name, b.rid AS right_id, round(coalesce(b.score, 0.0) / 100.0, 6) AS confidence
+FROM {_WORDS_SQL} w LEFT JOIN (SELECT * FROM sc WHERE score >= {K.LEV_ACCEPT}
+  QUALIFY row_number() OVER (PARTITION BY lid ORDER BY score DESC, rid) = 1) b ON b.lid = w.word)"""
+
+
+@query("j13_fuzzy_best_match", sql=f"SELECT * FROM {_BEST_SQL}")
+def j13_fuzzy_best_match(spark, d):
+    return M.best_match(_name_words(spark, d), _name_variants(spark, d), "lid", "lname", "rid", "rname")
+
+
+@query("j13_fuzzy_greedy")
+def j13_fuzzy_greedy(spark, d):
+    return M.greedy_match(_name_words(spark, d), _name_variants(spark, d), "lid", "lname", "rid", "rname")
+
+
+@query("a12_match_stats", sql=f"""
+SELECT count(*) AS total_mappings, count(*) FILTER (WHERE confidence >= 0.85) AS high_confidence,
+  count(*) FILTER (WHERE confidence >= 0.7 AND confidence < 0.85) AS medium_confidence,
+  count(*) FILTER (WHERE confidence > 0 AND confidence < 0.7) AS low_confidence,
+  count(*) FILTER (WHERE confidence > 0) AS mapped, round(avg(confidence), 6) AS mean_confidence,
+  round(count(*) FILTER (WHERE confidence >= 0.85) / count(*), 6) AS high_confidence_rate,
+  round(count(*) FILTER (WHERE confidence >= 0.7 AND confidence < 0.85) / count(*), 6) AS medium_confidence_rate,
+  round(count(*) FILTER (WHERE confidence > 0 AND confidence < 0.7) / count(*), 6) AS low_confidence_rate,
+  round(count(*) FILTER (WHERE confidence > 0) / count(*), 6) AS mapped_rate
+FROM {_BEST_SQL}
+""")
+def a12_match_stats(spark, d):
+    return M.match_stats(j13_fuzzy_best_match(spark, d))
