@@ -1275,3 +1275,58 @@ FROM {_BEST_SQL}
 """)
 def a12_match_stats(spark, d):
     return M.match_stats(j13_fuzzy_best_match(spark, d))
+
+
+# =============================================================================
+# Streaming: T1 T2 T3
+# =============================================================================
+from ..session import scratch_path  # noqa: E402
+from ..streaming import lockout as LO  # noqa: E402
+from ..streaming import streams as ST  # noqa: E402
+
+_EVENT_COLS = ["event_type", "value"]
+
+
+def _events_folder(spark, d):
+    """The events table as a folder of files (one input layout for the streams)."""
+    path = scratch_path(spark, "events-files")
+    ev = T(spark, d, "events")
+    ev.repartition(8, F.to_date("ts")).write.mode("overwrite").parquet(path)
+    return path, ev.schema
+
+
+@query("t1_stream_audit", sql=" UNION ALL ".join(
+    f"SELECT CAST(event_id AS VARCHAR) AS record_id, '{c}' AS column_name, CAST(NULL AS VARCHAR) AS old_value, "
+    f"CAST({c} AS VARCHAR) AS new_value, '{t}' AS data_type FROM events"
+    for c, t in [("event_type", "NVARCHAR"), ("value", "FLOAT")]))
+def t1_stream_audit(spark, d):
+    src, schema = _events_folder(spark, d)
+    sink, ckpt = scratch_path(spark, "audit-sink"), scratch_path(spark, "audit-ckpt")
+    q = ST.audit_stream(ST.file_stream(spark, src, schema, 2), "event_id", _EVENT_COLS, sink, ckpt,
+                        "events", X.AS_OF)
+    q.awaitTermination()
+    return spark.read.parquet(f"{sink}/details").select("record_id", "column_name", "old_value", "new_value",
+                                                       "data_type")
+
+
+_STREAM_TARGET_CUTOFF = "2024-01-10 00:00:00"
+
+
+@query("t2_stream_new_records", sql=f"""
+SELECT e.* FROM events e WHERE NOT EXISTS (SELECT 1 FROM events t
+  WHERE t.ts < TIMESTAMP '{_STREAM_TARGET_CUTOFF}' AND t.event_id = e.event_id)
+""")
+def t2_stream_new_records(spark, d):
+    src, schema = _events_folder(spark, d)
+    sink, ckpt = scratch_path(spark, "new-sink"), scratch_path(spark, "new-ckpt")
+    target = T(spark, d, "events").filter(F.col("ts") < F.lit(_STREAM_TARGET_CUTOFF).cast("timestamp_ntz"))
+    # the folder's files are not in time order, so the lateness bound spans the whole month
+    q = ST.new_records_stream(ST.file_stream(spark, src, schema, 2), target, ["event_id"], "ts", "31 days",
+                              sink, ckpt)
+    q.awaitTermination()
+    return spark.read.schema(schema).parquet(sink).select(*schema.fieldNames())
+
+
+@query("t3_lockout_batch")
+def t3_lockout_batch(spark, d):
+    return LO.lockout_batch(LO.login_attempts(T(spark, d, "events")))
