@@ -134,7 +134,7 @@ def assign_ids(df: DataFrame, order_by: Sequence, start_after: Column | int = 0,
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     start = F.lit(start_after) if isinstance(start_after, int) else start_after
     pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    out = tagged.join(F.broadcast(offsets), "_pid")  # one row per partition
+    out = tagged.join(F.broadcast(offsets), "_pid")  # one row per partition: bounded by the partition count
     return out.withColumn(name, (start + F.col("_off") + pos + 1).cast("bigint")).drop("_pid", "_mid", "_off")
 
 
@@ -148,7 +148,8 @@ def row_positions(df: DataFrame, name: str = "row_position") -> DataFrame:
     counts = tagged.groupBy("_f").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_f", F.coalesce(F.sum("_n").over(
         Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    return tagged.join(F.broadcast(offsets), "_f").withColumn(
+    # one row per file: AQE broadcasts it once measured small
+    return tagged.join(offsets, "_f").withColumn(
         name, (F.col("_off") + F.col("_ri")).cast("bigint")).drop("_f", "_ri", "_off")
 
 

@@ -4,8 +4,8 @@ snowflake joins, bridge joins, lookups and sessions.
 
 Scale notes: facts are pre-aggregated on their join key before meeting a
 dimension (partial aggregation absorbs a hot key); dimensions are
-broadcast only when their size is bounded by construction (calendar months,
-the fixed region/nation lists); everything else is left to AQE, which
+broadcast only when their size is bounded by construction (the fixed
+region/nation code lists); everything else is left to AQE, which
 broadcasts a side only after measuring it.
 """
 
@@ -77,8 +77,8 @@ def enrich_month(df: DataFrame, dim: DataFrame, account_col: str, date_col: str,
                  dim_account: str, dim_year: str, dim_month: str, dim_name: str,
                  out_name: str, roll_year: bool = False) -> DataFrame:
     """Left join on account, year(date) and month(date) − 1 (January gives month 0 and never
-    matches unless ``roll_year``). The dimension is keyed by calendar month, so its size is
-    bounded by the calendar and it is broadcast."""
+    matches unless ``roll_year``). The dimension grows with accounts × months, so the join
+    is left to AQE, which broadcasts it only after measuring it."""
     d = F.col(date_col)
     if roll_year:
         prev = F.add_months(d, -1)
@@ -89,7 +89,7 @@ def enrich_month(df: DataFrame, dim: DataFrame, account_col: str, date_col: str,
     small = dim.select(F.col(dim_account).alias("_a"), F.col(dim_year).alias("_dy"),
                        F.col(dim_month).alias("_dm"), F.col(dim_name).alias(out_name))
     cond = (keyed[account_col] == small["_a"]) & (keyed["_y"] == small["_dy"]) & (keyed["_m"] == small["_dm"])
-    return keyed.join(F.broadcast(small), cond, "left").drop("_y", "_m", "_a", "_dy", "_dm")
+    return keyed.join(small, cond, "left").drop("_y", "_m", "_a", "_dy", "_dm")
 
 
 def check_pair(a, b) -> Column:

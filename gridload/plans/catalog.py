@@ -1330,3 +1330,122 @@ def t2_stream_new_records(spark, d):
 @query("t3_lockout_batch")
 def t3_lockout_batch(spark, d):
     return LO.lockout_batch(LO.login_attempts(T(spark, d, "events")))
+
+
+# =============================================================================
+# Exports, keys and loads: S2 S3 S5 S11 C8 E1 E2
+# =============================================================================
+from ..sources import exports as EX  # noqa: E402
+from ..sources import keys as KY  # noqa: E402
+from . import pipelines as PL  # noqa: E402
+
+_EXPORT_HEADERS = ["Customer Key!", "  Company   Name ", "Nation#Key", "Acct Bal ($)", "Segment?"]
+
+
+def _export_folder(spark, d):
+    """Customer and orders exported as CSV files, plus a stray non-sheet file."""
+    root = scratch_path(spark, "exports")
+    EX.write_export(T(spark, d, "customer"), f"{root}/customer", _EXPORT_HEADERS, 4, ["c_custkey"])
+    EX.write_export(X.orders(spark, d), f"{root}/orders", None, 4, ["o_orderkey"])
+    T(spark, d, "region").select("r_name").write.mode("overwrite").text(f"{root}/notes")
+    return root
+
+
+@query("s2_export_scan", sql="""
+SELECT CAST(c_custkey AS VARCHAR) AS "Customer Key", c_name AS "Company Name", CAST(c_nationkey AS VARCHAR) AS "NationKey",
+  CAST(c_acctbal AS VARCHAR) AS "Acct Bal ", c_mktsegment AS "Segment", true AS row_ok
+FROM customer
+""")
+def s2_export_scan(spark, d):
+    root = _export_folder(spark, d)
+    files = EX.admit_files(EX.list_files(spark, f"{root}/customer"))
+    paths = [r["path"] for r in files.filter("admitted").select("path").collect()]  # file names only
+    df = EX.read_exports(spark, paths)
+    # each file holds a contiguous ascending key range, so key − (sheet_row − 2) is the file's first key
+    first = df.groupBy("source_file").agg(F.min(F.col("Customer Key").cast("bigint")).alias("_first"))
+    chk = df.join(first, "source_file")
+    ok = (F.col("Customer Key").cast("bigint") - F.col("sheet_row") + 2) == F.col("_first")
+    return chk.select("Customer Key", "Company Name", "NationKey", "Acct Bal ", "Segment", ok.alias("row_ok"))
+
+
+@query("s3_file_admission")
+def s3_file_admission(spark, d):
+    root = _export_folder(spark, d)
+    files = EX.admit_files(EX.list_files(spark, root), max_bytes=10_000_000)
+    return files.groupBy("extension", "admitted", "reason").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+_LINE_CANDIDATES = [("PK_lineitem", "PRIMARY KEY", ["l_orderkey", "l_linenumber"]),
+                    ("UQ_line_part", "UNIQUE", ["l_orderkey", "l_linenumber", "l_partkey"]),
+                    ("IX_line_all", "UNIQUE INDEX", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                                     "l_shipdate"])]
+
+
+@query("s11_key_candidates", sql=" UNION ALL ".join(
+    f"SELECT '{n}' AS key_name, '{k}' AS key_type, '{','.join(c)}' AS key_columns, {KY.PRIORITY[k]} AS priority, "
+    f"(SELECT count(*) FROM lineitem) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT {', '.join(c)} FROM lineitem)) "
+    f"AS n_distinct, (SELECT count(*) FROM lineitem) = (SELECT count(*) FROM (SELECT DISTINCT {', '.join(c)} "
+    f"FROM lineitem)) AS is_unique" for n, k, c in _LINE_CANDIDATES))
+def s11_key_candidates(spark, d):
+    return KY.verify_candidates(T(spark, d, "lineitem"), _LINE_CANDIDATES)
+
+
+_ORDER_TEXT_MAPPING = {"order_key": {"target": "order_id", "confidence": 0.9},
+                       "cust_key": {"target": "customer_id", "confidence": 0.9},
+                       "amount_dot": {"target": "total", "confidence": 0.8},
+                       "order_date": {"target": "order_date", "confidence": 0.95},
+                       "status_word": {"target": "closed", "confidence": 0.7}}
+_ORDER_TEXT_TYPES = {"order_id": "int", "customer_id": "int", "total": "float", "order_date": "datetime",
+                     "closed": "boolean"}
+
+
+def _e1(spark, d):
+    return PL.base_load(X.orders_text(spark, d), _ORDER_TEXT_MAPPING, _ORDER_TEXT_TYPES)
+
+
+_E1_SQL = f"""(SELECT {_INT_SQL.format(c='order_key')} AS order_id, {_INT_SQL.format(c='cust_key')} AS customer_id,
+  TRY_CAST(trim(amount_dot) AS DOUBLE) AS total, {_sql_ts('order_date')} AS order_date,
+  CASE WHEN lower(trim(status_word)) IN ({_sql_list(K.BOOL_TRUE_WORDS)}) THEN true
+       WHEN lower(trim(status_word)) IN ({_sql_list(K.BOOL_FALSE_WORDS)}) THEN false END AS closed
+FROM {X.ORDERS_TEXT_SQL})"""
+
+
+@query("e1_base_load", sql=f"SELECT * FROM {_E1_SQL}")
+def e1_base_load(spark, d):
+    return _e1(spark, d)
+
+
+@query("e2_enhanced_load", sql=f"""
+SELECT e.* FROM {_E1_SQL} e WHERE NOT EXISTS (SELECT 1 FROM orders t
+  WHERE t.o_orderdate < TIMESTAMP '{X.TARGET_CUTOFF}' AND t.o_orderkey = e.order_id)
+""")
+def e2_enhanced_load(spark, d):
+    target = X.target_orders(spark, d).select(F.col("o_orderkey").alias("order_id"), "o_custkey", "o_orderdate")
+    cands = [("PK_orders", "PRIMARY KEY", ["order_id"]), ("UQ_cust_date", "UNIQUE", ["o_custkey", "o_orderdate"])]
+    return PL.enhanced_load(_e1(spark, d), target, cands, ["order_date", "order_id"])
+
+
+@query("s5_split_valid_reject", sql=f"""
+WITH i AS ({ORACLE['v_issues_nullkey_orders']}),
+e AS (SELECT row_number, min(rule_name) AS r FROM i WHERE severity = 'ERROR' GROUP BY 1)
+SELECT CASE WHEN e.r IS NULL THEN 'valid' ELSE 'rejected' END AS outcome, e.r AS reject_rule, count(*) AS n_rows
+FROM {X.NULLKEY_ORDERS_SQL} o LEFT JOIN e ON e.row_number = o.o_orderkey + 2 GROUP BY ALL
+""")
+def s5_split_valid_reject(spark, d):
+    o = X.nullkey_orders(spark, d)
+    issues = R.validate(o, _ORDER_SPECS, F.col("o_orderkey") + 2, _ORDER_CONSTRAINTS, as_of=X.AS_OF)
+    valid, rejects = PL.split_valid(o, issues, F.col("o_orderkey") + 2)
+    v = valid.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.lit("valid").alias("outcome"), F.lit(None).cast("string").alias("reject_rule"), "n_rows")
+    r = rejects.groupBy(F.col("reject_rule")).agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.lit("rejected").alias("outcome"), "reject_rule", "n_rows")
+    return v.unionByName(r).filter(F.col("n_rows") > 0)
+
+
+@query("c8_load_with_log")
+def c8_load_with_log(spark, d):
+    o = X.nullkey_orders(spark, d)
+    issues = R.validate(o, _ORDER_SPECS, F.col("o_orderkey") + 2, _ORDER_CONSTRAINTS, as_of=X.AS_OF)
+    valid, rejects = PL.split_valid(o, issues, F.col("o_orderkey") + 2)
+    return PL.load_with_log(valid, rejects, scratch_path(spark, "target"), scratch_path(spark, "quarantine"),
+                            scratch_path(spark, "oplog"), "orders", X.AS_OF)
