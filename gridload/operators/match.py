@@ -98,6 +98,19 @@ def best_match(left: DataFrame, right: DataFrame, lid: str, lname: str, rid: str
 # -- greedy one-to-one ----------------------------------------------------------------
 
 
+def _solve_greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sequential greedy inside one component: sources in id order take their best free target."""
+    pdf = pdf.sort_values(["lid", "score", "rid"], ascending=[True, False, True])
+    used, rows = set(), []
+    for l_id, grp in pdf.groupby("lid", sort=True):
+        for r_id, sc in zip(grp["rid"], grp["score"]):
+            if r_id not in used:
+                used.add(r_id)
+                rows.append((l_id, r_id, float(sc)))
+                break
+    return pd.DataFrame(rows, columns=["lid", "rid", "score"])
+
+
 def components(edges: DataFrame, max_iter: int = 50) -> DataFrame:
     """Connected components of a bipartite edge list ``(lid, rid)`` by min-label propagation.
 
@@ -133,20 +146,7 @@ def greedy_match(left: DataFrame, right: DataFrame, lid: str, lname: str, rid: s
     scored = cand.join(lab, cand["lid"].cast("string") == lab["_l"]).drop("_l")
     lt = dict(left.dtypes)[lid]
     rt = dict(right.dtypes)[rid]
-    schema = f"lid {lt}, rid {rt}, score double"
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["lid", "score", "rid"], ascending=[True, False, True])
-        used, rows = set(), []
-        for l_id, grp in pdf.groupby("lid", sort=True):
-            for r_id, sc in zip(grp["rid"], grp["score"]):
-                if r_id not in used:
-                    used.add(r_id)
-                    rows.append((l_id, r_id, float(sc)))
-                    break
-        return pd.DataFrame(rows, columns=["lid", "rid", "score"])
-
-    chosen = scored.groupBy("comp").applyInPandas(solve, schema)
+    chosen = scored.groupBy("comp").applyInPandas(_solve_greedy, f"lid {lt}, rid {rt}, score double")
     out = left.select(F.col(lid).alias("lid"), F.col(lname).alias("left_name")).join(chosen, "lid", "left")
     return out.select(F.col("lid").alias("left_id"), "left_name", F.col("rid").alias("right_id"),
                       F.round(F.coalesce(F.col("score"), F.lit(0.0)) / 100.0, 6).alias("confidence"))
@@ -240,3 +240,192 @@ def weighted_score_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     """Arrow-batched J14 scorer for candidate pairs."""
     return pd.Series([weighted_score(x, y) if isinstance(x, str) and isinstance(y, str) else None
                       for x, y in zip(a, b)], dtype="float64")
+
+
+# -- J14-J17: linkage against a bounded target-name dictionary ---------------------------
+#
+# The weighted scorers accept pairs with very different names (score ≥ 70 allows
+# edit budgets near 60 %), so no exact candidate index exists for them: by
+# definition every source name is scored against every target name. As in the
+# loader (source columns against one table's columns), the target list is a
+# dictionary whose size is checked against a hard bound before it is shipped to
+# the executors as a broadcast variable; a larger target list is refused (use
+# the index-based J13 linkage instead). Source names stay distributed.
+
+MAX_TARGETS = 1024  # widest table the target database allows
+
+
+def _targets(right: DataFrame, name_col: str) -> list[str]:
+    n = right.select(name_col).distinct().count()
+    if n > MAX_TARGETS:
+        raise ValueError(f"target list has {n} names; the dictionary scorer is bounded to {MAX_TARGETS}")
+    return [r[0] for r in right.select(name_col).distinct().orderBy(name_col).collect()]
+
+
+_PAIR = Tp.ArrayType(Tp.StructType([Tp.StructField("target", Tp.StringType()),
+                                    Tp.StructField("score", Tp.DoubleType())]))
+
+
+def _normalise(name: str) -> str:
+    import re
+
+    v = re.sub(r"[^a-z0-9]", "", name.lower().strip())
+    for p in K.NAME_PREFIXES:
+        if v.startswith(p) and len(v) > len(p):
+            v = v[len(p):]
+            break
+    for s in K.NAME_SUFFIXES:
+        if v.endswith(s) and len(v) > len(s):
+            v = v[:-len(s)]
+            break
+    return v
+
+
+def weighted_link(left: DataFrame, right: DataFrame, lid: str, lname: str, rname: str,
+                  weights=(0.3, 0.2, 0.3, 0.2), threshold: float = K.LINK_ACCEPT, bonus: bool = True,
+                  normalise: bool = True, one_to_one: bool = True) -> DataFrame:
+    """J14 (J15 with other weights/threshold, no bonus, no normalisation): score every source
+    name against the target dictionary; keep targets at or above the threshold; then the best
+    target per source (``one_to_one=False``) or the greedy one-to-one assignment in source-id
+    order (first best wins ties, in target order). ``match_type`` is exact (≥ 85) or fuzzy."""
+    targets = _targets(right, rname)
+    spark = left.sparkSession
+    bc = spark.sparkContext.broadcast(targets)
+    w, thr, use_bonus, norm = tuple(weights), float(threshold), bonus, normalise
+
+    @F.pandas_udf(_PAIR)
+    def accepted(names: pd.Series) -> pd.Series:
+        tl = bc.value
+        tn = [_normalise(t) if norm else t for t in tl]
+        out = []
+        for s in names:
+            if not isinstance(s, str):
+                out.append([])
+                continue
+            a = _normalise(s) if norm else s
+            hits = []
+            for t, b in zip(tl, tn):
+                sc = weighted_score(a, b, w, use_bonus)
+                if sc >= thr:
+                    hits.append({"target": t, "score": float(sc)})
+            out.append(hits)
+        return pd.Series(out)
+
+    scored = left.select(F.col(lid).alias("lid"), F.col(lname).alias("left_name"),
+                         F.explode_outer(accepted(F.col(lname))).alias("h"))
+    cand = scored.select("lid", "left_name", F.col("h.target").alias("rid"), F.col("h.score").alias("score"))
+    if one_to_one:
+        pairs = cand.filter(F.col("rid").isNotNull()).select("lid", "rid", "score")
+        comp = components(pairs)
+        lab = comp.filter(F.col("node").startswith("L:")).select(F.substring("node", 3, 1 << 20).alias("_l"), "comp")
+        scored_c = pairs.join(lab, pairs["lid"].cast("string") == lab["_l"]).drop("_l")
+        lt = dict(left.dtypes)[lid]
+        best = scored_c.groupBy("comp").applyInPandas(_solve_greedy, f"lid {lt}, rid string, score double")
+    else:
+        win = Window.partitionBy("lid").orderBy(F.col("score").desc(), F.col("rid"))
+        best = cand.filter(F.col("rid").isNotNull()).withColumn("_rn", F.row_number().over(win)) \
+            .filter("_rn = 1").select("lid", "rid", "score")
+    base = left.select(F.col(lid).alias("lid"), F.col(lname).alias("left_name"))
+    out = base.join(best, "lid", "left")
+    return out.select(
+        F.col("lid").alias("left_id"), "left_name", F.col("rid").alias("target_name"),
+        F.round(F.coalesce(F.col("score"), F.lit(0.0)) / 100.0, 6).alias("confidence"),
+        F.when(F.col("score") >= K.LINK_HIGH, "exact_match").when(F.col("score").isNotNull(), "fuzzy_match")
+        .alias("match_type"))
+
+
+def close_matches(left: DataFrame, right: DataFrame, lid: str, lname: str, rname: str, n: int = 3,
+                  cutoff: float = 0.6) -> DataFrame:
+    """Many-to-one difflib suggestions: up to ``n`` targets whose case-sensitive similarity
+    is ≥ ``cutoff``; each reported with its case-insensitive confidence. Targets may repeat."""
+    import difflib
+
+    targets = _targets(right, rname)
+    bc = left.sparkSession.sparkContext.broadcast(targets)
+    top, cut = n, cutoff
+
+    @F.pandas_udf(_PAIR)
+    def suggest(names: pd.Series) -> pd.Series:
+        out = []
+        for s in names:
+            if not isinstance(s, str):
+                out.append([])
+                continue
+            got = difflib.get_close_matches(s, bc.value, n=top, cutoff=cut)
+            out.append([{"target": t, "score": float(difflib.SequenceMatcher(None, s.lower(), t.lower()).ratio())}
+                        for t in got])
+        return pd.Series(out)
+
+    s = left.select(F.col(lid).alias("left_id"), F.col(lname).alias("left_name"),
+                    F.posexplode(suggest(F.col(lname))).alias("rank", "h"))
+    return s.select("left_id", "left_name", (F.col("rank") + 1).alias("rank"),
+                    F.col("h.target").alias("target_name"), F.round(F.col("h.score"), 6).alias("confidence"))
+
+
+def alternatives(left: DataFrame, right: DataFrame, lid: str, lname: str, rname: str, k: int = 3,
+                 min_score: int = 50) -> DataFrame:
+    """For unmatched source names, the ``k`` best targets by token-sort score on raw names
+    (lower-cased), keeping scores ≥ ``min_score``."""
+    targets = _targets(right, rname)
+    bc = left.sparkSession.sparkContext.broadcast(targets)
+    kk, lo = k, min_score
+
+    @F.pandas_udf(_PAIR)
+    def alts(names: pd.Series) -> pd.Series:
+        out = []
+        for s in names:
+            if not isinstance(s, str):
+                out.append([])
+                continue
+            sc = sorted(((token_sort_ratio(s.lower(), t.lower()), t) for t in bc.value), key=lambda x: (-x[0], x[1]))
+            out.append([{"target": t, "score": float(v)} for v, t in sc[:kk] if v >= lo])
+        return pd.Series(out)
+
+    s = left.select(F.col(lid).alias("left_id"), F.col(lname).alias("left_name"),
+                    F.posexplode(alts(F.col(lname))).alias("rank", "h"))
+    return s.select("left_id", "left_name", (F.col("rank") + 1).alias("rank"),
+                    F.col("h.target").alias("target_name"), F.col("h.score").alias("score"))
+
+
+def group_similarity(members: DataFrame, group_col: str, member_col: str, targets: DataFrame,
+                     tgroup_col: str, tmember_col: str, top: int = 5) -> DataFrame:
+    """Similarity of each source group to each target group (both bounded dictionaries of
+    groups × members): 0.7·mean best member score + 0.3·share of members whose best > 70, using
+    the 0.5 ratio / 0.3 partial / 0.2 token-sort scorer; total = 0.6·that + 0.4·group-name ratio;
+    the ``top`` target groups per source group."""
+    tg = targets.select(tgroup_col, tmember_col).distinct()
+    n = tg.count()
+    if n > MAX_TARGETS:
+        raise ValueError(f"target dictionary has {n} entries; bounded to {MAX_TARGETS}")
+    tpairs = [(r[0], r[1]) for r in tg.orderBy(tgroup_col, tmember_col).collect()]
+    bc = members.sparkSession.sparkContext.broadcast(tpairs)
+
+    def group_scores(pdf: pd.DataFrame) -> pd.DataFrame:
+        by_target: dict[str, list[str]] = {}
+        for g, m in bc.value:
+            by_target.setdefault(g, []).append(m)
+        src = str(pdf[group_col].iloc[0])
+        names = [str(x).lower() for x in pdf[member_col]]
+        rows = []
+        for tgt, tmembers in by_target.items():
+            bests = []
+            for a in names:
+                best = 0.0
+                for b in tmembers:
+                    b = b.lower()
+                    s = ratio(a, b) * 0.5 + partial_ratio(a, b) * 0.3 + token_sort_ratio(a, b) * 0.2
+                    best = max(best, s)
+                bests.append(best)
+            mean_best = sum(bests) / len(bests) if bests else 0.0
+            share = sum(1 for b in bests if b > 70) / len(bests) if bests else 0.0
+            col_score = 0.7 * mean_best + 0.3 * share * 100
+            total = 0.6 * col_score + 0.4 * ratio(src.lower(), tgt.lower())
+            rows.append((src, tgt, round(total, 6), round(col_score, 6)))
+        rows.sort(key=lambda r: (-r[2], r[1]))
+        return pd.DataFrame(rows[:top], columns=["source_group", "target_group", "score", "member_score"])
+
+    # distinct members: a group holds its vocabulary, never its rows
+    return members.select(F.col(group_col).cast("string").alias(group_col),
+                          F.col(member_col).cast("string").alias(member_col)).distinct() \
+        .groupBy(group_col).applyInPandas(
+        group_scores, "source_group string, target_group string, score double, member_score double")

@@ -281,3 +281,35 @@ def top_issues(issues: DataFrame, limits: dict[str, int] | None = None, default:
     kmax = max([default] + list(limits.values()))
     return (issues.withColumn("issue_rank", F.row_number().over(w)).filter(F.col("issue_rank") <= kmax)
             .filter(F.col("issue_rank") <= k))
+
+
+def mapping_check(df: DataFrame, mappings: Sequence[ColumnSpec], not_null_targets: Sequence[str] = ()) -> DataFrame:
+    """Per mapped column, over the whole column: all-null warning, nulls flowing into a
+    NOT NULL target, values not of the mapped type (V8) and values over the length (V2);
+    ``compatible`` when none of the errors occur. One aggregate for all columns."""
+    dtypes = dict(df.dtypes)
+    present = [m for m in mappings if m.source in df.columns]
+    aggs, names = [], []
+    for i, m in enumerate(present):
+        c = F.col(m.source)
+        tc = type_check(c, m.data_type, dtypes[m.source])
+        type_bad = (c.isNotNull() & tc[0]) if tc is not None else F.lit(False)
+        long_bad = (F.char_length(c.cast("string")) > m.max_length) if m.max_length else F.lit(False)
+        aggs += [F.count(c).alias(f"nn{i}"), F.count_if(type_bad).alias(f"tb{i}"),
+                 F.count_if(F.coalesce(long_bad, F.lit(False))).alias(f"lb{i}")]
+        names.append(m)
+    row = df.agg(F.count(F.lit(1)).alias("n"), *aggs)
+    parts = []
+    for i, m in enumerate(names):
+        nulls = F.col("n") - F.col(f"nn{i}")
+        into_nn = nulls if (m.target in not_null_targets or not m.nullable) else F.lit(0).cast("bigint")
+        parts.append(row.select(
+            F.lit(m.source).alias("column_name"), F.lit(m.target).alias("target_column"),
+            F.lit(m.data_type).alias("data_type"), F.col("n").alias("n_rows"), nulls.alias("n_null"),
+            (F.col(f"nn{i}") == 0).alias("all_null_warning"), into_nn.alias("null_into_not_null"),
+            F.col(f"tb{i}").alias("type_errors"), F.col(f"lb{i}").alias("length_errors"),
+            ((into_nn == 0) & (F.col(f"tb{i}") == 0) & (F.col(f"lb{i}") == 0)).alias("compatible")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -1449,3 +1449,60 @@ def c8_load_with_log(spark, d):
     valid, rejects = PL.split_valid(o, issues, F.col("o_orderkey") + 2)
     return PL.load_with_log(valid, rejects, scratch_path(spark, "target"), scratch_path(spark, "quarantine"),
                             scratch_path(spark, "oplog"), "orders", X.AS_OF)
+
+
+# -- V13 and J14-J18 ---------------------------------------------------------------
+
+@query("v13_mapping_check", sql=" UNION ALL ".join([
+    f"""SELECT 'o_custkey_n' AS column_name, 'customer_id' AS target_column, 'INTEGER' AS data_type, count(*) AS n_rows,
+      count(*) - count(o_custkey_n) AS n_null, count(o_custkey_n) = 0 AS all_null_warning,
+      count(*) - count(o_custkey_n) AS null_into_not_null, 0 AS type_errors, 0 AS length_errors,
+      count(*) - count(o_custkey_n) = 0 AS compatible FROM {X.NULLKEY_ORDERS_SQL}""",
+    f"""SELECT 'o_orderstatus', 'status', 'BOOLEAN', count(*), 0, false, 0,
+      count(*) FILTER (WHERE lower(trim(o_orderstatus)) NOT IN ({_sql_list(K.BOOL_CHECK_WORDS)})), 0,
+      count(*) FILTER (WHERE lower(trim(o_orderstatus)) NOT IN ({_sql_list(K.BOOL_CHECK_WORDS)})) = 0
+      FROM {X.NULLKEY_ORDERS_SQL}""",
+    f"""SELECT 'o_orderpriority', 'priority', 'STRING', count(*), 0, false, 0, 0,
+      count(*) FILTER (WHERE length(o_orderpriority) > 8), count(*) FILTER (WHERE length(o_orderpriority) > 8) = 0
+      FROM {X.NULLKEY_ORDERS_SQL}""",
+    f"""SELECT 'o_totalprice', 'total', 'DECIMAL', count(*), 0, false, 0, 0, 0, true FROM {X.NULLKEY_ORDERS_SQL}""",
+]))
+def v13_mapping_check(spark, d):
+    specs = [s for s in _ORDER_SPECS if s.source in ("o_custkey_n", "o_orderstatus", "o_orderpriority",
+                                                    "o_totalprice")]
+    return R.mapping_check(X.nullkey_orders(spark, d), specs, ["customer_id"])
+
+
+def _words_dict(spark, d):
+    return _name_words(spark, d).select(F.col("lname").alias("target"))
+
+
+@query("j14_weighted_link")
+def j14_weighted_link(spark, d):
+    return M.weighted_link(_name_variants(spark, d), _words_dict(spark, d), "rid", "rname", "target")
+
+
+@query("j15_weighted_link_plain")
+def j15_weighted_link_plain(spark, d):
+    return M.weighted_link(_name_variants(spark, d), _words_dict(spark, d), "rid", "rname", "target",
+                           weights=(0.4, 0.2, 0.2, 0.2), threshold=80, bonus=False, normalise=False)
+
+
+@query("j16_close_matches")
+def j16_close_matches(spark, d):
+    return M.close_matches(_name_variants(spark, d), _words_dict(spark, d), "rid", "rname", "target")
+
+
+@query("j17_alternatives")
+def j17_alternatives(spark, d):
+    linked = j14_weighted_link(spark, d)
+    unmatched = linked.filter(F.col("target_name").isNull()).select("left_id", "left_name")
+    return M.alternatives(unmatched, _words_dict(spark, d), "left_id", "left_name", "target")
+
+
+@query("j18_group_similarity")
+def j18_group_similarity(spark, d):
+    p = T(spark, d, "part")
+    members = p.select("p_brand", F.explode(F.split("p_name", " ")).alias("word"))
+    targets = p.select("p_type", F.explode(F.split("p_name", " ")).alias("word"))
+    return M.group_similarity(members, "p_brand", "word", targets, "p_type", "word")

@@ -73,3 +73,28 @@ def test_scorers():
     assert M.token_sort_ratio("b a", "a b") == 100
     assert M.pattern_bonus("customerid", "custid") == 17.0  # id family both sides, gap 4
     assert M.weighted_score("email", "email") == 100.0
+
+
+def test_weighted_link_matches_direct_scoring(spark):
+    left = ["CustomerName", "cust_email", "tblPhoneNo", "zzz"]
+    targets = ["customer_name", "email", "phone", "address"]
+    ldf = spark.createDataFrame([(i, x) for i, x in enumerate(left)], "lid int, lname string")
+    rdf = spark.createDataFrame([(t,) for t in targets], "target string")
+    got = {r.left_name: r.target_name for r in
+           M.weighted_link(ldf, rdf, "lid", "lname", "target", one_to_one=False).collect()}
+    want = {}
+    for s in left:
+        a = M._normalise(s)
+        scores = [(M.weighted_score(a, M._normalise(t)), t) for t in sorted(targets)]
+        best = max(scores, key=lambda x: (x[0], [-ord(c) for c in x[1]]))
+        want[s] = best[1] if best[0] >= 70 else None
+    assert got == want
+
+
+def test_dictionary_bound_is_enforced(spark):
+    import pytest
+
+    ldf = spark.createDataFrame([(1, "a")], "lid int, lname string")
+    rdf = spark.range(M.MAX_TARGETS + 1).selectExpr("CAST(id AS STRING) AS target")
+    with pytest.raises(ValueError):
+        M.weighted_link(ldf, rdf, "lid", "lname", "target").collect()
