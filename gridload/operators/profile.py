@@ -76,21 +76,28 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], buckets:
 
 
 def numeric_profile(df: DataFrame, column: str) -> DataFrame:
-    """A3: min, max, mean, sample std, Q1/Q3 (exact, interpolated), IQR bounds, outlier count."""
+    """A3: min, max, mean, sample std, Q1/Q3 (exact, interpolated), IQR bounds, outlier count.
+
+    The two quartiles are computed once (distributed, see :func:`exact_quantiles`) and come
+    back as two numbers; the statistics and the outlier count then share one scan.
+    """
     x = df.select(C.to_double(column).alias("x"))
-    base = x.agg(F.min("x").alias("min_value"), F.max("x").alias("max_value"),
-                 F.avg("x").alias("mean_value"), F.stddev_samp("x").alias("std_value"),
-                 F.count("x").alias("n_values"))
-    q = exact_quantiles(df.select(C.to_double(column).alias(column)), column, [0.25, 0.75])
-    qq = q.agg(F.max(F.when(F.col("prob") == 0.25, F.col("value"))).alias("q1"),
-               F.max(F.when(F.col("prob") == 0.75, F.col("value"))).alias("q3"))
-    qq = qq.withColumn("iqr", F.col("q3") - F.col("q1")) \
-        .withColumn("lower_bound", F.col("q1") - 1.5 * F.col("iqr")) \
-        .withColumn("upper_bound", F.col("q3") + 1.5 * F.col("iqr"))
-    out_cnt = x.crossJoin(F.broadcast(qq)).agg(  # qq is one row
-        F.count_if((F.col("x") < F.col("lower_bound")) | (F.col("x") > F.col("upper_bound")))
-        .alias("outliers"))
-    return base.crossJoin(qq).crossJoin(out_cnt).select(
+    q = {r["prob"]: r["value"] for r in exact_quantiles(x, "x", [0.25, 0.75]).collect()}
+    q1, q3 = q.get(0.25), q.get(0.75)
+    if q1 is None:
+        lo = hi = F.lit(None).cast("double")
+    else:
+        iqr = q3 - q1
+        lo, hi = F.lit(q1 - 1.5 * iqr), F.lit(q3 + 1.5 * iqr)
+    out = x.agg(F.min("x").alias("min_value"), F.max("x").alias("max_value"),
+                F.avg("x").alias("mean_value"), F.stddev_samp("x").alias("std_value"),
+                F.count("x").alias("n_values"),
+                F.count_if((F.col("x") < lo) | (F.col("x") > hi)).alias("outliers"))
+    qv = [F.lit(q1).cast("double").alias("q1"), F.lit(q3).cast("double").alias("q3"),
+          (F.lit(q3).cast("double") - F.lit(q1).cast("double")).alias("iqr"),
+          lo.cast("double").alias("lower_bound"), hi.cast("double").alias("upper_bound")]
+    out = out.select("*", *qv)
+    return out.select(
         F.lit(column).alias("column_name"), "n_values",
         *[F.round(c, 6).alias(c) for c in ["min_value", "max_value", "mean_value", "std_value",
                                            "q1", "q3", "iqr", "lower_bound", "upper_bound"]],
