@@ -1329,7 +1329,8 @@ def t2_stream_new_records(spark, d):
 
 @query("t3_lockout_batch")
 def t3_lockout_batch(spark, d):
-    return LO.lockout_batch(LO.login_attempts(T(spark, d, "events")))
+    # weekly slices: per-task work is one user's week, state carried between slices
+    return LO.lockout_sliced(LO.login_attempts(T(spark, d, "events")), F.date_trunc("week", "ts"))
 
 
 # =============================================================================

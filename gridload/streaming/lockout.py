@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -57,7 +57,8 @@ def _run(pdf: pd.DataFrame, failures: int, locked_until):
 
 
 def lockout_batch(attempts: DataFrame) -> DataFrame:
-    """Batch T3 over whole history: one sequential pass per user."""
+    """Batch T3 over whole history: one sequential pass per user (the user's whole history is
+    one group; use :func:`lockout_sliced` when a user's history may not fit one task)."""
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         res, _, _ = _run(pdf, 0, None)
         return res
@@ -80,3 +81,44 @@ def lockout_stream(attempts: DataFrame) -> DataFrame:
 
     return attempts.groupBy("user_id").applyInPandasWithState(
         fn, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+
+
+def lockout_sliced(attempts: DataFrame, slice_col: Column | None = None) -> DataFrame:
+    """Batch T3 without whole-history groups: time slices are replayed in order, each slice one
+    distributed job whose groups are (user, slice), with the per-user state (failures,
+    locked_until) carried between slices as a DataFrame, like micro-batches of the stream.
+
+    ``slice_col`` defaults to the calendar day of ``ts``. The list of slice values comes back
+    to the driver (one value per slice); the per-user state and the output stay distributed,
+    and the state is checkpointed to the shared folder after every slice.
+    """
+    spark = attempts.sparkSession
+    sl = slice_col if slice_col is not None else F.to_date("ts")
+    tagged = attempts.withColumn("_slice", sl)
+    slices = [r[0] for r in tagged.select("_slice").distinct().orderBy("_slice").collect()]
+    state = spark.createDataFrame([], "user_id bigint, s_failures int, s_locked timestamp_ntz")
+    outputs = []
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        f0 = pdf["s_failures"].iloc[0]
+        l0 = pdf["s_locked"].iloc[0]
+        failures = 0 if pd.isna(f0) else int(f0)
+        locked = None if pd.isna(l0) else pd.Timestamp(l0).to_pydatetime()
+        res, _, _ = _run(pdf, failures, locked)
+        return res
+
+    for s in slices:
+        part = tagged.filter(F.col("_slice") == F.lit(s)).drop("_slice").join(state, "user_id", "left")
+        out = part.groupBy("user_id").applyInPandas(fn, OUT_SCHEMA).checkpoint()
+        outputs.append(out)
+        w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+        last = (out.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
+                .select("user_id", F.col("failures").alias("s_failures"),
+                        F.col("locked_until").alias("s_locked")))
+        state = state.join(last.select("user_id"), "user_id", "left_anti").unionByName(last).checkpoint()
+    if not outputs:
+        return spark.createDataFrame([], OUT_SCHEMA)
+    result = outputs[0]
+    for o in outputs[1:]:
+        result = result.unionByName(o)
+    return result

@@ -37,3 +37,25 @@ def test_lockout_stream_equals_batch(spark, small_dir):
     got = {(r.event_id, r.outcome) for r in spark.read.parquet(sink).collect()}
     want = {(r.event_id, r.outcome) for r in LO.lockout_batch(LO.login_attempts(ev)).collect()}
     assert got == want
+
+
+def test_sliced_replay_equals_whole_history(spark, small_dir):
+    from pyspark.sql import functions as F
+
+    ev = spark.read.parquet(f"{small_dir}/events.parquet")
+    att = LO.login_attempts(ev)
+    want = {tuple(r) for r in LO.lockout_batch(att).collect()}
+    got_day = {tuple(r) for r in LO.lockout_sliced(att).collect()}
+    got_week = {tuple(r) for r in LO.lockout_sliced(att, F.date_trunc("week", "ts")).collect()}
+    assert got_day == want and got_week == want
+
+
+def test_lock_spanning_a_slice_boundary(spark):
+    from pyspark.sql import functions as F
+
+    base = dt.datetime(2024, 1, 1, 23, 50)
+    rows = [(0, False), (1, False), (2, False), (14, False), (30, False)]  # lock 23:52 → 00:07 next day
+    df = spark.createDataFrame([(1, i, base + dt.timedelta(minutes=m), ok) for i, (m, ok) in enumerate(rows)],
+                               "user_id bigint, event_id bigint, ts timestamp_ntz, success boolean")
+    out = [r.outcome for r in LO.lockout_sliced(df).orderBy("event_id").collect()]
+    assert out == ["failed", "failed", "locked", "ignored_locked", "failed"]
