@@ -31,39 +31,45 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     return prof.withColumn("null_pct", pct).withColumn("null_warning", F.col("null_pct") > 50)
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], buckets: int = 64) -> DataFrame:
+def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], buckets: int | None = None,
+                    values_per_bucket: int = 1_000_000, max_buckets: int = 10_000) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas/``quantile_cont`` semantics), distributed.
 
     1. distinct values with their counts (a hot value becomes one row);
-    2. the distinct values are cut into ``buckets`` ranges by approximate
-       quantiles, so each range holds a similar number of distinct values;
-    3. per-range totals (``buckets`` rows) give offsets; a window per range
-       gives each value its rank interval;
+    2. the distinct values are cut into ranges by approximate quantiles, so each range holds a
+       similar number of distinct values; the number of ranges grows with the approximate
+       distinct count (about ``values_per_bucket`` per range, at most ``max_buckets``);
+    3. per-range totals (one row per range) give offsets; a window per range gives each value
+       its rank interval;
     4. the 2·len(probs) needed ranks are joined to their intervals.
-    No step holds more than one range of distinct values in a task.
+    No task holds more than one range of distinct values.
     """
+    from pyspark.ml.feature import Bucketizer
+
     x = df.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
     vals = x.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    if buckets is None:
+        ndv = x.agg(F.approx_count_distinct("x").alias("n")).first()["n"] or 0
+        buckets = int(min(max_buckets, max(64, -(-ndv // values_per_bucket))))
     cuts = [i / buckets for i in range(1, buckets)]
-    bounds = vals.agg(F.percentile_approx("x", cuts, 10000).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds))
-    b = F.lit(0)
-    for v in bounds:
-        b = b + F.when(F.col("x") >= F.lit(v), 1).otherwise(0)
-    vals = vals.withColumn("bucket", b)
+    accuracy = max(10_000, 10 * buckets)
+    bounds = vals.agg(F.percentile_approx("x", cuts, accuracy).alias("b")).first()["b"] or []
+    splits = [float("-inf")] + sorted(set(bounds)) + [float("inf")]
+    # JVM-side binary search over the range bounds
+    vals = Bucketizer(splits=splits, inputCol="x", outputCol="bucket").transform(vals)
     totals = vals.groupBy("bucket").agg(F.sum("c").alias("bc"))
     # offsets over at most `buckets` rows
     totals = totals.withColumn("offset", F.coalesce(F.sum("bc").over(
         Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     n = totals.agg(F.sum("bc").alias("n"))
-    ranked = vals.join(F.broadcast(totals.select("bucket", "offset")), "bucket")
+    ranked = vals.join(F.broadcast(totals.select("bucket", "offset")), "bucket")  # ≤ max_buckets rows
     w = Window.partitionBy("bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     ranked = ranked.withColumn("cum_end", F.col("offset") + F.sum("c").over(w)) \
         .withColumn("cum_start", F.col("cum_end") - F.col("c"))
     spark = df.sparkSession
     p = spark.createDataFrame([(float(q),) for q in probs], "prob double")
     wanted = p.crossJoin(n).withColumn("h", (F.col("n") - 1) * F.col("prob")) \
-        .withColumn("lo", F.floor("h")).withColumn("hi", F.ceil("h"))
+        .withColumn("lo", F.floor("h")).withColumn("hi", F.ceil("h"))  # probs × one-row total
     ranks = wanted.select("prob", "h", "lo", F.lit(False).alias("upper"), F.col("lo").alias("r")) \
         .unionByName(wanted.select("prob", "h", "lo", F.lit(True).alias("upper"), F.col("hi").alias("r")))
     # 2·len(probs) rank rows against the rank intervals: a tiny broadcast range join
