@@ -71,7 +71,8 @@ def any_fractional(col) -> Column:
 def to_timestamp_multi(col, formats: Sequence[str] = tuple(K.DATE_FORMATS)) -> Column:
     """First format that parses wins; none parses → null."""
     c = F.trim(_c(col).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])
+    # parse, then keep the wall-clock value (independent of the session time zone)
+    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats]).cast("timestamp_ntz")
 
 
 def to_boolean(col) -> Column:

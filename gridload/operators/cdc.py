@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import constants as K
+from ..session import checkpoint_dir
 
 _TYPE_LABELS = {"string": "NVARCHAR", "bigint": "BIGINT", "int": "INT", "smallint": "SMALLINT",
                 "double": "FLOAT", "float": "REAL", "boolean": "BIT", "date": "DATE",
@@ -125,6 +126,7 @@ def assign_ids(df: DataFrame, order_by: Sequence, start_after: Column | int = 0,
     sorted, tagged data is checkpointed to the shared folder first, so both
     uses read identical partitions even after a lost executor.
     """
+    checkpoint_dir(df.sparkSession)
     tagged = (df.orderBy(*order_by)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id())

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Tp
 
 from ..functions import constants as K
+from ..session import checkpoint_dir
 
 ACCEPT = K.LEV_ACCEPT
 
@@ -117,6 +118,7 @@ def components(edges: DataFrame, max_iter: int = 50) -> DataFrame:
     Returns ``(node, comp)`` for left nodes ``L:<id>`` and right nodes ``R:<id>``.
     Each round is a join + aggregate; lineage is cut with a reliable checkpoint.
     """
+    checkpoint_dir(edges.sparkSession)
     e = edges.select(F.concat(F.lit("L:"), F.col("lid").cast("string")).alias("u"),
                      F.concat(F.lit("R:"), F.col("rid").cast("string")).alias("v"))
     und = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()

@@ -484,9 +484,14 @@ FROM t GROUP BY lang
 def p15_token_patterns(spark, d):
     docs = T(spark, d, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"\S+"), 0))
                                           .alias("tok"))
+    # cheap guards first (And short-circuits in generated code): an email holds '@'; phone,
+    # numeric and date tokens start with a sign, a dot or a digit
+    numeric_start = F.substring("tok", 1, 1).isin(*list("+-.0123456789"))
+    guard = {"email": F.col("tok").contains("@"), "phone": numeric_start, "numeric": numeric_start,
+             "date": numeric_start}
     return docs.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n_tokens"),
-        *[F.count_if(C.matches("tok", k)).alias(f"n_{k}") for k in ["email", "phone", "numeric", "date"]])
+        *[F.count_if(guard[k] & C.matches("tok", k)).alias(f"n_{k}") for k in ["email", "phone", "numeric", "date"]])
 
 
 # =============================================================================

@@ -40,6 +40,12 @@ def best_identifier(verified: DataFrame) -> DataFrame:
 
 
 def best_key_columns(df: DataFrame, candidates: Sequence[tuple[str, str, Sequence[str]]]) -> list[str] | None:
-    """Driver-side convenience for a load: the columns of the best verified key (one small row)."""
-    row = best_identifier(verify_candidates(df, candidates)).first()
-    return row["key_columns"].split(",") if row else None
+    """The columns of the best verified key: candidates are checked in priority order (declared
+    order on ties) and the first unique one wins, so lower-priority keys are never scanned
+    once a better one holds. One small row per check comes back to the driver."""
+    order = sorted(range(len(candidates)), key=lambda i: (PRIORITY.get(candidates[i][1], 9), i))
+    for i in order:
+        row = verify_candidates(df, [candidates[i]]).first()
+        if row["is_unique"]:
+            return list(candidates[i][2])
+    return None

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import constants as K
+from ..session import checkpoint_dir
 
 OUT_SCHEMA = ("user_id bigint, event_id bigint, ts timestamp_ntz, success boolean, outcome string, "
               "failures int, locked_until timestamp_ntz")
@@ -93,6 +94,7 @@ def lockout_sliced(attempts: DataFrame, slice_col: Column | None = None) -> Data
     and the state is checkpointed to the shared folder after every slice.
     """
     spark = attempts.sparkSession
+    checkpoint_dir(spark)
     sl = slice_col if slice_col is not None else F.to_date("ts")
     tagged = attempts.withColumn("_slice", sl)
     slices = [r[0] for r in tagged.select("_slice").distinct().orderBy("_slice").collect()]
