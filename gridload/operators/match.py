@@ -112,11 +112,13 @@ def _solve_greedy(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["lid", "rid", "score"])
 
 
-def components(edges: DataFrame, max_iter: int = 50) -> DataFrame:
+def components(edges: DataFrame, max_iter: int = 200) -> DataFrame:
     """Connected components of a bipartite edge list ``(lid, rid)`` by min-label propagation.
 
     Returns ``(node, comp)`` for left nodes ``L:<id>`` and right nodes ``R:<id>``.
-    Each round is a join + aggregate; lineage is cut with a reliable checkpoint.
+    Each round is a join + aggregate; lineage is cut with a reliable checkpoint. Rounds are
+    bounded by the graph diameter; if ``max_iter`` rounds do not converge the call fails rather
+    than return partial components.
     """
     checkpoint_dir(edges.sparkSession)
     e = edges.select(F.concat(F.lit("L:"), F.col("lid").cast("string")).alias("u"),
@@ -131,8 +133,8 @@ def components(edges: DataFrame, max_iter: int = 50) -> DataFrame:
             F.col("comp") != F.col("old")).limit(1).count()
         labels = new
         if changed == 0:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"connected components did not converge in {max_iter} rounds")
 
 
 def greedy_match(left: DataFrame, right: DataFrame, lid: str, lname: str, rid: str, rname: str,
