@@ -53,3 +53,27 @@ def test_enhanced_load_without_key_keeps_everything(spark):
     batch = spark.createDataFrame([(1,), (1,)], "k int")
     target = spark.createDataFrame([(1,), (1,)], "k int")
     assert PL.enhanced_load(batch, target, [("uq", "UNIQUE", ["k"])], ["k"]).count() == 2
+
+
+def test_range_partitioned_log_prunes(spark):
+    from gridload.sources import sinks as SK
+
+    path = scratch_path(spark, "log")
+    rows = [(i, f"2025-{m:02d}-15 10:00:00") for i, m in enumerate(range(1, 13))] + [(99, "2024-12-31 23:00:00")]
+    df = spark.createDataFrame(rows, "log_id int, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    SK.write_range_partitioned(df, "ts", path)
+    back = spark.read.parquet(path)
+    assert {r.log_id: r.partition_no for r in back.collect()}[99] == 1
+    q = back.filter(F.col("partition_no") == SK.partition_of("2025-03-15"))
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(partition_no" in plan
+    assert [r.log_id for r in q.collect()] == [2]
+
+
+def test_insert_if_absent_version(spark):
+    from gridload.sources import sinks as SK
+
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    inc = spark.createDataFrame([(2, "B"), (3, "c")], "k int, v string")
+    path = SK.insert_if_absent_version(t, inc, ["k"], "t")
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "b"), (3, "c")]
