@@ -1512,3 +1512,36 @@ def j18_group_similarity(spark, d):
     members = p.select("p_brand", F.explode(F.split("p_name", " ")).alias("word"))
     targets = p.select("p_type", F.explode(F.split("p_name", " ")).alias("word"))
     return M.group_similarity(members, "p_brand", "word", targets, "p_type", "word")
+
+
+@query("j7_order_summary_view", sql="""
+SELECT c.c_custkey, c.c_name, c.c_mktsegment, count(o.o_orderkey) AS total_orders,
+  coalesce(sum(CAST(o.o_totalprice AS DECIMAL(18,2))), 0) AS total_order_value, max(o.o_orderdate) AS last_order_date
+FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey
+WHERE c.c_acctbal >= 0
+GROUP BY c.c_custkey, c.c_name, c.c_mktsegment
+""")
+def j7_order_summary_view(spark, d):
+    active = T(spark, d, "customer").filter(F.col("c_acctbal") >= 0).select("c_custkey", "c_name", "c_mktsegment")
+    s = RC.customer_summary(active, X.orders(spark, d), X.AS_OF)
+    return s.drop("customer_status")
+
+
+@query("e3_quality_report_orders", sql=f"""
+WITH i AS ({ORACLE['v_issues_nullkey_orders']}), n AS (SELECT count(*) AS processed_rows FROM {X.NULLKEY_ORDERS_SQL}),
+s AS (SELECT count(*) FILTER (WHERE severity = 'ERROR') AS error_count,
+             count(*) FILTER (WHERE severity = 'WARNING') AS warning_count,
+             count(*) FILTER (WHERE severity = 'INFO') AS info_count,
+             count(*) FILTER (WHERE severity = 'CRITICAL') AS critical_count,
+             count(DISTINCT CASE WHEN severity = 'ERROR' AND row_number > 0 THEN row_number END) AS rows_with_errors
+      FROM i)
+SELECT processed_rows, error_count, warning_count, info_count, critical_count,
+  round(error_count / processed_rows, 6) AS error_rate, error_count / processed_rows <= {K.MAX_ERROR_RATE} AS is_valid,
+  processed_rows - error_count AS valid_rows, processed_rows - rows_with_errors AS rows_without_errors,
+  error_count / processed_rows > {K.MAX_ERROR_RATE} AS high_error_rate_warning
+FROM n, s
+""")
+def e3_quality_report_orders(spark, d):
+    _, verdict = PL.quality_report(X.nullkey_orders(spark, d), _ORDER_SPECS, F.col("o_orderkey") + 2,
+                                   _ORDER_CONSTRAINTS, as_of=X.AS_OF)
+    return verdict

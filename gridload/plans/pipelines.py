@@ -65,12 +65,15 @@ def load_with_log(valid: DataFrame, rejects: DataFrame, target_path: str, quaran
                   log_path: str, table_name: str, as_of: str) -> DataFrame:
     """Append the valid rows and the rejects, then append an operation-log row:
     SUCCESS with the count, PARTIAL when rows were rejected, FAILED with 0 and the message."""
+    from pyspark.sql import Observation
+
     spark = valid.sparkSession
     try:
-        valid.write.mode("append").parquet(target_path)
-        rejects.write.mode("append").parquet(quarantine_path)
-        n_valid = valid.count()
-        n_rej = rejects.count()
+        # counts are observed during the writes themselves: no second pass over the batch
+        ov, orj = Observation("valid_rows"), Observation("rejected_rows")
+        valid.observe(ov, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(target_path)
+        rejects.observe(orj, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(quarantine_path)
+        n_valid, n_rej = ov.get["n"], orj.get["n"]
         status, message, n = ("PARTIAL" if n_rej else "SUCCESS"), None, n_valid
     except Exception as exc:  # the failure itself is what gets logged
         status, message, n = "FAILED", str(exc)[:500], 0
