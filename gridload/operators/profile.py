@@ -37,8 +37,8 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], buckets:
 
     1. distinct values with their counts (a hot value becomes one row);
     2. the distinct values are cut into ranges by approximate quantiles, so each range holds a
-       similar number of distinct values; the number of ranges grows with the approximate
-       distinct count (about ``values_per_bucket`` per range, at most ``max_buckets``);
+       similar number of distinct values; the number of ranges grows with the data (about
+       ``values_per_bucket`` rows per range, at most ``max_buckets``);
     3. per-range totals (one row per range) give offsets; a window per range gives each value
        its rank interval;
     4. the 2·len(probs) needed ranks are joined to their intervals.
@@ -49,8 +49,10 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], buckets:
     x = df.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
     vals = x.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
     if buckets is None:
-        ndv = x.agg(F.approx_count_distinct("x").alias("n")).first()["n"] or 0
-        buckets = int(min(max_buckets, max(64, -(-ndv // values_per_bucket))))
+        # the row count bounds the distinct count from above (extra buckets stay empty);
+        # on Parquet it is answered from file metadata
+        rows = df.count()
+        buckets = int(min(max_buckets, max(64, -(-rows // values_per_bucket))))
     cuts = [i / buckets for i in range(1, buckets)]
     accuracy = max(10_000, 10 * buckets)
     bounds = vals.agg(F.percentile_approx("x", cuts, accuracy).alias("b")).first()["b"] or []
