@@ -8,6 +8,7 @@ key (or broadcasts the target keys when AQE measures them small).
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -20,55 +21,70 @@ def _check_keys(df: DataFrame, keys: Sequence[str], what: str) -> None:
         raise ValueError(f"key columns missing from {what}: {missing}")
 
 
+def _key(df: DataFrame, name: str, collation: str | None) -> Column:
+    """A key column, compared under ``collation`` when given and the column is text."""
+    c = df[name]
+    if collation and dict(df.dtypes)[name] == "string":
+        return F.collate(c, collation)
+    return c
+
+
 def _null_safe_cond(left: DataFrame, right: DataFrame, keys: Sequence[str],
-                    right_keys: Sequence[str] | None = None) -> Column:
+                    right_keys: Sequence[str] | None = None, collation: str | None = None) -> Column:
     right_keys = list(right_keys or keys)
     cond = None
     for lk, rk in zip(keys, right_keys):
-        c = left[lk].eqNullSafe(right[rk])
+        c = _key(left, lk, collation).eqNullSafe(_key(right, rk, collation))
         cond = c if cond is None else cond & c
     return cond
 
 
-def target_keys(target: DataFrame, keys: Sequence[str], alias_prefix: str = "_t_") -> DataFrame:
+def target_keys(target: DataFrame, keys: Sequence[str], alias_prefix: str = "_t_",
+                collation: str | None = None) -> DataFrame:
     """Distinct key tuples of the target, renamed so they never clash with the batch."""
-    return target.select(*[F.col(k).alias(alias_prefix + k) for k in keys]).distinct()
+    return target.select(*[_key(target, k, collation).alias(alias_prefix + k) for k in keys]).distinct()
 
 
 def filter_new(incoming: DataFrame, target: DataFrame, keys: Sequence[str] | None,
-               target_key_names: Sequence[str] | None = None) -> DataFrame:
+               target_key_names: Sequence[str] | None = None, collation: str | None = None) -> DataFrame:
     """Incoming rows whose key is absent from the target (NULL equals NULL).
 
-    No key → every row is new (the caller reports that as a warning).
-    In-batch duplicates survive; remove them first with :func:`dedup`.
+    No key → every row is new, with a warning. In-batch duplicates survive;
+    remove them first with :func:`dedup`. ``collation`` (e.g. ``UTF8_LCASE``,
+    ``UNICODE_CI_RTRIM``) compares text keys case- or pad-insensitively, as a
+    case-insensitive target database would; the default is binary.
     """
     if not keys:
+        warnings.warn("no unique identifier for the target: every incoming row is treated as new",
+                      stacklevel=2)
         return incoming
     _check_keys(incoming, keys, "incoming")
     tk = list(target_key_names or keys)
     _check_keys(target, tk, "target")
-    t = target_keys(target, tk)
-    cond = _null_safe_cond(incoming, t, keys, ["_t_" + k for k in tk])
+    t = target_keys(target, tk, collation=collation)
+    cond = _null_safe_cond(incoming, t, keys, ["_t_" + k for k in tk], collation)
     return incoming.join(t, cond, "left_anti")
 
 
-def existing(incoming: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
+def existing(incoming: DataFrame, target: DataFrame, keys: Sequence[str],
+             collation: str | None = None) -> DataFrame:
     """J3-style semi join: incoming rows whose key is present in the target."""
     _check_keys(incoming, keys, "incoming")
-    t = target_keys(target, keys)
-    return incoming.join(t, _null_safe_cond(incoming, t, keys, ["_t_" + k for k in keys]), "left_semi")
+    t = target_keys(target, keys, collation=collation)
+    return incoming.join(t, _null_safe_cond(incoming, t, keys, ["_t_" + k for k in keys], collation),
+                         "left_semi")
 
 
 def flag_existing(incoming: DataFrame, target: DataFrame, keys: Sequence[str],
-                  flag: str = "exists_in_db") -> DataFrame:
+                  flag: str = "exists_in_db", collation: str | None = None) -> DataFrame:
     """Every incoming row plus a boolean ``exists_in_db``.
 
     The target side is reduced to distinct keys first, so the left join never
     multiplies incoming rows.
     """
     _check_keys(incoming, keys, "incoming")
-    t = target_keys(target, keys).withColumn("_t_hit", F.lit(True))
-    cond = _null_safe_cond(incoming, t, keys, ["_t_" + k for k in keys])
+    t = target_keys(target, keys, collation=collation).withColumn("_t_hit", F.lit(True))
+    cond = _null_safe_cond(incoming, t, keys, ["_t_" + k for k in keys], collation)
     joined = incoming.join(t, cond, "left")
     return joined.select(*[incoming[c] for c in incoming.columns],
                          F.coalesce(F.col("_t_hit"), F.lit(False)).alias(flag))

@@ -16,11 +16,20 @@ from ..functions import columns as C
 from ..functions import constants as K
 
 
-def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """A2: rows, nulls, distinct non-null values, null share and the >50 % warning per column."""
+def column_profile(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+    """A2: rows, nulls, distinct non-null values, null share and the >50 % warning per column.
+
+    ``approx=True`` counts distinct values with HyperLogLog++ in a single aggregate.
+    """
     cols = list(columns or df.columns)
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]) \
         .unpivot([], cols, "column_name", "value")
+    if approx:
+        prof = long.groupBy("column_name").agg(
+            F.count(F.lit(1)).alias("n_rows"), (F.count(F.lit(1)) - F.count("value")).alias("null_count"),
+            F.approx_count_distinct("value").alias("distinct_count"))
+        pct = F.round(F.col("null_count") * 100.0 / F.col("n_rows"), 4)
+        return prof.withColumn("null_pct", pct).withColumn("null_warning", F.col("null_pct") > 50)
     per_value = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
     prof = per_value.groupBy("column_name").agg(
         F.sum("n").cast("bigint").alias("n_rows"),
@@ -83,14 +92,19 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], buckets:
         (v_lo + (F.max("h") - F.max("lo")) * (v_hi - v_lo)).alias("value"))
 
 
-def numeric_profile(df: DataFrame, column: str) -> DataFrame:
+def numeric_profile(df: DataFrame, column: str, approx: bool = False) -> DataFrame:
     """A3: min, max, mean, sample std, Q1/Q3 (exact, interpolated), IQR bounds, outlier count.
 
     The two quartiles are computed once (distributed, see :func:`exact_quantiles`) and come
     back as two numbers; the statistics and the outlier count then share one scan.
+    ``approx=True`` takes the quartiles from ``percentile_approx`` (one pass, no interpolation).
     """
     x = df.select(C.to_double(column).alias("x"))
-    q = {r["prob"]: r["value"] for r in exact_quantiles(x, "x", [0.25, 0.75]).collect()}
+    if approx:
+        row = x.agg(F.percentile_approx("x", [0.25, 0.75], 10_000).alias("q")).first()["q"] or [None, None]
+        q = {0.25: row[0], 0.75: row[1]}
+    else:
+        q = {r["prob"]: r["value"] for r in exact_quantiles(x, "x", [0.25, 0.75]).collect()}
     q1, q3 = q.get(0.25), q.get(0.75)
     if q1 is None:
         lo = hi = F.lit(None).cast("double")

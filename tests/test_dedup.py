@@ -58,3 +58,17 @@ def test_missing_key_column_raises(spark):
 
     with pytest.raises(ValueError):
         I.filter_new(df, df, ["nope"])
+
+
+def test_collation_and_no_key_warning(spark):
+    import warnings
+
+    inc = spark.createDataFrame([("ABC", 1, ""), ("abc ", 2, ""), ("x", 3, "")], SCHEMA)
+    tgt = spark.createDataFrame([("abc", 9, "")], SCHEMA)
+    assert sorted(r.o for r in I.filter_new(inc, tgt, ["k"]).collect()) == [1, 2, 3]
+    assert sorted(r.o for r in I.filter_new(inc, tgt, ["k"], collation="UTF8_LCASE").collect()) == [2, 3]
+    assert sorted(r.o for r in I.filter_new(inc, tgt, ["k"], collation="UNICODE_CI_RTRIM").collect()) == [3]
+    with warnings.catch_warnings(record=True) as w:
+        warnings.simplefilter("always")
+        assert I.filter_new(inc, tgt, []).count() == 3
+        assert any("every incoming row" in str(x.message) for x in w)

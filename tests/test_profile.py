@@ -30,3 +30,13 @@ def test_profile_counts_nulls_and_distinct(spark):
     p = {r.column_name: r for r in PR.column_profile(df).collect()}
     assert (p["a"].null_count, p["a"].distinct_count) == (0, 2)
     assert (p["b"].null_count, p["b"].distinct_count, p["b"].null_warning) == (2, 1, True)
+
+
+def test_approx_options(spark, small_dir):
+    o = spark.read.parquet(f"{small_dir}/orders.parquet")
+    exact = {r.column_name: r.distinct_count for r in PR.column_profile(o, ["o_orderstatus"]).collect()}
+    approx = {r.column_name: r.distinct_count for r in PR.column_profile(o, ["o_orderstatus"], approx=True).collect()}
+    assert exact == approx == {"o_orderstatus": 3}
+    a = PR.numeric_profile(o, "o_totalprice", approx=True).first()
+    e = PR.numeric_profile(o, "o_totalprice").first()
+    assert abs(a.q1 - e.q1) / e.q1 < 0.01 and a.n_values == e.n_values
