@@ -103,6 +103,20 @@ def full_duplicate_count(df: DataFrame) -> DataFrame:
     )
 
 
-def repeated_values(df: DataFrame, column: str) -> DataFrame:
-    """Every row whose value in ``column`` occurs more than once (nulls repeat too)."""
-    return duplicate_members(df, [column])
+def repeated_values(df: DataFrame, column: str, prefilter: bool = True) -> DataFrame:
+    """Every row whose value in ``column`` occurs more than once (nulls repeat too).
+
+    For long values (document texts) the value itself should not be shuffled for every row:
+    rows are first counted by ``(xxhash64, length)`` — two longs per row, partially
+    aggregated — and only rows whose fingerprint repeats go to the exact grouping on the
+    value, so hash collisions cannot produce false duplicates.
+    """
+    if not prefilter:
+        return duplicate_members(df, [column])
+    fp = [F.xxhash64(F.col(column)).alias("_fp_h"), F.length(F.col(column)).alias("_fp_l")]
+    tagged = df.select("*", *fp)
+    rep = (tagged.groupBy("_fp_h", "_fp_l").agg(F.count(F.lit(1)).alias("_fp_n"))
+           .filter(F.col("_fp_n") > 1).drop("_fp_n"))
+    cond = (tagged["_fp_h"] == rep["_fp_h"]) & tagged["_fp_l"].eqNullSafe(rep["_fp_l"])
+    candidates = tagged.join(rep, cond, "left_semi").drop("_fp_h", "_fp_l")
+    return duplicate_members(candidates, [column])

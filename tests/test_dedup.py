@@ -72,3 +72,12 @@ def test_collation_and_no_key_warning(spark):
         warnings.simplefilter("always")
         assert I.filter_new(inc, tgt, []).count() == 3
         assert any("every incoming row" in str(x.message) for x in w)
+
+
+def test_repeated_values_prefilter_is_exact(spark):
+    rows = [("t1", 1, "same text"), ("t2", 2, "same text"), ("t3", 3, "other"), ("t4", 4, None),
+            ("t5", 5, None), ("t6", 6, "unique")]
+    df = spark.createDataFrame(rows, "k string, o int, v string")
+    got = sorted((r.o, r.dup_count) for r in D.repeated_values(df, "v").collect())
+    plain = sorted((r.o, r.dup_count) for r in D.repeated_values(df, "v", prefilter=False).collect())
+    assert got == plain == [(1, 2), (2, 2), (4, 2), (5, 2)]
