@@ -268,6 +268,7 @@ def _targets(right: DataFrame, name_col: str) -> list[str]:
 
 _PAIR = Tp.ArrayType(Tp.StructType([Tp.StructField("target", Tp.StringType()),
                                     Tp.StructField("score", Tp.DoubleType())]))
+_SCORED = Tp.StructType([Tp.StructField("hits", _PAIR), Tp.StructField("best", Tp.DoubleType())])
 
 
 def _normalise(name: str) -> str:
@@ -288,35 +289,43 @@ def _normalise(name: str) -> str:
 def weighted_link(left: DataFrame, right: DataFrame, lid: str, lname: str, rname: str,
                   weights=(0.3, 0.2, 0.3, 0.2), threshold: float = K.LINK_ACCEPT, bonus: bool = True,
                   normalise: bool = True, one_to_one: bool = True) -> DataFrame:
-    """J14 (J15 with other weights/threshold, no bonus, no normalisation): score every source
-    name against the target dictionary; keep targets at or above the threshold; then the best
-    target per source (``one_to_one=False``) or the greedy one-to-one assignment in source-id
-    order (first best wins ties, in target order). ``match_type`` is exact (≥ 85) or fuzzy."""
+    """J14 (J15 with other weights/threshold, no bonus, lower-cased names instead of the full
+    normalisation): score every source name against the target dictionary; keep targets at or
+    above the threshold; then the best target per source (``one_to_one=False``) or the greedy
+    one-to-one assignment in source-id order (first best wins ties, in target order).
+    ``match_type`` is exact (≥ 85) or fuzzy; ``best_score`` is the best score over all targets,
+    reported also for unmatched names."""
     targets = _targets(right, rname)
     spark = left.sparkSession
     bc = spark.sparkContext.broadcast(targets)
     w, thr, use_bonus, norm = tuple(weights), float(threshold), bonus, normalise
 
-    @F.pandas_udf(_PAIR)
-    def accepted(names: pd.Series) -> pd.Series:
+    @F.pandas_udf(_SCORED)
+    def accepted(names: pd.Series) -> pd.DataFrame:
         tl = bc.value
-        tn = [_normalise(t) if norm else t for t in tl]
-        out = []
+        tn = [_normalise(t) if norm else t.lower() for t in tl]
+        hits_col, best_col = [], []
         for s in names:
             if not isinstance(s, str):
-                out.append([])
+                hits_col.append([])
+                best_col.append(None)
                 continue
-            a = _normalise(s) if norm else s
-            hits = []
+            a = _normalise(s) if norm else s.lower()
+            hits, best = [], None
             for t, b in zip(tl, tn):
                 sc = weighted_score(a, b, w, use_bonus)
+                if best is None or sc > best:  # first best in target order
+                    best = sc
                 if sc >= thr:
                     hits.append({"target": t, "score": float(sc)})
-            out.append(hits)
-        return pd.Series(out)
-
-    scored = left.select(F.col(lid).alias("lid"), F.col(lname).alias("left_name"),
-                         F.explode_outer(accepted(F.col(lname))).alias("h"))
+            hits_col.append(hits)
+            best_col.append(None if best is None else float(best))
+        return pd.DataFrame({"hits": hits_col, "best": best_col})
+
+    base_scored = left.select(F.col(lid).alias("lid"), F.col(lname).alias("left_name"),
+                              accepted(F.col(lname)).alias("s"))
+    best_any = base_scored.select("lid", F.round(F.col("s.best") / 100.0, 6).alias("best_score"))
+    scored = base_scored.select("lid", "left_name", F.explode_outer("s.hits").alias("h"))
     cand = scored.select("lid", "left_name", F.col("h.target").alias("rid"), F.col("h.score").alias("score"))
     if one_to_one:
         pairs = cand.filter(F.col("rid").isNotNull()).select("lid", "rid", "score")
@@ -330,12 +339,13 @@ def weighted_link(left: DataFrame, right: DataFrame, lid: str, lname: str, rname
         best = cand.filter(F.col("rid").isNotNull()).withColumn("_rn", F.row_number().over(win)) \
             .filter("_rn = 1").select("lid", "rid", "score")
     base = left.select(F.col(lid).alias("lid"), F.col(lname).alias("left_name"))
-    out = base.join(best, "lid", "left")
+    out = base.join(best, "lid", "left").join(best_any, "lid", "left")
     return out.select(
         F.col("lid").alias("left_id"), "left_name", F.col("rid").alias("target_name"),
         F.round(F.coalesce(F.col("score"), F.lit(0.0)) / 100.0, 6).alias("confidence"),
         F.when(F.col("score") >= K.LINK_HIGH, "exact_match").when(F.col("score").isNotNull(), "fuzzy_match")
-        .alias("match_type"))
+        .alias("match_type"),
+        "best_score")
 
 
 def close_matches(left: DataFrame, right: DataFrame, lid: str, lname: str, rname: str, n: int = 3,
@@ -366,6 +376,44 @@ def close_matches(left: DataFrame, right: DataFrame, lid: str, lname: str, rname
                     F.col("h.target").alias("target_name"), F.round(F.col("h.score"), 6).alias("confidence"))
 
 
+def best_target(left: DataFrame, right: DataFrame, lid: str, lname: str, rname: str,
+                low: float = 0.5) -> DataFrame:
+    """J16 variant: names stripped of non-alphanumerics and lower-cased; the single target with
+    the highest difflib ratio (first in target order on ties); the first target when nothing
+    scores above 0; ``low_confidence`` when the ratio is below ``low``."""
+    import difflib
+    import re
+
+    targets = _targets(right, rname)
+    bc = left.sparkSession.sparkContext.broadcast(targets)
+
+    def norm(x: str) -> str:
+        return re.sub(r"[^a-zA-Z0-9]", "", x).lower()
+
+    @F.pandas_udf(Tp.StructType([Tp.StructField("target", Tp.StringType()),
+                                 Tp.StructField("score", Tp.DoubleType())]))
+    def pick(names: pd.Series) -> pd.DataFrame:
+        tl = bc.value
+        tn = [norm(t) for t in tl]
+        tg, sc = [], []
+        for s in names:
+            best, hi = (tl[0] if tl else None), 0.0
+            if isinstance(s, str):
+                a = norm(s)
+                for t, b in zip(tl, tn):
+                    r = difflib.SequenceMatcher(None, a, b).ratio()
+                    if r > hi:
+                        best, hi = t, r
+            tg.append(best)
+            sc.append(hi)
+        return pd.DataFrame({"target": tg, "score": sc})
+
+    p = left.select(F.col(lid).alias("left_id"), F.col(lname).alias("left_name"), pick(F.col(lname)).alias("p"))
+    return p.select("left_id", "left_name", F.col("p.target").alias("target_name"),
+                    F.round(F.col("p.score"), 6).alias("confidence"),
+                    (F.col("p.score") < low).alias("low_confidence"))
+
+
 def alternatives(left: DataFrame, right: DataFrame, lid: str, lname: str, rname: str, k: int = 3,
                  min_score: int = 50) -> DataFrame:
     """For unmatched source names, the ``k`` best targets by token-sort score on raw names

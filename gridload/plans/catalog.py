@@ -1499,6 +1499,11 @@ def j16_close_matches(spark, d):
     return M.close_matches(_name_variants(spark, d), _words_dict(spark, d), "rid", "rname", "target")
 
 
+@query("j16_best_target")
+def j16_best_target(spark, d):
+    return M.best_target(_name_variants(spark, d), _words_dict(spark, d), "rid", "rname", "target")
+
+
 @query("j17_alternatives")
 def j17_alternatives(spark, d):
     linked = j14_weighted_link(spark, d)

@@ -98,3 +98,31 @@ def test_dictionary_bound_is_enforced(spark):
     rdf = spark.range(M.MAX_TARGETS + 1).selectExpr("CAST(id AS STRING) AS target")
     with pytest.raises(ValueError):
         M.weighted_link(ldf, rdf, "lid", "lname", "target").collect()
+
+
+def test_best_target_variant_and_j15_best_score(spark):
+    import difflib
+    import re
+
+    left = ["Customer-Name", "zzzz", "E_mail"]
+    targets = ["customername", "email", "phone"]
+    ldf = spark.createDataFrame([(i, x) for i, x in enumerate(left)], "lid int, lname string")
+    rdf = spark.createDataFrame([(t,) for t in targets], "target string")
+    got = {r.left_name: (r.target_name, r.low_confidence) for r in
+           M.best_target(ldf, rdf, "lid", "lname", "target").collect()}
+
+    def norm(x):
+        return re.sub(r"[^a-zA-Z0-9]", "", x).lower()
+    want = {}
+    for s in left:
+        best, hi = sorted(targets)[0], 0.0
+        for t in sorted(targets):
+            r = difflib.SequenceMatcher(None, norm(s), norm(t)).ratio()
+            if r > hi:
+                best, hi = t, r
+        want[s] = (best, hi < 0.5)
+    assert got == want
+    j15 = {r.left_name: (r.target_name, r.best_score) for r in
+           M.weighted_link(ldf, rdf, "lid", "lname", "target", weights=(0.4, 0.2, 0.2, 0.2), threshold=80,
+                           bonus=False, normalise=False).collect()}
+    assert j15["zzzz"][0] is None and j15["zzzz"][1] is not None
