@@ -62,17 +62,25 @@ def split_valid(df: DataFrame, issues: DataFrame, row_number: Column) -> tuple[D
 
 
 def load_with_log(valid: DataFrame, rejects: DataFrame, target_path: str, quarantine_path: str,
-                  log_path: str, table_name: str, as_of: str) -> DataFrame:
-    """Append the valid rows and the rejects, then append an operation-log row:
-    SUCCESS with the count, PARTIAL when rows were rejected, FAILED with 0 and the message."""
+                  log_path: str, table_name: str, as_of: str, batch_id: int = 0) -> DataFrame:
+    """Write the valid rows and the rejects, then an operation-log row:
+    SUCCESS with the count, PARTIAL when rows were rejected, FAILED with 0 and the message.
+
+    Every write goes to its own ``batch_id=<n>`` folder in overwrite mode, so re-running a
+    load after a failure replaces that batch's output instead of appending it twice.
+    """
     from pyspark.sql import Observation
 
     spark = valid.sparkSession
+
+    def part(path: str) -> str:
+        return f"{path}/batch_id={batch_id}"
+
     try:
         # counts are observed during the writes themselves: no second pass over the batch
         ov, orj = Observation("valid_rows"), Observation("rejected_rows")
-        valid.observe(ov, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(target_path)
-        rejects.observe(orj, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(quarantine_path)
+        valid.observe(ov, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(part(target_path))
+        rejects.observe(orj, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(part(quarantine_path))
         n_valid, n_rej = ov.get["n"], orj.get["n"]
         status, message, n = ("PARTIAL" if n_rej else "SUCCESS"), None, n_valid
     except Exception as exc:  # the failure itself is what gets logged
@@ -83,7 +91,7 @@ def load_with_log(valid: DataFrame, rejects: DataFrame, target_path: str, quaran
     ).select(F.lit("SYSTEM").alias("username"), F.lit("BULK_INSERT").alias("operation_type"), "table_name",
              "record_count", "operation_status", "error_message",
              F.lit(as_of).cast("timestamp_ntz").alias("operation_timestamp"))
-    log.write.mode("append").parquet(log_path)
+    log.write.mode("overwrite").parquet(part(log_path))
     return spark.read.parquet(log_path)
 
 

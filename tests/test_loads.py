@@ -77,3 +77,13 @@ def test_insert_if_absent_version(spark):
     inc = spark.createDataFrame([(2, "B"), (3, "c")], "k int, v string")
     path = SK.insert_if_absent_version(t, inc, ["k"], "t")
     assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_load_with_log_is_idempotent_per_batch(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    empty = df.limit(0).withColumn("sheet_row", F.lit(0))
+    t, q, lg = scratch_path(spark, "t"), scratch_path(spark, "q"), scratch_path(spark, "l")
+    for _ in range(2):  # a re-run of batch 7 replaces its output
+        PL.load_with_log(df, empty, t, q, lg, "people", "2025-01-01 00:00:00", batch_id=7)
+    assert spark.read.parquet(t).count() == 2
+    assert [(r.operation_status, r.record_count) for r in spark.read.parquet(lg).collect()] == [("SUCCESS", 2)]
