@@ -5,22 +5,25 @@ Score (J13): names lower-cased; ``simple = 100·(1 − lev/max(len))``;
 ``score = (simple + partial) / 2``; accepted at ≥ 80.
 
 Candidates come from an exact index instead of blocking, so no accepted
-pair is lost and no block emits all its pairs:
-
-* without containment a pair needs ``lev ≤ 0.2·max(len)``; then the lengths
-  differ by at most 25 %, and both names share a string reached by at most
-  ``⌊len/4⌋`` deletions from each (deletion neighbourhood);
-* with containment the shorter name is a substring of the longer one of at
-  least 60 % of its length (``simple ≥ 60``), found by a substring index.
-
-Both indexes are equi-joins on generated keys. The index is sized for
-names (identifiers, headers, entity names), not for long texts.
+pair is lost and no block emits all its pairs. For an acceptance score T
+(80 by default) let ``e = 1 − T/100``:
+
+* without containment a pair needs ``lev ≤ e·max(len)``; then the lengths
+  differ by at most ``e·max``, and with ``k = ⌊e/(1−e)·len⌋`` for the indexed
+  name, cutting it into ``k + 1`` segments leaves at least one segment intact
+  in the other name, shifted by at most ``k`` positions (pigeonhole, as in the
+  Pass-Join algorithm). The index holds the segments; probes are the
+  substrings of the other name at those lengths and positions;
+* with containment the shorter name is a substring of the longer one covering
+  at least ``(2T − 100)`` % of it, found by a substring index.
+
+Both indexes are equi-joins on generated keys and grow polynomially with the
+name length (no combinatorial neighbourhoods). They are sized for names
+(identifiers, headers, entity names), not for long texts.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,32 +35,67 @@ from ..session import checkpoint_dir
 ACCEPT = K.LEV_ACCEPT
 
 
-def _deletions(s: str) -> list[str]:
-    k = len(s) // 4
-    out = {s}
-    for d in range(1, k + 1):
-        for idx in combinations(range(len(s)), d):
-            drop = set(idx)
-            out.add("".join(ch for i, ch in enumerate(s) if i not in drop))
-    return sorted(out)
+def _segments(n: int, k: int) -> list[tuple[int, int]]:
+    """Even partition of a length-``n`` name into ``k + 1`` segments: (start, length)."""
+    parts = k + 1
+    short, extra = divmod(n, parts)
+    out, pos = [], 0
+    for i in range(parts):
+        ln = short + (1 if i >= parts - extra else 0)
+        out.append((pos, ln))
+        pos += ln
+    return out
+
+
+def _edit_budget(n: int, e: float) -> int:
+    """Largest edit count a partner of an indexed name of length ``n`` may need."""
+    return int(e / (1.0 - e) * n + 1e-9)
 
 
-def _substrings(s: str) -> list[str]:
+def _segment_keys(s: str, e: float) -> list[str]:
     n = len(s)
-    lo = max(1, -(-3 * n // 5))  # ceil(0.6·n)
+    k = _edit_budget(n, e)
+    return sorted({f"{n}|{i}|{s[p:p + ln]}" for i, (p, ln) in enumerate(_segments(n, k))})
+
+
+def _probe_keys(s: str, e: float) -> list[str]:
+    m = len(s)
+    lo = int(m * (1.0 - e) - 1e-9) if m else 0
+    hi = int(m / (1.0 - e) + 1e-9)
+    keys = set()
+    for n in range(max(0, lo), hi + 1):
+        k = _edit_budget(n, e)
+        if abs(n - m) > k:
+            continue
+        for i, (p, ln) in enumerate(_segments(n, k)):
+            for q in range(max(0, p - k), min(m - ln, p + k) + 1):
+                keys.add(f"{n}|{i}|{s[q:q + ln]}")
+    return sorted(keys)
+
+
+def _substrings(s: str, frac: float) -> list[str]:
+    n = len(s)
+    lo = max(1, -int(-frac * n // 1)) if frac > 0 else 1
     return sorted({s[i:i + m] for m in range(lo, n + 1) for i in range(0, n - m + 1)})
 
 
-@F.pandas_udf(Tp.ArrayType(Tp.StringType()))
-def deletion_keys(names: pd.Series) -> pd.Series:
-    """Deletion neighbourhood of each name (up to ⌊len/4⌋ deletions)."""
-    return names.map(lambda s: _deletions(s) if isinstance(s, str) else [])
+def _index_udfs(threshold: float):
+    e = 1.0 - threshold / 100.0
+    frac = max(0.0, (2.0 * threshold - 100.0) / 100.0)
+
+    @F.pandas_udf(Tp.ArrayType(Tp.StringType()))
+    def segment_keys(names: pd.Series) -> pd.Series:
+        return names.map(lambda x: _segment_keys(x, e) if isinstance(x, str) else [])
 
+    @F.pandas_udf(Tp.ArrayType(Tp.StringType()))
+    def probe_keys(names: pd.Series) -> pd.Series:
+        return names.map(lambda x: _probe_keys(x, e) if isinstance(x, str) else [])
 
-@F.pandas_udf(Tp.ArrayType(Tp.StringType()))
-def substring_keys(names: pd.Series) -> pd.Series:
-    """Substrings covering at least 60 % of each name."""
-    return names.map(lambda s: _substrings(s) if isinstance(s, str) else [])
+    @F.pandas_udf(Tp.ArrayType(Tp.StringType()))
+    def substring_keys(names: pd.Series) -> pd.Series:
+        return names.map(lambda x: _substrings(x, frac) if isinstance(x, str) else [])
+
+    return segment_keys, probe_keys, substring_keys
 
 
 def lev_score(a: Column, b: Column) -> Column:
@@ -68,12 +106,16 @@ def lev_score(a: Column, b: Column) -> Column:
     return (simple + partial) / 2.0
 
 
-def candidates(left: DataFrame, right: DataFrame, lid: str, lname: str, rid: str, rname: str) -> DataFrame:
-    """Every (left, right) pair that can reach the acceptance score, with its score."""
+def candidates(left: DataFrame, right: DataFrame, lid: str, lname: str, rid: str, rname: str,
+               threshold: float = ACCEPT) -> DataFrame:
+    """Every (left, right) pair that can reach ``threshold`` (50-100), with its score."""
+    if not 50 <= threshold <= 100:
+        raise ValueError("the exact candidate index needs an acceptance score between 50 and 100")
+    segment_keys, probe_keys, substring_keys = _index_udfs(threshold)
     lft = left.select(F.col(lid).alias("lid"), F.lower(F.col(lname)).alias("a"))
     rgt = right.select(F.col(rid).alias("rid"), F.lower(F.col(rname)).alias("b"))
-    ld = lft.select("lid", "a", F.explode(deletion_keys("a")).alias("k"))
-    rd = rgt.select("rid", "b", F.explode(deletion_keys("b")).alias("k"))
+    ld = lft.select("lid", "a", F.explode(probe_keys("a")).alias("k"))
+    rd = rgt.select("rid", "b", F.explode(segment_keys("b")).alias("k"))
     by_edit = ld.join(rd, "k").select("lid", "a", "rid", "b")
     rs = rgt.select("rid", "b", F.explode(substring_keys("b")).alias("a_key"))
     in_right = lft.join(rs, lft["a"] == rs["a_key"]).select("lid", "a", "rid", "b")
@@ -87,7 +129,7 @@ def best_match(left: DataFrame, right: DataFrame, lid: str, lname: str, rid: str
                threshold: float = ACCEPT) -> DataFrame:
     """J13 (many-to-one): for each left name the best right name with score ≥ threshold
     (ties → lowest right id); unmatched left names get no target and confidence 0."""
-    cand = candidates(left, right, lid, lname, rid, rname).filter(F.col("score") >= threshold)
+    cand = candidates(left, right, lid, lname, rid, rname, threshold).filter(F.col("score") >= threshold)
     w = Window.partitionBy("lid").orderBy(F.col("score").desc(), F.col("rid"))
     best = cand.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
     out = left.select(F.col(lid).alias("lid"), F.col(lname).alias("left_name")).join(
@@ -142,7 +184,7 @@ def greedy_match(left: DataFrame, right: DataFrame, lid: str, lname: str, rid: s
     """J13 greedy one-to-one: left names in id order each take their best still-free right
     name (first best wins ties). Greedy choices only interact inside a connected component of
     the accepted-pair graph, so each component is solved independently with ``applyInPandas``."""
-    cand = candidates(left, right, lid, lname, rid, rname).filter(F.col("score") >= threshold) \
+    cand = candidates(left, right, lid, lname, rid, rname, threshold).filter(F.col("score") >= threshold) \
         .select("lid", "rid", "score")
     comp = components(cand)
     lab = comp.filter(F.col("node").startswith("L:")).select(
