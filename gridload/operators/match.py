@@ -17,9 +17,12 @@ pair is lost and no block emits all its pairs. For an acceptance score T
 * with containment the shorter name is a substring of the longer one covering
   at least ``(2T − 100)`` % of it, found by a substring index.
 
-Both indexes are equi-joins on generated keys and grow polynomially with the
-name length (no combinatorial neighbourhoods). They are sized for names
-(identifiers, headers, entity names), not for long texts.
+Short names are indexed by their deletion neighbourhoods (``≤ k`` deletions:
+tight, shared only by near names); names past a length band where that
+neighbourhood would exceed ~6000 strings switch to the segment index, which
+grows polynomially. Partners differ in length by at most ``1/(1−e)``, so the
+overlap of the two bands covers every pair. Both are equi-joins on generated
+keys, sized for names (identifiers, headers, entity names), not for long texts.
 """
 
 from __future__ import annotations
@@ -73,6 +76,42 @@ def _probe_keys(s: str, e: float) -> list[str]:
     return sorted(keys)
 
 
+def _deletions(s: str, k: int) -> list[str]:
+    """Every string reachable from ``s`` by at most ``k`` deletions."""
+    level, out = {s}, {s}
+    for _ in range(k):
+        level = {x[:i] + x[i + 1:] for x in level for i in range(len(x))}
+        out |= level
+    return sorted(out)
+
+
+def _deletion_band(e: float, max_variants: int = 6000) -> int:
+    """Longest name length whose deletion neighbourhood stays within ``max_variants``."""
+    from math import comb
+
+    n = 0
+    while True:
+        k = _edit_budget(n + 1, e)
+        if sum(comb(n + 1, i) for i in range(k + 1)) > max_variants:
+            return n
+        n += 1
+
+
+def _edit_keys(s: str, e: float, probe: bool) -> list[str]:
+    """Exact edit-path keys, banded by length: short names use deletion neighbourhoods
+    (tight), long names use the segment/probe index (polynomial). Partners differ in length
+    by at most a factor 1/(1−e), so the overlap of the bands covers every pair."""
+    d = _deletion_band(e)
+    p = int(d * (1.0 - e))
+    n = len(s)
+    keys = []
+    if n <= d:
+        keys += ["d|" + v for v in _deletions(s, _edit_budget(n, e))]
+    if n >= p:
+        keys += ["s|" + x for x in (_probe_keys(s, e) if probe else _segment_keys(s, e))]
+    return keys
+
+
 def _substrings(s: str, frac: float) -> list[str]:
     n = len(s)
     lo = max(1, -int(-frac * n // 1)) if frac > 0 else 1
@@ -85,11 +124,11 @@ def _index_udfs(threshold: float):
 
     @F.pandas_udf(Tp.ArrayType(Tp.StringType()))
     def segment_keys(names: pd.Series) -> pd.Series:
-        return names.map(lambda x: _segment_keys(x, e) if isinstance(x, str) else [])
+        return names.map(lambda x: _edit_keys(x, e, probe=False) if isinstance(x, str) else [])
 
     @F.pandas_udf(Tp.ArrayType(Tp.StringType()))
     def probe_keys(names: pd.Series) -> pd.Series:
-        return names.map(lambda x: _probe_keys(x, e) if isinstance(x, str) else [])
+        return names.map(lambda x: _edit_keys(x, e, probe=True) if isinstance(x, str) else [])
 
     @F.pandas_udf(Tp.ArrayType(Tp.StringType()))
     def substring_keys(names: pd.Series) -> pd.Series:
