@@ -96,7 +96,7 @@ def insert_if_absent(target: DataFrame, incoming: DataFrame, keys: Sequence[str]
 
 
 def load_stats(incoming: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row with total, new, existing and the share of new rows.
+    """One row with total, new, existing, the share of new rows and the duplicate percentage.
 
     One pass: the existence flag is computed once and both counts come from
     the same aggregate.
@@ -107,7 +107,9 @@ def load_stats(incoming: DataFrame, target: DataFrame, keys: Sequence[str]) -> D
         F.count_if(~F.col("exists_in_db")).alias("new_records"),
         F.count_if(F.col("exists_in_db")).alias("existing_records"),
     ).withColumn("filter_rate",
-                 F.round(F.try_divide(F.col("new_records"), F.col("total_records")), 6))
+                 F.round(F.try_divide(F.col("new_records"), F.col("total_records")), 6)) \
+        .withColumn("duplicate_pct",
+                    F.round(F.try_divide(F.col("existing_records") * 100.0, F.col("total_records")), 4))
 
 
 def preview_stats(incoming: DataFrame, target: DataFrame, keys: Sequence[str],

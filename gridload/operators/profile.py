@@ -16,11 +16,21 @@ from ..functions import columns as C
 from ..functions import constants as K
 
 
-def column_profile(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+def column_profile(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False,
+                   strict_null_error: bool = False) -> DataFrame:
     """A2: rows, nulls, distinct non-null values, null share and the >50 % warning per column.
 
     ``approx=True`` counts distinct values with HyperLogLog++ in a single aggregate.
+    ``strict_null_error=True`` adds the > 80 % ``null_error`` flag; the loader's own branch for
+    it can never fire (it is checked after the > 50 % warning), so it is off by default.
     """
+    out = _column_profile(df, columns, approx)
+    if strict_null_error:
+        out = out.withColumn("null_error", F.col("null_pct") > 80)
+    return out
+
+
+def _column_profile(df: DataFrame, columns: Sequence[str] | None, approx: bool) -> DataFrame:
     cols = list(columns or df.columns)
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]) \
         .unpivot([], cols, "column_name", "value")

@@ -168,11 +168,14 @@ def _issue(row_no: Column, column: str, value: Column, rule: str, message: Colum
 
 def validate(df: DataFrame, mappings: Sequence[ColumnSpec], row_number: Column,
              constraints: dict | None = None, registry: RuleRegistry | None = None,
-             as_of: str = "2025-01-01 00:00:00", structure: bool = True) -> DataFrame:
+             as_of: str = "2025-01-01 00:00:00", structure: bool = True,
+             required_targets: Sequence[str] = ()) -> DataFrame:
     """E3 issues: structure (V12), cell types (V8), constraints (V9, V10), business rules (V1-V6)
     and possible duplicates (V11), as one issues DataFrame.
 
     ``row_number`` is the sheet row of each record (e.g. position + 2).
+    ``required_targets`` are target columns that are NOT NULL without a default: each one no
+    mapping feeds becomes a row-0 ERROR issue.
     """
     registry = registry or default_registry()
     constraints = constraints or {}
@@ -227,14 +230,19 @@ def validate(df: DataFrame, mappings: Sequence[ColumnSpec], row_number: Column,
             parts.append(members.select(_issue(F.col("_row_no"), m.source, F.col(m.source), rule,
                                                F.lit(msg), sev, fix).alias("i")).select("i.*"))
 
+    rows = []
     if structure:
         expected = [m.source for m in mappings]
-        rows = [(0, c, "", "missing_column", f"Expected column '{c}' not found", "ERROR",
-                 "Check the sheet's column names") for c in expected if c not in df.columns]
+        rows += [(0, c, "", "missing_column", f"Expected column '{c}' not found", "ERROR",
+                  "Check the sheet's column names") for c in expected if c not in df.columns]
         rows += [(0, c, "", "extra_column", f"Unexpected column '{c}' found", "INFO",
                   "Consider adding it to the mapping") for c in df.columns if c not in expected]
-        if rows:
-            parts.append(spark.createDataFrame(rows, ISSUE_SCHEMA))
+    mapped_targets = {m.target for m in mappings if m.target}
+    rows += [(0, t, "", "missing_required_column", f"Required target column '{t}' has no mapping",
+              "ERROR", "Map a source column or give the column a default")
+             for t in required_targets if t not in mapped_targets]
+    if rows:
+        parts.append(spark.createDataFrame(rows, ISSUE_SCHEMA))
     if not parts:
         return spark.createDataFrame([], ISSUE_SCHEMA)
     out = parts[0]

@@ -98,7 +98,8 @@ WITH f AS (
 SELECT count(*) AS total_records,
        count(*) FILTER (WHERE NOT e) AS new_records,
        count(*) FILTER (WHERE e) AS existing_records,
-       round(count(*) FILTER (WHERE NOT e) / count(*), 6) AS filter_rate
+       round(count(*) FILTER (WHERE NOT e) / count(*), 6) AS filter_rate,
+       round(count(*) FILTER (WHERE e) * 100.0 / count(*), 4) AS duplicate_pct
 FROM f
 """)
 def a13_load_stats(spark, d):

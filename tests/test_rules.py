@@ -40,3 +40,20 @@ def test_registry_add_remove():
     assert "special_characters" not in reg.rules
     reg.add_rule(R.Rule("custom", "INFO", lambda c, ctx: (c.isNull(), F.lit("x"))))
     assert "custom" in reg.rules
+
+
+def test_required_targets_without_mapping(spark):
+    df = spark.createDataFrame([(1, "a")], "id int, name string")
+    specs = [R.ColumnSpec("name", "name", "STRING")]
+    issues = R.validate(df, specs, F.col("id") + 1, structure=False,
+                        required_targets=["name", "code"]).collect()
+    assert [(i.row_number, i.column_name, i.rule_name, i.severity) for i in issues] == \
+        [(0, "code", "missing_required_column", "ERROR")]
+
+
+def test_strict_null_error_option(spark):
+    from gridload.operators import profile as PR
+
+    df = spark.createDataFrame([(None,)] * 9 + [("x",)], "v string")
+    r = PR.column_profile(df, strict_null_error=True).first()
+    assert r.null_warning and r.null_error
