@@ -103,13 +103,14 @@ def full_duplicate_count(df: DataFrame) -> DataFrame:
     cols = df.columns
     tagged = df.withColumn("_fp", F.xxhash64(*[F.col(c) for c in cols]))
     per_fp = tagged.groupBy("_fp").agg(F.count(F.lit(1)).alias("_n"))
-    solo = per_fp.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("total_rows"),
-                      F.count_if(F.col("_n") == 1).alias("_solo"))
     shared = per_fp.filter(F.col("_n") > 1).select("_fp")
-    exact = (tagged.join(shared, "_fp", "left_semi").groupBy("_fp", *cols).agg(F.count(F.lit(1)).alias("_m"))
-             .agg(F.count(F.lit(1)).alias("_groups")))
-    both = solo.crossJoin(exact)  # two one-row aggregates
-    distinct = (F.col("_solo") + F.col("_groups")).cast("bigint")
+    groups = (tagged.join(shared, "_fp", "left_semi").groupBy("_fp", *cols).agg(F.count(F.lit(1)).alias("_m"))
+              .select(F.lit(0).cast("bigint").alias("_n"), F.lit(True).alias("_group")))
+    # fingerprint counts and exact groups in one aggregate
+    both = per_fp.select("_n", F.lit(False).alias("_group")).unionByName(groups).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("total_rows"),
+        (F.count_if(~F.col("_group") & (F.col("_n") == 1)) + F.count_if(F.col("_group"))).alias("_distinct"))
+    distinct = F.col("_distinct").cast("bigint")
     return both.select("total_rows", distinct.alias("distinct_rows"),
                        (F.col("total_rows") - distinct).cast("bigint").alias("duplicate_rows"))
 

@@ -120,13 +120,14 @@ def preview_stats(incoming: DataFrame, target: DataFrame, keys: Sequence[str],
     the batch size comes from a plain count.
     """
     sample = incoming.orderBy(*order_by).limit(n)
-    flagged = flag_existing(sample.select(*keys), target, keys)
-    sample_stats = flagged.agg(
-        F.count(F.lit(1)).alias("sample_size"),
-        F.count_if(F.col("exists_in_db")).alias("sample_duplicates"),
-    )
-    total = incoming.agg(F.count(F.lit(1)).alias("total_records"))
-    out = sample_stats.crossJoin(total)  # both sides are single-row aggregates
+    flagged = flag_existing(sample.select(*keys), target, keys).select(
+        F.lit(True).alias("_in_sample"), F.col("exists_in_db"))
+    everyone = incoming.select(F.lit(False).alias("_in_sample"), F.lit(None).cast("boolean").alias("exists_in_db"))
+    # one aggregate over the tagged union: batch size and sample statistics together
+    out = flagged.unionByName(everyone).agg(
+        F.count_if(~F.col("_in_sample")).alias("total_records"),
+        F.count_if(F.col("_in_sample")).alias("sample_size"),
+        F.count_if(F.col("_in_sample") & F.col("exists_in_db")).alias("sample_duplicates"))
     rate = F.try_divide(F.col("sample_duplicates"), F.col("sample_size"))
     return out.select(
         "total_records", "sample_size", "sample_duplicates",

@@ -87,10 +87,9 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], buckets:
     w = Window.partitionBy("bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     ranked = ranked.withColumn("cum_end", F.col("offset") + F.sum("c").over(w)) \
         .withColumn("cum_start", F.col("cum_end") - F.col("c"))
-    spark = df.sparkSession
-    p = spark.createDataFrame([(float(q),) for q in probs], "prob double")
-    wanted = p.crossJoin(n).withColumn("h", (F.col("n") - 1) * F.col("prob")) \
-        .withColumn("lo", F.floor("h")).withColumn("hi", F.ceil("h"))  # probs × one-row total
+    wanted = n.select("n", F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("prob")) \
+        .withColumn("h", (F.col("n") - 1) * F.col("prob")) \
+        .withColumn("lo", F.floor("h")).withColumn("hi", F.ceil("h"))
     ranks = wanted.select("prob", "h", "lo", F.lit(False).alias("upper"), F.col("lo").alias("r")) \
         .unionByName(wanted.select("prob", "h", "lo", F.lit(True).alias("upper"), F.col("hi").alias("r")))
     # 2·len(probs) rank rows against the rank intervals: a tiny broadcast range join

@@ -258,16 +258,23 @@ def verdict(issues: DataFrame, rows: DataFrame, max_error_rate: float = K.MAX_ER
     issues like the reference does (rows − errors, may go negative);
     ``rows_without_errors`` counts rows that have no ERROR issue.
     """
-    n = rows.agg(F.count(F.lit(1)).alias("processed_rows"))
-    s = issues.agg(
-        F.count_if(F.col("severity") == "ERROR").alias("error_count"),
-        F.count_if(F.col("severity") == "WARNING").alias("warning_count"),
-        F.count_if(F.col("severity") == "INFO").alias("info_count"),
-        F.count_if(F.col("severity") == "CRITICAL").alias("critical_count"),
-        F.count_distinct(F.when((F.col("severity") == "ERROR") & (F.col("row_number") > 0),
-                                F.col("row_number"))).alias("rows_with_errors"))
+    # batch rows and issues tagged into one input, so one aggregate yields every count
+    err_rows = (issues.filter((F.col("severity") == "ERROR") & (F.col("row_number") > 0))
+                .select("row_number").distinct()
+                .select(F.lit("e").alias("_t"), F.lit(None).cast("string").alias("severity")))
+    tagged = (rows.select(F.lit("r").alias("_t"), F.lit(None).cast("string").alias("severity"))
+              .unionByName(issues.select(F.lit("i").alias("_t"), "severity")).unionByName(err_rows))
+    sev = F.col("severity")
+    is_issue = F.col("_t") == "i"
+    both = tagged.agg(
+        F.count_if(F.col("_t") == "r").alias("processed_rows"),
+        F.count_if(is_issue & (sev == "ERROR")).alias("error_count"),
+        F.count_if(is_issue & (sev == "WARNING")).alias("warning_count"),
+        F.count_if(is_issue & (sev == "INFO")).alias("info_count"),
+        F.count_if(is_issue & (sev == "CRITICAL")).alias("critical_count"),
+        F.count_if(F.col("_t") == "e").alias("rows_with_errors"))
     rate = F.when(F.col("processed_rows") > 0, F.col("error_count") / F.col("processed_rows")).otherwise(0.0)
-    return n.crossJoin(s).select(
+    return both.select(
         "processed_rows", "error_count", "warning_count", "info_count", "critical_count",
         F.round(rate, 6).alias("error_rate"),
         (rate <= max_error_rate).alias("is_valid"),

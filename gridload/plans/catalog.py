@@ -873,10 +873,9 @@ FROM {_NEW_ORDERS_SQL}
 """)
 def w5_surrogate_ids(spark, d):
     new = _new_orders(spark, d).select("o_orderkey", "o_orderdate")
-    mx = X.target_orders(spark, d).agg(F.max("o_orderkey").alias("_mx"))
-    ids = CD.assign_ids(new, ["o_orderdate", "o_orderkey"], 0, "_rel")
-    return ids.crossJoin(F.broadcast(mx)).select(  # one-row aggregate
-        "o_orderkey", (F.col("_mx") + F.col("_rel")).cast("bigint").alias("new_id"))
+    top = X.target_orders(spark, d).agg(F.max("o_orderkey").alias("m")).first()["m"] or 0  # one number
+    ids = CD.assign_ids(new, ["o_orderdate", "o_orderkey"], int(top), "new_id")
+    return ids.select("o_orderkey", "new_id")
 
 
 @query("w4_row_positions", sql="SELECT o_orderkey, o_orderkey + 2 AS sheet_row FROM orders")
