@@ -34,6 +34,14 @@ def base_load(sheet: DataFrame, mapping: Mapping[str, Mapping], types: Mapping[s
     return TY.drop_all_null_rows(typed)
 
 
+def base_load_counts(sheet: DataFrame, loaded: DataFrame) -> DataFrame:
+    """E1 totals: rows read, rows kept after cleaning and casting, rows skipped (read − kept),
+    from one aggregate over the two tagged inputs."""
+    tagged = sheet.select(F.lit(True).alias("_read")).unionByName(loaded.select(F.lit(False).alias("_read")))
+    out = tagged.agg(F.count_if(F.col("_read")).alias("rows_read"), F.count_if(~F.col("_read")).alias("rows_kept"))
+    return out.withColumn("rows_skipped", F.col("rows_read") - F.col("rows_kept"))
+
+
 def enhanced_load(batch: DataFrame, target: DataFrame, candidates, order_by: Sequence[str],
                   keep: str = "first") -> DataFrame:
     """Discover the best verified key of the target, drop in-batch duplicates on it (W1),
