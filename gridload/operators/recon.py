@@ -26,7 +26,7 @@ def customer_summary(customers: DataFrame, orders: DataFrame, as_of: str,
     Active (≥ as_of − 3 months) / Inactive (≥ as_of − 12 months) / Dormant."""
     per = orders.groupBy(F.col(order_cust).alias("_ck")).agg(
         F.count(F.lit(1)).alias("total_orders"),
-        F.sum(F.col(amount).cast("decimal(18,2)")).alias("_sum"),
+        F.sum(F.col(amount).cast("decimal(18,2)")).cast("decimal(38,2)").alias("_sum"),
         F.max(date).alias("last_order_date"))
     j = customers.join(per, customers[cust_key] == per["_ck"], "left")
     ts = F.lit(as_of).cast("timestamp_ntz")
@@ -35,7 +35,7 @@ def customer_summary(customers: DataFrame, orders: DataFrame, as_of: str,
               .when(last >= ts - F.expr("INTERVAL 12 MONTHS"), "Inactive").otherwise("Dormant"))
     return j.select(*[customers[c] for c in customers.columns],
                     F.coalesce("total_orders", F.lit(0)).alias("total_orders"),
-                    F.coalesce("_sum", F.lit(0).cast("decimal(28,2)")).alias("total_order_value"),
+                    F.coalesce("_sum", F.lit(0).cast("decimal(38,2)")).alias("total_order_value"),
                     last.alias("last_order_date"), status.alias("customer_status"))
 
 
@@ -146,7 +146,7 @@ def source_summary(tables: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, df in tables.items():
         one = df.agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(name).alias("source_name"), "row_count", F.lit(len(df.columns)).alias("column_count"),
+            F.lit(name).alias("source_name"), "row_count", F.lit(len(df.columns)).cast("bigint").alias("column_count"),
             (F.col("row_count") > 0).alias("has_data"))
         out = one if out is None else out.unionByName(one)
     return out

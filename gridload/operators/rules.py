@@ -294,7 +294,7 @@ def top_issues(issues: DataFrame, limits: dict[str, int] | None = None, default:
         k = F.when(F.col("severity") == sev, F.lit(n)).otherwise(k)
     w = Window.partitionBy("severity").orderBy("row_number", "column_name", "rule_name", "message", "value")
     kmax = max([default] + list(limits.values()))
-    return (issues.withColumn("issue_rank", F.row_number().over(w)).filter(F.col("issue_rank") <= kmax)
+    return (issues.withColumn("issue_rank", F.row_number().over(w).cast("bigint")).filter(F.col("issue_rank") <= kmax)
             .filter(F.col("issue_rank") <= k))
 
 
