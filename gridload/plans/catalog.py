@@ -1567,3 +1567,37 @@ def e3_quality_report_orders(spark, d):
     _, verdict = PL.quality_report(X.nullkey_orders(spark, d), _ORDER_SPECS, F.col("o_orderkey") + 2,
                                    _ORDER_CONSTRAINTS, as_of=X.AS_OF)
     return verdict
+
+
+# -- option variants: J5 roll_year, A8 all rows, J1 with a collation --------------------------
+
+_J5_ROLLED_SQL = f"""(SELECT r.*, dm.name AS account_name FROM {_P12_SQL} r
+  LEFT JOIN {_MONTH_DIM_SQL} dm ON dm.acct = r.account_no
+   AND dm.y = year(r.collection_date - INTERVAL 1 MONTH) AND dm.m = month(r.collection_date - INTERVAL 1 MONTH))"""
+
+
+@query("j5_month_enrich_rolled", sql=f"SELECT * FROM {_J5_ROLLED_SQL}")
+def j5_month_enrich_rolled(spark, d):
+    return RC.enrich_month(_p12(spark, d), _month_dim(spark, d), "account_no", "collection_date",
+                           "acct", "y", "m", "name", "account_name", roll_year=True)
+
+
+@query("a8_kind_all_rows", sql=_sql_kind(X.CUSTOMER_SHEET_SQL, _SHEET_COLS, "customer_id", n=10**12))
+def a8_kind_all_rows(spark, d):
+    s = X.customer_sheet(spark, d).withColumn("_k", F.col("customer_id"))
+    return TY.semantic_kind(s, ["_k"], _SHEET_COLS, sample_rows=None)
+
+
+@query("j1_filter_new_collated", sql="""
+SELECT i.* FROM (SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN upper(c_name) ELSE c_name END AS c_name
+                 FROM customer) i
+WHERE NOT EXISTS (SELECT 1 FROM customer t WHERE t.c_acctbal > 0 AND lower(t.c_name) = lower(i.c_name))
+""")
+def j1_filter_new_collated(spark, d):
+    c = T(spark, d, "customer")
+    incoming = c.select("c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", F.upper("c_name"))
+                        .otherwise(F.col("c_name")).alias("c_name"))
+    target = c.filter(F.col("c_acctbal") > 0).select("c_name")
+    # case-insensitive key comparison, as a case-insensitive target database would do
+    out = I.filter_new(incoming, target, ["c_name"], collation="UTF8_LCASE")
+    return out.select("c_custkey", F.col("c_name").cast("string").alias("c_name"))
