@@ -1601,3 +1601,20 @@ def j1_filter_new_collated(spark, d):
     # case-insensitive key comparison, as a case-insensitive target database would do
     out = I.filter_new(incoming, target, ["c_name"], collation="UTF8_LCASE")
     return out.select("c_custkey", F.col("c_name").cast("string").alias("c_name"))
+
+
+@query("t3_lockout_stream")
+def t3_lockout_stream(spark, d):
+    """T3 as a stream: attempts arrive day by day (one write per day, so files arrive in time
+    order), micro-batches of a few files, per-user state carried by applyInPandasWithState."""
+    ev = T(spark, d, "events")
+    src = scratch_path(spark, "login-files")
+    days = [r[0] for r in ev.select(F.to_date("ts").alias("day")).distinct().orderBy("day").collect()]
+    for day in days:  # the producer: one file drop per day
+        ev.filter(F.to_date("ts") == F.lit(day)).write.mode("append").parquet(src)
+    stream = LO.login_attempts(ST.file_stream(spark, src, ev.schema, 8))
+    sink, ckpt = scratch_path(spark, "lock-sink"), scratch_path(spark, "lock-ckpt")
+    q = (LO.lockout_stream(stream).writeStream.format("parquet").option("path", sink)
+         .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(sink)

@@ -59,3 +59,12 @@ def test_lock_spanning_a_slice_boundary(spark):
                                "user_id bigint, event_id bigint, ts timestamp_ntz, success boolean")
     out = [r.outcome for r in LO.lockout_sliced(df).orderBy("event_id").collect()]
     assert out == ["failed", "failed", "locked", "ignored_locked", "failed"]
+
+
+def test_registered_stream_lockout_equals_batch(spark, small_dir):
+    import __spark_entry__ as E
+
+    got = {(r.event_id, r.outcome, r.failures) for r in E.queries()["t3_lockout_stream"](spark, small_dir).collect()}
+    ev = spark.read.parquet(f"{small_dir}/events.parquet")
+    want = {(r.event_id, r.outcome, r.failures) for r in LO.lockout_batch(LO.login_attempts(ev)).collect()}
+    assert got == want
