@@ -61,12 +61,17 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], buckets:
     3. per-range totals (one row per range) give offsets; a window per range gives each value
        its rank interval;
     4. the 2·len(probs) needed ranks are joined to their intervals.
-    No task holds more than one range of distinct values.
+    No task holds more than one range of distinct values. Runs eagerly (the distinct values are
+    cached across the two passes) and returns the ``len(probs)`` results as a small DataFrame.
     """
     from pyspark.ml.feature import Bucketizer
 
+    from pyspark import StorageLevel
+
     x = df.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    vals = x.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    # distinct values are read twice (bounds, then ranks): keep them once; a lost block is
+    # recomputed from lineage
+    vals = x.groupBy("x").agg(F.count(F.lit(1)).alias("c")).persist(StorageLevel.MEMORY_AND_DISK)
     if buckets is None:
         # the row count bounds the distinct count from above (extra buckets stay empty);
         # on Parquet it is answered from file metadata
@@ -97,8 +102,11 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], buckets:
         ranked, (F.col("r") >= F.col("cum_start")) & (F.col("r") < F.col("cum_end")))
     v_lo = F.max(F.when(~F.col("upper"), F.col("x")))
     v_hi = F.max(F.when(F.col("upper"), F.col("x")))
-    return picked.groupBy("prob").agg(
-        (v_lo + (F.max("h") - F.max("lo")) * (v_hi - v_lo)).alias("value"))
+    result = picked.groupBy("prob").agg(
+        (v_lo + (F.max("h") - F.max("lo")) * (v_hi - v_lo)).alias("value")).collect()  # len(probs) rows
+    vals.unpersist()
+    return df.sparkSession.createDataFrame([(r["prob"], r["value"]) for r in result],
+                                           "prob double, value double")
 
 
 def numeric_profile(df: DataFrame, column: str, approx: bool = False) -> DataFrame:
