@@ -72,17 +72,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _SHIPPED: set[int] = set()
 
 
+def _workers_can_import(spark: SparkSession) -> bool:
+    """One-row probe job: can a Python worker import the package already?"""
+    import pandas as pd
+
+    def probe(it):
+        try:
+            import gridload  # noqa: F401
+            ok = True
+        except ImportError:
+            ok = False
+        for _ in it:
+            pass
+        yield pd.DataFrame({"ok": [ok]})
+
+    rows = spark.range(1).mapInPandas(probe, "ok boolean").collect()
+    return all(r["ok"] for r in rows)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``gridload`` importable in Python workers (Arrow UDFs, ``applyInPandas``).
 
-    The package is zipped once per driver and handed to ``SparkContext.addPyFile``, which
-    distributes it to every executor, as for any PySpark job's own modules.
+    On a cluster the package is normally installed or passed with ``--py-files``; then the
+    probe succeeds and nothing is shipped. Otherwise (ad-hoc or local sessions) the package is
+    zipped once on the driver and handed to ``SparkContext.addPyFile``, which distributes it.
     """
     import zipfile
 
     sc = spark.sparkContext
     if id(sc) in _SHIPPED:
         return
+    if _workers_can_import(spark):
+        _SHIPPED.add(id(sc))
+        return
     pkg = os.path.dirname(os.path.abspath(__file__))
     out = os.path.join(tempfile.mkdtemp(prefix="gridload-pyfiles-"), "gridload.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
