@@ -76,6 +76,61 @@ LINK_ACCEPT = 70
 LINK_HIGH = 85
 LEV_ACCEPT = 80
 
+# Weighted linkage: weights of ratio, partial ratio, token-sort ratio, token-set ratio.
+LINK_WEIGHTS = (0.3, 0.2, 0.3, 0.2)
+# Earlier linkage variant: its weights and acceptance score (no bonus, no normalisation).
+LINK_WEIGHTS_EARLY = (0.4, 0.2, 0.2, 0.2)
+LINK_EARLY_ACCEPT = 80
+
+# Name-pattern bonus: both names in a family, one name in a family, length gap ≤ 2, length
+# gap ≤ 5, cap.
+BONUS_BOTH = 15.0
+BONUS_ONE = 5.0
+BONUS_GAP_2 = 5.0
+BONUS_GAP_5 = 2.0
+BONUS_CAP = 20.0
+
+# difflib suggestions: how many, the case-sensitive cutoff, the low-confidence mark.
+CLOSE_MATCHES = 3
+CLOSE_CUTOFF = 0.6
+LOW_CONFIDENCE = 0.5
+
+# Alternatives for unmatched names: how many, the minimum token-sort score.
+ALTERNATIVES = 3
+ALTERNATIVE_MIN = 50
+
+# Group similarity: member scorer weights (ratio, partial, token-sort), mean-best vs share
+# weights, "good member" score, member vs group-name weights, groups kept.
+GROUP_MEMBER_WEIGHTS = (0.5, 0.3, 0.2)
+GROUP_MEAN_SHARE = (0.7, 0.3)
+GROUP_GOOD_MEMBER = 70
+GROUP_TOTAL_WEIGHTS = (0.6, 0.4)
+GROUP_TOP = 5
+
+# Match-quality bands of confidence (0-1): high from, medium from.
+MATCH_HIGH = 0.85
+MATCH_MEDIUM = 0.7
+
+# Column profile: null share that warns, null share that errors (off by default).
+NULL_WARN_PCT = 50
+NULL_ERROR_PCT = 80
+# Invalid-email share that warns.
+EMAIL_WARN_RATE = 0.1
+# Outlier fences: quartiles and the IQR factor.
+QUARTILES = (0.25, 0.75)
+IQR_FACTOR = 1.5
+
+# Issue report: first errors and warnings kept.
+TOP_ERRORS = 10
+TOP_WARNINGS = 5
+
+# Rows checked by the duplicate preview.
+PREVIEW_ROWS = 100
+
+# Customer status windows, in months before the reference date: Active, Inactive.
+ACTIVE_MONTHS = 3
+INACTIVE_MONTHS = 12
+
 # Status and operation labels of the audit summary.
 STATUS_LABELS = {"SUCCESS": "Exitoso", "FAILED": "Fallido", "PARTIAL": "Parcial"}
 OPERATION_LABELS = {

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
+
 
 def _check_keys(df: DataFrame, keys: Sequence[str], what: str) -> None:
     missing = [k for k in keys if k not in df.columns]
@@ -113,7 +115,7 @@ def load_stats(incoming: DataFrame, target: DataFrame, keys: Sequence[str]) -> D
 
 
 def preview_stats(incoming: DataFrame, target: DataFrame, keys: Sequence[str],
-                  order_by: Sequence[str], n: int = 100) -> DataFrame:
+                  order_by: Sequence[str], n: int = K.PREVIEW_ROWS) -> DataFrame:
     """Check the first ``n`` rows (declared order) and project the duplicate rate.
 
     The ordered ``limit`` is a distributed top-n (TakeOrderedAndProject), then

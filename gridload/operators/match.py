@@ -242,9 +242,9 @@ def match_stats(matches: DataFrame, conf: str = "confidence") -> DataFrame:
     c = F.col(conf)
     s = matches.agg(
         F.count(F.lit(1)).alias("total_mappings"),
-        F.count_if(c >= 0.85).alias("high_confidence"),
-        F.count_if((c >= 0.7) & (c < 0.85)).alias("medium_confidence"),
-        F.count_if((c > 0) & (c < 0.7)).alias("low_confidence"),
+        F.count_if(c >= K.MATCH_HIGH).alias("high_confidence"),
+        F.count_if((c >= K.MATCH_MEDIUM) & (c < K.MATCH_HIGH)).alias("medium_confidence"),
+        F.count_if((c > 0) & (c < K.MATCH_MEDIUM)).alias("low_confidence"),
         F.count_if(c > 0).alias("mapped"),
         F.round(F.avg(c), 6).alias("mean_confidence"))
     tot = F.col("total_mappings")
@@ -297,22 +297,22 @@ def token_set_ratio(a: str, b: str) -> int:
 
 
 def pattern_bonus(a: str, b: str) -> float:
-    """+15 and stop when both names hit a family, +5 per family only one hits;
-    +5 for length gap ≤ 2, +2 for ≤ 5; capped at 20."""
+    """a family both names hit adds the full bonus and stops the scan; a family only one
+    hits adds the small bonus; a close length adds a little more; the total is capped."""
     bonus = 0.0
     for _, words in K.PATTERN_FAMILIES:
         ha, hb = any(w in a for w in words), any(w in b for w in words)
         if ha and hb:
-            bonus += 15.0
+            bonus += K.BONUS_BOTH
             break
         if ha or hb:
-            bonus += 5.0
+            bonus += K.BONUS_ONE
     gap = abs(len(a) - len(b))
-    bonus += 5.0 if gap <= 2 else (2.0 if gap <= 5 else 0.0)
-    return min(20.0, bonus)
+    bonus += K.BONUS_GAP_2 if gap <= 2 else (K.BONUS_GAP_5 if gap <= 5 else 0.0)
+    return min(K.BONUS_CAP, bonus)
 
 
-def weighted_score(a: str, b: str, weights=(0.3, 0.2, 0.3, 0.2), bonus: bool = True) -> float:
+def weighted_score(a: str, b: str, weights=K.LINK_WEIGHTS, bonus: bool = True) -> float:
     """J14 score of two normalised names, capped at 100."""
     w1, w2, w3, w4 = weights
     s = (ratio(a, b) * w1 + partial_ratio(a, b) * w2 + token_sort_ratio(a, b) * w3
@@ -368,7 +368,7 @@ def _normalise(name: str) -> str:
 
 
 def weighted_link(left: DataFrame, right: DataFrame, lid: str, lname: str, rname: str,
-                  weights=(0.3, 0.2, 0.3, 0.2), threshold: float = K.LINK_ACCEPT, bonus: bool = True,
+                  weights=K.LINK_WEIGHTS, threshold: float = K.LINK_ACCEPT, bonus: bool = True,
                   normalise: bool = True, one_to_one: bool = True) -> DataFrame:
     """J14 (J15 with other weights/threshold, no bonus, lower-cased names instead of the full
     normalisation): score every source name against the target dictionary; keep targets at or
@@ -429,8 +429,8 @@ def weighted_link(left: DataFrame, right: DataFrame, lid: str, lname: str, rname
         "best_score")
 
 
-def close_matches(left: DataFrame, right: DataFrame, lid: str, lname: str, rname: str, n: int = 3,
-                  cutoff: float = 0.6) -> DataFrame:
+def close_matches(left: DataFrame, right: DataFrame, lid: str, lname: str, rname: str,
+                  n: int = K.CLOSE_MATCHES, cutoff: float = K.CLOSE_CUTOFF) -> DataFrame:
     """Many-to-one difflib suggestions: up to ``n`` targets whose case-sensitive similarity
     is ≥ ``cutoff``; each reported with its case-insensitive confidence. Targets may repeat."""
     import difflib
@@ -458,7 +458,7 @@ def close_matches(left: DataFrame, right: DataFrame, lid: str, lname: str, rname
 
 
 def best_target(left: DataFrame, right: DataFrame, lid: str, lname: str, rname: str,
-                low: float = 0.5) -> DataFrame:
+                low: float = K.LOW_CONFIDENCE) -> DataFrame:
     """J16 variant: names stripped of non-alphanumerics and lower-cased; the single target with
     the highest difflib ratio (first in target order on ties); the first target when nothing
     scores above 0; ``low_confidence`` when the ratio is below ``low``."""
@@ -495,8 +495,8 @@ def best_target(left: DataFrame, right: DataFrame, lid: str, lname: str, rname:
                     (F.col("p.score") < low).alias("low_confidence"))
 
 
-def alternatives(left: DataFrame, right: DataFrame, lid: str, lname: str, rname: str, k: int = 3,
-                 min_score: int = 50) -> DataFrame:
+def alternatives(left: DataFrame, right: DataFrame, lid: str, lname: str, rname: str,
+                 k: int = K.ALTERNATIVES, min_score: int = K.ALTERNATIVE_MIN) -> DataFrame:
     """For unmatched source names, the ``k`` best targets by token-sort score on raw names
     (lower-cased), keeping scores ≥ ``min_score``."""
     targets = _targets(right, rname)
@@ -521,7 +521,7 @@ def alternatives(left: DataFrame, right: DataFrame, lid: str, lname: str, rname:
 
 
 def group_similarity(members: DataFrame, group_col: str, member_col: str, targets: DataFrame,
-                     tgroup_col: str, tmember_col: str, top: int = 5) -> DataFrame:
+                     tgroup_col: str, tmember_col: str, top: int = K.GROUP_TOP) -> DataFrame:
     """Similarity of each source group to each target group (both bounded dictionaries of
     groups × members): 0.7·mean best member score + 0.3·share of members whose best > 70, using
     the 0.5 ratio / 0.3 partial / 0.2 token-sort scorer; total = 0.6·that + 0.4·group-name ratio;
@@ -546,13 +546,15 @@ def group_similarity(members: DataFrame, group_col: str, member_col: str, target
                 best = 0.0
                 for b in tmembers:
                     b = b.lower()
-                    s = ratio(a, b) * 0.5 + partial_ratio(a, b) * 0.3 + token_sort_ratio(a, b) * 0.2
+                    w1, w2, w3 = K.GROUP_MEMBER_WEIGHTS
+                    s = ratio(a, b) * w1 + partial_ratio(a, b) * w2 + token_sort_ratio(a, b) * w3
                     best = max(best, s)
                 bests.append(best)
             mean_best = sum(bests) / len(bests) if bests else 0.0
-            share = sum(1 for b in bests if b > 70) / len(bests) if bests else 0.0
-            col_score = 0.7 * mean_best + 0.3 * share * 100
-            total = 0.6 * col_score + 0.4 * ratio(src.lower(), tgt.lower())
+            share = sum(1 for b in bests if b > K.GROUP_GOOD_MEMBER) / len(bests) if bests else 0.0
+            col_score = K.GROUP_MEAN_SHARE[0] * mean_best + K.GROUP_MEAN_SHARE[1] * share * 100
+            total = (K.GROUP_TOTAL_WEIGHTS[0] * col_score
+                     + K.GROUP_TOTAL_WEIGHTS[1] * ratio(src.lower(), tgt.lower()))
             rows.append((src, tgt, round(total, 6), round(col_score, 6)))
         rows.sort(key=lambda r: (-r[2], r[1]))
         return pd.DataFrame(rows[:top], columns=["source_group", "target_group", "score", "member_score"])

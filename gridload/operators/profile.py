@@ -26,7 +26,7 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, approx:
     """
     out = _column_profile(df, columns, approx)
     if strict_null_error:
-        out = out.withColumn("null_error", F.col("null_pct") > 80)
+        out = out.withColumn("null_error", F.col("null_pct") > K.NULL_ERROR_PCT)
     return out
 
 
@@ -39,7 +39,7 @@ def _column_profile(df: DataFrame, columns: Sequence[str] | None, approx: bool)
             F.count(F.lit(1)).alias("n_rows"), (F.count(F.lit(1)) - F.count("value")).alias("null_count"),
             F.approx_count_distinct("value").alias("distinct_count"))
         pct = F.round(F.col("null_count") * 100.0 / F.col("n_rows"), 4)
-        return prof.withColumn("null_pct", pct).withColumn("null_warning", F.col("null_pct") > 50)
+        return prof.withColumn("null_pct", pct).withColumn("null_warning", F.col("null_pct") > K.NULL_WARN_PCT)
     per_value = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
     prof = per_value.groupBy("column_name").agg(
         F.sum("n").cast("bigint").alias("n_rows"),
@@ -47,7 +47,7 @@ def _column_profile(df: DataFrame, columns: Sequence[str] | None, approx: bool)
         .alias("null_count"),
         F.count("value").alias("distinct_count"))
     pct = F.round(F.col("null_count") * 100.0 / F.col("n_rows"), 4)
-    return prof.withColumn("null_pct", pct).withColumn("null_warning", F.col("null_pct") > 50)
+    return prof.withColumn("null_pct", pct).withColumn("null_warning", F.col("null_pct") > K.NULL_WARN_PCT)
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], buckets: int | None = None,
@@ -118,16 +118,16 @@ def numeric_profile(df: DataFrame, column: str, approx: bool = False) -> DataFra
     """
     x = df.select(C.to_double(column).alias("x"))
     if approx:
-        row = x.agg(F.percentile_approx("x", [0.25, 0.75], 10_000).alias("q")).first()["q"] or [None, None]
-        q = {0.25: row[0], 0.75: row[1]}
+        row = x.agg(F.percentile_approx("x", list(K.QUARTILES), 10_000).alias("q")).first()["q"] or [None, None]
+        q = dict(zip(K.QUARTILES, row))
     else:
-        q = {r["prob"]: r["value"] for r in exact_quantiles(x, "x", [0.25, 0.75]).collect()}
-    q1, q3 = q.get(0.25), q.get(0.75)
+        q = {r["prob"]: r["value"] for r in exact_quantiles(x, "x", list(K.QUARTILES)).collect()}
+    q1, q3 = q.get(K.QUARTILES[0]), q.get(K.QUARTILES[1])
     if q1 is None:
         lo = hi = F.lit(None).cast("double")
     else:
         iqr = q3 - q1
-        lo, hi = F.lit(q1 - 1.5 * iqr), F.lit(q3 + 1.5 * iqr)
+        lo, hi = F.lit(q1 - K.IQR_FACTOR * iqr), F.lit(q3 + K.IQR_FACTOR * iqr)
     out = x.agg(F.min("x").alias("min_value"), F.max("x").alias("max_value"),
                 F.avg("x").alias("mean_value"), F.stddev_samp("x").alias("std_value"),
                 F.count("x").alias("n_values"),
@@ -157,4 +157,4 @@ def value_checks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.count_if(email_ok).alias("valid_emails"), F.count_if(~email_ok).alias("invalid_emails"),
         F.count_if(phone_ok).alias("valid_phones"), F.count_if(~phone_ok).alias("invalid_phones"),
         F.count_if(date_ok).alias("valid_dates"), F.count_if(~date_ok).alias("invalid_dates"))
-    return out.withColumn("email_warning", F.col("invalid_emails") > 0.1 * F.col("n_values"))
+    return out.withColumn("email_warning", F.col("invalid_emails") > K.EMAIL_WARN_RATE * F.col("n_values"))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import constants as K
 
 
 def customer_summary(customers: DataFrame, orders: DataFrame, as_of: str,
@@ -31,8 +32,8 @@ def customer_summary(customers: DataFrame, orders: DataFrame, as_of: str,
     j = customers.join(per, customers[cust_key] == per["_ck"], "left")
     ts = F.lit(as_of).cast("timestamp_ntz")
     last = F.col("last_order_date")
-    status = (F.when(last >= ts - F.expr("INTERVAL 3 MONTHS"), "Active")
-              .when(last >= ts - F.expr("INTERVAL 12 MONTHS"), "Inactive").otherwise("Dormant"))
+    status = (F.when(last >= ts - F.expr(f"INTERVAL {K.ACTIVE_MONTHS} MONTHS"), "Active")
+              .when(last >= ts - F.expr(f"INTERVAL {K.INACTIVE_MONTHS} MONTHS"), "Inactive").otherwise("Dormant"))
     return j.select(*[customers[c] for c in customers.columns],
                     F.coalesce("total_orders", F.lit(0)).alias("total_orders"),
                     F.coalesce("_sum", F.lit(0).cast("decimal(38,2)")).alias("total_order_value"),

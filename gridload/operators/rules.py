@@ -283,12 +283,12 @@ def verdict(issues: DataFrame, rows: DataFrame, max_error_rate: float = K.MAX_ER
         (rate > max_error_rate).alias("high_error_rate_warning"))
 
 
-def top_issues(issues: DataFrame, limits: dict[str, int] | None = None, default: int = 10) -> DataFrame:
+def top_issues(issues: DataFrame, limits: dict[str, int] | None = None, default: int = K.TOP_ERRORS) -> DataFrame:
     """The first k issues per severity by row, column, rule (10 errors, 5 warnings by default).
 
     ``row_number() <= k`` gets a partial group limit before the shuffle.
     """
-    limits = limits or {"ERROR": 10, "WARNING": 5}
+    limits = limits or {"ERROR": K.TOP_ERRORS, "WARNING": K.TOP_WARNINGS}
     k = F.lit(default)
     for sev, n in limits.items():
         k = F.when(F.col("severity") == sev, F.lit(n)).otherwise(k)

@@ -1508,7 +1508,8 @@ def j14_weighted_link(spark, d):
 @query("j15_weighted_link_plain")
 def j15_weighted_link_plain(spark, d):
     return M.weighted_link(_name_variants(spark, d), _words_dict(spark, d), "rid", "rname", "target",
-                           weights=(0.4, 0.2, 0.2, 0.2), threshold=80, bonus=False, normalise=False)
+                           weights=K.LINK_WEIGHTS_EARLY, threshold=K.LINK_EARLY_ACCEPT, bonus=False,
+                           normalise=False)
 
 
 @query("j16_close_matches")
