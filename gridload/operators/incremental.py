@@ -47,6 +47,33 @@ def target_keys(target: DataFrame, keys: Sequence[str], alias_prefix: str = "_t_
     return target.select(*[_key(target, k, collation).alias(alias_prefix + k) for k in keys]).distinct()
 
 
+def _salt_parts(spark) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def _single_key_flags(incoming: DataFrame, target: DataFrame, key: str, tkey: str,
+                      collation: str | None):
+    """Single-key existence without a hot null key.
+
+    A null key never equals a target key, so incoming null-key rows get a salt (a hash of the
+    row) in the join key and spread over all partitions instead of one; whether they count as
+    existing is one bounded scalar: does the target hold a null key. Returns the incoming rows
+    joined to a ``_t_hit`` marker, plus that scalar.
+    """
+    spark = incoming.sparkSession
+    has_null = target.filter(F.col(tkey).isNull()).limit(1).count() > 0
+    parts = _salt_parts(spark)
+    k = _key(incoming, key, collation)
+    salt = F.when(k.isNull(), F.pmod(F.xxhash64(*[incoming[c] for c in incoming.columns]), F.lit(parts))) \
+        .otherwise(F.lit(0)).cast("int")
+    left = incoming.withColumn("_salt", salt)
+    t = (target.filter(F.col(tkey).isNotNull())
+         .select(_key(target, tkey, collation).alias("_t_key")).distinct()
+         .withColumn("_t_salt", F.lit(0)).withColumn("_t_hit", F.lit(True)))
+    cond = (_key(left, key, collation) == t["_t_key"]) & (left["_salt"] == t["_t_salt"])
+    return left, t, cond, has_null
+
+
 def filter_new(incoming: DataFrame, target: DataFrame, keys: Sequence[str] | None,
                target_key_names: Sequence[str] | None = None, collation: str | None = None) -> DataFrame:
     """Incoming rows whose key is absent from the target (NULL equals NULL).
@@ -54,7 +81,8 @@ def filter_new(incoming: DataFrame, target: DataFrame, keys: Sequence[str] | Non
     No key → every row is new, with a warning. In-batch duplicates survive;
     remove them first with :func:`dedup`. ``collation`` (e.g. ``UTF8_LCASE``,
     ``UNICODE_CI_RTRIM``) compares text keys case- or pad-insensitively, as a
-    case-insensitive target database would; the default is binary.
+    case-insensitive target database would; the default is binary. A single key
+    is joined on plain equality with salted null keys (see :func:`_single_key_flags`).
     """
     if not keys:
         warnings.warn("no unique identifier for the target: every incoming row is treated as new",
@@ -63,6 +91,10 @@ def filter_new(incoming: DataFrame, target: DataFrame, keys: Sequence[str] | Non
     _check_keys(incoming, keys, "incoming")
     tk = list(target_key_names or keys)
     _check_keys(target, tk, "target")
+    if len(keys) == 1:
+        left, t, cond, has_null = _single_key_flags(incoming, target, keys[0], tk[0], collation)
+        out = left.join(t, cond, "left_anti").drop("_salt")
+        return out.filter(F.col(keys[0]).isNotNull()) if has_null else out
     t = target_keys(target, tk, collation=collation)
     cond = _null_safe_cond(incoming, t, keys, ["_t_" + k for k in tk], collation)
     return incoming.join(t, cond, "left_anti")
@@ -72,6 +104,9 @@ def existing(incoming: DataFrame, target: DataFrame, keys: Sequence[str],
              collation: str | None = None) -> DataFrame:
     """J3-style semi join: incoming rows whose key is present in the target."""
     _check_keys(incoming, keys, "incoming")
+    if len(keys) == 1:
+        flagged = flag_existing(incoming, target, keys, "_exists", collation)
+        return flagged.filter(F.col("_exists")).drop("_exists")
     t = target_keys(target, keys, collation=collation)
     return incoming.join(t, _null_safe_cond(incoming, t, keys, ["_t_" + k for k in keys], collation),
                          "left_semi")
@@ -85,6 +120,11 @@ def flag_existing(incoming: DataFrame, target: DataFrame, keys: Sequence[str],
     multiplies incoming rows.
     """
     _check_keys(incoming, keys, "incoming")
+    if len(keys) == 1:
+        left, t, cond, has_null = _single_key_flags(incoming, target, keys[0], keys[0], collation)
+        joined = left.join(t, cond, "left")
+        hit = F.coalesce(F.col("_t_hit"), F.lit(False)) | (F.col(keys[0]).isNull() & F.lit(has_null))
+        return joined.select(*[left[c] for c in incoming.columns], hit.alias(flag))
     t = target_keys(target, keys, collation=collation).withColumn("_t_hit", F.lit(True))
     cond = _null_safe_cond(incoming, t, keys, ["_t_" + k for k in keys], collation)
     joined = incoming.join(t, cond, "left")

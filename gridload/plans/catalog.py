@@ -57,6 +57,15 @@ def j1_filter_new_nullsafe(spark, d):
                         ["o_custkey_n", "o_orderstatus"])
 
 
+@query("j1_filter_new_hot_null_key", sql=f"""
+SELECT o.* FROM {X.NULLKEY_ORDERS_SQL} o
+WHERE NOT EXISTS (SELECT 1 FROM {X.NULLKEY_TARGET_SQL} t WHERE t.o_custkey_n IS NOT DISTINCT FROM o.o_custkey_n)
+""")
+def j1_filter_new_hot_null_key(spark, d):
+    # one key with a hot null group (a fifth of the orders): salted null keys, scalar null test
+    return I.filter_new(X.nullkey_orders(spark, d), X.nullkey_target(spark, d), ["o_custkey_n"])
+
+
 @query("j2_exists_flag", sql=f"""
 SELECT o.*, EXISTS (SELECT 1 FROM {X.NULLKEY_TARGET_SQL} t
                     WHERE t.o_custkey_n IS NOT DISTINCT FROM o.o_custkey_n

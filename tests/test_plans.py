@@ -31,3 +31,14 @@ def test_new_record_filter_prunes_and_pushes_down(spark, small_dir):
     assert "LeftAnti" in p
     assert "PushedFilters: [IsNotNull(o_orderdate), LessThan(o_orderdate" in p
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in p
+
+
+def test_single_key_join_salts_null_keys(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), (3, 3)], "k int, v int")
+    t = spark.createDataFrame([(3, 0)], "k int, v int")
+    out = I.filter_new(df, t, ["k"])
+    p = plan(out)
+    assert "_salt" in p and "LeftAnti" in p
+    assert sorted(r.v for r in out.collect()) == [1, 2]
+    t2 = spark.createDataFrame([(None, 0)], "k int, v int")
+    assert sorted(r.v for r in I.filter_new(df, t2, ["k"]).collect()) == [3]
