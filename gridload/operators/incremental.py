@@ -74,6 +74,39 @@ def _single_key_flags(incoming: DataFrame, target: DataFrame, key: str, tkey: st
     return left, t, cond, has_null
 
 
+def _multi_key_salted(incoming: DataFrame, target: DataFrame, keys: Sequence[str], tkeys: Sequence[str],
+                      collation: str | None, max_replicated: int = 1_000_000):
+    """Several keys with nulls: incoming rows holding any null key component are salted (a hash
+    of the row), and the target's distinct key tuples holding a null — the only ones such rows
+    can match — are replicated once per salt. The salt count is sized so the replicated tuples
+    stay under ``max_replicated``. Null-safe equality on every key keeps the result exact."""
+    spark = incoming.sparkSession
+    t = target_keys(target, tkeys, collation=collation)
+    tcols = ["_t_" + k for k in tkeys]
+    t_has_null = None
+    for c in tcols:
+        x = F.col(c).isNull()
+        t_has_null = x if t_has_null is None else t_has_null | x
+    raw_null = None
+    for k in tkeys:
+        x = F.col(k).isNull()
+        raw_null = x if raw_null is None else raw_null | x
+    # only the target rows holding a null are counted (the filter reaches the scan)
+    n_null = target.filter(raw_null).select(*tkeys).distinct().count()
+    parts = _salt_parts(spark) if n_null == 0 else max(1, min(_salt_parts(spark), max_replicated // n_null))
+    in_null = None
+    for k in keys:
+        x = incoming[k].isNull()
+        in_null = x if in_null is None else in_null | x
+    salt = F.when(in_null, F.pmod(F.xxhash64(*[incoming[c] for c in incoming.columns]), F.lit(parts))) \
+        .otherwise(F.lit(0)).cast("int")
+    left = incoming.withColumn("_salt", salt)
+    salts = F.when(t_has_null, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    t = t.withColumn("_t_salt", F.explode(salts))
+    cond = _null_safe_cond(left, t, keys, tcols, collation) & (left["_salt"] == t["_t_salt"])
+    return left, t, cond
+
+
 def filter_new(incoming: DataFrame, target: DataFrame, keys: Sequence[str] | None,
                target_key_names: Sequence[str] | None = None, collation: str | None = None) -> DataFrame:
     """Incoming rows whose key is absent from the target (NULL equals NULL).
@@ -95,9 +128,8 @@ def filter_new(incoming: DataFrame, target: DataFrame, keys: Sequence[str] | Non
         left, t, cond, has_null = _single_key_flags(incoming, target, keys[0], tk[0], collation)
         out = left.join(t, cond, "left_anti").drop("_salt")
         return out.filter(F.col(keys[0]).isNotNull()) if has_null else out
-    t = target_keys(target, tk, collation=collation)
-    cond = _null_safe_cond(incoming, t, keys, ["_t_" + k for k in tk], collation)
-    return incoming.join(t, cond, "left_anti")
+    left, t, cond = _multi_key_salted(incoming, target, keys, tk, collation)
+    return left.join(t, cond, "left_anti").drop("_salt")
 
 
 def existing(incoming: DataFrame, target: DataFrame, keys: Sequence[str],
@@ -107,9 +139,8 @@ def existing(incoming: DataFrame, target: DataFrame, keys: Sequence[str],
     if len(keys) == 1:
         flagged = flag_existing(incoming, target, keys, "_exists", collation)
         return flagged.filter(F.col("_exists")).drop("_exists")
-    t = target_keys(target, keys, collation=collation)
-    return incoming.join(t, _null_safe_cond(incoming, t, keys, ["_t_" + k for k in keys], collation),
-                         "left_semi")
+    left, t, cond = _multi_key_salted(incoming, target, keys, keys, collation)
+    return left.join(t, cond, "left_semi").drop("_salt")
 
 
 def flag_existing(incoming: DataFrame, target: DataFrame, keys: Sequence[str],
@@ -125,10 +156,9 @@ def flag_existing(incoming: DataFrame, target: DataFrame, keys: Sequence[str],
         joined = left.join(t, cond, "left")
         hit = F.coalesce(F.col("_t_hit"), F.lit(False)) | (F.col(keys[0]).isNull() & F.lit(has_null))
         return joined.select(*[left[c] for c in incoming.columns], hit.alias(flag))
-    t = target_keys(target, keys, collation=collation).withColumn("_t_hit", F.lit(True))
-    cond = _null_safe_cond(incoming, t, keys, ["_t_" + k for k in keys], collation)
-    joined = incoming.join(t, cond, "left")
-    return joined.select(*[incoming[c] for c in incoming.columns],
+    left, t, cond = _multi_key_salted(incoming, target, keys, keys, collation)
+    joined = left.join(t.withColumn("_t_hit", F.lit(True)), cond, "left")
+    return joined.select(*[left[c] for c in incoming.columns],
                          F.coalesce(F.col("_t_hit"), F.lit(False)).alias(flag))
 
 

@@ -81,3 +81,17 @@ def test_repeated_values_prefilter_is_exact(spark):
     got = sorted((r.o, r.dup_count) for r in D.repeated_values(df, "v").collect())
     plain = sorted((r.o, r.dup_count) for r in D.repeated_values(df, "v", prefilter=False).collect())
     assert got == plain == [(1, 2), (2, 2), (4, 2), (5, 2)]
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.sampled_from([1, 2, None])), min_size=1, max_size=20),
+       st.lists(st.tuples(st.sampled_from(["a", None]), st.sampled_from([1, None])), max_size=8))
+def test_multi_key_salted_joins_match_brute_force(spark, incoming, target):
+    inc = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(incoming)], "a string, b int, i int")
+    tgt = spark.createDataFrame([(a, b, 0) for a, b in target], "a string, b int, i int")
+    tset = set(target)
+    want_new = {i for i, t in enumerate(incoming) if t not in tset}
+    assert {r.i for r in I.filter_new(inc, tgt, ["a", "b"]).collect()} == want_new
+    assert {r.i for r in I.existing(inc, tgt, ["a", "b"]).collect()} == set(range(len(incoming))) - want_new
+    flags = {r.i: r.exists_in_db for r in I.flag_existing(inc, tgt, ["a", "b"]).collect()}
+    assert flags == {i: (i not in want_new) for i in range(len(incoming))}
