@@ -51,35 +51,16 @@ def _salt_parts(spark) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def _single_key_flags(incoming: DataFrame, target: DataFrame, key: str, tkey: str,
-                      collation: str | None):
-    """Single-key existence without a hot null key.
-
-    A null key never equals a target key, so incoming null-key rows get a salt (a hash of the
-    row) in the join key and spread over all partitions instead of one; whether they count as
-    existing is one bounded scalar: does the target hold a null key. Returns the incoming rows
-    joined to a ``_t_hit`` marker, plus that scalar.
-    """
-    spark = incoming.sparkSession
-    has_null = target.filter(F.col(tkey).isNull()).limit(1).count() > 0
-    parts = _salt_parts(spark)
-    k = _key(incoming, key, collation)
-    salt = F.when(k.isNull(), F.pmod(F.xxhash64(*[incoming[c] for c in incoming.columns]), F.lit(parts))) \
-        .otherwise(F.lit(0)).cast("int")
-    left = incoming.withColumn("_salt", salt)
-    t = (target.filter(F.col(tkey).isNotNull())
-         .select(_key(target, tkey, collation).alias("_t_key")).distinct()
-         .withColumn("_t_salt", F.lit(0)).withColumn("_t_hit", F.lit(True)))
-    cond = (_key(left, key, collation) == t["_t_key"]) & (left["_salt"] == t["_t_salt"])
-    return left, t, cond, has_null
-
-
-def _multi_key_salted(incoming: DataFrame, target: DataFrame, keys: Sequence[str], tkeys: Sequence[str],
-                      collation: str | None, max_replicated: int = 1_000_000):
-    """Several keys with nulls: incoming rows holding any null key component are salted (a hash
-    of the row), and the target's distinct key tuples holding a null — the only ones such rows
-    can match — are replicated once per salt. The salt count is sized so the replicated tuples
-    stay under ``max_replicated``. Null-safe equality on every key keeps the result exact."""
+def _salted(incoming: DataFrame, target: DataFrame, keys: Sequence[str], tkeys: Sequence[str],
+            collation: str | None, max_replicated: int = 1_000_000):
+    """Null-safe key join without a hot null group.
+
+    Incoming rows holding any null key component are salted (a hash of the row), so a null
+    key that holds a large share of the batch spreads over all partitions. The target's
+    distinct key tuples holding a null — the only ones such rows can match — are replicated
+    once per salt. With one key there is at most one such tuple, so the replica is bounded by
+    the partition count; with several keys the salt count is sized from their number so the
+    replica stays under ``max_replicated``. Null-safe equality on every key keeps it exact."""
     spark = incoming.sparkSession
     t = target_keys(target, tkeys, collation=collation)
     tcols = ["_t_" + k for k in tkeys]
@@ -87,13 +68,16 @@ def _multi_key_salted(incoming: DataFrame, target: DataFrame, keys: Sequence[str
     for c in tcols:
         x = F.col(c).isNull()
         t_has_null = x if t_has_null is None else t_has_null | x
-    raw_null = None
-    for k in tkeys:
-        x = F.col(k).isNull()
-        raw_null = x if raw_null is None else raw_null | x
-    # only the target rows holding a null are counted (the filter reaches the scan)
-    n_null = target.filter(raw_null).select(*tkeys).distinct().count()
-    parts = _salt_parts(spark) if n_null == 0 else max(1, min(_salt_parts(spark), max_replicated // n_null))
+    parts = _salt_parts(spark)
+    if len(keys) > 1:
+        raw_null = None
+        for k in tkeys:
+            x = F.col(k).isNull()
+            raw_null = x if raw_null is None else raw_null | x
+        # only the target rows holding a null are counted (the filter reaches the scan)
+        n_null = target.filter(raw_null).select(*tkeys).distinct().count()
+        if n_null:
+            parts = max(1, min(parts, max_replicated // n_null))
     in_null = None
     for k in keys:
         x = incoming[k].isNull()
@@ -114,8 +98,8 @@ def filter_new(incoming: DataFrame, target: DataFrame, keys: Sequence[str] | Non
     No key → every row is new, with a warning. In-batch duplicates survive;
     remove them first with :func:`dedup`. ``collation`` (e.g. ``UTF8_LCASE``,
     ``UNICODE_CI_RTRIM``) compares text keys case- or pad-insensitively, as a
-    case-insensitive target database would; the default is binary. A single key
-    is joined on plain equality with salted null keys (see :func:`_single_key_flags`).
+    case-insensitive target database would; the default is binary. Null keys are salted
+    (see :func:`_salted`), so a hot null key does not land in one task.
     """
     if not keys:
         warnings.warn("no unique identifier for the target: every incoming row is treated as new",
@@ -124,11 +108,7 @@ def filter_new(incoming: DataFrame, target: DataFrame, keys: Sequence[str] | Non
     _check_keys(incoming, keys, "incoming")
     tk = list(target_key_names or keys)
     _check_keys(target, tk, "target")
-    if len(keys) == 1:
-        left, t, cond, has_null = _single_key_flags(incoming, target, keys[0], tk[0], collation)
-        out = left.join(t, cond, "left_anti").drop("_salt")
-        return out.filter(F.col(keys[0]).isNotNull()) if has_null else out
-    left, t, cond = _multi_key_salted(incoming, target, keys, tk, collation)
+    left, t, cond = _salted(incoming, target, keys, tk, collation)
     return left.join(t, cond, "left_anti").drop("_salt")
 
 
@@ -136,10 +116,7 @@ def existing(incoming: DataFrame, target: DataFrame, keys: Sequence[str],
              collation: str | None = None) -> DataFrame:
     """J3-style semi join: incoming rows whose key is present in the target."""
     _check_keys(incoming, keys, "incoming")
-    if len(keys) == 1:
-        flagged = flag_existing(incoming, target, keys, "_exists", collation)
-        return flagged.filter(F.col("_exists")).drop("_exists")
-    left, t, cond = _multi_key_salted(incoming, target, keys, keys, collation)
+    left, t, cond = _salted(incoming, target, keys, keys, collation)
     return left.join(t, cond, "left_semi").drop("_salt")
 
 
@@ -151,12 +128,7 @@ def flag_existing(incoming: DataFrame, target: DataFrame, keys: Sequence[str],
     multiplies incoming rows.
     """
     _check_keys(incoming, keys, "incoming")
-    if len(keys) == 1:
-        left, t, cond, has_null = _single_key_flags(incoming, target, keys[0], keys[0], collation)
-        joined = left.join(t, cond, "left")
-        hit = F.coalesce(F.col("_t_hit"), F.lit(False)) | (F.col(keys[0]).isNull() & F.lit(has_null))
-        return joined.select(*[left[c] for c in incoming.columns], hit.alias(flag))
-    left, t, cond = _multi_key_salted(incoming, target, keys, keys, collation)
+    left, t, cond = _salted(incoming, target, keys, keys, collation)
     joined = left.join(t.withColumn("_t_hit", F.lit(True)), cond, "left")
     return joined.select(*[left[c] for c in incoming.columns],
                          F.coalesce(F.col("_t_hit"), F.lit(False)).alias(flag))

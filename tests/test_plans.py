@@ -38,7 +38,7 @@ def test_single_key_join_salts_null_keys(spark):
     t = spark.createDataFrame([(3, 0)], "k int, v int")
     out = I.filter_new(df, t, ["k"])
     p = plan(out)
-    assert "_salt" in p and "LeftAnti" in p
+    assert "_salt" in p and "LeftAnti" in p  # null keys are salted into the join key
     assert sorted(r.v for r in out.collect()) == [1, 2]
     t2 = spark.createDataFrame([(None, 0)], "k int, v int")
     assert sorted(r.v for r in I.filter_new(df, t2, ["k"]).collect()) == [3]
