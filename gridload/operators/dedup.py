@@ -65,17 +65,26 @@ def duplicate_groups(df: DataFrame, keys: Sequence[str], row_id: str) -> DataFra
 def duplicate_members(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every row whose key occurs more than once (nulls equal), with the group size.
 
-    Counts are aggregated first and joined back on null-safe keys; AQE's skew
-    join splits a hot key's partition.
+    Salted two-level count, so a hot key never sits in one task: rows get a salt (a hash of
+    the row); counts per (key, salt) are summed per key; the total is attached to each
+    (key, salt) pair — at most one row per salt — and the rows join back on (key, salt).
     """
-    counts = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("dup_count"))
-              .filter(F.col("dup_count") > 1))
-    counts = counts.select(*[F.col(k).alias("_d_" + k) for k in keys], "dup_count")
-    cond = None
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    tagged = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(parts)))
+    per_ks = tagged.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    per_k = (per_ks.groupBy(*keys).agg(F.sum("_n").cast("bigint").alias("dup_count"))
+             .filter(F.col("dup_count") > 1)
+             .select(*[F.col(k).alias("_d_" + k) for k in keys], "dup_count"))
+    kcond = None
     for k in keys:
-        c = df[k].eqNullSafe(counts["_d_" + k])
-        cond = c if cond is None else cond & c
-    return df.join(counts, cond, "inner").drop(*["_d_" + k for k in keys])
+        c = per_ks[k].eqNullSafe(per_k["_d_" + k])
+        kcond = c if kcond is None else kcond & c
+    ks = per_ks.join(per_k, kcond).select(*[per_ks[k].alias("_d_" + k) for k in keys],
+                                          per_ks["_salt"].alias("_d_salt"), "dup_count")
+    cond = tagged["_salt"] == ks["_d_salt"]
+    for k in keys:
+        cond = cond & tagged[k].eqNullSafe(ks["_d_" + k])
+    return tagged.join(ks, cond, "inner").drop("_salt", "_d_salt", *["_d_" + k for k in keys])
 
 
 def duplicate_summary(df: DataFrame, keys: Sequence[str]) -> DataFrame:
