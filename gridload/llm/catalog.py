@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridload.llm import line_dedup, mixing, secrets, sharding
+from gridload.llm import decontaminate, line_dedup, minhash, mixing, secrets, sharding
 from gridload.llm.common import stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,6 +125,32 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("row.doc_id", "n_bytes", "depth", "shard_bytes", "shard")
 
 
+# ---- 7 near duplicates ------------------------------------------------------------------------------
+
+NEAR_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1)
+SELECT documents.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, documents.doc_id = component_id AS kept
+FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id JOIN c ON c.a = documents.doc_id
+"""
+
+
+@query("op7_near_duplicates", NEAR_SQL)
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
+                        F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 # ---- 9 line dedup -----------------------------------------------------------------------------------
 
 LINE_SQL = r"""
@@ -148,3 +174,34 @@ FROM k
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return line_dedup.drop_boilerplate(docs).select("row.doc_id", "text", "n_lines", "n_dropped")
+
+
+# ---- 10 benchmark decontamination -------------------------------------------------------------------
+
+LEAK_SQL = r"""
+WITH low AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+it AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, z, array_to_string(w[i:i + z - 1], ' ') AS win
+       FROM (SELECT item_id, w, least(10, len(w)) AS z, unnest(range(1, greatest(0, len(w) - 10) + 2)) AS i FROM it WHERE len(w) > 0)),
+dw AS (SELECT doc_id, z, i, array_to_string(w[i:i + z - 1], ' ') AS win
+       FROM (SELECT doc_id, w, z, unnest(range(1, len(w) - z + 2)) AS i FROM low, (SELECT DISTINCT z FROM iw) WHERE len(w) >= z)),
+h AS (SELECT doc_id, z, i, item_id FROM dw JOIN iw USING (z, win)),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + z)) AS j FROM h) GROUP BY 1),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items
+      FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY 1)
+SELECT low.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM low LEFT JOIN hit ON hit.doc_id = low.doc_id LEFT JOIN i ON i.doc_id = low.doc_id
+"""
+
+
+@query("op10_decontaminate", LEAK_SQL)
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["hi"] - s["lo"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))

@@ -186,7 +186,7 @@ class BoundedFilter:
         self.bits = bits
         slot = F.shiftrightunsigned(F.col(hash_col), 64 - bits)
         cells = (df.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w"))
-                 .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("s").cast("int") % 64)).alias("b")).toPandas())
+                 .agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 AS int)))").alias("b")).toPandas())
         words = np.zeros(1 << (bits - 6), dtype=np.uint64)
         words[cells["w"].to_numpy(dtype=np.int64)] = cells["b"].to_numpy(dtype=np.int64).view(np.uint64)
         self.shared = spark.sparkContext.broadcast(words)
