@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridload.llm import decontaminate, line_dedup, minhash, mixing, secrets, sharding
+from gridload.llm import decontaminate, line_dedup, minhash, mixing, page_text, secrets, sharding, warc
 from gridload.llm.common import stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,25 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+# ---- 2 html extraction ------------------------------------------------------------------------------
+
+#: What the generator's pages hold: one article element, no attributes in it, these references.
+PAGE_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1),
+             '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+e AS (SELECT page_id, url, replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t
+      FROM a),
+x AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM e)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM x
+"""
+
+
+@query("op2_page_text", PAGE_SQL)
+def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 # ---- 4 secret scan ----------------------------------------------------------------------------------
 
 def _span_text(spans: Column) -> Column:
@@ -125,6 +144,26 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("row.doc_id", "n_bytes", "depth", "shard_bytes", "shard")
 
 
+# ---- 6 WARC -----------------------------------------------------------------------------------------
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS head FROM p GROUP BY 1)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(p.h, ((i // 4) * 5 + 1)::INTEGER, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = head THEN NULL ELSE head END AS refers_to
+FROM p JOIN f ON p.h = f.h
+"""
+
+
+@query("op6_warc_index", WARC_SQL)
+def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_index(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 # ---- 7 near duplicates ------------------------------------------------------------------------------
 
 NEAR_SQL = r"""
