@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridload.llm import decontaminate, line_dedup, minhash, mixing, page_text, secrets, sharding, warc
+from gridload.llm import ann, decontaminate, line_dedup, minhash, mixing, page_text, secrets, sharding, warc
 from gridload.llm.common import stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,14 @@ def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+# ---- 3 nearest neighbours ---------------------------------------------------------------------------
+
+@query("op3_nearest")
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return rows.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 # ---- 4 secret scan ----------------------------------------------------------------------------------
 
 def _span_text(spans: Column) -> Column:
