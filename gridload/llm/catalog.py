@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridload.llm import ann, decontaminate, line_dedup, minhash, mixing, page_text, secrets, sharding, warc
+from gridload.llm import ann, decontaminate, line_dedup, minhash, mixing, page_text, secrets, sharding, toxicity, warc
 from gridload.llm.common import stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,6 +198,14 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
+# ---- 8 toxicity -------------------------------------------------------------------------------------
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
 # ---- 9 line dedup -----------------------------------------------------------------------------------
 
 LINE_SQL = r"""
