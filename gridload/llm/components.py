@@ -19,7 +19,8 @@ def components(links: DataFrame) -> DataFrame:
     edges, seen = stage(edges, "cc-links"), None  # v < u
     while True:
         both = edges.select("u", "v").union(edges.select("v", "u"))  # u, neighbour v
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # a table of its own: then both sides of the join are plain exchanges, and a node with many neighbours can be split
+        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-least")
         large = (both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .where(F.col("u") != F.col("v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))

@@ -9,7 +9,9 @@ bin empty. Documents that agree on all rows of a band are candidates; every link
 Equal sets are one node (128-bit set hash), so copies are never paired. In a band bucket, members are first
 compared with one leader (the member with most bucket mates), which joins most of a group with one comparison
 each. Whoever is still in another component than the largest of a bucket is then compared with all members
-of other components there, so no candidate link is left out; sizes that rule the threshold out are skipped.
+of other components there, so no candidate link is left out; sizes that rule the threshold out are skipped. In
+small buckets these comparisons are joined pairs; in large ones, blocks of ``CHUNK`` members meet in a task, which
+compares what no earlier band has brought together and returns only links, so no group is paired out.
 Missed only are links that share no band: at the threshold itself, (1 - 0.8^rows)^bands = 2e-6.
 
 Null or empty texts have empty sets, linked with nothing. Repeated rows are separate documents of one set.
@@ -30,6 +32,8 @@ from gridload.llm.common import (BoundedFilter, Words, as_long, blank_mask, gram
 from gridload.llm.components import components
 
 BANDS, ROWS = 25, 4
+#: Members of a block in buckets of over SMALL members; both only divide the work, all comparisons are made.
+CHUNK, SMALL = 256, 24
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,9 +160,56 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(run, "a binary, b binary"))
 
 
+def _confirm_blocks(open_: DataFrame, keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of different components in large buckets, one per member and component met.
+
+    Members outside the largest component (asking) are dealt into blocks, all members into blocks, and each pair of
+    blocks is one group. A pair is compared in the first band that both share.
+    """
+    def blocks(count):
+        return F.ceil(F.col(count) / CHUNK).cast("int")
+
+    def run(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        node, comp = t.column("node").to_pylist(), np.array(t.column("comp").to_pylist(), dtype=object)
+        asks = t.column("asks").to_numpy(zero_copy_only=False)
+        key = np.array(t.column("keys").to_pylist(), dtype=np.int64).reshape(len(node), -1)
+        band = int(np.flatnonzero((key == t.column("bucket")[0].as_py()).all(axis=0))[0])
+        items = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in t.column("items").combine_chunks()]
+        size = np.array([len(v) for v in items])
+        other, order = np.flatnonzero(~asks), np.array(node, dtype=object)
+        big = t.column("big")[0].as_py()
+        a, b = [], []
+        if len(other):
+            for i in np.flatnonzero(asks):
+                ok = ((comp[other] != comp[i]) & ((comp[other] == big) | (order[other] > node[i]))
+                      & (np.minimum(size[other], size[i]) * 100 >= np.maximum(size[other], size[i]) * percent)
+                      & ~(key[other, :band] == key[i, :band]).any(axis=1))
+                js = other[ok]
+                if not len(js):
+                    continue
+                flat = np.concatenate([items[j] for j in js])
+                at = np.minimum(np.searchsorted(items[i], flat), size[i] - 1)
+                common = np.add.reduceat((items[i][at] == flat).astype(np.int64), np.concatenate(([0], np.cumsum(size[js])[:-1])))
+                met = js[100 * common >= percent * (size[js] + size[i] - common)]
+                for j in {comp[j]: j for j in met}.values():
+                    a.append(min(node[i], node[j]))
+                    b.append(max(node[i], node[j]))
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    asking = (open_.where(F.col("comp") != F.col("big")).withColumn("asks", F.lit(True))
+              .withColumn("p", F.pmod(F.xxhash64("node"), blocks("u")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), blocks("m") - 1))))
+    asked = (open_.withColumn("asks", F.lit(False)).withColumn("q", F.pmod(F.xxhash64("node", F.lit(1)), blocks("m")).cast("int"))
+             .withColumn("p", F.explode(F.sequence(F.lit(0), blocks("u") - 1))))
+    dealt = asking.select("bucket", "p", "q", "node", "comp", "big", "asks").unionByName(
+        asked.select("bucket", "p", "q", "node", "comp", "big", "asks"))
+    return dealt.join(keys, "node").join(sets, "node").groupBy("bucket", "p", "q").applyInArrow(run, "a binary, b binary").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per document row: id, th (text hash), n (set size), component (smallest id of its near-duplicate group)."""
+    """Per document row: id, th (text hash), n (set size), component (smallest id of its near-duplicate group), grp (one
+    value per group, null for empty sets)."""
     spark = docs.sparkSession
     sig = stage(signatures(docs, id_col, text_col, k, bands, rows), "nd-signatures")
     first_id = F.min(F.struct(F.col("kept.id").isNull().alias("none"), F.col("kept.id").alias("id"))).alias("low")
@@ -182,24 +233,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     placed = stage(ranked.join(label, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label"), "nd-placed")
     sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-    largest = (sizes.groupBy("bucket").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("big"))
-               .where(F.col("comps") > 1).select("bucket", F.col("big.comp").alias("big")))
-    open_ = stage(placed.join(largest, "bucket"), "nd-open")
-    x = open_.where(F.col("comp") != F.col("big")).select("bucket", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "comp")])
-    y = open_.select("bucket", "big", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "comp")])
+    largest = (sizes.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("big"))
+               .where(F.col("comps") > 1).select("bucket", "m", (F.col("m") - F.col("big.c")).alias("u"), F.col("big.comp").alias("big")))
+    open_ = stage(placed.join(largest, "bucket").drop("degree"), "nd-open")
+    few = open_.where(F.col("m") <= SMALL)
+    x = few.where(F.col("comp") != F.col("big")).select("bucket", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "comp")])
+    y = few.select("bucket", "big", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "comp")])
     rest = (x.join(y, "bucket").where((F.col("comp1") != F.col("comp2")) & fits(F.col("n1"), F.col("n2"))
                                       & ((F.col("comp2") == F.col("big")) | (F.col("node1") < F.col("node2"))))
             .select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
             .join(star, ["a", "b"], "left_anti"))
-    more = stage(_confirm(stage(rest, "nd-rest"), sets, percent), "nd-more")
+    more = stage(_confirm(stage(rest, "nd-rest"), sets, percent).unionByName(
+        _confirm_blocks(open_.where(F.col("m") > SMALL), nodes.select("node", "keys"), sets, percent)), "nd-more")
     final = components(links.unionByName(more))
 
     low = nodes.select("node", "low").join(final, "node", "left").withColumn("comp", F.coalesce("label", "node"))
     lowest = low.groupBy("comp").agg(F.min("low").alias("component"))
-    by_node = low.join(lowest, "comp").select("node", F.col("component.id").alias("component"))
+    by_node = low.join(lowest, "comp").select("node", F.col("component.id").alias("component"), F.col("comp").alias("grp"))
     full, empty = sig.where(F.col("node").isNotNull()), sig.where(F.col("node").isNull())
-    return (full.join(by_node, "node").select("kept.id", "kept.th", "n", "component")
-            .unionByName(empty.select("kept.id", "kept.th", "n", F.col("kept.id").alias("component"))))
+    return (full.join(by_node, "node").select("kept.id", "kept.th", "n", "component", "grp")
+            .unionByName(empty.select("kept.id", "kept.th", "n", F.col("kept.id").alias("component"),
+                                      F.lit(None).cast("binary").alias("grp"))))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents with one of each near-duplicate group: that with the smallest id (null last).
+
+    Documents without words stay. Of repeated rows (equal id and text) one stays.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options)
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    kept = (found.where(F.col("grp").isNotNull()).groupBy("grp").agg(F.min(rank).alias("f")).select("f.id", "f.th")
+            .unionByName(found.where(F.col("grp").isNull()).select("id", "th").distinct()))
+    kept = stage(kept.select(F.xxhash64("id", "th").alias("k")).distinct(), "nd-kept")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col), F.xxhash64(text_col)).alias("k"))
+    return rows.join(kept, "k", "left_semi").dropDuplicates(["k"]).select("row.*")
 
 
 def _head(col: str):
