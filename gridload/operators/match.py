@@ -27,13 +27,17 @@ keys, sized for names (identifiers, headers, entity names), not for long texts.
 
 from __future__ import annotations
 
+import difflib
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Tp
 
+from ..functions import columns as C
 from ..functions import constants as K
-from ..session import checkpoint_dir
+from ..session import scratch_path
 
 ACCEPT = K.LEV_ACCEPT
 
@@ -180,59 +184,40 @@ def best_match(left: DataFrame, right: DataFrame, lid: str, lname: str, rid: str
 # -- greedy one-to-one ----------------------------------------------------------------
 
 
-def _solve_greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sequential greedy inside one component: sources in id order take their best free target."""
-    pdf = pdf.sort_values(["lid", "score", "rid"], ascending=[True, False, True])
-    used, rows = set(), []
-    for l_id, grp in pdf.groupby("lid", sort=True):
-        for r_id, sc in zip(grp["rid"], grp["score"]):
-            if r_id not in used:
-                used.add(r_id)
-                rows.append((l_id, r_id, float(sc)))
-                break
-    return pd.DataFrame(rows, columns=["lid", "rid", "score"])
+def assign(pairs: DataFrame) -> DataFrame:
+    """Greedy one-to-one choice from scored pairs (lid, rid, score): sources in id order take their best
+    free target (ties: lowest rid).
 
+    The same result as rounds of offers: every source offers to its best target that hasn't refused it, a
+    target keeps the lowest source and refuses the others (and with them every later source). Since all
+    targets rank sources alike, the outcome is that of the sequential choice, with no component or group
+    in one task. Rounds end when nobody is refused; each is a staged table.
+    """
+    spark = pairs.sparkSession
 
-def components(edges: DataFrame, max_iter: int = 200) -> DataFrame:
-    """Connected components of a bipartite edge list ``(lid, rid)`` by min-label propagation.
+    def staged(df: DataFrame) -> DataFrame:
+        path = scratch_path(spark, "assign")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
 
-    Returns ``(node, comp)`` for left nodes ``L:<id>`` and right nodes ``R:<id>``.
-    Each round is a join + aggregate; lineage is cut with a reliable checkpoint. Rounds are
-    bounded by the graph diameter; if ``max_iter`` rounds do not converge the call fails rather
-    than return partial components.
-    """
-    checkpoint_dir(edges.sparkSession)
-    e = edges.select(F.concat(F.lit("L:"), F.col("lid").cast("string")).alias("u"),
-                     F.concat(F.lit("R:"), F.col("rid").cast("string")).alias("v"))
-    und = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
-    labels = und.select(F.col("u").alias("node")).distinct().withColumn("comp", F.col("node"))
-    for _ in range(max_iter):
-        prop = und.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("comp").alias("c2"))
-        new = labels.join(prop.withColumnRenamed("u", "node"), "node", "left").select(
-            "node", F.least("comp", F.coalesce("c2", "comp")).alias("comp")).checkpoint()
-        changed = new.join(labels.withColumnRenamed("comp", "old"), "node").filter(
-            F.col("comp") != F.col("old")).limit(1).count()
-        labels = new
-        if changed == 0:
-            return labels
-    raise RuntimeError(f"connected components did not converge in {max_iter} rounds")
+    best = Window.partitionBy("lid").orderBy(F.col("score").desc(), F.col("rid"))
+    live = staged(pairs.select("lid", "rid", "score").distinct())
+    while True:
+        offers = live.withColumn("_rn", F.row_number().over(best)).filter("_rn = 1").drop("_rn")
+        holds = staged(offers.groupBy("rid").agg(F.min("lid").alias("holder"), F.count(F.lit(1)).alias("offers")))
+        if holds.filter("offers > 1").isEmpty():
+            return staged(offers)
+        contested = holds.filter("offers > 1").select("rid", "holder")
+        live = staged(live.join(contested, "rid", "left").filter(F.col("holder").isNull() | (F.col("lid") <= F.col("holder")))
+                      .select("lid", "rid", "score"))
 
 
 def greedy_match(left: DataFrame, right: DataFrame, lid: str, lname: str, rid: str, rname: str,
                  threshold: float = ACCEPT) -> DataFrame:
     """J13 greedy one-to-one: left names in id order each take their best still-free right
-    name (first best wins ties). Greedy choices only interact inside a connected component of
-    the accepted-pair graph, so each component is solved independently with ``applyInPandas``."""
-    cand = candidates(left, right, lid, lname, rid, rname, threshold).filter(F.col("score") >= threshold) \
-        .select("lid", "rid", "score")
-    comp = components(cand)
-    lab = comp.filter(F.col("node").startswith("L:")).select(
-        F.substring("node", 3, 1 << 20).alias("_l"), "comp")
-    scored = cand.join(lab, cand["lid"].cast("string") == lab["_l"]).drop("_l")
-    lt = dict(left.dtypes)[lid]
-    rt = dict(right.dtypes)[rid]
-    chosen = scored.groupBy("comp").applyInPandas(_solve_greedy, f"lid {lt}, rid {rt}, score double")
-    out = left.select(F.col(lid).alias("lid"), F.col(lname).alias("left_name")).join(chosen, "lid", "left")
+    name (first best wins ties)."""
+    cand = candidates(left, right, lid, lname, rid, rname, threshold).filter(F.col("score") >= threshold)
+    out = left.select(F.col(lid).alias("lid"), F.col(lname).alias("left_name")).join(assign(cand), "lid", "left")
     return out.select(F.col("lid").alias("left_id"), "left_name", F.col("rid").alias("right_id"),
                       F.round(F.coalesce(F.col("score"), F.lit(0.0)) / 100.0, 6).alias("confidence"))
 
@@ -252,19 +237,20 @@ def match_stats(matches: DataFrame, conf: str = "confidence") -> DataFrame:
                            for x in ["high_confidence", "medium_confidence", "low_confidence", "mapped"]])
 
 
-# -- F8/F10/F11 name scorers (Arrow-batched) --------------------------------------------
+# -- F10/F11 name scorers -------------------------------------------------------------------
 
 
 def _lcs(a: str, b: str) -> int:
-    if not a or not b:
-        return 0
-    prev = [0] * (len(b) + 1)
-    for ca in a:
-        cur = [0]
-        for j, cb in enumerate(b, 1):
-            cur.append(prev[j - 1] + 1 if ca == cb else max(prev[j], cur[j - 1]))
-        prev = cur
-    return prev[-1]
+    """Length of the longest common subsequence, one machine-integer step per character of ``b``."""
+    at: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        at[ch] = at.get(ch, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    free = full
+    for ch in b:
+        met = free & at.get(ch, 0)
+        free = ((free + met) | (free - met)) & full
+    return len(a) - free.bit_count()
 
 
 def ratio(a: str, b: str) -> int:
@@ -275,292 +261,208 @@ def ratio(a: str, b: str) -> int:
 
 
 def partial_ratio(a: str, b: str) -> int:
-    """Best ``ratio`` of the shorter name against every window of the longer one."""
+    """Best ``ratio`` of the shorter name against the windows of its length in the longer one; a window
+    may be cut off at the longer name's end."""
     s, t = (a, b) if len(a) <= len(b) else (b, a)
     if not s:
         return 0
-    return max(ratio(s, t[i:i + len(s)]) for i in range(len(t) - len(s) + 1))
+    return max(ratio(s, t[i:i + len(s)]) for i in range(len(t)))
+
+
+def _tokens(name: str) -> list[str]:
+    """Lower-cased words, everything else being a separator, as the token scorers clean their input."""
+    return re.sub(r"\W", " ", name).lower().split()
 
 
 def token_sort_ratio(a: str, b: str) -> int:
-    return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+    return ratio(" ".join(sorted(_tokens(a))), " ".join(sorted(_tokens(b))))
 
 
 def token_set_ratio(a: str, b: str) -> int:
-    sa, sb = set(a.split()), set(b.split())
-    inter = " ".join(sorted(sa & sb))
-    d1 = " ".join(sorted(sa - sb))
-    d2 = " ".join(sorted(sb - sa))
-    c1 = (inter + " " + d1).strip()
-    c2 = (inter + " " + d2).strip()
-    return max(ratio(inter, c1) if inter else 0, ratio(inter, c2) if inter else 0, ratio(c1, c2))
-
-
-def pattern_bonus(a: str, b: str) -> float:
-    """a family both names hit adds the full bonus and stops the scan; a family only one
-    hits adds the small bonus; a close length adds a little more; the total is capped."""
-    bonus = 0.0
-    for _, words in K.PATTERN_FAMILIES:
-        ha, hb = any(w in a for w in words), any(w in b for w in words)
-        if ha and hb:
-            bonus += K.BONUS_BOTH
-            break
-        if ha or hb:
-            bonus += K.BONUS_ONE
-    gap = abs(len(a) - len(b))
-    bonus += K.BONUS_GAP_2 if gap <= 2 else (K.BONUS_GAP_5 if gap <= 5 else 0.0)
-    return min(K.BONUS_CAP, bonus)
-
-
-def weighted_score(a: str, b: str, weights=K.LINK_WEIGHTS, bonus: bool = True) -> float:
-    """J14 score of two normalised names, capped at 100."""
-    w1, w2, w3, w4 = weights
-    s = (ratio(a, b) * w1 + partial_ratio(a, b) * w2 + token_sort_ratio(a, b) * w3
-         + token_set_ratio(a, b) * w4)
-    return min(100.0, s + (pattern_bonus(a, b) if bonus else 0.0))
+    x, y = set(_tokens(a)), set(_tokens(b))
+    common = " ".join(sorted(x & y))
+    with_x, with_y = (f"{common} {' '.join(sorted(z))}".strip() for z in (x - y, y - x))
+    best = ratio(with_x, with_y)
+    return max(best, ratio(common, with_x), ratio(common, with_y)) if common else best
 
 
-@F.pandas_udf(Tp.DoubleType())
-def weighted_score_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Arrow-batched J14 scorer for candidate pairs."""
-    return pd.Series([weighted_score(x, y) if isinstance(x, str) and isinstance(y, str) else None
-                      for x, y in zip(a, b)], dtype="float64")
+def pattern_bonus(a: Column, b: Column) -> Column:
+    """a family both names hit adds the full bonus and ends the scan; a family only one hits adds the small
+    bonus; a close length adds a little more; the total is capped."""
+    def hit(c: Column, words) -> Column:
+        return c.rlike("|".join(words))
 
+    families = F.lit(0.0)
+    for _, words in reversed(K.PATTERN_FAMILIES):
+        x, y = hit(a, words), hit(b, words)
+        families = F.when(x & y, F.lit(float(K.BONUS_BOTH))).when(x | y, families + float(K.BONUS_ONE)).otherwise(families)
+    gap = F.abs(F.char_length(a) - F.char_length(b))
+    near = F.when(gap <= 2, float(K.BONUS_GAP_2)).when(gap <= 5, float(K.BONUS_GAP_5)).otherwise(0.0)
+    return F.least(F.lit(float(K.BONUS_CAP)), families + near)
 
-# -- J14-J17: linkage against a bounded target-name dictionary ---------------------------
+
+# -- J14-J18: linkage of names by scorers without an index -----------------------------------
 #
-# The weighted scorers accept pairs with very different names (score ≥ 70 allows
-# edit budgets near 60 %), so no exact candidate index exists for them: by
-# definition every source name is scored against every target name. As in the
-# loader (source columns against one table's columns), the target list is a
-# dictionary whose size is checked against a hard bound before it is shipped to
-# the executors as a broadcast variable; a larger target list is refused (use
-# the index-based J13 linkage instead). Source names stay distributed.
+# These scorers accept pairs with very different names (a score of 70 allows edit budgets near 60 %), and J15
+# reports the best score of unmatched names too, so every distinct source name is scored against every distinct
+# target name. Target names are dealt into blocks of bounded size (rows that hold a list of names); each source name
+# meets each block in an equi-join and the scorer runs over the block in an Arrow batch. Only pairs at or above a floor
+# come back. Neither list is collected, broadcast by hand or limited.
+
+BLOCK_NAMES = 256
 
-MAX_TARGETS = 1024  # widest table the target database allows
+_SCORED = Tp.StructType([
+    Tp.StructField("hits", Tp.ArrayType(Tp.StructType([Tp.StructField("target", Tp.StringType()), Tp.StructField("score", Tp.DoubleType())]))),
+    Tp.StructField("best", Tp.DoubleType())])
 
 
-def _targets(right: DataFrame, name_col: str) -> list[str]:
-    n = right.select(name_col).distinct().count()
-    if n > MAX_TARGETS:
-        raise ValueError(f"target list has {n} names; the dictionary scorer is bounded to {MAX_TARGETS}")
-    return [r[0] for r in right.select(name_col).distinct().orderBy(name_col).collect()]
+def _score_blocks(left: DataFrame, right: DataFrame, score, floor: float) -> tuple[DataFrame, DataFrame]:
+    """(name, target, score) of all pairs at or above ``floor``, and (name, best) over all targets.
 
+    ``left`` has name and key, ``right`` target and tkey (both distinct); ``score(key, tkey)`` is a Python function.
+    """
+    blocks = max(1, -(-right.count() // BLOCK_NAMES))
+    dealt = (right.groupBy(F.pmod(F.xxhash64("target"), F.lit(blocks)).alias("block"))
+             .agg(F.collect_list("target").alias("targets"), F.collect_list("tkey").alias("tkeys")))
 
-_PAIR = Tp.ArrayType(Tp.StructType([Tp.StructField("target", Tp.StringType()),
-                                    Tp.StructField("score", Tp.DoubleType())]))
-_SCORED = Tp.StructType([Tp.StructField("hits", _PAIR), Tp.StructField("best", Tp.DoubleType())])
+    @F.pandas_udf(_SCORED)
+    def run(keys: pd.Series, targets: pd.Series, tkeys: pd.Series) -> pd.DataFrame:
+        hits, best = [], []
+        for key, names, others in zip(keys, targets, tkeys):
+            scores = [float(score(key, x)) for x in others]
+            hits.append([{"target": t, "score": v} for t, v in zip(names, scores) if v >= floor])
+            best.append(max(scores))
+        return pd.DataFrame({"hits": hits, "best": best})
 
+    met = (left.filter(F.col("key").isNotNull()).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+           .join(dealt, "block").select("name", run("key", "targets", "tkeys").alias("s")))
+    path = scratch_path(left.sparkSession, "scored")
+    met.write.parquet(path)
+    met = left.sparkSession.read.schema(met.schema).parquet(path)
+    return (met.select("name", F.explode("s.hits").alias("h")).select("name", "h.target", "h.score"),
+            met.groupBy("name").agg(F.max("s.best").alias("best")))
 
-def _normalise(name: str) -> str:
-    import re
 
-    v = re.sub(r"[^a-z0-9]", "", name.lower().strip())
-    for p in K.NAME_PREFIXES:
-        if v.startswith(p) and len(v) > len(p):
-            v = v[len(p):]
-            break
-    for s in K.NAME_SUFFIXES:
-        if v.endswith(s) and len(v) > len(s):
-            v = v[:-len(s)]
-            break
-    return v
+def _names(df: DataFrame, col: str, key: Column, name: str = "name", key_name: str = "key") -> DataFrame:
+    return df.filter(F.col(col).isNotNull()).select(F.col(col).alias(name), key.alias(key_name)).distinct()
 
 
 def weighted_link(left: DataFrame, right: DataFrame, lid: str, lname: str, rname: str,
                   weights=K.LINK_WEIGHTS, threshold: float = K.LINK_ACCEPT, bonus: bool = True,
                   normalise: bool = True, one_to_one: bool = True) -> DataFrame:
     """J14 (J15 with other weights/threshold, no bonus, lower-cased names instead of the full
-    normalisation): score every source name against the target dictionary; keep targets at or
+    normalisation): score every source name against every target name; keep targets at or
     above the threshold; then the best target per source (``one_to_one=False``) or the greedy
     one-to-one assignment in source-id order (first best wins ties, in target order).
     ``match_type`` is exact (≥ 85) or fuzzy; ``best_score`` is the best score over all targets,
-    reported also for unmatched names."""
-    targets = _targets(right, rname)
-    spark = left.sparkSession
-    bc = spark.sparkContext.broadcast(targets)
-    w, thr, use_bonus, norm = tuple(weights), float(threshold), bonus, normalise
+    reported also for unmatched names (with ``bonus``: before the bonus, or the accepted one if higher)."""
+    w1, w2, w3, w4 = weights
+    clean = (lambda c: C.normalize_name(c)) if normalise else (lambda c: F.lower(F.col(c)))
 
-    @F.pandas_udf(_SCORED)
-    def accepted(names: pd.Series) -> pd.DataFrame:
-        tl = bc.value
-        tn = [_normalise(t) if norm else t.lower() for t in tl]
-        hits_col, best_col = [], []
-        for s in names:
-            if not isinstance(s, str):
-                hits_col.append([])
-                best_col.append(None)
-                continue
-            a = _normalise(s) if norm else s.lower()
-            hits, best = [], None
-            for t, b in zip(tl, tn):
-                sc = weighted_score(a, b, w, use_bonus)
-                if best is None or sc > best:  # first best in target order
-                    best = sc
-                if sc >= thr:
-                    hits.append({"target": t, "score": float(sc)})
-            hits_col.append(hits)
-            best_col.append(None if best is None else float(best))
-        return pd.DataFrame({"hits": hits_col, "best": best_col})
-
-    base_scored = left.select(F.col(lid).alias("lid"), F.col(lname).alias("left_name"),
-                              accepted(F.col(lname)).alias("s"))
-    best_any = base_scored.select("lid", F.round(F.col("s.best") / 100.0, 6).alias("best_score"))
-    scored = base_scored.select("lid", "left_name", F.explode_outer("s.hits").alias("h"))
-    cand = scored.select("lid", "left_name", F.col("h.target").alias("rid"), F.col("h.score").alias("score"))
+    def score(a: str, b: str) -> float:
+        return ratio(a, b) * w1 + partial_ratio(a, b) * w2 + token_sort_ratio(a, b) * w3 + token_set_ratio(a, b) * w4
+
+    sources, targets = _names(left, lname, clean(lname)), _names(right, rname, clean(rname), "target", "tkey")
+    hits, best_any = _score_blocks(sources, targets, score, threshold - (K.BONUS_CAP if bonus else 0))
+    if bonus:
+        hits = (hits.join(sources, "name").join(targets, "target")
+                .withColumn("score", F.col("score") + pattern_bonus(F.col("key"), F.col("tkey"))))
+    hits = hits.select("name", "target", F.least(F.lit(100.0), F.col("score")).alias("score")).filter(F.col("score") >= threshold)
+    base = left.select(F.col(lid).alias("lid"), F.col(lname).alias("left_name"))
+    pairs = base.join(hits, F.col("left_name") == F.col("name")).select("lid", F.col("target").alias("rid"), "score")
     if one_to_one:
-        pairs = cand.filter(F.col("rid").isNotNull()).select("lid", "rid", "score")
-        comp = components(pairs)
-        lab = comp.filter(F.col("node").startswith("L:")).select(F.substring("node", 3, 1 << 20).alias("_l"), "comp")
-        scored_c = pairs.join(lab, pairs["lid"].cast("string") == lab["_l"]).drop("_l")
-        lt = dict(left.dtypes)[lid]
-        best = scored_c.groupBy("comp").applyInPandas(_solve_greedy, f"lid {lt}, rid string, score double")
+        chosen = assign(pairs)
     else:
         win = Window.partitionBy("lid").orderBy(F.col("score").desc(), F.col("rid"))
-        best = cand.filter(F.col("rid").isNotNull()).withColumn("_rn", F.row_number().over(win)) \
-            .filter("_rn = 1").select("lid", "rid", "score")
-    base = left.select(F.col(lid).alias("lid"), F.col(lname).alias("left_name"))
-    out = base.join(best, "lid", "left").join(best_any, "lid", "left")
+        chosen = pairs.withColumn("_rn", F.row_number().over(win)).filter("_rn = 1").drop("_rn")
+    out = base.join(chosen, "lid", "left").join(best_any.withColumnRenamed("name", "left_name"), "left_name", "left")
     return out.select(
         F.col("lid").alias("left_id"), "left_name", F.col("rid").alias("target_name"),
         F.round(F.coalesce(F.col("score"), F.lit(0.0)) / 100.0, 6).alias("confidence"),
         F.when(F.col("score") >= K.LINK_HIGH, "exact_match").when(F.col("score").isNotNull(), "fuzzy_match")
         .alias("match_type"),
-        "best_score")
+        F.round(F.greatest("best", "score") / 100.0, 6).alias("best_score"))
+
+
+def _difflib(a: str, b: str) -> float:
+    return difflib.SequenceMatcher(None, a, b).ratio()
+
+
+@F.pandas_udf(Tp.DoubleType())
+def _difflib_score(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([_difflib(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def close_matches(left: DataFrame, right: DataFrame, lid: str, lname: str, rname: str,
                   n: int = K.CLOSE_MATCHES, cutoff: float = K.CLOSE_CUTOFF) -> DataFrame:
-    """Many-to-one difflib suggestions: up to ``n`` targets whose case-sensitive similarity
-    is ≥ ``cutoff``; each reported with its case-insensitive confidence. Targets may repeat."""
-    import difflib
-
-    targets = _targets(right, rname)
-    bc = left.sparkSession.sparkContext.broadcast(targets)
-    top, cut = n, cutoff
-
-    @F.pandas_udf(_PAIR)
-    def suggest(names: pd.Series) -> pd.Series:
-        out = []
-        for s in names:
-            if not isinstance(s, str):
-                out.append([])
-                continue
-            got = difflib.get_close_matches(s, bc.value, n=top, cutoff=cut)
-            out.append([{"target": t, "score": float(difflib.SequenceMatcher(None, s.lower(), t.lower()).ratio())}
-                        for t in got])
-        return pd.Series(out)
-
-    s = left.select(F.col(lid).alias("left_id"), F.col(lname).alias("left_name"),
-                    F.posexplode(suggest(F.col(lname))).alias("rank", "h"))
-    return s.select("left_id", "left_name", (F.col("rank") + 1).alias("rank"),
-                    F.col("h.target").alias("target_name"), F.round(F.col("h.score"), 6).alias("confidence"))
+    """Many-to-one suggestions: up to ``n`` targets whose case-sensitive similarity
+    is ≥ ``cutoff`` (ties: the later name first); each reported with its case-insensitive confidence."""
+    hits, _ = _score_blocks(_names(left, lname, F.col(lname)), _names(right, rname, F.col(rname), "target", "tkey"),
+                            lambda a, b: _difflib(b, a), cutoff)
+    w = Window.partitionBy("name").orderBy(F.col("score").desc(), F.col("target").desc())
+    top = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return (left.select(F.col(lid).alias("left_id"), F.col(lname).alias("left_name")).join(top, F.col("left_name") == F.col("name"))
+            .select("left_id", "left_name", "rank", F.col("target").alias("target_name"),
+                    F.round(_difflib_score(F.lower("left_name"), F.lower("target")), 6).alias("confidence")))
 
 
 def best_target(left: DataFrame, right: DataFrame, lid: str, lname: str, rname: str,
                 low: float = K.LOW_CONFIDENCE) -> DataFrame:
-    """J16 variant: names stripped of non-alphanumerics and lower-cased; the single target with
-    the highest difflib ratio (first in target order on ties); the first target when nothing
-    scores above 0; ``low_confidence`` when the ratio is below ``low``."""
-    import difflib
-    import re
-
-    targets = _targets(right, rname)
-    bc = left.sparkSession.sparkContext.broadcast(targets)
-
-    def norm(x: str) -> str:
-        return re.sub(r"[^a-zA-Z0-9]", "", x).lower()
-
-    @F.pandas_udf(Tp.StructType([Tp.StructField("target", Tp.StringType()),
-                                 Tp.StructField("score", Tp.DoubleType())]))
-    def pick(names: pd.Series) -> pd.DataFrame:
-        tl = bc.value
-        tn = [norm(t) for t in tl]
-        tg, sc = [], []
-        for s in names:
-            best, hi = (tl[0] if tl else None), 0.0
-            if isinstance(s, str):
-                a = norm(s)
-                for t, b in zip(tl, tn):
-                    r = difflib.SequenceMatcher(None, a, b).ratio()
-                    if r > hi:
-                        best, hi = t, r
-            tg.append(best)
-            sc.append(hi)
-        return pd.DataFrame({"target": tg, "score": sc})
-
-    p = left.select(F.col(lid).alias("left_id"), F.col(lname).alias("left_name"), pick(F.col(lname)).alias("p"))
-    return p.select("left_id", "left_name", F.col("p.target").alias("target_name"),
-                    F.round(F.col("p.score"), 6).alias("confidence"),
-                    (F.col("p.score") < low).alias("low_confidence"))
-
-
-def alternatives(left: DataFrame, right: DataFrame, lid: str, lname: str, rname: str,
+    """J16 variant: the most similar target of names without punctuation and case (ties: first in target
+    order), the first target when nothing is similar; ``low_confidence`` below ``low``."""
+    def plain(c: str) -> Column:
+        return F.lower(F.regexp_replace(c, r"[^a-zA-Z0-9]", ""))
+
+    hits, _ = _score_blocks(_names(left, lname, plain(lname)), _names(right, rname, plain(rname), "target", "tkey"), _difflib, 1e-9)
+    w = Window.partitionBy("name").orderBy(F.col("score").desc(), F.col("target"))
+    best = hits.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    first = right.agg(F.min(rname).alias("first"))  # one row
+    out = (left.select(F.col(lid).alias("left_id"), F.col(lname).alias("left_name"))
+           .join(best, F.col("left_name") == F.col("name"), "left").join(F.broadcast(first)))
+    score = F.coalesce(F.col("score"), F.lit(0.0))
+    return out.select("left_id", "left_name", F.coalesce("target", "first").alias("target_name"),
+                      F.round(score, 6).alias("confidence"), (score < low).alias("low_confidence"))
+
+
+def alternatives(left: DataFrame, right: DataFrame, lid: str, lname: str, rname: str, taken: DataFrame | None = None,
                  k: int = K.ALTERNATIVES, min_score: int = K.ALTERNATIVE_MIN) -> DataFrame:
-    """For unmatched source names, the ``k`` best targets by token-sort score on raw names
-    (lower-cased), keeping scores ≥ ``min_score``."""
-    targets = _targets(right, rname)
-    bc = left.sparkSession.sparkContext.broadcast(targets)
-    kk, lo = k, min_score
-
-    @F.pandas_udf(_PAIR)
-    def alts(names: pd.Series) -> pd.Series:
-        out = []
-        for s in names:
-            if not isinstance(s, str):
-                out.append([])
-                continue
-            sc = sorted(((token_sort_ratio(s.lower(), t.lower()), t) for t in bc.value), key=lambda x: (-x[0], x[1]))
-            out.append([{"target": t, "score": float(v)} for v, t in sc[:kk] if v >= lo])
-        return pd.Series(out)
-
-    s = left.select(F.col(lid).alias("left_id"), F.col(lname).alias("left_name"),
-                    F.posexplode(alts(F.col(lname))).alias("rank", "h"))
-    return s.select("left_id", "left_name", (F.col("rank") + 1).alias("rank"),
-                    F.col("h.target").alias("target_name"), F.col("h.score").alias("score"))
+    """For unmatched source names, the ``k`` best targets that aren't ``taken`` (one column of names) by
+    token-sort score on raw names, keeping scores ≥ ``min_score``."""
+    free = right if taken is None else right.join(taken.toDF(rname).distinct(), rname, "left_anti")
+    hits, _ = _score_blocks(_names(left, lname, F.lower(lname)), _names(free, rname, F.lower(rname), "target", "tkey"),
+                            token_sort_ratio, min_score)
+    w = Window.partitionBy("name").orderBy(F.col("score").desc(), F.col("target"))
+    top = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (left.select(F.col(lid).alias("left_id"), F.col(lname).alias("left_name")).join(top, F.col("left_name") == F.col("name"))
+            .select("left_id", "left_name", "rank", F.col("target").alias("target_name"), "score"))
 
 
 def group_similarity(members: DataFrame, group_col: str, member_col: str, targets: DataFrame,
                      tgroup_col: str, tmember_col: str, top: int = K.GROUP_TOP) -> DataFrame:
-    """Similarity of each source group to each target group (both bounded dictionaries of
-    groups × members): 0.7·mean best member score + 0.3·share of members whose best > 70, using
-    the 0.5 ratio / 0.3 partial / 0.2 token-sort scorer; total = 0.6·that + 0.4·group-name ratio;
-    the ``top`` target groups per source group."""
-    tg = targets.select(tgroup_col, tmember_col).distinct()
-    n = tg.count()
-    if n > MAX_TARGETS:
-        raise ValueError(f"target dictionary has {n} entries; bounded to {MAX_TARGETS}")
-    tpairs = [(r[0], r[1]) for r in tg.orderBy(tgroup_col, tmember_col).collect()]
-    bc = members.sparkSession.sparkContext.broadcast(tpairs)
-
-    def group_scores(pdf: pd.DataFrame) -> pd.DataFrame:
-        by_target: dict[str, list[str]] = {}
-        for g, m in bc.value:
-            by_target.setdefault(g, []).append(m)
-        src = str(pdf[group_col].iloc[0])
-        names = [str(x).lower() for x in pdf[member_col]]
-        rows = []
-        for tgt, tmembers in by_target.items():
-            bests = []
-            for a in names:
-                best = 0.0
-                for b in tmembers:
-                    b = b.lower()
-                    w1, w2, w3 = K.GROUP_MEMBER_WEIGHTS
-                    s = ratio(a, b) * w1 + partial_ratio(a, b) * w2 + token_sort_ratio(a, b) * w3
-                    best = max(best, s)
-                bests.append(best)
-            mean_best = sum(bests) / len(bests) if bests else 0.0
-            share = sum(1 for b in bests if b > K.GROUP_GOOD_MEMBER) / len(bests) if bests else 0.0
-            col_score = K.GROUP_MEAN_SHARE[0] * mean_best + K.GROUP_MEAN_SHARE[1] * share * 100
-            total = (K.GROUP_TOTAL_WEIGHTS[0] * col_score
-                     + K.GROUP_TOTAL_WEIGHTS[1] * ratio(src.lower(), tgt.lower()))
-            rows.append((src, tgt, round(total, 6), round(col_score, 6)))
-        rows.sort(key=lambda r: (-r[2], r[1]))
-        return pd.DataFrame(rows[:top], columns=["source_group", "target_group", "score", "member_score"])
-
-    # distinct members: a group holds its vocabulary, never its rows
-    return members.select(F.col(group_col).cast("string").alias(group_col),
-                          F.col(member_col).cast("string").alias(member_col)).distinct() \
-        .groupBy(group_col).applyInPandas(
-        group_scores, "source_group string, target_group string, score double, member_score double")
+    """Similarity of each source group to each target group: 0.7·mean best member score + 0.3·share of
+    members whose best > 70, using the 0.5 ratio / 0.3 partial / 0.2 token-sort scorer; total = 0.6·that +
+    0.4·group-name ratio; the ``top`` target groups per source group.
+
+    Distinct members are scored once; the rest is max per (group, target group, member), then sums per pair of groups.
+    """
+    w1, w2, w3 = K.GROUP_MEMBER_WEIGHTS
+
+    def score(a: str, b: str) -> float:
+        return ratio(a, b) * w1 + partial_ratio(a, b) * w2 + token_sort_ratio(a, b) * w3
+
+    own = members.select(F.col(group_col).cast("string").alias("g"), F.col(member_col).cast("string").alias("m")).distinct().dropna()
+    other = targets.select(F.col(tgroup_col).cast("string").alias("tg"), F.col(tmember_col).cast("string").alias("tm")).distinct().dropna()
+    hits, _ = _score_blocks(_names(own, "m", F.lower("m")), _names(other, "tm", F.lower("tm"), "target", "tkey"), score, 1e-9)
+    best = (own.join(hits, F.col("m") == F.col("name")).join(other, F.col("target") == F.col("tm"))
+            .groupBy("g", "tg", "m").agg(F.max("score").alias("best")))
+    sums = best.groupBy("g", "tg").agg(F.sum("best").alias("s"), F.count_if(F.col("best") > K.GROUP_GOOD_MEMBER).alias("good"))
+    sizes = own.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    names, _ = _score_blocks(_names(own, "g", F.lower("g")), _names(other, "tg", F.lower("tg"), "target", "tkey"), ratio, 0)
+    pairs = names.select(F.col("name").alias("g"), F.col("target").alias("tg"), F.col("score").alias("name_score")).join(sums, ["g", "tg"], "left").join(sizes, "g")
+    member = (K.GROUP_MEAN_SHARE[0] * F.coalesce(F.col("s"), F.lit(0.0)) / F.col("n")
+              + K.GROUP_MEAN_SHARE[1] * F.coalesce(F.col("good"), F.lit(0)) / F.col("n") * 100)
+    scored = pairs.withColumn("member_score", F.round(member, 6)).withColumn(
+        "score", F.round(K.GROUP_TOTAL_WEIGHTS[0] * member + K.GROUP_TOTAL_WEIGHTS[1] * F.col("name_score"), 6))
+    w = Window.partitionBy("g").orderBy(F.col("score").desc(), F.col("tg"))
+    return scored.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= top).select(
+        F.col("g").alias("source_group"), F.col("tg").alias("target_group"), "score", "member_score")

@@ -1,42 +1,36 @@
 import random
+from functools import lru_cache
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gridload.operators import match as M
 
 
+@lru_cache(maxsize=None)
 def lev(a, b):
-    prev = list(range(len(b) + 1))
-    for i, ca in enumerate(a, 1):
-        cur = [i]
-        for j, cb in enumerate(b, 1):
-            cur.append(min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (ca != cb)))
-        prev = cur
-    return prev[-1]
+    if not a or not b:
+        return len(a) + len(b)
+    if a[0] == b[0]:
+        return lev(a[1:], b[1:])
+    return 1 + min(lev(a[1:], b), lev(a, b[1:]), lev(a[1:], b[1:]))
 
 
 def score(a, b):
     a, b = a.lower(), b.lower()
     simple = 100 * (1 - lev(a, b) / max(len(a), len(b), 1))
-    partial = 100 if (a in b or b in a) else simple
-    return (simple + partial) / 2
-
-
-def brute_greedy(left, right, thr=80):
-    used, out = set(), {}
-    for l in left:
-        best, bs = None, 0
-        for r in right:
-            if r in used:
-                continue
-            s = score(l, r)
-            if s > bs:
-                best, bs = r, s
-        if best is not None and bs >= thr:
-            used.add(best)
-            out[l] = best
-    return out
+    return (simple + (100 if a in b or b in a else simple)) / 2
+
+
+def sequential_choice(pairs):
+    """Pairs (left, right, score) in the order (left, -score, right); the first free one of each left counts."""
+    left_done, right_done = {}, set()
+    for x, y, _ in sorted(pairs, key=lambda p: (p[0], -p[2], p[1])):
+        if x not in left_done and y not in right_done:
+            left_done[x] = y
+            right_done.add(y)
+    return left_done
 
 
 words = st.text(alphabet="abc", min_size=0, max_size=24)
@@ -71,40 +65,95 @@ def test_greedy_matches_sequential_model(spark):
     rdf = spark.createDataFrame([(x, x) for x in right], "rid string, rname string")
     got = {r.left_id: r.right_id for r in M.greedy_match(ldf, rdf, "lid", "lname", "rid", "rname").collect()
            if r.right_id is not None}
-    assert got == brute_greedy(left, right_sorted)
+    pairs = [(x, y, score(x, y)) for x in left for y in right_sorted]
+    assert got == sequential_choice([p for p in pairs if p[2] >= 80])
+
+
+def test_assignment_on_random_scores_and_a_long_chain(spark):
+    rnd = random.Random(5)
+    pairs = sorted({(rnd.randrange(40), f"t{rnd.randrange(30)}") for _ in range(300)})
+    pairs = [(x, y, float(rnd.randrange(5))) for x, y in pairs]
+    got = {r.lid: r.rid for r in M.assign(spark.createDataFrame(pairs, "lid int, rid string, score double")).collect()}
+    assert got == sequential_choice(pairs)
+    # each source's favourite is the one before it took second
+    chain = [(i, i, 2.0) for i in range(60)] + [(i + 1, i, 3.0) for i in range(59)] + [(0, 0, 5.0)]
+    chain = [(x, y, max(s for a, b, s in chain if (a, b) == (x, y))) for x, y in {(a, b) for a, b, _ in chain}]
+    got = {r.lid: r.rid for r in M.assign(spark.createDataFrame(chain, "lid int, rid int, score double")).collect()}
+    assert got == sequential_choice(chain)
 
 
 def test_scorers():
     assert M.ratio("abc", "abc") == 100
     assert M.partial_ratio("abc", "xxabcxx") == 100
+    assert M.partial_ratio("abcde", "xxxabc") == 75  # the last window is cut off
     assert M.token_sort_ratio("b a", "a b") == 100
-    assert M.pattern_bonus("customerid", "custid") == 17.0  # id family both sides, gap 4
-    assert M.weighted_score("email", "email") == 100.0
+    assert M.token_sort_ratio("order-date", "Date order") == 100
+    assert M.token_set_ratio("a b", "b, a; c") == 100
+
+    @lru_cache(maxsize=None)
+    def lcs(a, b):
+        return 0 if not a or not b else lcs(a[1:], b[1:]) + 1 if a[0] == b[0] else max(lcs(a[1:], b), lcs(a, b[1:]))
+
+    rnd = random.Random(1)
+    for _ in range(200):
+        a, b = ("".join(rnd.choices("abc", k=rnd.randrange(9))) for _ in range(2))
+        assert M._lcs(a, b) == lcs(a, b)
+
+
+def test_pattern_bonus(spark):
+    rows = [("customerid", "custid", 17.0), ("email", "email", 20.0), ("xyz", "xyz", 5.0), ("date", "zzzzzzzzzzz", 5.0), ("idname", "zzzzzzzzzzzz", 10.0)]
+    df = spark.createDataFrame(rows, "a string, b string, want double")
+    assert [r.got for r in df.select(M.pattern_bonus(F.col("a"), F.col("b")).alias("got")).collect()] == [r[2] for r in rows]
+
+
+def test_weighted_link_over_thousands_of_targets(spark):
+    rnd = random.Random(7)
+    words = ["customer", "order", "line", "price", "ship", "mail", "city", "nation", "part", "brand"]
+    targets = sorted({f"{rnd.choice(words)}_{rnd.choice(words)}{rnd.randrange(400)}" for _ in range(2200)})[:2000]
+    left = [targets[3], targets[77].upper().replace("_", "-"), "qqqq", None, targets[3]]
+    ldf = spark.createDataFrame([(i, x) for i, x in enumerate(left)], "lid int, lname string")
+    rdf = spark.createDataFrame([(t,) for t in targets], "target string")
+
+    def direct(a, b):
+        return M.ratio(a, b) * .4 + M.partial_ratio(a, b) * .2 + M.token_sort_ratio(a, b) * .2 + M.token_set_ratio(a, b) * .2
 
+    pairs = [(i, t, direct(x.lower(), t.lower())) for i, x in enumerate(left) if x for t in targets]
+    got = {r.left_id: r for r in M.weighted_link(ldf, rdf, "lid", "lname", "target", weights=(.4, .2, .2, .2), threshold=80,
+                                                 bonus=False, normalise=False).collect()}
+    want = sequential_choice([p for p in pairs if p[2] >= 80])
+    assert {i: r.target_name for i, r in got.items() if r.target_name} == want and len(got) == 5
+    assert got[2].target_name is None and round(got[2].best_score, 6) == round(max(s for i, _, s in pairs if i == 2) / 100, 6)
 
-def test_weighted_link_matches_direct_scoring(spark):
+
+def test_weighted_link_with_bonus(spark):
     left = ["CustomerName", "cust_email", "tblPhoneNo", "zzz"]
     targets = ["customer_name", "email", "phone", "address"]
     ldf = spark.createDataFrame([(i, x) for i, x in enumerate(left)], "lid int, lname string")
     rdf = spark.createDataFrame([(t,) for t in targets], "target string")
-    got = {r.left_name: r.target_name for r in
-           M.weighted_link(ldf, rdf, "lid", "lname", "target", one_to_one=False).collect()}
-    want = {}
-    for s in left:
-        a = M._normalise(s)
-        scores = [(M.weighted_score(a, M._normalise(t)), t) for t in sorted(targets)]
-        best = max(scores, key=lambda x: (x[0], [-ord(c) for c in x[1]]))
-        want[s] = best[1] if best[0] >= 70 else None
-    assert got == want
+    got = {r.left_name: r.target_name for r in M.weighted_link(ldf, rdf, "lid", "lname", "target", one_to_one=False).collect()}
+    assert got == {"CustomerName": "customer_name", "cust_email": "email", "tblPhoneNo": "phone", "zzz": None}
+
+
+def test_alternatives_offer_only_free_targets(spark):
+    ldf = spark.createDataFrame([(1, "order date"), (2, "zz")], "lid int, lname string")
+    rdf = spark.createDataFrame([("date order",), ("order-dates",), ("due date",), ("qqqqqqqq",)], "target string")
+    taken = spark.createDataFrame([("date order",)], "name string")
+    got = [(r.left_id, r["rank"], r.target_name) for r in M.alternatives(ldf, rdf, "lid", "lname", "target", taken).collect()]
+    assert sorted(got) == [(1, 1, "order-dates"), (1, 2, "due date")]
+
 
+def test_group_similarity(spark):
+    members = spark.createDataFrame([("people", "name"), ("people", "email"), ("people", "name")], "g string, m string")
+    targets = spark.createDataFrame([("person", "name"), ("person", "mail"), ("things", "qqq")], "t string, c string")
+    got = {r.target_group: r for r in M.group_similarity(members, "g", "m", targets, "t", "c").collect()}
 
-def test_dictionary_bound_is_enforced(spark):
-    import pytest
+    def member(a, b):
+        return M.ratio(a, b) * .5 + M.partial_ratio(a, b) * .3 + M.token_sort_ratio(a, b) * .2
 
-    ldf = spark.createDataFrame([(1, "a")], "lid int, lname string")
-    rdf = spark.range(M.MAX_TARGETS + 1).selectExpr("CAST(id AS STRING) AS target")
-    with pytest.raises(ValueError):
-        M.weighted_link(ldf, rdf, "lid", "lname", "target").collect()
+    for t, cols in (("person", ["name", "mail"]), ("things", ["qqq"])):
+        best = [max(member(a, b) for b in cols) for a in ("name", "email")]
+        m = .7 * sum(best) / 2 + .3 * 100 * sum(x > 70 for x in best) / 2
+        assert abs(got[t].member_score - m) < 1e-5 and abs(got[t].score - (.6 * m + .4 * M.ratio("people", t))) < 1e-5
 
 
 def test_best_target_variant_and_j15_best_score(spark):
