@@ -51,9 +51,26 @@ def month_name_upper(col, language: str = "en") -> Column:
 
 # -- P5 .. P11: casts --------------------------------------------------------
 
+#: Blanks that a text strip removes at both ends: Unicode white space and the ASCII separators.
+_BLANK = r"[\s\x1c-\x1f]"
+#: What counts as a number: decimal digits with an optional exponent, or inf/nan. The JVM's own suffixes
+#: (``12d``, ``3F``) and hexadecimal floats are text.
+NUMBER_TEXT = r"(?i)^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf|infinity|nan)$"
+
+
+def strip(col) -> Column:
+    """Text without blanks of any kind (tabs, line breaks, no-break spaces, ...) at its ends."""
+    return F.regexp_replace(_c(col).cast("string"), rf"(?U)^{_BLANK}+|{_BLANK}+$", "")
+
+
+def parse_number(text: Column, dtype: str = "double") -> Column:
+    """Cast of text that is a number under :data:`NUMBER_TEXT`, else null."""
+    return F.when(text.rlike(NUMBER_TEXT), text.try_cast(dtype))
+
+
 def to_double(col) -> Column:
     """Coerce to a number; unparsable text becomes null."""
-    return F.trim(_c(col).cast("string")).try_cast("double")
+    return parse_number(strip(col))
 
 
 def to_integer(col) -> Column:
@@ -70,21 +87,21 @@ def any_fractional(col) -> Column:
 
 def to_timestamp_multi(col, formats: Sequence[str] = tuple(K.DATE_FORMATS)) -> Column:
     """First format that parses wins; none parses → null."""
-    c = F.trim(_c(col).cast("string"))
+    c = strip(col)
     # parse, then keep the wall-clock value (independent of the session time zone)
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats]).cast("timestamp_ntz")
 
 
 def to_boolean(col) -> Column:
     """Lower + trim; configured true/false words, anything else null."""
-    v = F.lower(F.trim(_c(col).cast("string")))
+    v = F.lower(strip(col))
     return (F.when(v.isin(*K.BOOL_TRUE_WORDS), F.lit(True))
             .when(v.isin(*K.BOOL_FALSE_WORDS), F.lit(False)))
 
 
 def normalize_text(col, null_tokens: bool = False) -> Column:
-    """Stringify and trim; the text ``nan`` (or every null token) becomes null."""
-    v = F.trim(_c(col).cast("string"))
+    """Stringify and strip; the text ``nan`` (or every null token) becomes null."""
+    v = strip(col)
     if null_tokens:
         return F.when(F.lower(v).isin(*K.NULL_TOKENS), F.lit(None)).otherwise(v)
     return F.when(v == "nan", F.lit(None)).otherwise(v)
@@ -133,7 +150,7 @@ def phone_digits(col) -> Column:
 
 def normalize_name(col) -> Column:
     """lower, drop non ``[a-z0-9]``, strip one known prefix then one known suffix, never to empty."""
-    v = F.regexp_replace(F.lower(F.trim(_c(col))), r"[^a-z0-9]", "")
+    v = F.regexp_replace(F.lower(_c(col)), r"[^a-z0-9]", "")
     prefixes = "|".join(K.NAME_PREFIXES)
     suffixes = "|".join(K.NAME_SUFFIXES)
     v = F.regexp_replace(v, rf"^({prefixes})(?=.)", "")

@@ -69,13 +69,20 @@ def diff(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str], log_i
 
 
 def touch_modified(new: DataFrame, old: DataFrame, key: str, as_of: str,
-                   column: str = "modified_date") -> DataFrame:
-    """C2 tail: set the modification time of every updated record (semi join on the key)."""
-    touched = new.join(old.select(key), key, "left_semi").withColumn(
-        column, F.lit(as_of).cast("timestamp_ntz"))
-    untouched = new.join(old.select(key), key, "left_anti").withColumn(
-        column, F.lit(None).cast("timestamp_ntz"))
-    return touched.unionByName(untouched)
+                   column: str = "modified_date", columns: Sequence[str] | None = None) -> DataFrame:
+    """C2 tail: set the modification time of the records that changed (by default in any common column).
+
+    One left join on the key; unchanged and new records keep the time they have (null without one).
+    """
+    compared = [c for c in (columns or new.columns) if c in old.columns and c not in (key, column)]
+    before = old.select(F.col(key).alias("_k"), F.lit(True).alias("_old"), *[F.col(c).alias(f"_o_{c}") for c in compared])
+    changed = F.lit(False)
+    for c in compared:
+        changed = changed | ~F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    kept = F.col(column).cast("timestamp_ntz") if column in new.columns else F.lit(None).cast("timestamp_ntz")
+    joined = new.join(before, F.col(key) == F.col("_k"), "left")
+    stamp = F.when(F.col("_old") & changed, F.lit(as_of).cast("timestamp_ntz")).otherwise(kept)
+    return joined.select(*[F.col(c) for c in new.columns if c != column], stamp.alias(column))
 
 
 def classify(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

@@ -33,11 +33,12 @@ def dedup(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
     if missing:
         raise ValueError(f"key columns missing: {missing}")
     if keep in (False, "none"):
-        # aggregate form: keys with exactly one row; the row itself is any_value
-        row = F.struct(*[F.col(c) for c in df.columns])
-        singles = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.any_value(row).alias("_row"))
-                   .filter(F.col("_n") == 1))
-        return singles.select("_row.*")
+        # two rows of a key tell that it is duplicated: the group limit ships at most two per key and input
+        # partition, and one shuffle by key serves both the limit and the count
+        w = Window.partitionBy(*keys).orderBy(F.lit(0))
+        two = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 2)
+        all_rows = Window.partitionBy(*keys)
+        return two.withColumn("_n", F.count(F.lit(1)).over(all_rows)).filter(F.col("_n") == 1).drop("_rn", "_n")
     if keep not in ("first", "last"):
         raise ValueError(f"keep must be 'first', 'last' or False, got {keep!r}")
     w = Window.partitionBy(*keys).orderBy(*_order_cols(order_by, keep == "last"))

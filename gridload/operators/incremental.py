@@ -47,48 +47,39 @@ def target_keys(target: DataFrame, keys: Sequence[str], alias_prefix: str = "_t_
     return target.select(*[_key(target, k, collation).alias(alias_prefix + k) for k in keys]).distinct()
 
 
-def _salt_parts(spark) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+#: Parts over which rows with a null key component are spread; the target's tuples with a null are copied to each.
+NULL_PARTS = 32
 
 
-def _salted(incoming: DataFrame, target: DataFrame, keys: Sequence[str], tkeys: Sequence[str],
-            collation: str | None, max_replicated: int = 1_000_000):
-    """Null-safe key join without a hot null group.
+def _any_null(df: DataFrame, cols: Sequence[str]) -> Column:
+    hit = F.lit(False)
+    for c in cols:
+        hit = hit | df[c].isNull()
+    return hit
 
-    Incoming rows holding any null key component are salted (a hash of the row), so a null
-    key that holds a large share of the batch spreads over all partitions. The target's
-    distinct key tuples holding a null — the only ones such rows can match — are replicated
-    once per salt. With one key there is at most one such tuple, so the replica is bounded by
-    the partition count; with several keys the salt count is sized from their number so the
-    replica stays under ``max_replicated``. Null-safe equality on every key keeps it exact."""
-    spark = incoming.sparkSession
-    t = target_keys(target, tkeys, collation=collation)
+
+def _split_join(incoming: DataFrame, target: DataFrame, keys: Sequence[str], tkeys: Sequence[str],
+                collation: str | None, join) -> DataFrame:
+    """Null-safe key join in two parts, each ``join(rows, target keys, condition)``.
+
+    Rows without a null in the key meet the target's keys in a plain equi-join, which can reuse a
+    partitioning or bucketing by the key. Rows with a null can only match target tuples with a null;
+    they are spread over ``NULL_PARTS`` parts by a hash of the row, and those (distinct) tuples are
+    copied to each part, so a null key that holds a large share of the batch isn't one task.
+    """
     tcols = ["_t_" + k for k in tkeys]
-    t_has_null = None
-    for c in tcols:
-        x = F.col(c).isNull()
-        t_has_null = x if t_has_null is None else t_has_null | x
-    parts = _salt_parts(spark)
-    if len(keys) > 1:
-        raw_null = None
-        for k in tkeys:
-            x = F.col(k).isNull()
-            raw_null = x if raw_null is None else raw_null | x
-        # only the target rows holding a null are counted (the filter reaches the scan)
-        n_null = target.filter(raw_null).select(*tkeys).distinct().count()
-        if n_null:
-            parts = max(1, min(parts, max_replicated // n_null))
-    in_null = None
-    for k in keys:
-        x = incoming[k].isNull()
-        in_null = x if in_null is None else in_null | x
-    salt = F.when(in_null, F.pmod(F.xxhash64(*[incoming[c] for c in incoming.columns]), F.lit(parts))) \
-        .otherwise(F.lit(0)).cast("int")
-    left = incoming.withColumn("_salt", salt)
-    salts = F.when(t_has_null, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
-    t = t.withColumn("_t_salt", F.explode(salts))
-    cond = _null_safe_cond(left, t, keys, tcols, collation) & (left["_salt"] == t["_t_salt"])
-    return left, t, cond
+    t = target_keys(target, tkeys, collation=collation)
+    whole, some = incoming.filter(~_any_null(incoming, keys)), incoming.filter(_any_null(incoming, keys))
+    t_whole, t_some = t.filter(~_any_null(t, tcols)), t.filter(_any_null(t, tcols))
+    cond = None
+    for k, c in zip(keys, tcols):
+        x = _key(whole, k, collation) == t_whole[c]
+        cond = x if cond is None else cond & x
+    plain = join(whole, t_whole, cond)
+    some = some.withColumn("_salt", F.pmod(F.xxhash64(*[some[c] for c in some.columns]), F.lit(NULL_PARTS)).cast("int"))
+    t_some = t_some.withColumn("_t_salt", F.explode(F.sequence(F.lit(0), F.lit(NULL_PARTS - 1))))
+    spread = join(some, t_some, _null_safe_cond(some, t_some, keys, tcols, collation) & (some["_salt"] == t_some["_t_salt"]))
+    return plain.unionByName(spread)
 
 
 def filter_new(incoming: DataFrame, target: DataFrame, keys: Sequence[str] | None,
@@ -108,16 +99,14 @@ def filter_new(incoming: DataFrame, target: DataFrame, keys: Sequence[str] | Non
     _check_keys(incoming, keys, "incoming")
     tk = list(target_key_names or keys)
     _check_keys(target, tk, "target")
-    left, t, cond = _salted(incoming, target, keys, tk, collation)
-    return left.join(t, cond, "left_anti").drop("_salt")
+    return _split_join(incoming, target, keys, tk, collation, lambda x, t, on: x.join(t, on, "left_anti").select(*incoming.columns))
 
 
 def existing(incoming: DataFrame, target: DataFrame, keys: Sequence[str],
              collation: str | None = None) -> DataFrame:
     """J3-style semi join: incoming rows whose key is present in the target."""
     _check_keys(incoming, keys, "incoming")
-    left, t, cond = _salted(incoming, target, keys, keys, collation)
-    return left.join(t, cond, "left_semi").drop("_salt")
+    return _split_join(incoming, target, keys, keys, collation, lambda x, t, on: x.join(t, on, "left_semi").select(*incoming.columns))
 
 
 def flag_existing(incoming: DataFrame, target: DataFrame, keys: Sequence[str],
@@ -128,10 +117,12 @@ def flag_existing(incoming: DataFrame, target: DataFrame, keys: Sequence[str],
     multiplies incoming rows.
     """
     _check_keys(incoming, keys, "incoming")
-    left, t, cond = _salted(incoming, target, keys, keys, collation)
-    joined = left.join(t.withColumn("_t_hit", F.lit(True)), cond, "left")
-    return joined.select(*[left[c] for c in incoming.columns],
-                         F.coalesce(F.col("_t_hit"), F.lit(False)).alias(flag))
+
+    def flagged(rows: DataFrame, t: DataFrame, on: Column) -> DataFrame:
+        joined = rows.join(t.withColumn("_t_hit", F.lit(True)), on, "left")
+        return joined.select(*[rows[c] for c in incoming.columns], F.coalesce(F.col("_t_hit"), F.lit(False)).alias(flag))
+
+    return _split_join(incoming, target, keys, keys, collation, flagged)
 
 
 def insert_if_absent(target: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -68,7 +68,7 @@ class RuleRegistry:
 def _required(c: Column, ctx: RuleContext):
     if ctx.spec.nullable:
         return None
-    return c.isNull() | (F.trim(c.cast("string")) == ""), F.lit("Required field cannot be empty")
+    return c.isNull() | (C.strip(c) == ""), F.lit("Required field cannot be empty")
 
 
 def _string_length(c: Column, ctx: RuleContext):
@@ -138,17 +138,17 @@ def type_check(c: Column, data_type: str, spark_type: str):
             return None
         if is_num:
             return c != F.floor(c), F.lit("Not a valid integer")
-        return F.replace(F.trim(text), F.lit(","), F.lit("")).try_cast("bigint").isNull(), \
+        return C.parse_number(F.replace(C.strip(text), F.lit(","), F.lit("")), "bigint").isNull(), \
             F.lit("Not a valid integer")
     if data_type == "DECIMAL":
         if is_num:
             return None
-        return F.replace(F.trim(text), F.lit(","), F.lit("")).try_cast("double").isNull(), \
+        return C.parse_number(F.replace(C.strip(text), F.lit(","), F.lit(""))).isNull(), \
             F.lit("Not a valid decimal number")
     if data_type == "BOOLEAN":
         if spark_type == "boolean":
             return None
-        return ~F.lower(F.trim(text)).isin(*K.BOOL_CHECK_WORDS), F.lit("Not a valid boolean value")
+        return ~F.lower(C.strip(text)).isin(*K.BOOL_CHECK_WORDS), F.lit("Not a valid boolean value")
     if data_type in ("DATE", "DATETIME"):
         if spark_type.startswith("timestamp") or spark_type == "date" or is_num:
             return None

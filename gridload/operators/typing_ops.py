@@ -120,9 +120,8 @@ def type_vote(df: DataFrame, columns: Sequence[str] | None = None,
     STRING order; an all-null column is STRING.
     """
     cols = list(columns or df.columns)
-    long = _unpivot_text(df, cols)
-    v = F.trim(F.col("value"))
-    cls = F.when(F.col("value").isNotNull(), _vote_class(v))
+    long = _unpivot_text(df, cols).withColumn("_v", C.strip("value"))  # stripped once, then tested
+    cls = F.when(F.col("value").isNotNull(), _vote_class(F.col("_v")))
     counts = long.select("column_name", cls.alias("cls")).groupBy("column_name").agg(
         F.count("cls").alias("n_values"),
         *[F.count_if(F.col("cls") == t).alias(f"n_{t.lower()}") for t in VOTE_TYPES])
@@ -149,9 +148,10 @@ def _kind_class(v):
 
 
 def semantic_kind(df: DataFrame, order_by: Sequence[str], columns: Sequence[str] | None = None,
-                  sample_rows: int | None = K.KIND_SAMPLE_ROWS,
+                  sample_rows: int | None = None,
                   threshold: float = K.KIND_THRESHOLD) -> DataFrame:
-    """Kind of each column from its first ``sample_rows`` non-null values (declared order).
+    """Kind of each column from all its non-null values, or with ``sample_rows`` from the first ones
+    (declared order; the source's own sample is ``KIND_SAMPLE_ROWS``).
 
     The first kind in email, phone, numeric, date, boolean order whose share
     reaches the threshold wins, else ``string``; no values → ``unknown``.
@@ -166,8 +166,8 @@ def semantic_kind(df: DataFrame, order_by: Sequence[str], columns: Sequence[str]
     if sample_rows:
         w = Window.partitionBy("column_name").orderBy(*[f"_o{i}" for i in range(len(order_by))])
         long = long.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= sample_rows)
-    kind = _kind_class(F.lower(F.trim(F.col("value"))))
-    counts = long.select("column_name", kind.alias("kind")).groupBy("column_name").agg(
+    kind = _kind_class(F.col("_v"))
+    counts = long.withColumn("_v", F.lower(C.strip("value"))).select("column_name", kind.alias("kind")).groupBy("column_name").agg(
         F.count(F.lit(1)).alias("n_sampled"),
         *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KIND_ORDER])
     pick = None

@@ -70,16 +70,23 @@ def split_valid(df: DataFrame, issues: DataFrame, row_number: Column) -> tuple[D
 
 
 def load_with_log(valid: DataFrame, rejects: DataFrame, target_path: str, quarantine_path: str,
-                  log_path: str, table_name: str, as_of: str, batch_id: int = 0) -> DataFrame:
-    """Write the valid rows and the rejects, then an operation-log row:
-    SUCCESS with the count, PARTIAL when rows were rejected, FAILED with 0 and the message.
+                  log_path: str, table_name: str, as_of: str, batch_id: int = 0, schema_name: str = "Data",
+                  username: str = "SYSTEM", application: str = "gridload", session_id: str | None = None,
+                  user_id: int | None = None, source_file: str | None = None, worksheet_name: str | None = None,
+                  ip_address: str | None = None, additional_info: str | None = None) -> DataFrame:
+    """Write the valid rows and the rejects, then an operation-log row in the log's layout:
+    SUCCESS with the count, PARTIAL when rows were rejected, FAILED with 0 and the whole message.
 
     Every write goes to its own ``batch_id=<n>`` folder in overwrite mode, so re-running a
-    load after a failure replaces that batch's output instead of appending it twice.
+    load after a failure replaces that batch's output instead of appending it twice. When either write
+    fails, both of the batch's folders are replaced by empty ones, so a failed load leaves no rows.
     """
+    import time
+
     from pyspark.sql import Observation
 
     spark = valid.sparkSession
+    started = time.monotonic()
 
     def part(path: str) -> str:
         return f"{path}/batch_id={batch_id}"
@@ -92,13 +99,17 @@ def load_with_log(valid: DataFrame, rejects: DataFrame, target_path: str, quaran
         n_valid, n_rej = ov.get["n"], orj.get["n"]
         status, message, n = ("PARTIAL" if n_rej else "SUCCESS"), None, n_valid
     except Exception as exc:  # the failure itself is what gets logged
-        status, message, n = "FAILED", str(exc)[:500], 0
+        status, message, n = "FAILED", str(exc), 0
+        for rows, path in ((valid, target_path), (rejects, quarantine_path)):
+            spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(part(path))
+    ms = int((time.monotonic() - started) * 1000)
     log = spark.createDataFrame(
-        [(table_name, status, n, message)],
-        "table_name string, operation_status string, record_count bigint, error_message string",
-    ).select(F.lit("SYSTEM").alias("username"), F.lit("BULK_INSERT").alias("operation_type"), "table_name",
-             "record_count", "operation_status", "error_message",
-             F.lit(as_of).cast("timestamp_ntz").alias("operation_timestamp"))
+        [(batch_id + 1, session_id, user_id, username, "BULK_INSERT", schema_name, table_name, n, status, message, ms, application,
+          source_file, worksheet_name, ip_address, additional_info)],
+        "log_id bigint, session_id string, user_id int, username string, operation_type string, schema_name string, "
+        "table_name string, record_count bigint, operation_status string, error_message string, execution_time_ms bigint, "
+        "application_name string, source_file string, worksheet_name string, ip_address string, additional_info string",
+    ).withColumn("operation_timestamp", F.lit(as_of).cast("timestamp_ntz"))
     log.write.mode("overwrite").parquet(part(log_path))
     return spark.read.parquet(log_path)
 
@@ -108,10 +119,3 @@ def quality_report(df: DataFrame, specs: Sequence[R.ColumnSpec], row_number: Col
     """Issues and verdict of one batch."""
     issues = R.validate(df, specs, row_number, constraints, as_of=as_of)
     return issues, R.verdict(issues, df)
-
-
-def audit_insert(inserted: DataFrame, key: str, columns: Sequence[str], table_name: str, as_of: str,
-                 log_id: int = 1) -> tuple[DataFrame, DataFrame]:
-    """C1 for one load: the log row and the detail rows."""
-    return (CD.operation_log(inserted, [], "INSERT", table_name, as_of, first_id=log_id),
-            CD.insert_details(inserted, key, columns, log_id))

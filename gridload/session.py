@@ -58,6 +58,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="gridload-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -69,11 +71,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def _workers_can_import(spark: SparkSession) -> bool:
-    """One-row probe job: can a Python worker import the package already?"""
+    """Probe job: can the Python workers of every task import the package already?"""
     import pandas as pd
 
     def probe(it):
@@ -86,7 +88,8 @@ def _workers_can_import(spark: SparkSession) -> bool:
             pass
         yield pd.DataFrame({"ok": [ok]})
 
-    rows = spark.range(1).mapInPandas(probe, "ok boolean").collect()
+    tasks = max(8, 2 * spark.sparkContext.defaultParallelism)
+    rows = spark.range(0, tasks, 1, tasks).mapInPandas(probe, "ok boolean").groupBy("ok").count().collect()
     return all(r["ok"] for r in rows)
 
 
@@ -100,10 +103,10 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     if _workers_can_import(spark):
-        _SHIPPED.add(id(sc))
+        _SHIPPED.add(sc.applicationId)
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     out = os.path.join(tempfile.mkdtemp(prefix="gridload-pyfiles-"), "gridload.zip")
@@ -114,4 +117,4 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(out)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)

@@ -38,19 +38,30 @@ def admit_files(files: DataFrame, extensions: Sequence[str] = DEFAULT_EXTENSIONS
 
 
 def read_exports(spark: SparkSession, paths: Sequence[str], fmt: str = "csv",
-                 clean_headers: bool = True) -> DataFrame:
+                 clean_headers: bool = True, multi_line: bool = True, glob: str | None = None,
+                 max_bytes: int | None = None) -> DataFrame:
     """Read admitted exports, all columns as text, with ``source_file`` and ``sheet_row``.
 
+    Quotes inside quoted cells are doubled. With ``multi_line`` (the default) cells may hold line breaks and a
+    file is read by one task; without it, files declared free of line breaks in cells stay splittable. All files
+    need the same header in the same order; another header fails the read instead of mixing up columns.
+    ``glob`` (on the file name) and ``max_bytes`` admit files by rule (S3) while they are listed, so no path list
+    passes through the driver.
+
     The sheet row is derived without a single-task window: the position of
     a row inside its split comes from ``monotonically_increasing_id`` minus
     the split's first id, and each split's offset inside its file from
     per-split counts (one row per split).
     """
     if fmt == "csv":
-        raw = spark.read.option("header", True).option("inferSchema", False).csv(list(paths))
+        reader = (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
+                  .option("multiLine", multi_line).option("enforceSchema", False))
+        raw = (reader.option("pathGlobFilter", glob).option("recursiveFileLookup", True) if glob else reader).csv(list(paths))
     else:
         raw = spark.read.parquet(*paths)
         raw = raw.select(*[F.col(c).cast("string").alias(c) for c in raw.columns])
+    if max_bytes is not None:
+        raw = raw.filter(F.col("_metadata.file_size") <= max_bytes)
     if clean_headers:
         raw = raw.toDF(*[C.clean_header(c, i) for i, c in enumerate(raw.columns)])
     tagged = raw.select("*", F.col("_metadata.file_path").alias("source_file"),

@@ -26,3 +26,14 @@ def test_assign_ids_dense_in_order(spark):
 def test_row_positions_follow_file_order(spark, small_dir):
     df = spark.read.parquet(f"{small_dir}/orders.parquet").select("o_orderkey")
     assert all(r.o_orderkey == r.row_position for r in CD.row_positions(df).collect())
+
+
+def test_touch_marks_only_changed_records(spark):
+    from datetime import datetime
+
+    from gridload.operators import cdc as CD
+
+    new = spark.sql("SELECT * FROM VALUES (1, 'a', TIMESTAMP_NTZ '2020-01-01'), (2, 'b', NULL), (3, 'c', TIMESTAMP_NTZ '2021-01-01'), (4, NULL, NULL) t(id, v, modified_date)")
+    old = spark.createDataFrame([(1, "a"), (2, "x"), (4, "y")], "id int, v string")
+    got = {r.id: r.modified_date for r in CD.touch_modified(new, old, "id", "2025-01-01 00:00:00").collect()}
+    assert got == {1: datetime(2020, 1, 1), 2: datetime(2025, 1, 1), 3: datetime(2021, 1, 1), 4: datetime(2025, 1, 1)}

@@ -77,3 +77,14 @@ def test_type_vote_ties_and_threshold(spark):
     df = spark.createDataFrame([("1",), ("2",), ("x",), ("1,000",), ("2024-01-02",)], "v string")
     r = TY.type_vote(df).first()
     assert r.n_boolean == 1 and r.n_integer == 2 and r.detected_type == "STRING"
+
+
+def test_numbers_and_blanks(spark):
+    rows = [("12d",), ("3F",), ("0x1p3",), (" 1e3\t",), ("\u00a0-.5\n",), ("inf",), ("1_0",), ("",), ("+7.",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "s string").select(C.to_double("s")).collect()]
+    assert got == [None, None, None, 1000.0, -0.5, float("inf"), None, None, 7.0]
+    rows = [("yes\n",), ("\tnan",), ("\t",), ("\u2003x y\x1f",)]
+    df = spark.createDataFrame(rows, "s string")
+    assert [r[0] for r in df.select(C.to_boolean("s")).collect()] == [True, None, None, None]
+    assert [r[0] for r in df.select(C.normalize_text("s")).collect()] == ["yes", None, "", "x y"]
+    assert [r[0] for r in df.select(C.normalize_text("s", null_tokens=True)).collect()] == ["yes", None, None, "x y"]

@@ -49,6 +49,29 @@ def test_split_and_log(spark):
     assert [(r.operation_status, r.record_count) for r in log] == [("PARTIAL", 2)]
 
 
+def test_failed_load_leaves_no_rows(spark):
+    good = spark.createDataFrame([(1,), (2,)], "id int")
+    bad = good.select(F.raise_error(F.concat(F.lit("broken "), F.repeat(F.lit("x"), 900))).alias("id"))
+    target, quarantine, log = (scratch_path(spark, x) for x in "tql")
+    PL.load_with_log(good, good, target, quarantine, log, "people", "2025-01-01 00:00:00", batch_id=0)
+    got = PL.load_with_log(good, bad, target, quarantine, log, "people", "2025-01-01 00:00:00", batch_id=1).filter("log_id = 2").collect()
+    assert [(r.operation_status, r.record_count) for r in got] == [("FAILED", 0)] and "x" * 900 in got[0].error_message
+    assert spark.read.parquet(target).filter("batch_id = 1").count() == 0 and spark.read.parquet(target).count() == 2
+
+
+def test_exports_with_quotes_line_breaks_and_other_headers(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.csv").write_text('id,name,note\n1,"He said ""hi"", ok","two\nlines"\n2,b,\n', encoding="utf-8")
+    out = EX.read_exports(spark, [str(tmp_path / "a")], glob="*.csv")
+    assert sorted((r.id, r.name, r.note, r.sheet_row) for r in out.collect()) == [("1", 'He said "hi", ok', "two\nlines", 2), ("2", "b", None, 3)]
+    assert EX.read_exports(spark, [str(tmp_path / "a")], glob="*.csv", max_bytes=5).count() == 0
+    (tmp_path / "a" / "y.csv").write_text("name,id,note\nb,1,c\n", encoding="utf-8")
+    with pytest.raises(Exception):
+        EX.read_exports(spark, [str(tmp_path / "a")], glob="*.csv").collect()
+
+
 def test_enhanced_load_without_key_keeps_everything(spark):
     batch = spark.createDataFrame([(1,), (1,)], "k int")
     target = spark.createDataFrame([(1,), (1,)], "k int")
