@@ -1272,7 +1272,20 @@ def j13_fuzzy_best_match(spark, d):
     return M.best_match(_name_words(spark, d), _name_variants(spark, d), "lid", "lname", "rid", "rname")
 
 
-@query("j13_fuzzy_greedy")
+@query("j13_fuzzy_greedy", sql=f"""
+WITH RECURSIVE s AS (SELECT w.word AS lid, r.v AS rid, lower(w.word) AS a, lower(r.v) AS b FROM {_WORDS_SQL} w, {_VARIANTS_SQL} r),
+sc AS (SELECT lid, rid, (simple + CASE WHEN contains(b, a) OR contains(a, b) THEN 100.0 ELSE simple END) / 2.0 AS score
+       FROM (SELECT *, 100.0 * (1.0 - levenshtein(a, b) / greatest(length(a), length(b), 1)) AS simple FROM s)),
+l AS (SELECT word AS lid, row_number() OVER (ORDER BY word) AS i FROM {_WORDS_SQL}),
+g(i, used, lid, rid, score) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE)
+  UNION ALL
+  SELECT l.i, CASE WHEN sc.rid IS NULL THEN g.used ELSE list_append(g.used, sc.rid) END, l.lid, sc.rid, CAST(sc.score AS DOUBLE)
+  FROM g JOIN l ON l.i = g.i + 1
+  LEFT JOIN sc ON sc.lid = l.lid AND sc.score >= {K.LEV_ACCEPT} AND NOT list_contains(g.used, sc.rid)
+  QUALIFY row_number() OVER (ORDER BY sc.score DESC NULLS LAST, sc.rid) = 1)
+SELECT lid AS left_id, lid AS left_name, rid AS right_id, round(coalesce(score, 0.0) / 100.0, 6) AS confidence FROM g WHERE i > 0
+""")
 def j13_fuzzy_greedy(spark, d):
     return M.greedy_match(_name_words(spark, d), _name_variants(spark, d), "lid", "lname", "rid", "rname")
 
