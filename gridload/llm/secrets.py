@@ -110,9 +110,10 @@ def findings_by_path(versions: DataFrame, text: str, keep: Sequence[str], findin
                      rules: Sequence[Rule] = RULES) -> DataFrame:
     """One row per version row: the ``keep`` columns and ``spans``, its findings of the rules in force."""
     current = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.version)])
-    per_blob = (findings.where(current[F.col("kind")] == F.col("version"))
-                .select("blob", F.struct("start", "ord", "stop", "kind").alias("s"))
-                .groupBy("blob").agg(F.array_sort(F.collect_list("s")).alias("spans")))
+    # a table of its own, so that the join below has plain exchanges on both sides and a hot blob can be split
+    per_blob = stage(findings.where(current[F.col("kind")] == F.col("version"))
+                     .select("blob", F.struct("start", "ord", "stop", "kind").alias("s"))
+                     .groupBy("blob").agg(F.array_sort(F.collect_list("s")).alias("spans")), "blob-findings")
     paths = versions.select(content_address(F.col(text)).alias("blob"), F.struct(*keep).alias("kept"))
     return (paths.join(per_blob, "blob", "left")
             .select("kept.*", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans")))
