@@ -292,10 +292,12 @@ def pattern_bonus(a: Column, b: Column) -> Column:
     def hit(c: Column, words) -> Column:
         return c.rlike("|".join(words))
 
-    families = F.lit(0.0)
-    for _, words in reversed(K.PATTERN_FAMILIES):
-        x, y = hit(a, words), hit(b, words)
-        families = F.when(x & y, F.lit(float(K.BONUS_BOTH))).when(x | y, families + float(K.BONUS_ONE)).otherwise(families)
+    hits = F.array(*[F.when(hit(a, words) & hit(b, words), 2).when(hit(a, words) | hit(b, words), 1).otherwise(0)
+                     for _, words in K.PATTERN_FAMILIES])
+    first = F.array_position(hits, 2).cast("int")  # 0: no family in both
+    before = F.when(first > 0, F.slice(hits, 1, F.greatest(first - 1, F.lit(0)))).otherwise(hits)
+    families = (F.size(F.filter(before, lambda x: x == 1)) * float(K.BONUS_ONE)
+                + F.when(first > 0, float(K.BONUS_BOTH)).otherwise(0.0))
     gap = F.abs(F.char_length(a) - F.char_length(b))
     near = F.when(gap <= 2, float(K.BONUS_GAP_2)).when(gap <= 5, float(K.BONUS_GAP_5)).otherwise(0.0)
     return F.least(F.lit(float(K.BONUS_CAP)), families + near)
