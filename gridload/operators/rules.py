@@ -213,22 +213,24 @@ def validate(df: DataFrame, mappings: Sequence[ColumnSpec], row_number: Column,
         hits = F.filter(F.array(*checks), lambda x: x.isNotNull())
         parts.append(df.select(F.explode(hits).alias("i")).select("i.*"))
 
-    # V10 unique constraint and V11 possible duplicates: every row of a repeated value
-    with_row = df.withColumn("_row_no", row_number.cast("bigint"))
+    # V10 unique constraint and V11 possible duplicates: every row of a repeated value, all columns in one pass
+    specs = []
     for m in present:
-        specs = []
         if m.target and m.target in constraints.get("unique_columns", []):
-            specs.append(("unique_constraint", f"Duplicate value in unique column '{m.target}'", "ERROR",
+            specs.append((m.source, "unique_constraint", f"Duplicate value in unique column '{m.target}'", "ERROR",
                           "Ensure unique values"))
         if any(w in m.source.lower() for w in K.UNIQUE_NAME_WORDS):
-            specs.append(("potential_duplicate", f"Possible duplicate value in column '{m.source}'",
+            specs.append((m.source, "potential_duplicate", f"Possible duplicate value in column '{m.source}'",
                           "WARNING", "Check whether duplicates are intended"))
-        if not specs:
-            continue
-        members = D.duplicate_members(with_row.select("_row_no", m.source), [m.source])
-        for rule, msg, sev, fix in specs:
-            parts.append(members.select(_issue(F.col("_row_no"), m.source, F.col(m.source), rule,
-                                               F.lit(msg), sev, fix).alias("i")).select("i.*"))
+    if specs:
+        unique = list(dict.fromkeys(x[0] for x in specs))
+        cells = F.array(*[F.struct(F.lit(i).alias("column"), F.col(c).cast("string").alias("value")) for i, c in enumerate(unique)])
+        long = df.select(row_number.cast("bigint").alias("row_no"), F.explode(cells).alias("cell")).select("row_no", "cell.*")
+        members = D.duplicate_members(long, ["column", "value"])
+        found = [F.when(F.col("column") == unique.index(source),
+                        _issue(F.col("row_no"), source, F.col("value"), rule, F.lit(msg), sev, fix))
+                 for source, rule, msg, sev, fix in specs]
+        parts.append(members.select(F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("i")).select("i.*"))
 
     rows = []
     if structure:
@@ -258,21 +260,14 @@ def verdict(issues: DataFrame, rows: DataFrame, max_error_rate: float = K.MAX_ER
     issues like the reference does (rows − errors, may go negative);
     ``rows_without_errors`` counts rows that have no ERROR issue.
     """
-    # batch rows and issues tagged into one input, so one aggregate yields every count
-    err_rows = (issues.filter((F.col("severity") == "ERROR") & (F.col("row_number") > 0))
-                .select("row_number").distinct()
-                .select(F.lit("e").alias("_t"), F.lit(None).cast("string").alias("severity")))
-    tagged = (rows.select(F.lit("r").alias("_t"), F.lit(None).cast("string").alias("severity"))
-              .unionByName(issues.select(F.lit("i").alias("_t"), "severity")).unionByName(err_rows))
-    sev = F.col("severity")
-    is_issue = F.col("_t") == "i"
-    both = tagged.agg(
-        F.count_if(F.col("_t") == "r").alias("processed_rows"),
-        F.count_if(is_issue & (sev == "ERROR")).alias("error_count"),
-        F.count_if(is_issue & (sev == "WARNING")).alias("warning_count"),
-        F.count_if(is_issue & (sev == "INFO")).alias("info_count"),
-        F.count_if(is_issue & (sev == "CRITICAL")).alias("critical_count"),
-        F.count_if(F.col("_t") == "e").alias("rows_with_errors"))
+    # one pass over the issues: counts per row, then summed together with the rows themselves
+    levels = {"error_count": "ERROR", "warning_count": "WARNING", "info_count": "INFO", "critical_count": "CRITICAL"}
+    per_row = issues.groupBy("row_number").agg(*[F.count_if(F.col("severity") == v).alias(k) for k, v in levels.items()])
+    hit = ((F.col("error_count") > 0) & (F.col("row_number") > 0)).cast("bigint")
+    tagged = (per_row.select(F.lit(0).cast("bigint").alias("processed_rows"), *levels, hit.alias("rows_with_errors"))
+              .unionByName(rows.select(F.lit(1).cast("bigint").alias("processed_rows"),
+                                       *[F.lit(0).cast("bigint").alias(k) for k in (*levels, "rows_with_errors")])))
+    both = tagged.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in tagged.columns])
     rate = F.when(F.col("processed_rows") > 0, F.col("error_count") / F.col("processed_rows")).otherwise(0.0)
     return both.select(
         "processed_rows", "error_count", "warning_count", "info_count", "critical_count",
