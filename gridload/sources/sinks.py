@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import constants as K
@@ -17,17 +18,22 @@ from ..operators import incremental as I
 from ..session import scratch_path
 
 
+#: Parts into which the rows of one folder are dealt before a partitioned write.
+WRITERS = 16
+
+
 def write_range_partitioned(df: DataFrame, ts_col: str, path: str,
                             boundaries: Sequence[str] = tuple(K.AUDIT_MONTH_BOUNDARIES),
                             part_col: str = "partition_no", mode: str = "append") -> None:
     """Append rows partitioned by RANGE RIGHT number of ``ts_col`` (1 + boundaries ≤ ts).
 
     Readers filtering on ``partition_no`` (or deriving it from a date range) only list the
-    matching folders (partition pruning). Rows are clustered by partition before the write
-    so each task writes few files.
+    matching folders (partition pruning). Rows are clustered by partition and ``WRITERS`` hash parts of it,
+    so a folder has few files and a month with most of the rows still has several writers.
     """
     out = df.withColumn(part_col, C.range_right_partition(ts_col, boundaries))
-    out.repartition(part_col).write.mode(mode).partitionBy(part_col).parquet(path)
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(WRITERS))
+    out.repartition(part_col, spread).write.mode(mode).partitionBy(part_col).parquet(path)
 
 
 def append_with_quarantine(valid: DataFrame, rejects: DataFrame, target_path: str,
@@ -38,9 +44,10 @@ def append_with_quarantine(valid: DataFrame, rejects: DataFrame, target_path: st
 
 
 def insert_if_absent_version(target: DataFrame, incoming: DataFrame, keys: Sequence[str],
-                             name: str = "table") -> str:
-    """Write target ∪ (incoming rows whose key is absent) as a new version; return its path."""
-    path = scratch_path(target.sparkSession, f"{name}-v")
+                             name: str = "table", path: str | None = None) -> str:
+    """Write target ∪ (incoming rows whose key is absent) as a new version at ``path`` (by default a
+    scratch folder); return its path."""
+    path = path or scratch_path(target.sparkSession, f"{name}-v")
     I.insert_if_absent(target, incoming, keys).write.mode("overwrite").parquet(path)
     return path
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -29,10 +30,12 @@ def audit_stream(stream: DataFrame, key: str, columns: Sequence[str], sink_dir:
     """Insert capture (C1) on every micro-batch: detail rows and one log row per batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # both writes read it
         details = CD.insert_details(batch, key, columns, log_id=batch_id)
         details.write.mode("overwrite").parquet(_batch_dir(os.path.join(sink_dir, "details"), batch_id))
         log = CD.operation_log(batch, [], "INSERT", table_name, as_of, first_id=batch_id)
         log.write.mode("overwrite").parquet(_batch_dir(os.path.join(sink_dir, "log"), batch_id))
+        batch.unpersist()
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -42,7 +45,8 @@ def audit_stream(stream: DataFrame, key: str, columns: Sequence[str], sink_dir:
 def new_records_stream(stream: DataFrame, target: DataFrame, keys: Sequence[str], event_time: str,
                        watermark: str, sink_dir: str, checkpoint: str,
                        available_now: bool = True) -> StreamingQuery:
-    """Drop in-stream duplicates within the watermark, then keep rows absent from the target.
+    """Drop in-stream duplicates within the watermark, then keep rows absent from the target and from
+    what earlier batches accepted (their output folders), however late a key comes again.
 
     The survivor of an in-stream duplicate is the first to arrive (not a
     declared row order, unlike the batch ``dedup``).
@@ -52,7 +56,13 @@ def new_records_stream(stream: DataFrame, target: DataFrame, keys: Sequence[str]
                .withWatermark("_event_time", watermark).dropDuplicatesWithinWatermark(list(keys)))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = I.filter_new(batch.drop("_event_time"), target, keys)
+        known = target.select(*keys)
+        try:
+            earlier = batch.sparkSession.read.parquet(sink_dir).filter(F.col("batch_id") < batch_id)
+            known = known.unionByName(earlier.select(*keys))
+        except AnalysisException:  # no batch has written yet
+            pass
+        fresh = I.filter_new(batch.drop("_event_time"), known, keys)
         fresh.write.mode("overwrite").parquet(_batch_dir(sink_dir, batch_id))
 
     w = deduped.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -64,9 +74,3 @@ def file_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: i
     """Parquet folder as a stream, a bounded number of files per micro-batch."""
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
             .parquet(path))
-
-
-def write_by_day(df: DataFrame, ts: str, path: str) -> None:
-    """Split a table into one folder of files per day (the stream's input layout)."""
-    df.withColumn("_day", F.to_date(ts)).repartition("_day").sortWithinPartitions(ts) \
-        .write.mode("overwrite").partitionBy("_day").parquet(path)
