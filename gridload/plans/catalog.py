@@ -1355,10 +1355,28 @@ def t2_stream_new_records(spark, d):
     return spark.read.schema(schema).parquet(sink).select(*schema.fieldNames())
 
 
-@query("t3_lockout_batch")
+_LOCKOUT_SQL = f"""
+WITH RECURSIVE a AS (SELECT user_id, event_id, ts, event_type = 'signup' AS success,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type IN ('error', 'signup')),
+r AS (
+  SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS BOOLEAN) AS success,
+    CAST(NULL AS VARCHAR) AS outcome, 0 AS failures, CAST(NULL AS TIMESTAMP) AS locked_until FROM (SELECT DISTINCT user_id FROM a)
+  UNION ALL
+  SELECT user_id, i, event_id, ts, success,
+    CASE WHEN held THEN 'ignored_locked' WHEN success THEN 'success' WHEN n >= {K.LOCK_AFTER_FAILURES} THEN 'locked' ELSE 'failed' END,
+    CASE WHEN held THEN failures WHEN success THEN 0 ELSE n END,
+    CASE WHEN held THEN locked_until WHEN success THEN NULL
+         WHEN n >= {K.LOCK_AFTER_FAILURES} THEN ts + INTERVAL {K.LOCK_MINUTES} MINUTE END
+  FROM (SELECT a.*, r.failures, r.locked_until, coalesce(a.ts < r.locked_until, false) AS held,
+          CASE WHEN r.locked_until IS NULL THEN r.failures ELSE 0 END + 1 AS n
+        FROM r JOIN a ON a.user_id = r.user_id AND a.i = r.i + 1))
+SELECT user_id, event_id, ts, success, outcome, failures, locked_until FROM r WHERE i > 0
+"""
+
+
+@query("t3_lockout_batch", sql=_LOCKOUT_SQL)
 def t3_lockout_batch(spark, d):
-    # weekly slices: per-task work is one user's week, state carried between slices
-    return LO.lockout_sliced(LO.login_attempts(T(spark, d, "events")), F.date_trunc("week", "ts"))
+    return LO.lockout_batch(LO.login_attempts(T(spark, d, "events")))
 
 
 # =============================================================================
@@ -1652,7 +1670,7 @@ def j1_filter_new_collated(spark, d):
     return out.select("c_custkey", F.col("c_name").cast("string").alias("c_name"))
 
 
-@query("t3_lockout_stream")
+@query("t3_lockout_stream", sql=_LOCKOUT_SQL)
 def t3_lockout_stream(spark, d):
     """T3 as a stream: attempts arrive day by day (one write per day, so files arrive in time
     order), micro-batches of a few files, per-user state carried by applyInPandasWithState."""

@@ -1,8 +1,8 @@
 """Login lockout: three failures in a row lock the user for 15 minutes; attempts while
 locked are ignored; a success or the lock's expiry resets the count.
 
-The state machine per user is sequential. In batch it runs per user with
-``applyInPandas`` over that user's attempts sorted by ``(ts, event_id)``; in
+The state machine per user is sequential. In batch it runs over stretches of
+a user's attempts sorted by ``(ts, event_id)`` that no earlier attempt can influence; in
 a stream it runs with ``applyInPandasWithState``, where the per-user state
 is two values and each micro-batch only brings that user's new attempts.
 """
@@ -13,12 +13,11 @@ from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import constants as K
-from ..session import checkpoint_dir
 
 OUT_SCHEMA = ("user_id bigint, event_id bigint, ts timestamp_ntz, success boolean, outcome string, "
               "failures int, locked_until timestamp_ntz")
@@ -58,13 +57,33 @@ def _run(pdf: pd.DataFrame, failures: int, locked_until):
 
 
 def lockout_batch(attempts: DataFrame) -> DataFrame:
-    """Batch T3 over whole history: one sequential pass per user (the user's whole history is
-    one group; use :func:`lockout_sliced` when a user's history may not fit one task)."""
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        res, _, _ = _run(pdf, 0, None)
-        return res
+    """Batch T3 over whole history, one job.
 
-    return attempts.groupBy("user_id").applyInPandas(fn, OUT_SCHEMA)
+    A success at least ``LOCK_MINUTES`` after the user's previous attempt leaves no failure and no lock, whatever
+    came before, so it starts an independent stretch. Stretches are found by a streaming window over each
+    user's attempts; then each is replayed in order by a task that holds one attempt and the state (two
+    values) at a time, carried across Arrow batches. A user with very many attempts is many stretches.
+    """
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.col("ts") - F.lag("ts").over(w) >= F.expr(f"INTERVAL {K.LOCK_MINUTES} MINUTES")
+    fresh = (F.col("success") & F.coalesce(gap, F.lit(True))).cast("bigint")
+    cut = (attempts.select("user_id", "event_id", "ts", "success").withColumn("_fresh", fresh)
+           .withColumn("_stretch", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh"))
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, failures, locked = None, 0, None
+        for pdf in batches:
+            out = []
+            for uid, eid, ts, ok, stretch in zip(pdf["user_id"], pdf["event_id"], pdf["ts"], pdf["success"], pdf["_stretch"]):
+                if (uid, stretch) != now:
+                    now, failures, locked = (uid, stretch), 0, None
+                ts = pd.Timestamp(ts).to_pydatetime()
+                outcome, failures, locked = step(failures, locked, ts, bool(ok))
+                out.append((uid, eid, ts, bool(ok), outcome, failures, locked))
+            yield pd.DataFrame(out, columns=["user_id", "event_id", "ts", "success", "outcome", "failures", "locked_until"])
+
+    return (cut.repartition("user_id", "_stretch").sortWithinPartitions("user_id", "_stretch", "ts", "event_id")
+            .mapInPandas(replay, OUT_SCHEMA))
 
 
 def lockout_stream(attempts: DataFrame) -> DataFrame:
@@ -82,45 +101,3 @@ def lockout_stream(attempts: DataFrame) -> DataFrame:
 
     return attempts.groupBy("user_id").applyInPandasWithState(
         fn, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-
-
-def lockout_sliced(attempts: DataFrame, slice_col: Column | None = None) -> DataFrame:
-    """Batch T3 without whole-history groups: time slices are replayed in order, each slice one
-    distributed job whose groups are (user, slice), with the per-user state (failures,
-    locked_until) carried between slices as a DataFrame, like micro-batches of the stream.
-
-    ``slice_col`` defaults to the calendar day of ``ts``. The list of slice values comes back
-    to the driver (one value per slice); the per-user state and the output stay distributed,
-    and the state is checkpointed to the shared folder after every slice.
-    """
-    spark = attempts.sparkSession
-    checkpoint_dir(spark)
-    sl = slice_col if slice_col is not None else F.to_date("ts")
-    tagged = attempts.withColumn("_slice", sl)
-    slices = [r[0] for r in tagged.select("_slice").distinct().orderBy("_slice").collect()]
-    state = spark.createDataFrame([], "user_id bigint, s_failures int, s_locked timestamp_ntz")
-    outputs = []
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        f0 = pdf["s_failures"].iloc[0]
-        l0 = pdf["s_locked"].iloc[0]
-        failures = 0 if pd.isna(f0) else int(f0)
-        locked = None if pd.isna(l0) else pd.Timestamp(l0).to_pydatetime()
-        res, _, _ = _run(pdf, failures, locked)
-        return res
-
-    for s in slices:
-        part = tagged.filter(F.col("_slice") == F.lit(s)).drop("_slice").join(state, "user_id", "left")
-        out = part.groupBy("user_id").applyInPandas(fn, OUT_SCHEMA).checkpoint()
-        outputs.append(out)
-        w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-        last = (out.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-                .select("user_id", F.col("failures").alias("s_failures"),
-                        F.col("locked_until").alias("s_locked")))
-        state = state.join(last.select("user_id"), "user_id", "left_anti").unionByName(last).checkpoint()
-    if not outputs:
-        return spark.createDataFrame([], OUT_SCHEMA)
-    result = outputs[0]
-    for o in outputs[1:]:
-        result = result.unionByName(o)
-    return result

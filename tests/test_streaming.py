@@ -39,26 +39,33 @@ def test_lockout_stream_equals_batch(spark, small_dir):
     assert got == want
 
 
-def test_sliced_replay_equals_whole_history(spark, small_dir):
-    from pyspark.sql import functions as F
+def test_stretches_equal_the_sequential_replay(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows, want = [], {}
+    for user, n in ((1, 3000), (2, 40), (3, 1)):
+        t, failures, locked = 0, 0, None
+        for i in range(n):
+            t += rnd.choice([0, 1, 2, 7, 14, 15, 16, 40])
+            ts, ok = T0 + dt.timedelta(minutes=t), rnd.random() < 0.4
+            rows.append((user, i, ts, ok))
+            outcome, failures, locked = LO.step(failures, locked, ts, ok)
+            want[(user, i)] = (outcome, failures, locked)
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "user_id bigint, event_id bigint, ts timestamp_ntz, success boolean")
+    got = {(r.user_id, r.event_id): (r.outcome, r.failures, r.locked_until) for r in LO.lockout_batch(df).collect()}
+    assert got == want
 
-    ev = spark.read.parquet(f"{small_dir}/events.parquet")
-    att = LO.login_attempts(ev)
-    want = {tuple(r) for r in LO.lockout_batch(att).collect()}
-    got_day = {tuple(r) for r in LO.lockout_sliced(att).collect()}
-    got_week = {tuple(r) for r in LO.lockout_sliced(att, F.date_trunc("week", "ts")).collect()}
-    assert got_day == want and got_week == want
-
-
-def test_lock_spanning_a_slice_boundary(spark):
-    from pyspark.sql import functions as F
-
-    base = dt.datetime(2024, 1, 1, 23, 50)
-    rows = [(0, False), (1, False), (2, False), (14, False), (30, False)]  # lock 23:52 → 00:07 next day
-    df = spark.createDataFrame([(1, i, base + dt.timedelta(minutes=m), ok) for i, (m, ok) in enumerate(rows)],
-                               "user_id bigint, event_id bigint, ts timestamp_ntz, success boolean")
-    out = [r.outcome for r in LO.lockout_sliced(df).orderBy("event_id").collect()]
-    assert out == ["failed", "failed", "locked", "ignored_locked", "failed"]
+
+def test_accepted_keys_join_the_target(spark):
+    schema = "k int, ts timestamp_ntz"
+    src, sink, ckpt = (scratch_path(spark, x) for x in ("src", "sink", "ckpt"))
+    target = spark.createDataFrame([(1, T0)], schema)
+    for i, ks in enumerate([[1, 2], [2, 3], [2, 3, 4]]):  # a day apart, far beyond the watermark
+        spark.createDataFrame([(k, T0 + dt.timedelta(days=i)) for k in ks], schema).coalesce(1).write.mode("append").parquet(src)
+        ST.new_records_stream(ST.file_stream(spark, src, target.schema), target, ["k"], "ts", "1 minute", sink, ckpt).awaitTermination()
+    assert sorted(r.k for r in spark.read.parquet(sink).collect()) == [2, 3, 4]
 
 
 def test_registered_stream_lockout_equals_batch(spark, small_dir):
