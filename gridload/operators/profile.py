@@ -51,16 +51,15 @@ def _column_profile(df: DataFrame, columns: Sequence[str] | None, approx: bool)
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], buckets: int | None = None,
-                    values_per_bucket: int = 1_000_000, max_buckets: int = 10_000) -> DataFrame:
+                    values_per_bucket: int = 1_000_000) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas/``quantile_cont`` semantics), distributed.
 
     1. distinct values with their counts (a hot value becomes one row);
     2. the distinct values are cut into ranges by approximate quantiles, so each range holds a
        similar number of distinct values; the number of ranges grows with the data (about
-       ``values_per_bucket`` rows per range, at most ``max_buckets``);
-    3. per-range totals (one row per range) give offsets; a window per range gives each value
-       its rank interval;
-    4. the 2·len(probs) needed ranks are joined to their intervals.
+       ``values_per_bucket`` rows per range);
+    3. per-range totals (one row per range) tell which ranges hold the 2·len(probs) needed ranks;
+    4. only those ranges are sorted, and the ranks joined to them by range.
     No task holds more than one range of distinct values. Runs eagerly (the distinct values are
     cached across the two passes) and returns the ``len(probs)`` results as a small DataFrame.
     """
@@ -76,7 +75,7 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], buckets:
         # the row count bounds the distinct count from above (extra buckets stay empty);
         # on Parquet it is answered from file metadata
         rows = df.count()
-        buckets = int(min(max_buckets, max(64, -(-rows // values_per_bucket))))
+        buckets = int(max(64, -(-rows // values_per_bucket)))
     cuts = [i / buckets for i in range(1, buckets)]
     accuracy = max(10_000, 10 * buckets)
     bounds = vals.agg(F.percentile_approx("x", cuts, accuracy).alias("b")).first()["b"] or []
@@ -84,22 +83,23 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], buckets:
     # JVM-side binary search over the range bounds
     vals = Bucketizer(splits=splits, inputCol="x", outputCol="bucket").transform(vals)
     totals = vals.groupBy("bucket").agg(F.sum("c").alias("bc"))
-    # offsets over at most `buckets` rows
+    # offsets: one row per range
     totals = totals.withColumn("offset", F.coalesce(F.sum("bc").over(
-        Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    n = totals.agg(F.sum("bc").alias("n"))
-    ranked = vals.join(F.broadcast(totals.select("bucket", "offset")), "bucket")  # ≤ max_buckets rows
-    w = Window.partitionBy("bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ranked.withColumn("cum_end", F.col("offset") + F.sum("c").over(w)) \
-        .withColumn("cum_start", F.col("cum_end") - F.col("c"))
-    wanted = n.select("n", F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("prob")) \
+        Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) \
+        .withColumn("n", F.sum("bc").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    # the totals tell which ranges hold the 2·len(probs) wanted ranks; only those are sorted
+    wanted = totals.withColumn("prob", F.explode(F.array(*[F.lit(float(q)) for q in probs]))) \
         .withColumn("h", (F.col("n") - 1) * F.col("prob")) \
-        .withColumn("lo", F.floor("h")).withColumn("hi", F.ceil("h"))
-    ranks = wanted.select("prob", "h", "lo", F.lit(False).alias("upper"), F.col("lo").alias("r")) \
-        .unionByName(wanted.select("prob", "h", "lo", F.lit(True).alias("upper"), F.col("hi").alias("r")))
-    # 2·len(probs) rank rows against the rank intervals: a tiny broadcast range join
-    picked = F.broadcast(ranks).join(
-        ranked, (F.col("r") >= F.col("cum_start")) & (F.col("r") < F.col("cum_end")))
+        .withColumn("rank", F.explode(F.array(F.struct(F.lit(False).alias("upper"), F.floor("h").alias("r")),
+                                              F.struct(F.lit(True).alias("upper"), F.ceil("h").alias("r"))))) \
+        .filter((F.col("rank.r") >= F.col("offset")) & (F.col("rank.r") < F.col("offset") + F.col("bc"))) \
+        .select("bucket", "offset", "prob", "h", "rank.upper", "rank.r", F.floor("h").alias("lo"))
+    ranks = df.sparkSession.createDataFrame(wanted.collect(), wanted.schema)  # 2·len(probs) rows
+    needed = vals.filter(F.col("bucket").isin([r["bucket"] for r in ranks.select("bucket").distinct().collect()]))
+    w = Window.partitionBy("bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    in_range = needed.withColumn("end", F.sum("c").over(w))
+    end = F.col("offset") + F.col("end")
+    picked = in_range.join(F.broadcast(ranks), "bucket").filter((F.col("r") < end) & (F.col("r") >= end - F.col("c")))
     v_lo = F.max(F.when(~F.col("upper"), F.col("x")))
     v_hi = F.max(F.when(F.col("upper"), F.col("x")))
     result = picked.groupBy("prob").agg(

@@ -934,11 +934,13 @@ FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey
 def j4_distinct_join(spark, d):
     o, li = X.orders(spark, d), T(spark, d, "lineitem")
     j = o.join(li, o["o_orderkey"] == li["l_orderkey"])
-    return j.select(
-        C.concat_skip_nulls("o_custkey", F.col("l_orderkey").try_cast("bigint")).alias("rec_id"),
-        "o_orderdate", "o_custkey", F.col("l_returnflag").alias("item"),
-        C.after_second_dash(F.concat(F.lit("T-"), F.col("l_suppkey").cast("string"), F.lit("-"),
-                                     F.col("l_linestatus"))).alias("third_name")).distinct()
+    # distinct with the join key among its columns needs no exchange; the second one, over what is left, merges
+    # rows of different orders that get the same record id
+    raw = j.select("l_orderkey", "o_orderdate", "o_custkey", F.col("l_returnflag").alias("item"),
+                   C.after_second_dash(F.concat(F.lit("T-"), F.col("l_suppkey").cast("string"), F.lit("-"),
+                                                F.col("l_linestatus"))).alias("third_name")).distinct()
+    return raw.select(C.concat_skip_nulls("o_custkey", F.col("l_orderkey").try_cast("bigint")).alias("rec_id"),
+                      "o_orderdate", "o_custkey", "item", "third_name").distinct()
 
 
 # -- reconciliation load (E4): raw rows, then P12, J5, P16 ---------------------
