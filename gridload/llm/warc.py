@@ -2,8 +2,8 @@
 
 Payloads are deduplicated by SHA-1: of the records with equal payloads of at least ``min_bytes``, the one with
 the smallest (page id, url) is a response, the others are revisits that refer to it and carry no payload. Each
-distinct payload is shuffled once; revisits are made from ids and digests alone. Archives are plain WARC 1.1
-files of bounded size, written by Spark's committer into the shared folder (a lost executor's task is simply
+distinct payload is shuffled once; revisits are made from ids and digests alone. Archives are gzipped WARC 1.1
+files of bounded size (offsets count in the plain stream), written by Spark's committer into the shared folder (a lost executor's task is simply
 redone), and are read back by content length, with every response's digest recomputed.
 
 Every archive yields a locally sorted index run. Runs are dealt out by range of (URL key, timestamp, page id), so
@@ -21,6 +21,7 @@ import base64
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 from urllib.parse import urlsplit
@@ -127,7 +128,19 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.col("id").cast("string"), "url", F.col("id").try_cast("bigint").alias("ord"), "digest", "n_bytes", "payload",
         F.col("refers_to").cast("string"), "copy")
     (rows.mapInArrow(run, "archive string, value binary").select("archive", F.col("value").cast("string").alias("value"))
-     .write.partitionBy("archive").option("lineSep", "\r\n").text(path))
+     .write.partitionBy("archive").option("lineSep", "\r\n").option("compression", "gzip").text(path))
+
+
+def gunzip(data: bytes | memoryview) -> bytes:
+    """The plain bytes of a gzip file, which may have several members."""
+    out, data = [], bytes(data)
+    while data:
+        member = zlib.decompressobj(wbits=31)
+        out.append(member.decompress(data) + member.flush())
+        if not member.eof:
+            raise ValueError("a gzip member is cut off")
+        data = member.unused_data
+    return b"".join(out)
 
 
 def parse(content: bytes | memoryview) -> Iterator[tuple[dict[str, str], int, int, bytes]]:
@@ -155,7 +168,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1)):
                 rows = []
-                for head, at, size, block in parse(content.as_buffer()):
+                for head, at, size, block in parse(gunzip(content.as_buffer())):
                     digest = head["warc-payload-digest"].removeprefix("sha1:")
                     if head["warc-type"] == "response":
                         payload = block[block.index(b"\r\n\r\n") + 4:]
