@@ -19,9 +19,9 @@ averaged; the calibration is fitted on documents of one fold as the other fold's
 misled by texts that a model was made from. It uses at most ``CALIBRATION_ROWS`` labelled rows, chosen by hash; all
 counts cover all labelled rows.
 
-Scale: a task packs a slice of texts into per-bucket blobs of (word, document, count) postings; a bucket is a range
+Scale: no task or broadcast follows the corpus. A task packs a slice of texts into per-bucket blobs of (word, document, count) postings; a bucket is a range
 of word hashes. Class counts are summed per bucket, the model of a bucket meets all postings of the bucket in one
-streaming task, and each document's partial sums are added up per slice. The model is never collected or broadcast;
+streaming pass, dealt over tasks, and each document's partial sums are added up per slice. The model is never collected or broadcast;
 the driver sees 12 totals and the calibration rows. Word hashes have 48 bits.
 
 Null or empty texts have no words and get the score of a text without evidence. A null id counts as an empty
@@ -195,9 +195,10 @@ def _log_ratio(n: np.ndarray, totals: list[int], f: int) -> tuple[np.ndarray, fl
     return np.log(prob(b, a + b, n1, v1)) - np.log(prob(a, a + b, n0, v0)), float(rare[0])
 
 
-def _sums(postings: DataFrame, model: DataFrame, totals: list[int]) -> DataFrame:
+def _sums(postings: DataFrame, model: DataFrame, totals: list[int], spread: int) -> DataFrame:
     """block, bucket, data: per slice and bucket the documents' sums of the averaged ratio and its excesses, and for
-    fold 0 the same under the other fold's model."""
+    fold 0 the same under the other fold's model. A bucket's slices are dealt over ``spread`` tasks, each with the
+    bucket's model."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = word = None
         for batch in batches:
@@ -229,9 +230,11 @@ def _sums(postings: DataFrame, model: DataFrame, totals: list[int]) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(buckets, pa.int32()), pa.array(out, pa.binary())],
                                              names=["block", "bucket", "data"])
 
-    rows = (model.select(F.lit(-1).cast("long").alias("block"), "bucket", "data")
-            .unionByName(postings.where("bucket >= 0").select("block", "bucket", "data")))
-    return (rows.repartition("bucket").sortWithinPartitions("bucket", "block")
+    copies = model.select(F.lit(-1).cast("long").alias("block"), "bucket", "data",
+                          F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("part"))
+    rows = copies.unionByName(postings.where("bucket >= 0").select(
+        "block", "bucket", "data", F.pmod(F.xxhash64("block"), F.lit(spread)).cast("int").alias("part")))
+    return (rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "block").drop("part")
             .mapInArrow(run, "block bigint, bucket int, data binary"))
 
 
@@ -289,13 +292,19 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id",
-          label_col: str = "toxic", bits: int | None = None) -> DataFrame:
-    """Per document row: id, th (text hash), held_out, score, predicted."""
+          label_col: str = "toxic", bits: int | None = None, spread: int | None = None) -> DataFrame:
+    """Per document row: id, th (text hash), held_out, score, predicted.
+
+    ``bits`` (buckets) and ``spread`` (tasks per bucket) follow the number of documents; neither changes a result.
+    """
     fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(3)).cast("int")
     packed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th")).alias("kept"), fold.alias("fold"),
                          F.col(text_col).alias("text"))
+    rows_in = docs.count() if bits is None or spread is None else 0
     if bits is None:  # 16 buckets, and more where their vocabularies would outgrow a task
-        bits = max(4, (docs.count() // 4_000_000).bit_length())
+        bits = max(4, (rows_in // 100_000_000).bit_length() + 2)
+    if spread is None:  # so that the postings one task reads don't grow
+        spread = max(1, rows_in // 100_000)
     postings = stage(_postings(packed, bits), "tox-postings")
     truth = (labels.where(F.col(label_col).isNotNull() & F.col(label_id).isNotNull())
              .groupBy(F.col(label_id).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label")))
@@ -308,7 +317,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     totals = [0] * 12
     for r in got:
         totals[r["i"]] = int(r["x"])
-    rows = stage(_features(postings, _sums(postings, model, totals)), "tox-features")
+    rows = stage(_features(postings, _sums(postings, model, totals, spread)), "tox-features")
     k = 1 + len(LEVELS)
     seen = (rows.where("fold = 0").withColumn("id", F.col("kept.id")).join(truth, "id")
             .select(F.xxhash64("id").alias("o"), "n", *[f"x{i}" for i in range(k, 2 * k)], "label").orderBy("o", *[f"x{i}" for i in range(k, 2 * k)])

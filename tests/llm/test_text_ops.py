@@ -199,6 +199,8 @@ def test_toxicity_on_held_out_documents(spark):
     for r in got:
         by[r.id].add(round(r.score, 9))
     assert by[5002] == by[6] and by[5000] == by[5001]  # only the text counts
+    other = toxicity.score(docs, labels, bits=2, spread=3).collect()
+    assert sorted((r.th, round(r.score, 6)) for r in other) == sorted((r.th, round(r.score, 6)) for r in got)
 
 
 def test_toxicity_counts_by_brute_force(spark):
