@@ -907,11 +907,11 @@ SELECT c.*, count(o.o_orderkey) AS total_orders,
   CASE WHEN max(o.o_orderdate) >= TIMESTAMP '{X.AS_OF}' - INTERVAL 3 MONTH THEN 'Active'
        WHEN max(o.o_orderdate) >= TIMESTAMP '{X.AS_OF}' - INTERVAL 12 MONTH THEN 'Inactive'
        ELSE 'Dormant' END AS customer_status
-FROM customer c LEFT JOIN {X.SPARSE_ORDERS_SQL} o ON c.c_custkey = o.o_custkey
+FROM {X.CUSTOMERS_WITH_PROSPECTS_SQL} c LEFT JOIN orders o ON c.c_custkey = o.o_custkey
 GROUP BY ALL
 """)
 def a1_customer_summary(spark, d):
-    return RC.customer_summary(T(spark, d, "customer"), X.sparse_orders(spark, d), X.AS_OF)
+    return RC.customer_summary(X.customers_with_prospects(spark, d), X.orders(spark, d), X.AS_OF)
 
 
 @query("j8_correlated_count", sql="""
@@ -1529,15 +1529,15 @@ def c8_load_with_log(spark, d):
 SELECT n.o_orderkey, n.o_orderstatus, n.o_totalprice,
   CASE WHEN o.o_orderkey IS NOT NULL AND (o.o_orderstatus IS DISTINCT FROM n.o_orderstatus OR o.o_totalprice IS DISTINCT FROM n.o_totalprice)
        THEN CAST('{X.AS_OF}' AS TIMESTAMP) ELSE n.modified_date END AS modified_date
-FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice,
-        CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS modified_date FROM orders) n
+FROM (SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice,
+        CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS TIMESTAMP) END AS modified_date FROM orders) n
 LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 50000) o ON o.o_orderkey = n.o_orderkey
 """)
 def c2_touch_modified(spark, d):
-    o = T(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
-    new = o.select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
-                   "o_totalprice", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate").cast("timestamp_ntz")).alias("modified_date"))
-    old = o.filter(F.col("o_totalprice") > 50000).drop("o_orderdate")
+    o = T(spark, d, "orders")
+    new = o.select("o_orderkey", F.when(F.col("o_orderpriority") == "1-URGENT", "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
+                   "o_totalprice", F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate").cast("timestamp_ntz")).alias("modified_date"))
+    old = o.filter(F.col("o_totalprice") > 50000).select("o_orderkey", "o_orderstatus", "o_totalprice")
     return CD.touch_modified(new, old, "o_orderkey", X.AS_OF)
 
 

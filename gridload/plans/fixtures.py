@@ -167,3 +167,14 @@ ORDERS_AFTER_SQL = """(SELECT o_orderkey, o_custkey,
  UNION ALL
  SELECT o_orderkey + 10000000000, o_custkey, o_orderstatus, o_totalprice, o_orderpriority
  FROM orders WHERE year(o_orderdate) = 2001 AND o_orderpriority = '3-MEDIUM')"""
+
+
+def customers_with_prospects(spark: SparkSession, d: str) -> DataFrame:
+    """All customers, and prospects without orders (copies of one segment's customers under negative keys)."""
+    c = table(spark, d, "customer")
+    prospects = c.filter(F.col("c_mktsegment") == "BUILDING").withColumn("c_custkey", -F.col("c_custkey"))
+    return c.unionByName(prospects)
+
+
+CUSTOMERS_WITH_PROSPECTS_SQL = ("(SELECT * FROM customer UNION ALL SELECT * REPLACE (-c_custkey AS c_custkey) FROM customer "
+                                "WHERE c_mktsegment = 'BUILDING')")
