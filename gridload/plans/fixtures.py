@@ -118,16 +118,6 @@ CUSTOMER_SHEET_SQL = """(SELECT
   c_mktsegment AS segment
 FROM customer)"""
 
-# -- sparse orders: big orders only, so some customers have none ---------------
-SPARSE_MIN_PRICE = 400000
-
-
-def sparse_orders(spark: SparkSession, d: str) -> DataFrame:
-    return orders(spark, d).filter(F.col("o_totalprice") > SPARSE_MIN_PRICE)
-
-
-SPARSE_ORDERS_SQL = f"(SELECT * FROM orders WHERE o_totalprice > {SPARSE_MIN_PRICE})"
-
 # -- before / after images of orders (change capture) --------------------------
 
 
