@@ -2,17 +2,19 @@
 
 Each page is parsed into elements, and every block element outside article prose gets a hash of its subtree
 (tag, class words, text with digits levelled, child hashes). Spark counts per host on how many pages each
-subtree hash occurs; subtrees that recur on at least ``min_pages`` pages and ``ratio`` of the host's pages are
-template and deleted, with all they hold. Elements that name themselves boilerplate (nav, footer, aside, form,
-script, class words such as ``ad`` or ``comments``) are counted too and always go. If a page has an article or
-main element, only what lies in it is main text; prose in it is never template, however often it recurs, only
-link-heavy boxes may be.
+subtree hash occurs, pages with equal main text as one; subtrees that recur on at least ``min_pages`` pages and
+``ratio`` of the host's pages are template and deleted, with all they hold. Elements that name themselves
+boilerplate (nav, footer, aside, form, script, class words such as ``ad`` or ``comments``) are counted too and
+always go. If a page has an article or main element, only what lies in it is main text. Boxes in it (div, section,
+lists, tables; in a main element without article also paragraphs) are counted like others, apart from those outside;
+a box with half of the article's text or more is its body and stays unless most of it is links. Prose tags of an
+article are not counted by themselves, so a paragraph that stands in no box stays however often it recurs.
 
 Text: character references decoded once, blanks in a block levelled to one space, blocks joined in page order by
 one space. Null html counts as empty and gives an empty text; unclosed, misnested and cut-off markup is
 read as far as it goes. Null urls form one host. Repeated rows are separate pages; extra columns aren't read; an
 empty table gives an empty result. Parsing state is one page; counts are partial and final aggregates, and only
-pages with undecided blocks (as a rule, those without an article element) take part in the join.
+pages with undecided blocks take part in the join.
 """
 
 from __future__ import annotations
@@ -48,6 +50,9 @@ overlay newsletter subscribe subscription signup login social share sharing rela
 comments respond replies reply disqus widget toolbar pagination pager skip copyright disclaimer""".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo search complementary dialog alertdialog form menu menubar".split())
 
+#: Parts of a list or table, which are counted with the whole of it where it stands in an article or main element.
+PARTS = frozenset("li tr tbody thead tfoot caption legend summary option".split())
+
 #: Deepest nesting that is kept.
 DEPTH = 512
 
@@ -65,11 +70,11 @@ def host_of(url: str | None) -> str:
 
 
 class _Element:
-    __slots__ = ("tag", "junk", "content", "digest", "counted", "first", "chars", "linked", "key")
+    __slots__ = ("tag", "junk", "content", "digest", "counted", "root", "chars", "linked", "key")
 
-    def __init__(self, tag: str, junk: bool, content: bool, words: str, counted: bool, first: int):
-        self.tag, self.junk, self.content, self.counted, self.first = tag, junk, content, counted, first
-        self.digest = hashlib.blake2b(f"{tag} {words}".encode(), digest_size=8) if counted else None
+    def __init__(self, tag: str, junk: bool, content: bool, words: str, counted: bool, root: _Element | None):
+        self.tag, self.junk, self.content, self.counted, self.root = tag, junk, content, counted, root
+        self.digest = hashlib.blake2b(f"{'in ' if root else ''}{tag} {words}".encode(), digest_size=8) if counted else None
         self.chars = self.linked = 0
         self.key = None
 
@@ -80,6 +85,8 @@ def parse_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
     stack: list[_Element] = []
     blocks: list[tuple[bool, str, list[_Element]]] = []  # in an article or main element, text, elements that may be template
     keys: set[int] = set()
+    inner: list[_Element] = []  # counted elements inside an article or main element
+    roots: list[_Element] = []  # open article and main elements
     buffer: list[str] = []
     raw = None  # an open element whose content is no markup
     junk = content = link = 0
@@ -98,14 +105,18 @@ def parse_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
             flush()
         stack.pop()
         junk, content, link = junk - e.junk, content - e.content, link - (e.tag == "a")
+        if e.content:
+            roots.pop()
         if e.counted:
             e.key = int.from_bytes(e.digest.digest(), "little", signed=True)
-            keys.add(e.key)
-            if content and not e.junk and 2 * e.linked < e.chars:
-                e.key = None  # prose in an article: never template
+            if e.root:
+                inner.append(e)
+            else:
+                keys.add(e.key)
         if stack:
             up = stack[-1]
-            up.chars, up.linked = up.chars + e.chars, up.linked + e.linked
+            if not e.junk:
+                up.chars, up.linked = up.chars + e.chars, up.linked + e.linked
             for up in reversed(stack):
                 if up.counted:
                     if e.key is not None:
@@ -190,14 +201,22 @@ def parse_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
         inside = not bad and not junk and (tag in ("article", "main") or role in ("main", "article"))
         if tag in BLOCK:
             flush()
-        stack.append(_Element(tag, bad, inside, words, tag in BLOCK and not (tag in PROSE and content or tag in ("html", "body")
-                                                                           or inside), len(blocks)))
+        kept = PROSE | PARTS if any(e.tag == "article" for e in roots) else PARTS if roots else ()
+        counted = tag in BLOCK and not (tag in kept or tag in ("html", "body") or inside)
+        stack.append(_Element(tag, bad, inside, words, counted, roots[0] if roots else None))
+        if inside:
+            roots.append(stack[-1])
         junk, content, link = junk + bad, content + inside, link + (tag == "a")
         if tag in RAW:
             raw = tag
     while stack:
         pop()
     flush()
+    for e in inner:
+        if not e.junk and 2 * e.chars >= e.root.chars and 2 * e.linked < e.chars:
+            e.key = None  # the body of the article, not a box in it
+        else:
+            keys.add(e.key)
     main = any(b[0] for b in blocks)
     return ([(text, sorted({e.key for e in held if e.key is not None})) for in_main, text, held in blocks if in_main == main],
             sorted(keys))
@@ -208,7 +227,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """Per page row: id, url, text (empty if none)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, texts, open_, counted = [], [], [], []
+            hosts, texts, open_, counted, digests = [], [], [], [], []
             for url, html in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 blocks, keys = parse_page(html or "")
                 undecided = any(k for _, k in blocks)
@@ -216,14 +235,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 texts.append(None if undecided else " ".join(t for t, _ in blocks))
                 open_.append([{"text": t, "keys": k} for t, k in blocks] if undecided else [])
                 counted.append(keys)
+                text = " ".join(t for t, _ in blocks).encode("utf-8", "surrogatepass")
+                digests.append(int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(hosts, pa.string()), pa.array(texts, pa.string()),
                  pa.array(open_, pa.list_(pa.struct([("text", pa.string()), ("keys", pa.list_(pa.int64()))]))),
-                 pa.array(counted, pa.list_(pa.int64()))], names=["id", "url", "host", "text", "blocks", "keys"])
+                 pa.array(counted, pa.list_(pa.int64())), pa.array(digests, pa.int64())],
+                names=["id", "url", "host", "text", "blocks", "keys", "digest"])
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     parsed = stage(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, url string, host string, text string, "
-                                   "blocks array<struct<text:string,keys:array<bigint>>>, keys array<bigint>")
+                                   "blocks array<struct<text:string,keys:array<bigint>>>, keys array<bigint>, digest bigint")
                    .withColumn("rid", F.monotonically_increasing_id()), "pages-parsed")
     template = template_subtrees(parsed, ratio, min_pages)
     open_ = parsed.where(F.col("text").isNull()).select("rid", "host", F.posexplode("blocks").alias("pos", "block"))
@@ -239,9 +261,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def template_subtrees(parsed: DataFrame, ratio: float, min_pages: int) -> DataFrame:
-    """host, key of the subtrees that recur on at least ``min_pages`` and ``ratio`` of a host's pages."""
-    totals = parsed.groupBy("host").agg(F.count("*").alias("host_pages"))
-    counts = (parsed.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("pages"))
-              .where(F.col("pages") >= min_pages))
+    """host, key of the subtrees that recur on at least ``min_pages`` and ``ratio`` of a host's pages.
+
+    Pages of a host with equal main text (copies) count as one.
+    """
+    totals = parsed.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
+    counts = (parsed.select("host", "digest", F.explode("keys").alias("key")).distinct()
+              .groupBy("host", "key").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages))
     return stage(counts.join(totals, "host").where(F.col("pages") >= F.lit(ratio) * F.col("host_pages")).select("host", "key"),
                  "pages-template")

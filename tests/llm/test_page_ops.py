@@ -55,6 +55,24 @@ def test_template_subtrees_go_and_prose_stays(spark):
     assert page_text.extract(pages_of(spark, [])).count() == 0
 
 
+def test_boxes_in_articles_are_counted_too(spark):
+    def page(i, words):
+        return (f"<article><h1>T {words}</h1><p>Same words everywhere</p><p>{words}</p><div class='x7'><p>Our letter, every {i} days</p></div>"
+                f"<ul><li>{words}</li><li>both</li></ul></article>")
+    name = lambda i: "abcdefghijklmnopqrst"[i] * 40
+    rows = [(i, "http://a.org/x", page(i, name(i))) for i in range(20)]
+    rows += [(100 + i, "http://b.org/x", page(1, "copy")) for i in range(20)]  # copies of one article
+    rows += [(200 + i, "http://c.org/x", f"<main><p>Buy now</p><div><p>{name(i)}</p></div></main>") for i in range(20)]
+    rows += [(300 + i, "http://d.org/x", f"<article><h1>{'abcdefghijklmnopqrst'[i]}</h1><div><p>body of the article</p></div></article>") for i in range(20)]
+    by = {r.page_id: r.text for r in page_text.extract(pages_of(spark, rows)).collect()}
+    assert len(by) == 80
+    for i in range(20):
+        assert by[i] == f"T {name(i)} Same words everywhere {name(i)} {name(i)} both"
+        assert by[100 + i] == "T copy Same words everywhere copy Our letter, every 1 days copy both"
+        assert by[200 + i] == name(i)
+        assert by[300 + i] == f"{'abcdefghijklmnopqrst'[i]} body of the article"
+
+
 def test_loser_tree():
     rng = random.Random(1)
     for _ in range(300):
