@@ -2,8 +2,8 @@
 
 Each page is parsed into elements, and every block element outside article prose gets a hash of its subtree
 (tag, class words, text with digits levelled, child hashes). Spark counts per host on how many pages each
-subtree hash occurs, pages with equal main text as one; subtrees that recur on at least ``min_pages`` pages and
-``ratio`` of the host's pages are template and deleted, with all they hold. Elements that name themselves
+subtree hash occurs, pages with equal main text as one; subtrees that recur on at least ``min_pages`` pages, or on
+``ratio`` of the host's pages and at least ``floor`` of them, are template and deleted, with all they hold. Elements that name themselves
 boilerplate (nav, footer, aside, form, script, class words such as ``ad`` or ``comments``) are counted too and
 always go. If a page has an article or main element, only what lies in it is main text. Boxes in it (div, section,
 lists, tables; in a main element without article also paragraphs) are counted like others, apart from those outside;
@@ -223,7 +223,7 @@ def parse_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ratio: float = 0.2,
-            min_pages: int = 10) -> DataFrame:
+            min_pages: int = 10, floor: int = 3) -> DataFrame:
     """Per page row: id, url, text (empty if none)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,7 +247,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     parsed = stage(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, url string, host string, text string, "
                                    "blocks array<struct<text:string,keys:array<bigint>>>, keys array<bigint>, digest bigint")
                    .withColumn("rid", F.monotonically_increasing_id()), "pages-parsed")
-    template = template_subtrees(parsed, ratio, min_pages)
+    template = template_subtrees(parsed, ratio, min_pages, floor)
     open_ = parsed.where(F.col("text").isNull()).select("rid", "host", F.posexplode("blocks").alias("pos", "block"))
     dropped = (open_.select("rid", "host", "pos", F.explode("block.keys").alias("key")).join(template, ["host", "key"])
                .select("rid", "pos").distinct())
@@ -260,13 +260,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             .withColumnRenamed("id", id_col))
 
 
-def template_subtrees(parsed: DataFrame, ratio: float, min_pages: int) -> DataFrame:
-    """host, key of the subtrees that recur on at least ``min_pages`` and ``ratio`` of a host's pages.
+def template_subtrees(parsed: DataFrame, ratio: float, min_pages: int, floor: int) -> DataFrame:
+    """host, key of the subtrees that recur on ``min_pages`` of a host's pages, or on ``ratio`` of them and ``floor`` pages.
 
     Pages of a host with equal main text (copies) count as one.
     """
     totals = parsed.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
     counts = (parsed.select("host", "digest", F.explode("keys").alias("key")).distinct()
-              .groupBy("host", "key").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages))
-    return stage(counts.join(totals, "host").where(F.col("pages") >= F.lit(ratio) * F.col("host_pages")).select("host", "key"),
-                 "pages-template")
+              .groupBy("host", "key").agg(F.count("*").alias("pages")).where(F.col("pages") >= min(floor, min_pages)))
+    often = (F.col("pages") >= min_pages) | (F.col("pages") >= F.lit(ratio) * F.col("host_pages"))
+    return stage(counts.join(totals, "host").where(often).select("host", "key"), "pages-template")

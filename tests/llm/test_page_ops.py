@@ -73,6 +73,17 @@ def test_boxes_in_articles_are_counted_too(spark):
         assert by[300 + i] == f"{'abcdefghijklmnopqrst'[i]} body of the article"
 
 
+def test_template_of_small_and_of_large_hosts(spark):
+    words = [a + b for a in "abcdefghij" for b in "abcdefghij"]
+    rows = [(i, "http://tiny.org/x", f"<div>All rights kept</div><div>{words[i]}</div>") for i in range(4)]
+    rows += [(100 + i, "http://large.org/x", ("<div>Section of news</div>" if i < 12 else "") + f"<div>{w}</div>") for i, w in enumerate(words)]
+    rows += [(300 + i, "http://pair.org/x", f"<div>On both pages</div><div>{words[i]}</div>") for i in range(2)]
+    by = {r.page_id: r.text for r in page_text.extract(pages_of(spark, rows)).collect()}
+    assert [by[i] for i in range(4)] == words[:4]
+    assert [by[100 + i] for i in range(100)] == words
+    assert by[300] == f"On both pages {words[0]}"
+
+
 def test_loser_tree():
     rng = random.Random(1)
     for _ in range(300):
