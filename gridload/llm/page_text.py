@@ -11,7 +11,7 @@ a box with half of the article's text or more is its body and stays unless most
 article are not counted by themselves, so a paragraph that stands in no box stays however often it recurs.
 
 Text: character references decoded once, blanks in a block levelled to one space, blocks joined in page order by
-one space. Null html counts as empty and gives an empty text; unclosed, misnested and cut-off markup is
+one space. Elements nest to any depth. Null html counts as empty and gives an empty text; unclosed, misnested and cut-off markup is
 read as far as it goes. Null urls form one host. Repeated rows are separate pages; extra columns aren't read; an
 empty table gives an empty result. Parsing state is one page; counts are partial and final aggregates, and only
 pages with undecided blocks take part in the join.
@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -53,10 +54,7 @@ BOILERPLATE_ROLES = frozenset("navigation banner contentinfo search complementar
 #: Parts of a list or table, which are counted with the whole of it where it stands in an article or main element.
 PARTS = frozenset("li tr tbody thead tfoot caption legend summary option".split())
 
-#: Deepest nesting that is kept.
-DEPTH = 512
-
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'){0,5000})(?:>|\Z)|[^<]+|<""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|[^<]+|<""", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _WORDS = re.compile(r"[a-z0-9]+")
 
@@ -70,10 +68,10 @@ def host_of(url: str | None) -> str:
 
 
 class _Element:
-    __slots__ = ("tag", "junk", "content", "digest", "counted", "root", "chars", "linked", "key")
+    __slots__ = ("tag", "junk", "content", "digest", "counted", "root", "up", "chars", "linked", "key")
 
-    def __init__(self, tag: str, junk: bool, content: bool, words: str, counted: bool, root: _Element | None):
-        self.tag, self.junk, self.content, self.counted, self.root = tag, junk, content, counted, root
+    def __init__(self, tag: str, junk: bool, content: bool, words: str, counted: bool, root: _Element | None, up: _Element | None):
+        self.tag, self.junk, self.content, self.counted, self.root, self.up = tag, junk, content, counted, root, up
         self.digest = hashlib.blake2b(f"{'in ' if root else ''}{tag} {words}".encode(), digest_size=8) if counted else None
         self.chars = self.linked = 0
         self.key = None
@@ -83,7 +81,9 @@ def parse_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
     """Blocks of main text, each with the keys of the subtrees that delete it if they are template; and the
     distinct keys of all counted subtrees."""
     stack: list[_Element] = []
-    blocks: list[tuple[bool, str, list[_Element]]] = []  # in an article or main element, text, elements that may be template
+    blocks: list[tuple[bool, str, _Element | None]] = []  # in an article or main element, text, innermost element that may be template
+    open_: Counter[str] = Counter()  # elements of each tag in the stack
+    held: _Element | None = None  # innermost open counted element
     keys: set[int] = set()
     inner: list[_Element] = []  # counted elements inside an article or main element
     roots: list[_Element] = []  # open article and main elements
@@ -96,18 +96,20 @@ def parse_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
             text = " ".join("".join(buffer).split())
             buffer.clear()
             if text:
-                blocks.append((content > 0, text, [e for e in stack if e.counted]))
+                blocks.append((content > 0, text, held))
 
     def pop() -> None:
-        nonlocal junk, content, link
+        nonlocal junk, content, link, held
         e = stack[-1]
         if e.tag in BLOCK:
             flush()
         stack.pop()
+        open_[e.tag] -= 1
         junk, content, link = junk - e.junk, content - e.content, link - (e.tag == "a")
         if e.content:
             roots.pop()
         if e.counted:
+            held = e.up
             e.key = int.from_bytes(e.digest.digest(), "little", signed=True)
             if e.root:
                 inner.append(e)
@@ -117,11 +119,8 @@ def parse_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
             up = stack[-1]
             if not e.junk:
                 up.chars, up.linked = up.chars + e.chars, up.linked + e.linked
-            for up in reversed(stack):
-                if up.counted:
-                    if e.key is not None:
-                        up.digest.update(e.key.to_bytes(8, "little", signed=True))
-                    break
+        if held and e.key is not None:
+            held.digest.update(e.key.to_bytes(8, "little", signed=True))
 
     at = 0
     while at < len(html):
@@ -145,12 +144,10 @@ def parse_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
                 text = token if junk else entities.unescape(token)
                 if not junk:
                     buffer.append(text)
-                for e in reversed(stack):
-                    if e.counted:
-                        level = re.sub(r"\d+", "0", " ".join(text.split()))
-                        if level:
-                            e.digest.update(level.encode("utf-8", "surrogatepass"))
-                        break
+                if held:
+                    level = re.sub(r"\d+", "0", " ".join(text.split()))
+                    if level:
+                        held.digest.update(level.encode("utf-8", "surrogatepass"))
                 if stack:
                     n = len(text.strip())
                     stack[-1].chars += n
@@ -158,9 +155,9 @@ def parse_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag == "br" or tag == "p" and not any(e.tag == "p" for e in stack):
+            if tag == "br" or tag == "p" and not open_["p"]:
                 flush() if tag == "p" else buffer.append(" ")
-            elif any(e.tag == tag for e in stack):
+            elif open_[tag]:
                 while stack[-1].tag != tag:
                     pop()
                 pop()
@@ -170,7 +167,7 @@ def parse_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
                 buffer.append(" ") if tag == "br" else flush()
             continue
         if tag in CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if open_["p"] else ():
                 if stack[i].tag == "p":
                     while len(stack) > i:
                         pop()
@@ -179,15 +176,13 @@ def parse_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
                     break
         elif tag in ENDS:
             kinds, bounds = ENDS[tag]
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if any(open_[k] for k in kinds) else ():
                 if stack[i].tag in bounds:
                     break
                 if stack[i].tag in kinds:
                     while len(stack) > i:
                         pop()
                     break
-        if len(stack) >= DEPTH and tag not in RAW:  # as browsers do: deeper elements aren't nested
-            continue
         attrs = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(m[3])} if m[3].strip(" /") else {}
         words = " ".join(attrs.get(k, "") for k in ("class", "id")).lower()
         role = attrs.get("role", "").lower()
@@ -203,7 +198,10 @@ def parse_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
             flush()
         kept = PROSE | PARTS if any(e.tag == "article" for e in roots) else PARTS if roots else ()
         counted = tag in BLOCK and not (tag in kept or tag in ("html", "body") or inside)
-        stack.append(_Element(tag, bad, inside, words, counted, roots[0] if roots else None))
+        stack.append(_Element(tag, bad, inside, words, counted, roots[0] if roots else None, held))
+        open_[tag] += 1
+        if counted:
+            held = stack[-1]
         if inside:
             roots.append(stack[-1])
         junk, content, link = junk + bad, content + inside, link + (tag == "a")
@@ -218,8 +216,14 @@ def parse_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
         else:
             keys.add(e.key)
     main = any(b[0] for b in blocks)
-    return ([(text, sorted({e.key for e in held if e.key is not None})) for in_main, text, held in blocks if in_main == main],
-            sorted(keys))
+
+    def around(e: _Element | None) -> Iterator[int]:
+        while e:
+            if e.key is not None:
+                yield e.key
+            e = e.up
+
+    return [(text, sorted(set(around(e)))) for in_main, text, e in blocks if in_main == main], sorted(keys)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ratio: float = 0.2,

@@ -38,6 +38,16 @@ def test_parse(html, want):
     assert " ".join(t for t, _ in blocks) == want
 
 
+@pytest.mark.parametrize("html,want", [
+    ("<div><article>a" + "<div>" * 600 + "b" + "</div>" * 600 + "<p>rest</p></article></div><p>no</p>", "a b rest"),
+    ("<article>" + "<div>" * 600 + "<nav>menu</nav>b</article>", "b"),
+    ("<article><p>a</p><nav data-x=" + "v" * 6000 + ">menu</nav><p>b</p></article>", "a b"),
+    ("<i>" * 50_000 + "x</b>" * 50_000, " ".join(["x" * 50_000])),
+])
+def test_parse_of_deep_markup(html, want):
+    assert " ".join(t for t, _ in page_text.parse_page(html)[0]) == want
+
+
 def test_template_subtrees_go_and_prose_stays(spark):
     rows = [(i, f"https://www.site.com/{i}", f"<div><p>Welcome to our site 12{i}</p></div><div><p>story {i}</p><p>body {i * 7} é</p></div>"[:200 if i else None]) for i in range(30)]
     rows = [(i, u, h.replace(f"12{i}", "2024").replace(f"story {i}", "story " + "abcdefghij"[i % 10] * (i + 1))
