@@ -6,14 +6,16 @@ that point at it) is joined with itself, and every member keeps the best partner
 neighbours, found by joins. The graph is a staged table after each turn.
 
 Search: each query keeps a beam of its best ``ef`` nodes; per round the best unexpanded ones are joined to the
-graph and their neighbours scored, until the beam is expanded. The best candidates are ranked by the cosine in
-double precision over the original vectors, ties to the smaller id. Query vectors are broadcast in blocks of at
-most ``BLOCK_BYTES``; each block is searched against the whole graph.
+graph and their neighbours scored by their distance in floats, until the beam is expanded. Every node within float
+error of the best ``k`` is ranked by the cosine in double precision, ties to the smaller id. Query vectors are
+broadcast in blocks of at most ``BLOCK_BYTES``; each block is searched against the whole graph.
 
-Degrees, beam and turns are the method's parameters: they trade recall (measured against brute force in the
-tests and the README) for work; every row is indexed. Graph turns compare 8-bit codes, the search compares floats.
+Graph turns compare 8-bit codes, which can't tell members of a group of nearly equal vectors apart. Queries whose whole
+beam lies within ``CROWDED`` of their ``k`` best are therefore answered by an exact scan over all nodes. For the others
+the beam follows measured recall: a sample of queries is scanned exactly, and the beam doubles while it finds less than
+``RECALL`` of the sample's neighbours; once a beam could visit as many nodes as there are, the scan answers all.
 
-Vectors that are null, zero, or hold null or non-finite components take no part; nor do rows without an id or with
+Vectors whose directions agree to twelve decimals count as equal. Vectors that are null, zero, or hold null or non-finite components take no part; nor do rows without an id or with
 another length than most. Repeated rows are candidates like others, with equal ids listed once
 each per row. An empty table gives an empty result. Extra columns aren't read.
 """
@@ -31,6 +33,10 @@ from pyspark.sql import functions as F
 from gridload.llm.common import stage
 
 BLOCK_BYTES = 16 << 20
+#: Share of a sample's exact neighbours that the beam must find, and queries in the sample.
+RECALL, SAMPLE = 0.995, 200
+#: Cosines closer than this are not told apart by the graph's 8-bit codes.
+CROWDED = 1e-3
 
 
 def _usable(col: str) -> Column:
@@ -221,9 +227,10 @@ def build_graph(nodes: DataFrame, width: int, degree: int = 24, size: int = 48,
     return graph
 
 
-def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, width: int, ef: int = 400, step: int = 64, back: int = 24,
-           top: int = 50) -> DataFrame:
-    """query, node, sim: the best ``top`` nodes of each query's beam. ``queries``: query, node (its own)."""
+def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, width: int, k: int, ef: int = 400, step: int = 64,
+           back: int = 24) -> DataFrame:
+    """query, node, crowded: the nodes of each query's beam within float error of its ``k`` + 1 best, and whether the
+    whole beam is nearly as near. ``queries``: query, node (its own)."""
     spark = queries.sparkSession
     ahead = graph.select("node", F.explode("nbrs").alias("nbr"))
     pointing = (graph.select(F.explode(F.arrays_zip("nbrs", "sims")).alias("e"), F.col("node").alias("nbr"))
@@ -232,21 +239,74 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, width: int, e
     pointing = pointing.withColumn("at", F.row_number().over(near)).where(F.col("at") <= back).select("node", "nbr")
     links = stage(ahead.union(pointing).distinct().groupBy("node").agg(F.collect_list("nbr").alias("nbrs")), "ann-links")
     own = queries.join(nodes.select("node", "unit"), "node").select("query", "node", "unit")
-    most, total, parts = max(1, BLOCK_BYTES // (4 * width)), own.count(), 1
+    out = None
+    for block in _blocks(own, 4 * width):
+        found = _search_block(spark, block, links, nodes, width, k, ef, step)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _blocks(own: DataFrame, row_bytes: int) -> list[DataFrame]:
+    """The rows by hash in blocks of at most ``BLOCK_BYTES``; the sizes are checked before anything is broadcast."""
+    most, total = max(1, BLOCK_BYTES // row_bytes), own.count()
     parts = max(1, -(-5 * total // (4 * most)))
-    while True:  # blocks by hash; their sizes are checked before anything is broadcast
+    while True:
         dealt = own.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(parts)))
         if (dealt.groupBy("block").count().agg(F.max("count")).first()[0] or 0) <= most:
             break
         parts *= 2
-    dealt, out = stage(dealt, "ann-queries"), None
-    for block in range(parts):
-        found = _search_block(spark, dealt.where(F.col("block") == block), links, nodes, width, ef, step, top)
+    dealt = stage(dealt, "ann-queries")
+    return [dealt.where(F.col("block") == block) for block in range(parts)]
+
+
+def _scan(own: DataFrame, names: DataFrame, width: int, k: int) -> DataFrame:
+    """query, node, sim: the exact ``k`` + 1 nearest nodes of each query. ``own``: query, vec; ``names``: node, vec."""
+    best, out = Window.partitionBy("query").orderBy(F.desc("sim"), "node"), None
+    for block in _blocks(own, 8 * width):
+        found = _scan_block(block, names, width, k)
+        found = found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1).drop("at")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _search_block(spark, own: DataFrame, links: DataFrame, nodes: DataFrame, width: int, ef: int, step: int, top: int) -> DataFrame:
+def _scan_block(own: DataFrame, names: DataFrame, width: int, k: int) -> DataFrame:
+    def units(col) -> np.ndarray:
+        v = col.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        v = v / np.abs(v).max(axis=1, keepdims=True)
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    rows = own.select("query", "vec").toArrow()
+    shared = own.sparkSession.sparkContext.broadcast((rows.column("query").to_numpy(), units(rows.column("vec").combine_chunks())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, unit = shared.value
+        q, n, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        low = np.full(len(asked), -2.0)  # the worst of a full list
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                ids, x = part.column(0).to_numpy(), units(part.column(1))
+                parts = [(q, n, s)]
+                for lo in range(0, len(asked), 1024):
+                    sims = unit[lo: lo + 1024] @ x.T
+                    bar = low[lo: lo + 1024]
+                    if len(ids) > k + 1:
+                        bar = np.maximum(bar, np.partition(sims, -(k + 1), axis=1)[:, -(k + 1)])
+                    r, c = np.nonzero(sims >= bar[:, None])
+                    parts.append((r + lo, ids[c], sims[r, c]))
+                q, n, s = (np.concatenate(p) for p in zip(*parts))
+                order = np.lexsort((n, -s, q))
+                q, n, s = q[order], n[order], s[order]
+                rank = np.arange(len(q)) - np.searchsorted(q, q)
+                ok = rank <= k
+                low[q[rank == k]] = s[rank == k]
+                q, n, s = q[ok], n[ok], s[ok]
+        yield pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(n), pa.array(s)], names=["query", "node", "sim"])
+
+    return names.select("node", "vec").mapInArrow(run, "query bigint, node bigint, sim double")
+
+
+def _search_block(spark, own: DataFrame, links: DataFrame, nodes: DataFrame, width: int, k: int, ef: int, step: int) -> DataFrame:
     rows = own.select("query", "unit").distinct().toArrow()
     order = np.argsort(rows.column("query").to_numpy(), kind="stable")
     names = rows.column("query").to_numpy()[order]
@@ -257,14 +317,15 @@ def _search_block(spark, own: DataFrame, links: DataFrame, nodes: DataFrame, wid
         for b in batches:
             q = b.column(0).to_numpy()
             x = _matrix(b.column(2), np.float32, width)
-            s = np.einsum("ij,ij->i", unit[np.searchsorted(known, q)], x)
+            gap = unit[np.searchsorted(known, q)] - x  # of near vectors the difference is exact, a product isn't
+            s = -0.5 * np.einsum("ij,ij->i", gap, gap)  # the cosine less one
             ok = s > b.column(3).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(b.column(1).to_numpy()[ok]), pa.array(s[ok])],
                                              names=["query", "node", "sim"])
 
     best = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
-    beam = stage(own.select("query", "node", F.lit(1.0).cast("float").alias("sim"), F.lit(0).alias("done"), F.lit(1).alias("at"),
-                            F.lit(-2.0).cast("float").alias("bar")).distinct(), "ann-beam")
+    beam = stage(own.select("query", "node", F.lit(0.0).cast("float").alias("sim"), F.lit(0).alias("done"), F.lit(1).alias("at"),
+                            F.lit(-3.0).cast("float").alias("bar")).distinct(), "ann-beam")
     while True:
         turn = Window.partitionBy("query").orderBy("at")
         front = beam.where("done = 0").withColumn("k", F.row_number().over(turn)).where(F.col("k") <= step)
@@ -279,9 +340,41 @@ def _search_block(spark, own: DataFrame, links: DataFrame, nodes: DataFrame, wid
         merged = (old.unionByName(fresh.withColumn("done", F.lit(0))).groupBy("query", "node")
                   .agg(F.max("sim").alias("sim"), F.max("done").alias("done")).withColumn("at", F.row_number().over(best))
                   .where(F.col("at") <= ef))
-        bar = F.when(F.count("*").over(Window.partitionBy("query")) >= ef, F.min("sim").over(Window.partitionBy("query"))).otherwise(-2.0)
+        bar = F.when(F.count("*").over(Window.partitionBy("query")) >= ef, F.min("sim").over(Window.partitionBy("query"))).otherwise(-3.0)
         beam = stage(merged.withColumn("bar", bar.cast("float")), "ann-beam")
-    return beam.where(F.col("at") <= top).select("query", "node", "sim")
+    whole, sim = Window.partitionBy("query"), F.col("sim").cast("double")
+    last = F.max(F.when(F.col("at") == k + 1, sim)).over(whole)
+    error = 2e-5 * F.abs(last) + 2e-7 * F.sqrt(2 * F.abs(last)) + 1e-13
+    return (beam.withColumn("crowded", (F.max("at").over(whole) >= ef) & (F.min(sim).over(whole) >= last - CROWDED))
+            .withColumn("least", last - error).where(F.col("least").isNull() | (sim >= F.col("least")))
+            .select("query", "node", "crowded"))
+
+
+def _follow(asking: DataFrame, graph: DataFrame, nodes: DataFrame, names: DataFrame, width: int, k: int, ef: int = 400,
+            step: int = 64, back: int = 24) -> DataFrame:
+    """query, node: the candidates of each query, by beams whose recall on a sample is measured, or by an exact scan."""
+    queries = asking.select("query", "node")
+    total = nodes.count()
+    degree = graph.agg(F.max(F.size("nbrs"))).first()[0] or 0
+    while True:
+        found = stage(search(queries, graph, nodes, width, k, ef=ef, step=step, back=back), "ann-found")
+        crowded = found.where("crowded").select("query").distinct()
+        calm = asking.join(crowded, "query", "left_anti")
+        sample = stage(calm.orderBy(F.xxhash64("query")).limit(SAMPLE), "ann-sample")
+        truth = _scan(sample.select("query", "vec"), names, width, k).join(sample.select("query", F.col("node").alias("own")), "query")
+        place = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
+        truth = truth.where("node != own").withColumn("at", F.row_number().over(place)).where(F.col("at") <= k)
+        hit = truth.join(found.select("query", "node", F.lit(1).alias("hit")), ["query", "node"], "left").agg(
+            F.count("*").alias("n"), F.count("hit").alias("hits")).first()
+        if hit["hits"] >= RECALL * hit["n"]:
+            exact = crowded
+            break
+        ef *= 2
+        if ef * (degree + back) >= total:
+            exact = queries.select("query")
+            break
+    scanned = _scan(asking.join(exact, "query", "left_semi").select("query", "vec"), names, width, k)
+    return stage(found.join(exact, "query", "left_anti").select("query", "node").unionByName(scanned.select("query", "node")), "ann-candidates")
 
 
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5,
@@ -296,18 +389,20 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
         return vectors.sparkSession.createDataFrame([], empty)
     width = first["n"]
     clean = clean.where(F.size("vec") == width)
-    key = F.struct(F.xxhash64("vec").alias("h1"), F.hash("vec").alias("h2"))
-    ranked = clean.withColumn("same", key).withColumn("at", F.row_number().over(Window.partitionBy("same").orderBy("id")))
+    most = F.array_max(F.transform("vec", F.abs))
+    same = F.transform("vec", lambda x: F.rint(x / most * 1e12).cast("long"))
+    clean = stage(clean.withColumn("same", F.struct(F.xxhash64(same).alias("h1"), F.hash(same).alias("h2"))), "ann-keyed")
+    ranked = clean.withColumn("at", F.row_number().over(Window.partitionBy("same").orderBy("id")))
     # of equal vectors, only the k+1 smallest ids can be among anyone's k nearest
     heads = stage(ranked.where(F.col("at") <= k + 1).select("same", "id", "vec", "at"), "ann-heads")
     names = heads.where("at = 1").select("same", F.col("id").alias("node"), "vec")
     nodes = stage(_encode(names.select("node", "vec"), width), "ann-nodes")
     graph = build_graph(nodes, width, **{x: v for x, v in options.items() if x in ("degree", "size", "partners", "turns")})
-    asking = (clean.where(F.col("asks")).withColumn("same", key).join(names.select("same", "node"), "same")
-              .select(F.col("id").alias("query"), "node").distinct())
-    found = stage(search(asking, graph, nodes, width, **{x: v for x, v in options.items() if x in ("ef", "step", "back", "top")}), "ann-found")
-    members = heads.join(names.select("same", "node"), "same").select("node", "id", "vec")
-    asked = clean.where(F.col("asks")).select(F.col("id").alias("query"), F.col("vec").alias("qvec")).dropDuplicates(["query"])
+    asking = stage(clean.where(F.col("asks")).dropDuplicates(["id"]).select("same", F.col("id").alias("query"), F.col("vec").alias("qvec"))
+                   .join(names.select("same", "node"), "same").select("query", "node", F.col("qvec").alias("vec")), "ann-asking")
+    found = _follow(asking, graph, nodes, names, width, k, **{x: v for x, v in options.items() if x in ("ef", "step", "back")})
+    members = heads.select("same", "id").join(names, "same").select("node", "id", "vec")
+    asked = asking.select("query", F.col("vec").alias("qvec"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     score = dot(F.col("vec"), F.col("qvec")) / (F.sqrt(dot(F.col("vec"), F.col("vec"))) * F.sqrt(dot(F.col("qvec"), F.col("qvec"))))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")

@@ -160,6 +160,21 @@ def test_nearest(spark):
     assert all([r for r, _, _ in sorted(g)] == [1, 2, 3, 4, 5] for g in got.values())
 
 
+def test_nearest_in_a_group_of_nearly_equal_vectors(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=12)
+    vecs = [list(map(float, v)) for v in (*(centre + 3e-5 * rng.normal(size=(2500, 12))), *rng.normal(size=(500, 12)))]
+    vecs[2990:] = [[3.1 * x for x in vecs[2980]] for _ in range(10)]  # equal directions
+    df = spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 80).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id))
+    want = brute(list(range(3000)), vecs, lambda i: i % 100 == 80, 5)
+    assert set(got) == set(want)
+    assert sum(len(set(want[q]) & {i for _, i in got[q]}) for q in want if q < 2500) >= 0.98 * 5 * 25
+    assert [i for _, i in sorted(got[2980])] == [2990, 2991, 2992, 2993, 2994]
+
+
 def test_nearest_of_few(spark):
     schema = "vec_id long, embedding array<float>"
     assert ann.nearest(spark.createDataFrame([], schema), F.lit(True)).count() == 0
