@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridload.llm.common import (BoundedFilter, Words, as_long, blank_mask, gram_starts, grams, mix, stage, text_slices)
+from gridload.llm.common import WORD, BoundedFilter, Words, as_long, blank_mask, gram_starts, grams, mix, stage, text_slices
 from gridload.llm.components import components
 
 BANDS, ROWS = 25, 4
@@ -259,15 +259,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with one of each near-duplicate group: that with the smallest id (null last).
 
-    Documents without words stay. Of repeated rows (equal id and text) one stays.
+    Rows without words all stay, repeated ones too. Of repeated rows with words (equal id and text) one stays.
     """
+    worded = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
     found = near_duplicates(docs, id_col, text_col, **options)
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "th")
-    kept = (found.where(F.col("grp").isNotNull()).groupBy("grp").agg(F.min(rank).alias("f")).select("f.id", "f.th")
-            .unionByName(found.where(F.col("grp").isNull()).select("id", "th").distinct()))
+    kept = found.where(F.col("grp").isNotNull()).groupBy("grp").agg(F.min(rank).alias("f")).select("f.id", "f.th")
     kept = stage(kept.select(F.xxhash64("id", "th").alias("k")).distinct(), "nd-kept")
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col), F.xxhash64(text_col)).alias("k"))
-    return rows.join(kept, "k", "left_semi").dropDuplicates(["k"]).select("row.*")
+    rows = docs.where(worded).select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col), F.xxhash64(text_col)).alias("k"))
+    return rows.join(kept, "k", "left_semi").dropDuplicates(["k"]).select("row.*").unionByName(docs.where(~worded))
 
 
 def _head(col: str):

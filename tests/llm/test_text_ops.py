@@ -105,6 +105,12 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted(want)
 
 
+def test_rows_without_words_all_stay(spark):
+    rows = [(None, None), (None, None), (None, ""), (7, " \n"), (7, " \n"), (8, "a b c"), (8, "a b c")]
+    out = minhash.one_of_each(docs_of(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in out) == [(0, ""), (0, ""), (0, ""), (7, " \n"), (7, " \n"), (8, "a b c")]
+
+
 def test_no_documents(spark):
     none = docs_of(spark, [])
     assert minhash.near_duplicates(none).count() == 0
