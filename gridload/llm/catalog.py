@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridload.llm import ann, decontaminate, line_dedup, minhash, mixing, page_text, secrets, sharding, toxicity, warc
+from gridload.llm import ann, decontaminate, line_dedup, minhash, mixing, page_text, secrets, sharding, toxicity, warc, whitening
 from gridload.llm.common import stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -260,3 +260,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["hi"] - s["lo"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+# ---- 11 embedding whitening -------------------------------------------------------------------------
+
+@query("op11_whiten")
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, fit, error = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    share = F.array(*[F.lit(float(v)) for v in fit.explained]).cast("array<double>")
+    each = rows.select(F.col("id").alias("vec_id"), F.lit(fit.n).cast("long").alias("n"),
+                       F.expr("try_cast(deviation AS bigint)").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened",
+                       F.get(share, F.col("at")).alias("explained"), F.lit(error).cast("double").alias("identity_error"))
