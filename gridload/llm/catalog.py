@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridload.llm import ann, decontaminate, line_dedup, minhash, mixing, negatives, page_text, secrets, sharding, toxicity, warc, whitening
+from gridload.llm import ann, decontaminate, gram_join, line_dedup, minhash, mixing, negatives, page_text, secrets, sharding, toxicity, warc, whitening
 from gridload.llm.common import stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -274,6 +274,19 @@ def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.get(share, F.col("at")).alias("explained"), F.lit(error).cast("double").alias("identity_error"))
 
 
+# ---- 12 n-gram Jaccard join -------------------------------------------------------------------------
+
+#: The exhaustive join of operator 7's SQL, with five-word shingles.
+JOIN_SQL = NEAR_SQL.replace("least(4, len(w))", "least(5, len(w))").replace("len(w) - 3", "len(w) - 4").replace(
+    ", documents.doc_id = component_id AS kept", "")
+
+
+@query("op12_gram_join", JOIN_SQL)
+def op12_gram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = gram_join.gram_join(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 # ---- 13 hard negatives ------------------------------------------------------------------------------
 
 HARD_SQL = """

@@ -273,7 +273,7 @@ def mine(rows: DataFrame, is_anchor: Column, id_col: str = "vec_id", label_col:
     width, total = usual_width(clean, "vec")
     if not width:
         return spark.createDataFrame([], out_type)
-    fits = math.isqrt((1 << 62) // width)
+    fits = math.isqrt(_MOST // width)
 
     def integers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
