@@ -13,13 +13,17 @@ both prefixes, and by the sum at least one part shares as many tokens as its cla
 number of parts follows the size band [2^b, 2^(b+1)) so that the sum can always be reached; a set indexes its combinations for its
 own band and for that of its largest possible partner, which covers every pair of sizes.
 
-Document counts are exact sums over all texts, taken in ``SLICES`` ranges of tokens to bound the disk. A document with
-enough tokens that a bounded prefilter knows to be rare needs no lookup; the others' tokens are joined with the counts.
-
-Candidates are the members of a bucket (one indexed token or combination). Buckets with the same members are kept once.
-Members are verified on full sets against one leader of the bucket first; members still in another component than the
-bucket's largest are then compared with all members of other components there: as joined pairs in small buckets, in
-blocks of bounded rows and bytes within tasks in large ones, which return links only.
+A token's class only has to be the same for every document, so counting is lazy: first all documents show the tokens of
+their prefix by hash alone, and tokens shown by over ``RARE`` documents are frequent; for each frequent token that its prefix
+passes over, a document shows two of the others, until hardly any new token turns frequent. Most tokens are never shuffled. A bounded
+prefilter holds the frequent tokens: what it doesn't know is rare; documents without enough rare tokens have the
+others' counts joined to them. Where it fills up, more tokens are looked up; the links stay the same.
+
+Candidates are the members of a bucket (one indexed token or combination and a size band). Buckets with the same members
+are kept once. Members meet one leader of the bucket first; members still in another component than the bucket's
+largest are then compared with all members of other components there: as joined pairs in small buckets, in
+blocks of bounded rows and bytes within tasks in large ones, which return links only. Pairs are first held against
+bitmaps of about four bits a token, which rule most unlike pairs out, and then verified on their full sets.
 
 Null or empty texts have empty sets, linked with nothing. Equal sets are one node. Repeated rows are separate documents
 of one set. Ties go to the smallest id; null ids sort last. An empty table gives an empty result. Extra columns
@@ -44,10 +48,10 @@ from gridload.llm.minhash import set_ids, shingle_sets
 
 #: Documents that may hold a token of class 1 and of class 2.
 RARE, COMMON = 32, 1024
-SLICES = 2
+#: Turns end when they add no more than this share of frequent tokens; some then stay in class 1.
+LATE = 0.01
 #: A bucket of over SMALL members is compared in blocks of at most CHUNK members and about CHUNK_BYTES of tokens.
 SMALL, CHUNK, CHUNK_BYTES = 24, 256, 4 << 20
-_SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _binary16(ids: np.ndarray) -> pa.Array:
@@ -76,6 +80,11 @@ def bands_of(n: int, percent: int) -> range:
     return range(n.bit_length() - 1, max(n, n * 100 // percent).bit_length())
 
 
+def _salted(band: int, k: int) -> np.uint64:
+    """Tells the keys of a band and number of tokens from all others."""
+    return np.uint64((band * 8 + k) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+
+
 @cache
 def _picks(n: int, k: int) -> np.ndarray:
     return np.array(list(combinations(range(n), k)), dtype=np.int64).reshape(-1, k)
@@ -83,11 +92,9 @@ def _picks(n: int, k: int) -> np.ndarray:
 
 def combined(tokens: np.ndarray, counts: np.ndarray, n: int, left: int, percent: int, rare: int, common: int) -> np.ndarray:
     """Bucket keys of a set beyond its known rare tokens: ``left`` more misses to cover with ``tokens`` (sorted)."""
-    few = tokens[counts <= rare][:left]
-    out, left = [mix(few ^ _SALT)], left - len(few)
-    if left <= 0:
-        return out[0]
-    for band in bands_of(n, percent):
+    few, bands = tokens[counts <= rare][:left], bands_of(n, percent)
+    out, left = [mix(few ^ _salted(band, 1)) for band in bands], left - len(few)
+    for band in bands if left > 0 else ():
         missing = left
         for level, (k, parts) in parts_of(band, percent).items():
             mine = tokens[(counts > rare) & (counts <= common)] if level == 2 else tokens[counts > common]
@@ -100,7 +107,7 @@ def combined(tokens: np.ndarray, counts: np.ndarray, n: int, left: int, percent:
                 group = group[: missing + k - 1]
                 missing -= len(group) - (k - 1)
                 picked = group[_picks(len(group), k)]
-                key = np.full(len(picked), np.uint64(band * 8 + k + 1) * _SALT, dtype=np.uint64)
+                key = np.full(len(picked), _salted(band, k), dtype=np.uint64)
                 for j in range(k):
                     key = mix(key ^ picked[:, j])
                 out.append(key)
@@ -142,47 +149,82 @@ def _each_set(texts: DataFrame, k: int, may_lead, then, schema: str) -> DataFram
     return texts.mapInArrow(run, schema)
 
 
-def _count_tokens(texts: DataFrame, k: int, may_lead) -> DataFrame:
-    """token, c: the documents that hold each token, of tokens in more than one."""
-    def of(part: int):
+def _needed(n: np.ndarray, percent: int) -> np.ndarray:
+    """Tokens that a prefix of single tokens takes; none for sets that only an equal set can reach."""
+    common = _least_common(n, percent)
+    return np.where((common == n) & (n * 100 // percent == n), 0, n - common + 1)
+
+
+def _ranks(among: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Of each token its place among the marked ones of its set, from 1."""
+    run = np.cumsum(among)
+    start = np.concatenate(([0], run))[bounds[:-1]]
+    return run - np.repeat(start, np.diff(bounds))
+
+
+def _count_tokens(texts: DataFrame, k: int, percent: int, may_lead, rare: int) -> tuple[DataFrame, BoundedFilter]:
+    """token, c: the documents that showed each token, of all tokens that two can have in their prefixes; the frequent ones."""
+    spark = texts.sparkSession
+
+    def shown(flat, bounds, need, owner, frequent) -> np.ndarray:
+        rank = _ranks(~frequent, bounds)
+        passed = np.bincount(owner[frequent & (rank < need[owner])], minlength=len(need))  # frequent tokens before the prefix's end
+        return ~frequent & (rank <= (need + passed)[owner])
+
+    def of(turn: int, now, before):
         def run(flat, bounds, ids) -> Iterator[pa.RecordBatch]:
-            token, c = np.unique(flat[flat % np.uint64(SLICES) == np.uint64(part)], return_counts=True)
+            n = np.diff(bounds)
+            need, owner, none = _needed(n, percent), np.repeat(np.arange(len(n)), n), np.zeros(len(flat), dtype=bool)
+            show = shown(flat, bounds, need, owner, now(flat) if now else none)
+            if turn:
+                show &= ~shown(flat, bounds, need, owner, before(flat) if before else none)
+            token, c = np.unique(flat[show], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(as_long(token)), pa.array(c)], names=["token", "c"])
         return run
 
-    out = None
-    for part in range(SLICES):
-        counted = stage(_each_set(texts, k, may_lead, of(part), "token bigint, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
-                        .where(F.col("c") > 1), "gj-counts")
-        out = counted if out is None else out.unionByName(counted)
-    return out
-
-
-def _index(texts: DataFrame, counts: DataFrame, k: int, percent: int, may_lead, rare: int, common: int) -> DataFrame:
+    found, frequent, seen = None, None, 0
+    for turn in range(64):
+        before, frequent = frequent, None if found is None else BoundedFilter(spark, found.where(F.col("c") > rare), "token")
+        new = _each_set(texts, k, may_lead, of(turn, frequent and frequent.tester(), before and before.tester()), "token bigint, c bigint")
+        new = new.groupBy("token").agg(F.sum("c").alias("c"))
+        # two that show a token in different turns: one of them shows it after the first, so all those are kept
+        new = new.where(F.col("c") > 1) if found is None else new.unionByName(found).groupBy("token").agg(F.sum("c").alias("c"))
+        found = stage(new, "gj-counts")
+        now = found.where(F.col("c") > rare).count()
+        if now - seen <= LATE * seen:
+            break
+        seen = now
+    return found, frequent or BoundedFilter(spark, found.where(F.col("c") > rare), "token")
+
+
+def _index(texts: DataFrame, k: int, percent: int, may_lead, rare: int, common: int) -> DataFrame:
     """bucket, node, n: every set under its single tokens, pairs and triples."""
-    spark = texts.sparkSession
-    may_repeat = BoundedFilter(spark, counts, "token").tester()
-    may_be_frequent = BoundedFilter(spark, counts.where(F.col("c") > rare), "token").tester()
+    counts, frequent = _count_tokens(texts, k, percent, may_lead, rare)
+    may_repeat, may_be_frequent = BoundedFilter(texts.sparkSession, counts, "token").tester(), frequent.tester()
 
     def first(flat, bounds, ids) -> Iterator[pa.RecordBatch]:
         n = np.diff(bounds)
-        owner = np.repeat(np.arange(len(n)), n)
-        need = n - _least_common(n, percent) + 1
-        alone = (_least_common(n, percent) == n) & (n * 100 // percent == n)  # only equal sets reach the threshold
+        need, owner = _needed(n, percent), np.repeat(np.arange(len(n)), n)
         known = ~may_be_frequent(flat)
-        run = np.cumsum(known)
-        start = np.concatenate(([0], run))[bounds[:-1]]
-        total = np.concatenate(([0], run))[bounds[1:]] - start
-        single = known & (run - start[owner] <= need[owner]) & may_repeat(flat) & ~alone[owner]
-        asks = ~known & (total < need)[owner] & ~alone[owner]
+        total = np.bincount(owner[known], minlength=len(n))
+        single = known & (_ranks(known, bounds) <= need[owner]) & may_repeat(flat)
+        asks = ~known & (total < need)[owner]
         pick = np.flatnonzero(single | asks)
         at = owner[pick]
-        yield pa.RecordBatch.from_arrays(
-            [_binary16(ids[at]), pa.array(n[at]), pa.array(as_long(np.where(asks[pick], flat[pick], mix(flat[pick] ^ _SALT)))),
-             pa.array(asks[pick]), pa.array((need - total)[at])], names=["node", "n", "token", "asks", "left"])
+        yield pa.RecordBatch.from_arrays([_binary16(ids[at]), pa.array(n[at]), pa.array(as_long(flat[pick])), pa.array(asks[pick]),
+                                          pa.array((need - total)[at])], names=["node", "n", "token", "asks", "left"])
 
     rows = stage(_each_set(texts, k, may_lead, first, "node binary, n bigint, token bigint, asks boolean, left bigint"), "gj-tokens")
 
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, token = b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64)
+            low, high = (np.frexp(v.astype(np.float64))[1] - 1 for v in (n, np.maximum(n, n * 100 // percent)))
+            for band in range(int(low.min(initial=64)), int(high.max(initial=0)) + 1):
+                at = np.flatnonzero((low <= band) & (band <= high))
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(mix(token[at] ^ _salted(band, 1)))), b.column(0).take(pa.array(at)), pa.array(n[at])],
+                                                 names=["bucket", "node", "n"])
+
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             node, n, left = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()
@@ -196,8 +238,9 @@ def _index(texts: DataFrame, counts: DataFrame, k: int, percent: int, may_lead,
 
     asked = (rows.where("asks").join(counts, "token", "left")
              .groupBy("node", "n", "left").agg(F.collect_list(F.struct("token", F.coalesce("c", F.lit(1)).alias("c"))).alias("found")))  # of one text
-    more = asked.select("node", "n", "left", "found").mapInArrow(rest, "bucket bigint, node binary, n bigint")
-    return rows.where("not asks").select(F.col("token").alias("bucket"), "node", "n").unionByName(more).distinct()
+    schema = "bucket bigint, node binary, n bigint"
+    return (rows.where("not asks").select("node", "n", "token").mapInArrow(single, schema)
+            .unionByName(asked.select("node", "n", "left", "found").mapInArrow(rest, schema)).distinct())
 
 
 def _buckets(index: DataFrame) -> DataFrame:
@@ -209,18 +252,54 @@ def _buckets(index: DataFrame) -> DataFrame:
     return stage(index.join(kept, "bucket"), "gj-buckets")
 
 
-def _token_sets(texts: DataFrame, k: int, may_lead, members: DataFrame) -> DataFrame:
-    """node, items (sorted tokens as bytes) of the nodes in buckets."""
+def _of_nodes(texts: DataFrame, k: int, may_lead, nodes: DataFrame, pack, column: str) -> DataFrame:
+    """node and ``pack(tokens)`` as binary ``column`` of the sets of ``nodes`` (and few others)."""
     head = F.expr("cast(conv(concat(" + ", ".join(f"substr(hex(node), {2 * i + 1}, 2)" for i in range(7, -1, -1)) + "), 16, -10) as bigint)")
-    wanted = BoundedFilter(texts.sparkSession, members.select("node").distinct().select(head.alias("h")), "h").tester()
+    wanted = BoundedFilter(texts.sparkSession, nodes.select("node").distinct().select(head.alias("h")), "h").tester()
 
     def run(flat, bounds, ids) -> Iterator[pa.RecordBatch]:
         rows = np.flatnonzero((np.diff(bounds) > 0) & wanted(ids[:, 0]))
         if len(rows):
-            yield pa.RecordBatch.from_arrays([_binary16(ids[rows]), pa.array([flat[bounds[i]: bounds[i + 1]].tobytes() for i in rows], pa.binary())],
-                                             names=["node", "items"])
+            yield pa.RecordBatch.from_arrays([_binary16(ids[rows]), pa.array([pack(flat[bounds[i]: bounds[i + 1]]) for i in rows], pa.binary())],
+                                             names=["node", column])
 
-    return _each_set(texts, k, may_lead, run, "node binary, items binary").groupBy("node").agg(F.first("items").alias("items"))
+    return stage(_each_set(texts, k, may_lead, run, f"node binary, {column} binary").groupBy("node").agg(F.first(column).alias(column)), f"gj-{column}")
+
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    """One bit per token by its hash, in a power of two of at least four bits a token."""
+    size = max(8, 1 << int(4 * len(tokens) - 1).bit_length())
+    bits = np.zeros(size, dtype=bool)
+    bits[(tokens & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def most_common(x: np.ndarray, y: np.ndarray, n: int, m: int) -> int:
+    """An upper bound of the tokens that sets of n and m share, from their bitmaps: a bit of one alone is a token of one alone."""
+    if len(x) < len(y):
+        x, y, n, m = y, x, m, n
+    x = np.bitwise_or.reduce(x.reshape(-1, len(y)), axis=0)
+    both = x & y
+    alone = [int(np.bitwise_count(v ^ both).sum()) for v in (x, y)]
+    return min(n - alone[0], m - alone[1])
+
+
+def _likely(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b; n1, n2: sizes) that their bitmaps don't rule out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y, n, m in zip(b.column(2), b.column(3), b.column(4).to_pylist(), b.column(5).to_pylist()):
+                shared = most_common(*(np.frombuffer(v.as_buffer(), dtype=np.uint8) for v in (x, y)), n, m)
+                ok.append(100 * shared >= percent * (n + m - shared))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    left, right = (bitmaps.select(F.col("node").alias(c), F.col("bits").alias(i)) for c, i in (("a", "x"), ("b", "y")))
+    return stage(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "n1", "n2").mapInArrow(run, "a binary, b binary"), "gj-likely")
+
+
+def _both(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
 
 
 def _tokens(values: pa.Array) -> list[np.ndarray]:
@@ -285,9 +364,17 @@ def gram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     ranked = F.struct(F.col("kept.id").isNull().alias("none"), F.col("kept.id").alias("id"), F.col("kept.th").alias("th"))
     nodes = stage(sizes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(ranked).alias("low")), "gj-nodes")
     may_lead = BoundedFilter(spark, nodes.select(F.xxhash64("low.id", "low.th").alias("h")), "h").tester()
-    counts = _count_tokens(texts, k, may_lead)
-    buckets = _buckets(_index(texts, counts, k, percent, may_lead, rare, common))
-    sets = stage(_token_sets(texts, k, may_lead, buckets), "gj-sets")
+    buckets = _buckets(_index(texts, k, percent, may_lead, rare, common))
+    bitmaps = _of_nodes(texts, k, may_lead, buckets, bitmap, "bits")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        likely = _likely(pairs, bitmaps, percent)
+        return _verified(likely, _of_nodes(texts, k, may_lead, _both(likely), np.ndarray.tobytes, "items"), percent)
+
+    def ordered(x: str, y: str) -> list:
+        first = F.col(f"{x}node") < F.col(f"{y}node")
+        return [F.when(first, F.col(f"{p}{c}")).otherwise(F.col(f"{q}{c}")).alias(f"{o}")
+                for (p, q), c, o in (((x, y), "node", "a"), ((y, x), "node", "b"), ((x, y), "n", "n1"), ((y, x), "n", "n2"))]
 
     def fits(a, b):
         return F.least(a, b) * 100 >= F.greatest(a, b) * percent
@@ -295,9 +382,9 @@ def gram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     degree = buckets.groupBy("node").agg(F.sum("m").alias("degree"))
     known = stage(buckets.join(degree, "node"), "gj-degrees")
     leaders = known.groupBy("bucket").agg(F.max(F.struct("degree", "n", "node")).alias("lead"))
-    star = stage(known.join(leaders, "bucket").where((F.col("node") != F.col("lead.node")) & fits(F.col("n"), F.col("lead.n")))
-                 .select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct(), "gj-star")
-    links = stage(_verified(star, sets, percent), "gj-links")
+    known = known.join(leaders, "bucket").select(F.col("node").alias("xnode"), F.col("n").alias("xn"), F.col("lead.node").alias("ynode"), F.col("lead.n").alias("yn"))
+    star = stage(known.where((F.col("xnode") != F.col("ynode")) & fits(F.col("xn"), F.col("yn"))).select(ordered("x", "y")).distinct(), "gj-star")
+    links = stage(verified(star), "gj-links")
 
     placed = stage(buckets.join(components(links), "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label"), "gj-placed")
     held = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
@@ -305,12 +392,13 @@ def gram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
                .where(F.col("comps") > 1).select("bucket", F.col("big.comp").alias("big"), "bytes"))
     open_ = stage(placed.join(several, "bucket"), "gj-open")
     few = open_.where(F.col("m") <= SMALL)
-    x = few.where("comp != big").select("bucket", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "comp")])
-    y = few.select("bucket", "big", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "comp")])
-    apart = (x.join(y, "bucket").where("comp1 != comp2 and (comp2 = big or node1 < node2)").where(fits(F.col("n1"), F.col("n2")))
-             .select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
-    more = stage(_verified(stage(apart, "gj-apart"), sets, percent).unionByName(
-        _block_links(open_.where(F.col("m") > SMALL), sets, percent)), "gj-more")
+    x = few.where("comp != big").select("bucket", *[F.col(c).alias(f"x{c}") for c in ("node", "n", "comp")])
+    y = few.select("bucket", "big", *[F.col(c).alias(f"y{c}") for c in ("node", "n", "comp")])
+    apart = (x.join(y, "bucket").where("xcomp != ycomp and (ycomp = big or xnode < ynode)").where(fits(F.col("xn"), F.col("yn")))
+             .select(ordered("x", "y")).distinct().join(star, ["a", "b"], "left_anti"))
+    many = open_.where(F.col("m") > SMALL)
+    more = stage(verified(stage(apart, "gj-apart")).unionByName(
+        _block_links(many, _of_nodes(texts, k, may_lead, many, np.ndarray.tobytes, "items"), percent)), "gj-more")
     label = components(links.unionByName(more))
 
     low = nodes.join(label, "node", "left").withColumn("comp", F.coalesce("label", "node"))
