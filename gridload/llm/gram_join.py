@@ -2,19 +2,19 @@
 
 A document's tokens are the 64-bit hashes of its distinct n-grams (the whole sequence as one if it has fewer words).
 At a threshold t a set of n tokens misses at most n - ceil(t n) of them in a partner. Tokens have one global order,
-rare ones first, and a class by the number of documents that hold them: up to ``RARE`` class 1, up to ``COMMON``
-class 2, else class 3; classes 2 and 3 are split into parts by hash. A prefix grows until
+rare ones first, and a class by the number of documents that hold them: class 1 up to the first of ``LEVELS``, class 2
+up to the next or, by default, beyond it; classes above 1 are split into parts by hash. A prefix grows until
 
     sum over parts of max(0, tokens of the part in the prefix - (class - 1)) > n - ceil(t n).
 
 Of two sets that reach t, take the one whose prefix ends first in the order: what it shares with the other lies in
 both prefixes, and by the sum at least one part shares as many tokens as its class. So both index one same single token
-(class 1), pair (2) or triple (3) of a part: no link is missed. A frequent token alone brings nobody together. The
+(class 1), pair (2) or larger combination of a part: no link is missed. A frequent token alone brings nobody together. The
 number of parts follows the size band [2^b, 2^(b+1)) so that the sum can always be reached; a set indexes its combinations for its
 own band and for that of its largest possible partner, which covers every pair of sizes.
 
 A token's class only has to be the same for every document, so counting is lazy: first all documents show the tokens of
-their prefix by hash alone, and tokens shown by over ``RARE`` documents are frequent; for each frequent token that its prefix
+their prefix by hash alone, and tokens shown by more documents than class 1 allows are frequent; for each frequent token that its prefix
 passes over, a document shows two of the others, until hardly any new token turns frequent. Most tokens are never shuffled. A bounded
 prefilter holds the frequent tokens: what it doesn't know is rare; documents without enough rare tokens have the
 others' counts joined to them. Where it fills up, more tokens are looked up; the links stay the same.
@@ -46,8 +46,8 @@ from gridload.llm.common import BoundedFilter, Words, as_long, blank_mask, mix,
 from gridload.llm.components import components
 from gridload.llm.minhash import set_ids, shingle_sets
 
-#: Documents that may hold a token of class 1 and of class 2.
-RARE, COMMON = 32, 1024
+#: Documents that may hold a token of class 1, of class 2 and so on; a token of class k is indexed with k - 1 others.
+LEVELS = (32,)
 #: Turns end when they add no more than this share of frequent tokens; some then stay in class 1.
 LATE = 0.01
 #: A bucket of over SMALL members is compared in blocks of at most CHUNK members and about CHUNK_BYTES of tokens.
@@ -64,15 +64,15 @@ def _least_common(n, percent: int):
     return -(-n * percent // 100)
 
 
-def parts_of(band: int, percent: int) -> dict[int, tuple[int, int]]:
+def parts_of(band: int, percent: int, classes: int) -> dict[int, tuple[int, int]]:
     """Class -> (tokens indexed together, parts) for a size band; the losses stay below what the smallest set met there can spare."""
     smallest = _least_common(1 << band, percent)  # a partner of the band's smallest set
-    spare = _least_common(smallest, percent) - 1
-    if spare < 1:
-        return {2: (1, 1), 3: (1, 1)}
-    if spare < 3:
-        return {2: (2, 1), 3: (1, 1)}
-    return {2: (2, max(1, spare // 5)), 3: (3, max(1, (spare - max(1, spare // 5)) // 2))}
+    spare = max(0, _least_common(smallest, percent) - 1)
+    each, out = spare // max(1, classes - 1), {}
+    for level in range(2, classes + 1):
+        k = min(level, each + 1)
+        out[level] = (k, max(1, each // max(1, k - 1)))
+    return out
 
 
 def bands_of(n: int, percent: int) -> range:
@@ -90,14 +90,15 @@ def _picks(n: int, k: int) -> np.ndarray:
     return np.array(list(combinations(range(n), k)), dtype=np.int64).reshape(-1, k)
 
 
-def combined(tokens: np.ndarray, counts: np.ndarray, n: int, left: int, percent: int, rare: int, common: int) -> np.ndarray:
+def combined(tokens: np.ndarray, counts: np.ndarray, n: int, left: int, percent: int, levels: tuple[int, ...]) -> np.ndarray:
     """Bucket keys of a set beyond its known rare tokens: ``left`` more misses to cover with ``tokens`` (sorted)."""
-    few, bands = tokens[counts <= rare][:left], bands_of(n, percent)
+    class_ = 1 + np.searchsorted(levels, counts, side="left")
+    few, bands = tokens[class_ == 1][:left], bands_of(n, percent)
     out, left = [mix(few ^ _salted(band, 1)) for band in bands], left - len(few)
     for band in bands if left > 0 else ():
         missing = left
-        for level, (k, parts) in parts_of(band, percent).items():
-            mine = tokens[(counts > rare) & (counts <= common)] if level == 2 else tokens[counts > common]
+        for level, (k, parts) in parts_of(band, percent, len(levels) + 1).items():
+            mine = tokens[class_ == level]
             part = (mix(mine + np.uint64(level)) % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((mine, part))
             mine, part = mine[order], part[order]
@@ -197,9 +198,9 @@ def _count_tokens(texts: DataFrame, k: int, percent: int, may_lead, rare: int) -
     return found, frequent or BoundedFilter(spark, found.where(F.col("c") > rare), "token")
 
 
-def _index(texts: DataFrame, k: int, percent: int, may_lead, rare: int, common: int) -> DataFrame:
-    """bucket, node, n: every set under its single tokens, pairs and triples."""
-    counts, frequent = _count_tokens(texts, k, percent, may_lead, rare)
+def _index(texts: DataFrame, k: int, percent: int, may_lead, levels: tuple[int, ...]) -> DataFrame:
+    """bucket, node, n: every set under its single tokens and combinations; seldom a row twice."""
+    counts, frequent = _count_tokens(texts, k, percent, may_lead, levels[0])
     may_repeat, may_be_frequent = BoundedFilter(texts.sparkSession, counts, "token").tester(), frequent.tester()
 
     def first(flat, bounds, ids) -> Iterator[pa.RecordBatch]:
@@ -232,7 +233,7 @@ def _index(texts: DataFrame, k: int, percent: int, may_lead, rare: int, common:
                 found = b.column(3).slice(i, 1).flatten()
                 token, c = found.field("token").to_numpy().view(np.uint64), found.field("c").to_numpy()
                 token, at = np.unique(token, return_index=True)
-                keys = np.unique(combined(token, c[at], n[i], left[i], percent, rare, common))
+                keys = np.unique(combined(token, c[at], n[i], left[i], percent, levels))
                 yield pa.RecordBatch.from_arrays([pa.array(as_long(keys)), pa.array([node[i].as_py()] * len(keys), pa.binary()),
                                                   pa.array(np.full(len(keys), n[i]))], names=["bucket", "node", "n"])
 
@@ -240,16 +241,24 @@ def _index(texts: DataFrame, k: int, percent: int, may_lead, rare: int, common:
              .groupBy("node", "n", "left").agg(F.collect_list(F.struct("token", F.coalesce("c", F.lit(1)).alias("c"))).alias("found")))  # of one text
     schema = "bucket bigint, node binary, n bigint"
     return (rows.where("not asks").select("node", "n", "token").mapInArrow(single, schema)
-            .unionByName(asked.select("node", "n", "left", "found").mapInArrow(rest, schema)).distinct())
+            .unionByName(asked.select("node", "n", "left", "found").mapInArrow(rest, schema)))
 
 
 def _buckets(index: DataFrame) -> DataFrame:
     """bucket, node, n, m (its members): buckets of two or more, one of those with the same members."""
     index = stage(index, "gj-index")
-    same = index.groupBy("bucket").agg(F.count("*").alias("m"), F.expr("bit_xor(xxhash64(node))").alias("x"),
-                                       F.expr("bit_xor(xxhash64(node, 1))").alias("y")).where(F.col("m") > 1)
-    kept = same.groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "m")
-    return stage(index.join(kept, "bucket"), "gj-buckets")
+    # sums, not exclusive ors: a row that comes twice must not cancel itself
+    prints = [F.sum(part(F.xxhash64("node", F.lit(salt)))).alias(f"f{salt}{side}") for salt in (0, 1)
+              for side, part in (("l", lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))), ("h", lambda h: F.shiftrightunsigned(h, 32)))]
+    same = index.groupBy("bucket").agg(F.count("*").alias("m"), *prints).where(F.col("m") > 1)
+    kept = stage(same.groupBy("m", "f0l", "f0h", "f1l", "f1h").agg(F.min("bucket").alias("bucket")).select("bucket", "m"), "gj-kept")
+    may_stay = BoundedFilter(index.sparkSession, kept, "bucket").tester()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(may_stay(b.column(0).to_numpy().view(np.uint64))))
+
+    return stage(index.mapInArrow(run, "bucket bigint, node binary, n bigint").join(kept, "bucket").distinct(), "gj-buckets")
 
 
 def _of_nodes(texts: DataFrame, k: int, may_lead, nodes: DataFrame, pack, column: str) -> DataFrame:
@@ -355,8 +364,8 @@ def _block_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("bucket", "p", "q").applyInArrow(run, "a binary, b binary").distinct()
 
 
-def gram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, rare: int = RARE,
-              common: int = COMMON) -> DataFrame:
+def gram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,
+              levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """Per document row: id, th (text hash), n (set size), component (smallest id reachable over links)."""
     spark = docs.sparkSession
     sizes = stage(_sizes(docs, id_col, text_col, k), "gj-sizes")
@@ -364,7 +373,7 @@ def gram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     ranked = F.struct(F.col("kept.id").isNull().alias("none"), F.col("kept.id").alias("id"), F.col("kept.th").alias("th"))
     nodes = stage(sizes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(ranked).alias("low")), "gj-nodes")
     may_lead = BoundedFilter(spark, nodes.select(F.xxhash64("low.id", "low.th").alias("h")), "h").tester()
-    buckets = _buckets(_index(texts, k, percent, may_lead, rare, common))
+    buckets = _buckets(_index(texts, k, percent, may_lead, levels))
     bitmaps = _of_nodes(texts, k, may_lead, buckets, bitmap, "bits")
 
     def verified(pairs: DataFrame) -> DataFrame:

@@ -102,9 +102,9 @@ def joined(rows, k, percent):
     return sorted(((doc is None, doc), len(sets[i]), min(least[find(i)])[1]) for i, (doc, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("percent,rare,common", [(80, 1, 3), (80, 32, 1024), (60, 0, 2), (80, 0, 0), (40, 1, 4)])
-def test_gram_join_against_all_pairs(spark, percent, rare, common):
-    rng = random.Random(percent + rare)
+@pytest.mark.parametrize("percent,levels", [(80, (1, 3)), (80, (32,)), (60, (0,)), (80, (0,)), (40, (1, 4)), (80, (0, 1, 4))])
+def test_gram_join_against_all_pairs(spark, percent, levels):
+    rng = random.Random(percent + len(levels))
     words = [f"w{i}" for i in range(12)]
     base = [[rng.choice(words) for _ in range(rng.choice((1, 2, 3, 5, 8, 13, 30, 60)))] for _ in range(25)]
     rows = []
@@ -115,7 +115,7 @@ def test_gram_join_against_all_pairs(spark, percent, rare, common):
             w[at: at + rng.choice((0, 1))] = [rng.choice(words)] * rng.choice((0, 1))
         rows.append((1000 - i, " ".join(w)))
     rows += [(5, None), (6, ""), (7, " \t"), (None, rows[0][1]), (None, None), (8, "solo"), (9, "SOLO"), (9, "solo"), (10, "x " * 3000), (11, "x " * 2999 + "y")]
-    got = gram_join.gram_join(docs(spark, rows), k=2, percent=percent, rare=rare, common=common).collect()
+    got = gram_join.gram_join(docs(spark, rows), k=2, percent=percent, levels=levels).collect()
     assert sorted(((r.id is None, r.id), r.n, r.component) for r in got) == joined(rows, 2, percent)
 
 
@@ -124,17 +124,16 @@ def test_gram_join_large_group_of_unlinked_members(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(rng.sample(shared, 12))) for i in range(300)]
     rows += [(1000 + i, " ".join([*shared, f"own{i % 3}"])) for i in range(60)]
-    got = gram_join.gram_join(docs(spark, rows), k=1, rare=2, common=8).collect()
+    got = gram_join.gram_join(docs(spark, rows), k=1, levels=(2, 8)).collect()
     assert sorted(((False, r.id), r.n, r.component) for r in got) == joined(rows, 1, 80)
 
 
 def test_gram_join_guarantee_holds_in_every_band():
-    for percent in (40, 60, 80, 95):
-        for band in range(1, 14):
-            parts = gram_join.parts_of(band, percent)
-            loss = sum((k - 1) * n for k, n in parts.values())
-            smallest = gram_join._least_common(1 << band, percent)
-            assert loss < max(1, gram_join._least_common(smallest, percent))
+    for percent, classes, band in itertools.product((40, 60, 80, 95), (2, 3, 4), range(1, 14)):
+        parts = gram_join.parts_of(band, percent, classes)
+        loss = sum((k - 1) * n for k, n in parts.values())
+        smallest = gram_join._least_common(1 << band, percent)
+        assert loss < max(1, gram_join._least_common(smallest, percent))
 
 
 def test_gram_join_empty_table(spark):
