@@ -21,8 +21,9 @@ others' counts joined to them. Where it fills up, more tokens are looked up; the
 
 Candidates are the members of a bucket (one indexed token or combination and a size band). Buckets with the same members
 are kept once. Members meet one leader of the bucket first; members still in another component than the bucket's
-largest are then compared with all members of other components there: as joined pairs in small buckets, in
-blocks of bounded rows and bytes within tasks in large ones, which return links only. Pairs are first held against
+largest are then compared with all members of other components there: as joined pairs in small buckets; large
+buckets that have members in common are taken together and compared in blocks of bounded rows and bytes within tasks,
+which return links only (work that grows with the square of members that no link has joined). Pairs are first held against
 bitmaps of about four bits a token, which rule most unlike pairs out, and then verified on their full sets.
 
 Null or empty texts have empty sets, linked with nothing. Equal sets are one node. Repeated rows are separate documents
@@ -335,6 +336,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def _blocks(open_: DataFrame) -> DataFrame:
+    """bucket, node, n, comp, big, m, bytes: large open buckets with members in common taken together, so that members that
+    share many buckets meet once."""
+    least = open_.groupBy("bucket").agg(F.min("node").alias("a"))
+    label = components(open_.join(least, "bucket").select("a", F.col("node").alias("b")).distinct())
+    nodes = stage(open_.select("node", "n", "comp").distinct().join(label, "node").withColumnRenamed("label", "bucket"), "gj-together")
+    held = nodes.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    whole = held.groupBy("bucket").agg(F.sum("c").alias("m"), (8 * F.sum("s")).alias("bytes"), F.max(F.struct("c", "comp")).alias("top"))
+    return nodes.join(whole.select("bucket", "m", "bytes", F.col("top.comp").alias("big")), "bucket")
+
+
 def _block_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between members of different components of large buckets: one per asking member and component met."""
     def run(table: pa.Table) -> pa.Table:
@@ -342,10 +354,29 @@ def _block_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         node, comp = t.column("node").to_pylist(), np.array(t.column("comp").to_pylist(), dtype=object)
         asks, items = t.column("asks").to_numpy(zero_copy_only=False), _tokens(t.column("items").combine_chunks())
         size, order, big = np.array(list(map(len, items))), np.array(node, dtype=object), t.column("big")[0].as_py()
-        other, links = np.flatnonzero(~asks), []
-        for i in np.flatnonzero(asks) if len(other) else []:
-            fits = (comp[other] != comp[i]) & ((comp[other] == big) | (order[other] > node[i]))
-            js = other[fits & (np.minimum(size[other], size[i]) * 100 >= np.maximum(size[other], size[i]) * percent)]
+        maps = [np.frombuffer(bitmap(x), dtype=np.uint8) for x in items]
+        width, other, links = np.array(list(map(len, maps))), np.flatnonzero(~asks), []
+        folded = {}  # (width of the members, width asked for) -> members, their bitmaps folded to it, bits set
+        for w in np.unique(width[other]):
+            js = other[width[other] == w]
+            rows = np.stack([maps[j] for j in js])
+            for v in (w, w // 2):
+                if v:
+                    at = rows if v == w else np.bitwise_or(rows[:, :v], rows[:, v:])
+                    folded[int(w), int(v)] = js, at, np.bitwise_count(at).sum(axis=1, dtype=np.int64)
+        for i in np.flatnonzero(asks):
+            likely = []
+            for w in (width[i], 2 * width[i], width[i] // 2):  # sizes that fit are less than twice each other
+                v = min(int(w), int(width[i]))
+                if (int(w), v) not in folded:
+                    continue
+                js, rows, bits = folded[int(w), v]
+                mine = maps[i] if v == width[i] else np.bitwise_or(maps[i][:v], maps[i][v:])
+                both = np.bitwise_count(rows & mine).sum(axis=1, dtype=np.int64)
+                most = np.minimum(size[js] - bits + both, size[i] - int(np.bitwise_count(mine).sum()) + both)
+                fits = (comp[js] != comp[i]) & ((comp[js] == big) | (order[js] > node[i]))
+                likely.append(js[fits & (100 * most >= percent * (size[js] + size[i] - most))])
+            js = np.concatenate(likely) if likely else other[:0]
             if len(js):
                 shared = _common(items[i], [items[j] for j in js])
                 met = js[100 * shared >= percent * (size[js] + size[i] - shared)]
@@ -396,16 +427,16 @@ def gram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     links = stage(verified(star), "gj-links")
 
     placed = stage(buckets.join(components(links), "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label"), "gj-placed")
-    held = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
-    several = (held.groupBy("bucket").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("big"), (8 * F.sum("n")).alias("bytes"))
-               .where(F.col("comps") > 1).select("bucket", F.col("big.comp").alias("big"), "bytes"))
+    held = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+    several = (held.groupBy("bucket").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("big"))
+               .where(F.col("comps") > 1).select("bucket", F.col("big.comp").alias("big")))
     open_ = stage(placed.join(several, "bucket"), "gj-open")
     few = open_.where(F.col("m") <= SMALL)
     x = few.where("comp != big").select("bucket", *[F.col(c).alias(f"x{c}") for c in ("node", "n", "comp")])
     y = few.select("bucket", "big", *[F.col(c).alias(f"y{c}") for c in ("node", "n", "comp")])
     apart = (x.join(y, "bucket").where("xcomp != ycomp and (ycomp = big or xnode < ynode)").where(fits(F.col("xn"), F.col("yn")))
              .select(ordered("x", "y")).distinct().join(star, ["a", "b"], "left_anti"))
-    many = open_.where(F.col("m") > SMALL)
+    many = _blocks(stage(open_.where(F.col("m") > SMALL).select("bucket", "node", "n", "comp"), "gj-large"))
     more = stage(verified(stage(apart, "gj-apart")).unionByName(
         _block_links(many, _of_nodes(texts, k, may_lead, many, np.ndarray.tobytes, "items"), percent)), "gj-more")
     label = components(links.unionByName(more))
