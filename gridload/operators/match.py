@@ -38,6 +38,7 @@ from pyspark.sql import types as Tp
 from ..functions import columns as C
 from ..functions import constants as K
 from ..session import scratch_path
+from .letters import pairs_above
 
 ACCEPT = K.LEV_ACCEPT
 
@@ -305,11 +306,9 @@ def pattern_bonus(a: Column, b: Column) -> Column:
 
 # -- J14-J18: linkage of names by scorers without an index -----------------------------------
 #
-# These scorers accept pairs with very different names (a score of 70 allows edit budgets near 60 %), and J15
-# reports the best score of unmatched names too, so every distinct source name is scored against every distinct
-# target name. Target names are dealt into blocks of bounded size (rows that hold a list of names); each source name
-# meets each block in an equi-join and the scorer runs over the block in an Arrow batch. Only pairs at or above a floor
-# come back. Neither list is collected, broadcast by hand or limited.
+# J14, J15 and J17 score only the pairs whose common letters allow the floor (see ``letters``). Names for which J14 and J15
+# report a best score though nothing reaches it are looked up again under lower floors. J16 and J18 score every
+# distinct source name against every distinct target name, in blocks of bounded size.
 
 BLOCK_NAMES = 256
 
@@ -349,27 +348,85 @@ def _names(df: DataFrame, col: str, key: Column, name: str = "name", key_name: s
     return df.filter(F.col(col).isNotNull()).select(F.col(col).alias(name), key.alias(key_name)).distinct()
 
 
+def _indel_bound(n, m, c, least, most):
+    """Greatest ``ratio`` of names of n and m letters with c in common."""
+    return 200.0 * c / most(n + m, n * 0 + 1)
+
+
+def _partial_bound(n, m, c, least, most):
+    """Greatest ``partial_ratio``: a full window has c of the shorter name's letters, a cut-off one as many letters as it has."""
+    return 200.0 * c / most(least(n, m) + c, n * 0 + 1)
+
+
+def _scored(pairs: DataFrame, score) -> DataFrame:
+    """name, target, score of candidate pairs by a Python scorer, over Arrow batches."""
+    @F.pandas_udf(Tp.DoubleType())
+    def run(keys: pd.Series, others: pd.Series) -> pd.Series:
+        return pd.Series([float(score(x, y)) for x, y in zip(keys, others)], dtype="float64")
+
+    return pairs.select("name", "target", "key", "tkey", run("key", "tkey").alias("score"))
+
+
+#: Steps by which the floor falls for names whose best score is still unknown.
+FLOOR_STEP = 30.0
+
+
 def weighted_link(left: DataFrame, right: DataFrame, lid: str, lname: str, rname: str,
                   weights=K.LINK_WEIGHTS, threshold: float = K.LINK_ACCEPT, bonus: bool = True,
                   normalise: bool = True, one_to_one: bool = True) -> DataFrame:
     """J14 (J15 with other weights/threshold, no bonus, lower-cased names instead of the full
-    normalisation): score every source name against every target name; keep targets at or
-    above the threshold; then the best target per source (``one_to_one=False``) or the greedy
-    one-to-one assignment in source-id order (first best wins ties, in target order).
+    normalisation): keep targets at or above the threshold; then the best target per source (``one_to_one=False``) or
+    the greedy one-to-one assignment in source-id order (first best wins ties, in target order).
     ``match_type`` is exact (≥ 85) or fuzzy; ``best_score`` is the best score over all targets,
-    reported also for unmatched names (with ``bonus``: before the bonus, or the accepted one if higher)."""
+    reported also for unmatched names (with ``bonus``: before the bonus, or the accepted one if higher).
+
+    Candidates are the pairs whose common letters allow the threshold less the largest bonus the two names can get;
+    a name of no pattern family and its likes get at most the bonus for close lengths. The best score of names without
+    a scored pair is found under floors that fall by ``FLOOR_STEP``: each turn takes only the names still open.
+    """
     w1, w2, w3, w4 = weights
     clean = (lambda c: C.normalize_name(c)) if normalise else (lambda c: F.lower(F.col(c)))
+    spark = left.sparkSession
 
     def score(a: str, b: str) -> float:
         return ratio(a, b) * w1 + partial_ratio(a, b) * w2 + token_sort_ratio(a, b) * w3 + token_set_ratio(a, b) * w4
 
-    sources, targets = _names(left, lname, clean(lname)), _names(right, rname, clean(rname), "target", "tkey")
-    hits, best_any = _score_blocks(sources, targets, score, threshold - (K.BONUS_CAP if bonus else 0))
+    def bound(n, m, c, least, most):
+        # a cleaned name is one word or none: both token scorers are its ratio, or 100 between two empty names
+        tokens = (w3 + w4) * (_indel_bound(n, m, c, least, most) if normalise else 100.0)
+        return (w1 * _indel_bound(n, m, c, least, most) + w2 * _partial_bound(n, m, c, least, most) + tokens) + 0.5 * (w1 + w2 + w3 + w4)
+
+    def staged(df: DataFrame) -> DataFrame:
+        path = scratch_path(spark, "scored")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    words = "|".join(w for _, ws in K.PATTERN_FAMILIES for w in ws)
+    sources, targets = staged(_names(left, lname, clean(lname)).dropna()), staged(_names(right, rname, clean(rname), "target", "tkey").dropna())
     if bonus:
-        hits = (hits.join(sources, "name").join(targets, "target")
-                .withColumn("score", F.col("score") + pattern_bonus(F.col("key"), F.col("tkey"))))
+        plain, tplain = ~F.col("key").rlike(words), ~F.col("tkey").rlike(words)
+        near, full = threshold - K.BONUS_GAP_2, threshold - K.BONUS_CAP
+        pairs = (pairs_above(sources.filter(plain), targets.filter(tplain), bound, near)
+                 .unionByName(pairs_above(sources.filter(plain), targets.filter(~tplain), bound, full))
+                 .unionByName(pairs_above(sources.filter(~plain), targets, bound, full)))
+    else:
+        pairs = pairs_above(sources, targets, bound, threshold)
+    empty = sources.filter("key = ''").join(targets.filter("tkey = ''"), F.col("key") == F.col("tkey"))  # all of them reach 80
+    scored = staged(_scored(pairs.unionByName(empty.select("name", "key", "target", "tkey")).distinct(), score))
+    hits = scored.select("name", "target", (F.col("score") + pattern_bonus(F.col("key"), F.col("tkey")) if bonus else F.col("score")).alias("score"))
     hits = hits.select("name", "target", F.least(F.lit(100.0), F.col("score")).alias("score")).filter(F.col("score") >= threshold)
+
+    # a scored pair at or above its floor is above every pair that wasn't scored
+    floor = threshold - (K.BONUS_GAP_2 if bonus else 0)
+    best_any = scored.groupBy("name").agg(F.max("score").alias("best")).filter(F.col("best") >= floor)
+    while floor > 0:
+        floor = max(0.0, floor - FLOOR_STEP)
+        rest = staged(sources.join(best_any, "name", "left_anti"))
+        if rest.isEmpty():
+            break
+        more = (_scored(pairs_above(rest, targets, bound, floor), score).groupBy("name").agg(F.max("score").alias("best"))
+                .filter(F.col("best") >= floor))
+        best_any = staged(best_any.unionByName(more))
     base = left.select(F.col(lid).alias("lid"), F.col(lname).alias("left_name"))
     pairs = base.join(hits, F.col("left_name") == F.col("name")).select("lid", F.col("target").alias("rid"), "score")
     if one_to_one:
@@ -429,10 +486,17 @@ def best_target(left: DataFrame, right: DataFrame, lid: str, lname: str, rname:
 def alternatives(left: DataFrame, right: DataFrame, lid: str, lname: str, rname: str, taken: DataFrame | None = None,
                  k: int = K.ALTERNATIVES, min_score: int = K.ALTERNATIVE_MIN) -> DataFrame:
     """For unmatched source names, the ``k`` best targets that aren't ``taken`` (one column of names) by
-    token-sort score on raw names, keeping scores ≥ ``min_score``."""
+    token-sort score on raw names, keeping scores ≥ ``min_score``. Only pairs whose sorted words share enough
+    letters for that score are compared."""
+    @F.pandas_udf(Tp.StringType())
+    def sorted_words(names: pd.Series) -> pd.Series:
+        return names.map(lambda x: " ".join(sorted(_tokens(x))))
+
     free = right if taken is None else right.join(taken.toDF(rname).distinct(), rname, "left_anti")
-    hits, _ = _score_blocks(_names(left, lname, F.lower(lname)), _names(free, rname, F.lower(rname), "target", "tkey"),
-                            token_sort_ratio, min_score)
+    sources, targets = _names(left, lname, sorted_words(lname)), _names(free, rname, sorted_words(rname), "target", "tkey")
+    pairs = pairs_above(sources, targets, lambda *x: _indel_bound(*x) + 0.5, min_score)  # scores are rounded
+    wordless = sources.filter("key = ''").join(targets.filter("tkey = ''"), F.col("key") == F.col("tkey")).select("name", "key", "target", "tkey")
+    hits = _scored(pairs.unionByName(wordless).distinct(), ratio).filter(F.col("score") >= min_score)
     w = Window.partitionBy("name").orderBy(F.col("score").desc(), F.col("target"))
     top = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return (left.select(F.col(lid).alias("left_id"), F.col(lname).alias("left_name")).join(top, F.col("left_name") == F.col("name"))

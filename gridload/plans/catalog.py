@@ -1567,12 +1567,67 @@ def _words_dict(spark, d):
     return _name_words(spark, d).select(F.col("lname").alias("target"))
 
 
-@query("j14_weighted_link")
+def _ratio_sql(pairs: str) -> str:
+    """(x, y, r): the indel ratio of each pair of texts in ``pairs`` (x, y), by a bit-parallel common subsequence: one
+    step per letter of y on a whole number that holds a bit per letter of x."""
+    return f"""(SELECT x, y, CASE WHEN x = '' AND y = '' THEN 100.0 ELSE round_even(200.0 * (length(x) - bit_count(free)) / (length(x) + length(y)), 0) END AS r
+  FROM (SELECT x, y, list_reduce(list_prepend(last, masks), lambda f, m: ((f + (f & m)) | (f - (f & m))) & last) AS free
+    FROM (SELECT x, y, (1::BIGINT << length(x)) - 1 AS last, list_transform(string_split(y, ''), lambda ch:
+            coalesce(list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN x[i] = ch THEN 1::BIGINT << (i - 1) ELSE 0 END)), 0)::BIGINT) AS masks
+          FROM {pairs})))"""
+
+
+def _weighted_sql(weights, threshold: float, bonus: bool, key) -> str:
+    """The greedy one-to-one linkage of name variants to words; both are single words, so the token scorers are the ratio."""
+    w = weights
+    plus = "0"
+    if bonus:
+        def hit(c, words):
+            return f"regexp_matches({c}, '{'|'.join(words)}')"
+        n = len(K.PATTERN_FAMILIES)
+        both = [f"({hit('a', ws)} AND {hit('b', ws)})" for _, ws in K.PATTERN_FAMILIES]
+        one = [f"({hit('a', ws)} <> {hit('b', ws)})" for _, ws in K.PATTERN_FAMILIES]
+        small = " + ".join(f"CASE WHEN {one[i]} AND NOT ({' OR '.join(both[:i]) or 'false'}) THEN {K.BONUS_ONE} ELSE 0 END" for i in range(n))
+        gap = "abs(length(a) - length(b))"
+        plus = (f"least({K.BONUS_CAP}, {small} + CASE WHEN {' OR '.join(both)} THEN {K.BONUS_BOTH} ELSE 0 END + "
+                f"CASE WHEN {gap} <= 2 THEN {K.BONUS_GAP_2} WHEN {gap} <= 5 THEN {K.BONUS_GAP_5} ELSE 0 END)")
+    return f"""
+WITH RECURSIVE p AS (SELECT v.v AS lid, w.word AS rid, {key('v.v')} AS a, {key('w.word')} AS b FROM {_VARIANTS_SQL} v, {_WORDS_SQL} w),
+s AS (SELECT DISTINCT CASE WHEN length(a) <= length(b) THEN a ELSE b END AS x, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS y FROM p),
+u AS (SELECT x, y, substr(y, i, length(x)) AS piece FROM (SELECT x, y, unnest(range(1, length(y) + 1)) AS i FROM s)),
+q AS (SELECT u.x, u.y, max(r) AS part FROM u JOIN {_ratio_sql("(SELECT DISTINCT x, piece AS y FROM u)")} z ON z.x = u.x AND z.y = u.piece GROUP BY ALL),
+r AS (SELECT z.x, z.y, z.r, q.part FROM {_ratio_sql("s")} z JOIN q ON q.x = z.x AND q.y = z.y),
+raw AS (SELECT lid, rid, r.r * {w[0]} + r.part * {w[1]} + r.r * {w[2]} + r.r * {w[3]} AS plain, {plus} AS plus
+  FROM p JOIN r ON r.x = CASE WHEN length(a) <= length(b) THEN a ELSE b END AND r.y = CASE WHEN length(a) <= length(b) THEN b ELSE a END),
+sc AS (SELECT lid, rid, least(100.0, plain + plus) AS score FROM raw WHERE plain + plus >= {threshold}),
+best AS (SELECT lid, max(plain) AS best FROM raw GROUP BY 1),
+l AS (SELECT v AS lid, row_number() OVER (ORDER BY v) AS i FROM {_VARIANTS_SQL}),
+g(i, used, lid, rid, score) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE)
+  UNION ALL
+  SELECT l.i, CASE WHEN sc.rid IS NULL THEN g.used ELSE list_append(g.used, sc.rid) END, l.lid, sc.rid, CAST(sc.score AS DOUBLE)
+  FROM g JOIN l ON l.i = g.i + 1
+  LEFT JOIN sc ON sc.lid = l.lid AND NOT list_contains(g.used, sc.rid)
+  QUALIFY row_number() OVER (ORDER BY sc.score DESC NULLS LAST, sc.rid) = 1)
+SELECT g.lid AS left_id, g.lid AS left_name, rid AS target_name, round(coalesce(score, 0.0) / 100.0, 6) AS confidence,
+  CASE WHEN score >= {K.LINK_HIGH} THEN 'exact_match' WHEN score IS NOT NULL THEN 'fuzzy_match' END AS match_type,
+  round(greatest(best, score) / 100.0, 6) AS best_score
+FROM g JOIN best ON best.lid = g.lid WHERE i > 0
+"""
+
+
+def _normal_sql(c: str) -> str:
+    v = f"regexp_replace(lower({c}), '[^a-z0-9]', '', 'g')"
+    v = f"regexp_replace({v}, '^({'|'.join(K.NAME_PREFIXES)})(.)', '\\2')"
+    return f"regexp_replace({v}, '(.)({'|'.join(K.NAME_SUFFIXES)})$', '\\1')"
+
+
+@query("j14_weighted_link", sql=_weighted_sql(K.LINK_WEIGHTS, K.LINK_ACCEPT, True, _normal_sql))
 def j14_weighted_link(spark, d):
     return M.weighted_link(_name_variants(spark, d), _words_dict(spark, d), "rid", "rname", "target")
 
 
-@query("j15_weighted_link_plain")
+@query("j15_weighted_link_plain", sql=_weighted_sql(K.LINK_WEIGHTS_EARLY, K.LINK_EARLY_ACCEPT, False, lambda c: f"lower({c})"))
 def j15_weighted_link_plain(spark, d):
     return M.weighted_link(_name_variants(spark, d), _words_dict(spark, d), "rid", "rname", "target",
                            weights=K.LINK_WEIGHTS_EARLY, threshold=K.LINK_EARLY_ACCEPT, bonus=False,
@@ -1589,12 +1644,29 @@ def j16_best_target(spark, d):
     return M.best_target(_name_variants(spark, d), _words_dict(spark, d), "rid", "rname", "target")
 
 
-@query("j17_alternatives")
+#: Full labels of parts, as another system writes them: type, brand and the words of the name in reverse (thousands at scale).
+_LABELS_SQL = """(SELECT DISTINCT concat_ws(' ', p_type, p_brand, list_aggregate(list_reverse(string_split(p_name, ' ')), 'string_agg', ' ')) AS label
+  FROM part)"""
+
+
+def _sorted_words_sql(c: str) -> str:
+    return f"list_aggregate(list_sort(list_filter(string_split(regexp_replace(lower({c}), '[^a-z0-9_]', ' ', 'g'), ' '), lambda t: t <> '')), 'string_agg', ' ')"
+
+
+@query("j17_alternatives", sql=f"""
+WITH p AS (SELECT l.label, n.p_name, {_sorted_words_sql('l.label')} AS x, {_sorted_words_sql('n.p_name')} AS y
+  FROM {_LABELS_SQL} l, (SELECT DISTINCT p_name FROM part WHERE NOT starts_with(p_name, 'small')) n),
+s AS (SELECT label, p_name, r AS score FROM p JOIN {_ratio_sql("(SELECT DISTINCT x, y FROM p)")} z ON z.x = p.x AND z.y = p.y
+  WHERE r >= {K.ALTERNATIVE_MIN})
+SELECT label AS left_id, label AS left_name, CAST(row_number() OVER w AS INTEGER) AS rank, p_name AS target_name, score
+FROM s WINDOW w AS (PARTITION BY label ORDER BY score DESC, p_name) QUALIFY row_number() OVER w <= {K.ALTERNATIVES}
+""")
 def j17_alternatives(spark, d):
-    linked = j14_weighted_link(spark, d)
-    unmatched = linked.filter(F.col("target_name").isNull()).select("left_id", "left_name")
-    taken = linked.filter(F.col("target_name").isNotNull()).select("target_name")
-    return M.alternatives(unmatched, _words_dict(spark, d), "left_id", "left_name", "target", taken)
+    p = T(spark, d, "part")
+    label = F.concat_ws(" ", "p_type", "p_brand", F.array_join(F.reverse(F.split("p_name", " ")), " "))
+    labels = p.select(label.alias("label")).distinct().select(F.col("label").alias("lid"), F.col("label").alias("lname"))
+    taken = p.select("p_name").filter(F.col("p_name").startswith("small")).distinct()
+    return M.alternatives(labels, p.select(F.col("p_name").alias("target")).distinct(), "lid", "lname", "target", taken)
 
 
 @query("j18_group_similarity")
