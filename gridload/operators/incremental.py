@@ -58,28 +58,21 @@ def _any_null(df: DataFrame, cols: Sequence[str]) -> Column:
     return hit
 
 
-def _split_join(incoming: DataFrame, target: DataFrame, keys: Sequence[str], tkeys: Sequence[str],
-                collation: str | None, join) -> DataFrame:
-    """Null-safe key join in two parts, each ``join(rows, target keys, condition)``.
-
-    Rows without a null in the key meet the target's keys in a plain equi-join, which can reuse a
-    partitioning or bucketing by the key. Rows with a null can only match target tuples with a null;
-    they are spread over ``NULL_PARTS`` parts by a hash of the row, and those (distinct) tuples are
-    copied to each part, so a null key that holds a large share of the batch isn't one task.
+def _salted_join(incoming: DataFrame, target: DataFrame, keys: Sequence[str], tkeys: Sequence[str],
+                 collation: str | None, join) -> DataFrame:
+    """Null-safe key join ``join(rows, target keys, condition)``, one scan of each side.
+
+    A row whose key has no null has salt 0. Rows with a null component can only match target tuples with a null: they
+    are spread over ``NULL_PARTS`` salts by a hash of the row, and only those (distinct) tuples are copied to each
+    salt, so a null key that holds a large share of the batch isn't one task.
     """
     tcols = ["_t_" + k for k in tkeys]
+    parts = F.sequence(F.lit(0), F.lit(NULL_PARTS - 1))
     t = target_keys(target, tkeys, collation=collation)
-    whole, some = incoming.filter(~_any_null(incoming, keys)), incoming.filter(_any_null(incoming, keys))
-    t_whole, t_some = t.filter(~_any_null(t, tcols)), t.filter(_any_null(t, tcols))
-    cond = None
-    for k, c in zip(keys, tcols):
-        x = _key(whole, k, collation) == t_whole[c]
-        cond = x if cond is None else cond & x
-    plain = join(whole, t_whole, cond)
-    some = some.withColumn("_salt", F.pmod(F.xxhash64(*[some[c] for c in some.columns]), F.lit(NULL_PARTS)).cast("int"))
-    t_some = t_some.withColumn("_t_salt", F.explode(F.sequence(F.lit(0), F.lit(NULL_PARTS - 1))))
-    spread = join(some, t_some, _null_safe_cond(some, t_some, keys, tcols, collation) & (some["_salt"] == t_some["_t_salt"]))
-    return plain.unionByName(spread)
+    t = t.withColumn("_t_salt", F.explode(F.when(_any_null(t, tcols), parts).otherwise(F.array(F.lit(0)))))
+    row = F.pmod(F.xxhash64(*[incoming[c] for c in incoming.columns]), F.lit(NULL_PARTS)).cast("int")
+    rows = incoming.withColumn("_salt", F.when(_any_null(incoming, keys), row).otherwise(F.lit(0)))
+    return join(rows, t, _null_safe_cond(rows, t, keys, tcols, collation) & (rows["_salt"] == t["_t_salt"]))
 
 
 def filter_new(incoming: DataFrame, target: DataFrame, keys: Sequence[str] | None,
@@ -90,7 +83,7 @@ def filter_new(incoming: DataFrame, target: DataFrame, keys: Sequence[str] | Non
     remove them first with :func:`dedup`. ``collation`` (e.g. ``UTF8_LCASE``,
     ``UNICODE_CI_RTRIM``) compares text keys case- or pad-insensitively, as a
     case-insensitive target database would; the default is binary. Null keys are salted
-    (see :func:`_salted`), so a hot null key does not land in one task.
+    (see :func:`_salted_join`), so a hot null key does not land in one task.
     """
     if not keys:
         warnings.warn("no unique identifier for the target: every incoming row is treated as new",
@@ -99,14 +92,14 @@ def filter_new(incoming: DataFrame, target: DataFrame, keys: Sequence[str] | Non
     _check_keys(incoming, keys, "incoming")
     tk = list(target_key_names or keys)
     _check_keys(target, tk, "target")
-    return _split_join(incoming, target, keys, tk, collation, lambda x, t, on: x.join(t, on, "left_anti").select(*incoming.columns))
+    return _salted_join(incoming, target, keys, tk, collation, lambda x, t, on: x.join(t, on, "left_anti").select(*incoming.columns))
 
 
 def existing(incoming: DataFrame, target: DataFrame, keys: Sequence[str],
              collation: str | None = None) -> DataFrame:
     """J3-style semi join: incoming rows whose key is present in the target."""
     _check_keys(incoming, keys, "incoming")
-    return _split_join(incoming, target, keys, keys, collation, lambda x, t, on: x.join(t, on, "left_semi").select(*incoming.columns))
+    return _salted_join(incoming, target, keys, keys, collation, lambda x, t, on: x.join(t, on, "left_semi").select(*incoming.columns))
 
 
 def flag_existing(incoming: DataFrame, target: DataFrame, keys: Sequence[str],
@@ -122,7 +115,7 @@ def flag_existing(incoming: DataFrame, target: DataFrame, keys: Sequence[str],
         joined = rows.join(t.withColumn("_t_hit", F.lit(True)), on, "left")
         return joined.select(*[rows[c] for c in incoming.columns], F.coalesce(F.col("_t_hit"), F.lit(False)).alias(flag))
 
-    return _split_join(incoming, target, keys, keys, collation, flagged)
+    return _salted_join(incoming, target, keys, keys, collation, flagged)
 
 
 def insert_if_absent(target: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
