@@ -10,10 +10,9 @@ graph and their neighbours scored by their distance in floats, until the beam is
 error of the best ``k`` is ranked by the cosine in double precision, ties to the smaller id. Query vectors are
 broadcast in blocks of at most ``BLOCK_BYTES``; each block is searched against the whole graph.
 
-Graph turns compare 8-bit codes, which can't tell members of a group of nearly equal vectors apart. Queries whose whole
-beam lies within ``CROWDED`` of their ``k`` best are therefore answered by an exact scan over all nodes. For the others
-the beam follows measured recall: a sample of queries is scanned exactly, and the beam doubles while it finds less than
-``RECALL`` of the sample's neighbours; once a beam could visit as many nodes as there are, the scan answers all.
+Equal query vectors are searched once. A turn scores only nodes that are not in the beam yet. Graph turns compare 8-bit
+codes, which can't tell members of a group of nearly equal vectors apart: queries whose whole beam lies within
+``CROWDED`` of their ``k`` best are therefore answered by an exact scan over all nodes, whatever the table's size.
 
 Vectors whose directions agree to twelve decimals count as equal. Vectors that are null, zero, or hold null or non-finite components take no part; nor do rows without an id or with
 another length than most. Repeated rows are candidates like others, with equal ids listed once
@@ -33,8 +32,6 @@ from pyspark.sql import functions as F
 from gridload.llm.common import stage
 
 BLOCK_BYTES = 16 << 20
-#: Share of a sample's exact neighbours that the beam must find, and queries in the sample.
-RECALL, SAMPLE = 0.995, 200
 #: Cosines closer than this are not told apart by the graph's 8-bit codes.
 CROWDED = 1e-3
 
@@ -332,6 +329,7 @@ def _search_block(spark, own: DataFrame, links: DataFrame, nodes: DataFrame, wid
         if front.isEmpty():
             break
         pairs = (front.select("query", "node", "bar").join(links, "node").select("query", "bar", F.explode("nbrs").alias("node")).distinct())
+        pairs = pairs.join(beam.select("query", "node"), ["query", "node"], "left_anti")
         fresh = (pairs.join(nodes.select("node", "unit"), "node").select("query", "node", "unit", "bar")
                  .mapInArrow(score, "query bigint, node bigint, sim float"))
         step_done = F.least(F.lit(1), F.col("done") + F.when((F.col("done") == 0) & (F.col("k") <= step), 1).otherwise(0))
@@ -350,31 +348,16 @@ def _search_block(spark, own: DataFrame, links: DataFrame, nodes: DataFrame, wid
             .select("query", "node", "crowded"))
 
 
-def _follow(asking: DataFrame, graph: DataFrame, nodes: DataFrame, names: DataFrame, width: int, k: int, ef: int = 400,
-            step: int = 64, back: int = 24) -> DataFrame:
-    """query, node: the candidates of each query, by beams whose recall on a sample is measured, or by an exact scan."""
-    queries = asking.select("query", "node")
-    total = nodes.count()
-    degree = graph.agg(F.max(F.size("nbrs"))).first()[0] or 0
-    while True:
-        found = stage(search(queries, graph, nodes, width, k, ef=ef, step=step, back=back), "ann-found")
-        crowded = found.where("crowded").select("query").distinct()
-        calm = asking.join(crowded, "query", "left_anti")
-        sample = stage(calm.orderBy(F.xxhash64("query")).limit(SAMPLE), "ann-sample")
-        truth = _scan(sample.select("query", "vec"), names, width, k).join(sample.select("query", F.col("node").alias("own")), "query")
-        place = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
-        truth = truth.where("node != own").withColumn("at", F.row_number().over(place)).where(F.col("at") <= k)
-        hit = truth.join(found.select("query", "node", F.lit(1).alias("hit")), ["query", "node"], "left").agg(
-            F.count("*").alias("n"), F.count("hit").alias("hits")).first()
-        if hit["hits"] >= RECALL * hit["n"]:
-            exact = crowded
-            break
-        ef *= 2
-        if ef * (degree + back) >= total:
-            exact = queries.select("query")
-            break
-    scanned = _scan(asking.join(exact, "query", "left_semi").select("query", "vec"), names, width, k)
-    return stage(found.join(exact, "query", "left_anti").select("query", "node").unionByName(scanned.select("query", "node")), "ann-candidates")
+def _candidates(asking: DataFrame, graph: DataFrame, nodes: DataFrame, names: DataFrame, width: int, k: int, ef: int = 400,
+                step: int = 64, back: int = 24) -> DataFrame:
+    """asked, node: the candidates of each asked node; an exact scan answers those whose beam is crowded."""
+    asked = asking.select(F.col("node").alias("query"), "node").distinct()
+    found = stage(search(asked, graph, nodes, width, k, ef=ef, step=step, back=back), "ann-found")
+    crowded = found.where("crowded").select("query").distinct()
+    exact = names.join(crowded, names["node"] == crowded["query"], "left_semi").select(F.col("node").alias("query"), "vec")
+    scanned = _scan(exact, names, width, k)
+    return stage(found.join(crowded, "query", "left_anti").select("query", "node").unionByName(scanned.select("query", "node"))
+                 .select(F.col("query").alias("asked"), "node"), "ann-candidates")
 
 
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5,
@@ -400,8 +383,9 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     graph = build_graph(nodes, width, **{x: v for x, v in options.items() if x in ("degree", "size", "partners", "turns")})
     asking = stage(clean.where(F.col("asks")).dropDuplicates(["id"]).select("same", F.col("id").alias("query"), F.col("vec").alias("qvec"))
                    .join(names.select("same", "node"), "same").select("query", "node", F.col("qvec").alias("vec")), "ann-asking")
-    found = _follow(asking, graph, nodes, names, width, k, **{x: v for x, v in options.items() if x in ("ef", "step", "back")})
+    found = _candidates(asking, graph, nodes, names, width, k, **{x: v for x, v in options.items() if x in ("ef", "step", "back")})
     members = heads.select("same", "id").join(names, "same").select("node", "id", "vec")
+    found = found.join(asking.select(F.col("node").alias("asked"), "query"), "asked").drop("asked")
     asked = asking.select("query", F.col("vec").alias("qvec"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     score = dot(F.col("vec"), F.col("qvec")) / (F.sqrt(dot(F.col("vec"), F.col("vec"))) * F.sqrt(dot(F.col("qvec"), F.col("qvec"))))
