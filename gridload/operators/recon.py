@@ -118,6 +118,50 @@ def reconciliation_checks(df: DataFrame, pairs: dict[str, tuple[str, str]],
                             f"{overall}_lagged": F.lit("INVALIDO")})
 
 
+def update_from(rows: DataFrame, sets: dict[str, Column],
+                joins: Sequence[tuple[str, DataFrame, Sequence[tuple[Column, str]], Sequence[str]]] = ()) -> DataFrame:
+    """``UPDATE ... SET ... FROM`` with left joins: every SET expression reads the old image of the row.
+
+    Each join is (alias, table, [(row expression, table column)], order): its columns are read as ``alias.column``. Of
+    several matches the first by ``order`` is taken (a database takes any one); a row without a match reads nulls. Rows
+    are neither lost nor multiplied. A set name that the rows lack becomes a new column.
+    """
+    out = rows
+    for alias, dim, on, order in joins:
+        one = dedupe_dimension(dim, [c for _, c in on], order)
+        packed = one.select(F.struct("*").alias(alias), *[F.col(c).alias(f"_{alias}_{i}") for i, (_, c) in enumerate(on)])
+        cond = None
+        for i, (expr, _) in enumerate(on):
+            same = expr == F.col(f"_{alias}_{i}")
+            cond = same if cond is None else cond & same
+        out = out.join(packed, cond, "left").drop(*[f"_{alias}_{i}" for i in range(len(on))])
+    return out.withColumns(sets).drop(*[alias for alias, *_ in joins])
+
+
+def reconciliation_update(rows: DataFrame, pairs: dict[str, tuple[str, str]], codes: DataFrame, accounts: DataFrame, code: str,
+                          account: str, date: str, captured: dict[str, str], overall: str = "val_check") -> DataFrame:
+    """P16 with J5, as the write trigger does both in one UPDATE: checks per pair; the overall verdict from the OLD check
+    columns (so it lags one update behind); captured values copied from the row; the concept by a code join; the
+    account name by account, year and month - 1.
+
+    ``codes`` has code and name, ``accounts`` account, year, month and name; of several the first name counts. Rows
+    without check columns are fresh inserts: the old checks are null and the verdict is INVALIDO.
+    """
+    fresh = rows.withColumns({c: F.lit(None).cast("string") for c in (*pairs, overall) if c not in rows.columns})
+    all_ok = None
+    for c in pairs:
+        ok = F.col(c) == "CORRECTO"
+        all_ok = ok if all_ok is None else all_ok & ok
+    d = F.col(date)
+    return update_from(fresh, {
+        **{c: check_pair(a, b) for c, (a, b) in pairs.items()},
+        overall: F.when(all_ok, "VALIDADO").otherwise("INVALIDO"),
+        **{out: F.col(src) for out, src in captured.items()},
+        "concept": F.col("codes.name"), "account_name": F.col("accounts.name"),
+    }, [("codes", codes, [(F.col(code), "code")], ["name"]),
+        ("accounts", accounts, [(F.col(account), "account"), (F.year(d), "year"), (F.month(d) - 1, "month")], ["name"])])
+
+
 def phase_durations(events: DataFrame, user: str, ts: str) -> DataFrame:
     """Per user and day, the phase start/end and its duration in milliseconds."""
     per = events.groupBy(user, F.to_date(ts).alias("day")).agg(

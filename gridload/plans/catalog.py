@@ -1061,6 +1061,65 @@ def e4_reconciliation_load(spark, d):
     return RC.reconciliation_checks(_j5(spark, d), _P16_PAIRS)
 
 
+#: Budget codes of the rows, and their names: some twice (the first name counts), some codes without a name.
+_CODES_SQL = """(SELECT 'R' || n AS code, 'Rubro ' || n || ' ' || k AS name
+  FROM (SELECT DISTINCT o_orderkey % 9 AS n FROM orders), (SELECT unnest(['b', 'a']) AS k) WHERE n <= 6 AND (k = 'b' OR n % 2 = 0))"""
+
+
+def _codes(spark, d):
+    n = X.orders(spark, d).select((F.col("o_orderkey") % 9).alias("n")).distinct().filter("n <= 6")
+    k = n.withColumn("k", F.explode(F.array(F.lit("b"), F.lit("a")))).filter("k = 'b' OR n % 2 = 0")
+    return k.select(F.concat(F.lit("R"), F.col("n").cast("string")).alias("code"),
+                    F.concat_ws(" ", F.lit("Rubro"), F.col("n").cast("string"), "k").alias("name"))
+
+
+def _matrix(spark, d):
+    code = F.concat(F.lit("R"), (F.col("package_id").cast("bigint") % 9).cast("string"))
+    return _p12(spark, d).withColumn("code", code)
+
+
+def _recon_update(rows, spark, d):
+    accounts = _month_dim(spark, d).select(F.col("acct").alias("account"), F.col("y").alias("year"), F.col("m").alias("month"), "name")
+    return RC.reconciliation_update(rows, _P16_PAIRS, _codes(spark, d), accounts, "code", "account_no", "collection_date",
+                                    {"nit_captured": "nit_payer", "value_captured": "movement_value"})
+
+
+_MATRIX_SQL = f"(SELECT *, 'R' || CAST(CAST(package_id AS BIGINT) % 9 AS VARCHAR) AS code FROM {_P12_SQL})"
+
+
+def _sql_update(src, old):
+    """One run of the trigger; ``old`` says that the rows carry checks already."""
+    checks = ", ".join(f"{_sql_check(a, b)} AS {n}" for n, (a, b) in _P16_PAIRS.items())
+    verdict = " AND ".join(f"m.{n} = 'CORRECTO'" for n in _P16_PAIRS) if old else "false"
+    drop = "* EXCLUDE (check_nit, check_value, check_id, val_check, nit_captured, value_captured, concept, account_name)" if old else "*"
+    return f"""(SELECT m.{drop}, {checks}, CASE WHEN {verdict} THEN 'VALIDADO' ELSE 'INVALIDO' END AS val_check,
+      m.nit_payer AS nit_captured, m.movement_value AS value_captured, cd.name AS concept, dm.name AS account_name
+    FROM {src} m LEFT JOIN (SELECT code AS c, min(name) AS name FROM {_CODES_SQL} GROUP BY 1) cd ON cd.c = m.code
+    LEFT JOIN {_MONTH_DIM_SQL} dm ON dm.acct = m.account_no AND dm.y = year(m.collection_date) AND dm.m = month(m.collection_date) - 1)"""
+
+
+#: Between the two updates a user corrects captured values of open orders and blanks the packages of some others.
+_EDIT_SQL = """(SELECT * REPLACE (
+    CASE WHEN CAST(package_id AS BIGINT) % 4 = 0 THEN movement_value ELSE captured_value END AS captured_value,
+    CASE WHEN CAST(package_id AS BIGINT) % 5 = 0 THEN '' ELSE package_id_captured END AS package_id_captured) FROM {src})"""
+
+
+@query("j5_code_join", sql=f"SELECT * FROM {_sql_update(_MATRIX_SQL, False)}")
+def j5_code_join(spark, d):
+    """The trigger on fresh inserts: checks, captured values, concept by code, account name by month."""
+    return _recon_update(_matrix(spark, d), spark, d)
+
+
+@query("p16_second_update", sql=f"SELECT * FROM {_sql_update(_EDIT_SQL.format(src=_sql_update(_MATRIX_SQL, False)), True)}")
+def p16_second_update(spark, d):
+    """The trigger again after an edit: the verdict follows the checks from before it."""
+    first = _recon_update(_matrix(spark, d), spark, d)
+    key = F.col("package_id").cast("bigint")
+    edited = first.withColumns({"captured_value": F.when(key % 4 == 0, F.col("movement_value")).otherwise(F.col("captured_value")),
+                                "package_id_captured": F.when(key % 5 == 0, "").otherwise(F.col("package_id_captured"))})
+    return _recon_update(edited, spark, d)
+
+
 @query("j6_snowflake", sql="""
 SELECT l.l_orderkey, l.l_linenumber, o.o_custkey, c.c_mktsegment, n.n_name, r.r_name
 FROM (SELECT DISTINCT * FROM orders) o JOIN lineitem l ON o.o_orderkey = l.l_orderkey
@@ -1479,6 +1538,54 @@ def e1_load_counts(spark, d):
     return PL.base_load_counts(sheet, PL.base_load(sheet, _ORDER_TEXT_MAPPING, _ORDER_TEXT_TYPES))
 
 
+def _sheet_folder(spark, d):
+    """The orders sheet as files of three layouts (another order with a further column; a column short), with blank
+    lines for the first day of a month, and files to reject: text notes, a repeated column."""
+    root = scratch_path(spark, "sheets")
+    sheet = X.orders_text(spark, d).select("order_key", "cust_key", "amount_dot", "order_date", "status_word")
+    part = F.col("order_key").cast("bigint") % 3
+    blank = F.substring("order_date", 1, 2) == "01"
+
+    def some(n):
+        rows = sheet.filter(part == n)
+        return rows.select(*[F.when(~blank, F.col(c)).alias(c) for c in rows.columns])
+
+    EX.write_export(some(0), f"{root}/a", ["Order_Key", "cust_key!", "amount_dot", "order_date", "status_word"], 2, ["order_key"])
+    EX.write_export(some(1).select("status_word", "order_date", F.lit(None).cast("string").alias("note"), "amount_dot", "cust_key", "order_key"),
+                    f"{root}/b", ["status_word", "order_date", "note, with comma", "amount_dot", "cust_key!", "Order_Key"], 2, ["order_key"])
+    EX.write_export(some(2).drop("status_word"), f"{root}/c", ["Order_Key", "cust_key!", "amount_dot", "order_date"], 2, ["order_key"])
+    T(spark, d, "region").select("r_name").coalesce(1).write.mode("overwrite").text(f"{root}/notes")
+    (spark.createDataFrame([("a,b,a",), ("1,2,3",)], "line string").coalesce(1).write.mode("overwrite")
+     .option("header", False).option("quote", "").option("sep", "\u0001").csv(f"{root}/twice"))
+    return root
+
+
+_SHEET_MAPPING = {("Order_Key" if k == "order_key" else "cust_key!" if k == "cust_key" else k): v for k, v in _ORDER_TEXT_MAPPING.items()}
+_SHEET_SPECS = [R.ColumnSpec("order_id", "order_id", "INTEGER", nullable=False), R.ColumnSpec("customer_id", "customer_id", "INTEGER"),
+                R.ColumnSpec("total", "total", "DECIMAL")]
+
+
+def _file_load(spark, d):
+    return PL.file_load(spark, _sheet_folder(spark, d), _SHEET_MAPPING, _ORDER_TEXT_TYPES, _SHEET_SPECS, max_bytes=1 << 30)
+
+
+@query("e1_file_load", sql=f"""
+SELECT order_id, customer_id, total, order_date, CASE WHEN order_id % 3 <> 2 THEN closed END AS closed
+FROM {_E1_SQL} WHERE strftime(order_date, '%d') <> '01'
+""")
+def e1_file_load(spark, d):
+    return _file_load(spark, d).rows.drop("source_file", "sheet_row")
+
+
+@query("e1_file_counts", sql="""
+SELECT 3 AS layouts, count(*) AS rows_read, count(*) FILTER (WHERE strftime(o_orderdate, '%d') <> '01') AS rows_kept,
+       count(*) FILTER (WHERE strftime(o_orderdate, '%d') = '01') AS rows_skipped
+FROM orders
+""")
+def e1_file_counts(spark, d):
+    return _file_load(spark, d).counts.select(F.col("layouts").cast("int").alias("layouts"), "rows_read", "rows_kept", "rows_skipped")
+
+
 @query("e2_enhanced_load", sql=f"""
 SELECT e.* FROM {_E1_SQL} e WHERE NOT EXISTS (SELECT 1 FROM orders t
   WHERE t.o_orderdate < TIMESTAMP '{X.TARGET_CUTOFF}' AND t.o_orderkey = e.order_id)

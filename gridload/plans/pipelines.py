@@ -9,8 +9,9 @@ folder so that the write and the statistics do not recompute the scan.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cdc as CD
@@ -18,6 +19,8 @@ from ..operators import dedup as D
 from ..operators import incremental as I
 from ..operators import rules as R
 from ..operators import typing_ops as TY
+from ..session import scratch_path
+from ..sources import exports as EX
 from ..sources import keys as KY
 
 
@@ -42,6 +45,51 @@ def base_load_counts(sheet: DataFrame, loaded: DataFrame) -> DataFrame:
     return out.withColumn("rows_skipped", F.col("rows_read") - F.col("rows_kept"))
 
 
+@dataclass
+class FileLoad:
+    rows: DataFrame  #: typed rows with ``source_file`` and ``sheet_row``
+    files: DataFrame  #: every file with its header, and a reason where it was rejected
+    issues: DataFrame  #: validation issues, with ``source_file``
+    counts: DataFrame  #: one row of totals
+
+
+def file_load(spark: SparkSession, folder: str, mapping: Mapping[str, Mapping], types: Mapping[str, str],
+              specs: Sequence[R.ColumnSpec] = (), max_bytes: int | None = None, multi_line: bool = True,
+              as_of: str = "2025-01-01 00:00:00") -> FileLoad:
+    """E1 from files: admit, read files of unlike headers, clean, map, validate, cast, drop rows null after casts.
+
+    The sheet rows are staged once in the shared folder, so the steps after it read columns, not files. Validation
+    reports on the mapped text and filters nothing; a row keeps its file and sheet row to the end. Totals: files admitted
+    and rejected, header layouts, rows read, kept and skipped, issues.
+    """
+    lineage = ["source_file", "sheet_row"]
+
+    def filled(df: DataFrame) -> DataFrame:
+        return df.na.drop(how="all", subset=[c for c in df.columns if c not in lineage])
+
+    raw, files = EX.read_unlike(spark, folder, max_bytes=max_bytes, multi_line=multi_line)
+    path = scratch_path(spark, "sheet-rows")
+    raw.write.parquet(path)
+    sheet = spark.read.schema(raw.schema).parquet(path)
+    cleaned = filled(TY.drop_all_null_columns(sheet)) if not sheet.isEmpty() else sheet
+    mapped = TY.apply_mapping(cleaned, mapping | {c: {"target": c, "confidence": 1.0} for c in lineage}, drop_unmapped=True)
+    typed = filled(TY.cast_columns(mapped, {c: t for c, t in types.items() if c in mapped.columns})) if len(mapped.columns) > 2 else mapped
+    # a sheet row is unique within its file only
+    at = F.struct("source_file", "sheet_row")
+    numbered = mapped.withColumn("_at", F.xxhash64(at))
+    issues = (R.validate(numbered, list(specs), F.col("_at"), as_of=as_of)
+              .join(numbered.select(F.col("_at").alias("row_number"), *lineage), "row_number", "left").drop("row_number"))
+    totals = (sheet.select(F.lit("read").alias("_of"))
+              .unionByName(typed.select(F.lit("kept").alias("_of"))).unionByName(issues.select(F.lit("issue").alias("_of")))
+              .unionByName(files.select(F.when(F.col("admitted"), "admitted").otherwise("rejected").alias("_of")))
+              .unionByName(files.filter("admitted").select("header").distinct().select(F.lit("layout").alias("_of"))))
+    n = lambda kind: F.count_if(F.col("_of") == kind)
+    counts = totals.agg(n("admitted").alias("files_admitted"), n("rejected").alias("files_rejected"), n("layout").alias("layouts"),
+                        n("read").alias("rows_read"), n("kept").alias("rows_kept"), (n("read") - n("kept")).alias("rows_skipped"),
+                        n("issue").alias("issues"))
+    return FileLoad(typed, files, issues, counts)
+
+
 def enhanced_load(batch: DataFrame, target: DataFrame, candidates, order_by: Sequence[str],
                   keep: str = "first") -> DataFrame:
     """Discover the best verified key of the target, drop in-batch duplicates on it (W1),

@@ -8,9 +8,11 @@ and 1-based numbering).
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -77,6 +79,57 @@ def read_exports(spark: SparkSession, paths: Sequence[str], fmt: str = "csv",
         .drop("_blk", "_mid", "_first", "_off")
 
 
+#: Different header lines that one folder may hold; each is one scan, so their number is checked.
+MAX_LAYOUTS = 1000
+
+
+def file_headers(spark: SparkSession, folder: str, extensions: Sequence[str] = DEFAULT_EXTENSIONS) -> DataFrame:
+    """path, header: the first line of every non-empty file, found by a scan that shuffles one row per file."""
+    lines = (spark.read.option("recursiveFileLookup", "true").text(folder)
+             .select(F.col("_metadata.file_path").alias("at"), F.lower("_metadata.file_name").alias("name"),
+                     F.col("_metadata.file_block_start").alias("block"), F.col("value"))
+             .filter("block = 0").filter(reduce(lambda x, y: x | y, [F.col("name").endswith(e.lower()) for e in extensions])))
+    first = lines.withColumn("line", F.monotonically_increasing_id()).groupBy("at").agg(F.min(F.struct("line", "value")).alias("f"))
+    path = F.url_decode(F.replace("at", F.lit("+"), F.lit("%2B")))  # file paths in the metadata are encoded
+    return first.select(path.alias("path"), F.regexp_replace("f.value", "^\ufeff", "").alias("header"))
+
+
+def _one_slash(path) -> Column:
+    """``file:///a`` and ``file:/a`` as one spelling."""
+    return F.regexp_replace(path, "^([A-Za-z0-9]+):/+", "$1:/")
+
+
+def read_unlike(spark: SparkSession, folder: str, extensions: Sequence[str] = DEFAULT_EXTENSIONS, max_bytes: int | None = None,
+                multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """S2 and S3 for a folder of files with unlike headers: (rows, files).
+
+    Files are admitted by rule, grouped by their header line, and each group is read on its own; groups are
+    united by cleaned column name, and a column that a group lacks is null there. ``files`` holds path, header, admitted
+    and a reason for each file: besides the admission rules, a file is rejected when its cleaned header names a column
+    twice. Files of zero bytes aren't listed by Spark and so don't show up. A header is the file's first line, so it
+    can't hold a line break. The driver gets one
+    row per header, with its files (which it lists to read them anyway); over ``MAX_LAYOUTS`` headers raise.
+    """
+    listed = admit_files(list_files(spark, folder), extensions, max_bytes).withColumn("_p", _one_slash("path"))
+    headers = file_headers(spark, folder, extensions).select(_one_slash("path").alias("_p"), "header")
+    seen = listed.join(headers, "_p", "left").drop("_p")
+    layouts = seen.filter("admitted and header is not null").groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).limit(
+        MAX_LAYOUTS + 1).collect()
+    if len(layouts) > MAX_LAYOUTS:
+        raise ValueError(f"over {MAX_LAYOUTS} different headers under {folder}")
+    good, twice = [], []
+    for row in sorted(layouts, key=lambda r: r["header"]):
+        names = [C.clean_header(c, i).lower() for i, c in enumerate(next(csv.reader([row["header"]]), []))]
+        (good if len(set(names)) == len(names) else twice).append(row)
+    reason = (F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("header").isNull(), "no header line")
+              .when(F.col("header").isin([r["header"] for r in twice]), "repeated column name"))
+    files = seen.select("path", "file_name", "extension", "size_bytes", "header", reason.alias("reason")).withColumn("admitted", F.col("reason").isNull())
+    parts = [read_exports(spark, r["paths"], multi_line=multi_line) for r in good]
+    if not parts:
+        return spark.createDataFrame([], "source_file string, sheet_row bigint"), files
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts), files
+
+
 def sheet_summary(df: DataFrame, source_col: str = "source_file") -> DataFrame:
     """S4 per file: rows, columns (without lineage), has data."""
     n_cols = len([c for c in df.columns if c not in (source_col, "sheet_row")])
