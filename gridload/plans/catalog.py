@@ -1409,9 +1409,7 @@ def t2_stream_new_records(spark, d):
     src, schema = _events_folder(spark, d)
     sink, ckpt = scratch_path(spark, "new-sink"), scratch_path(spark, "new-ckpt")
     target = T(spark, d, "events").filter(F.col("ts") < F.lit(_STREAM_TARGET_CUTOFF).cast("timestamp_ntz"))
-    # the folder's files are not in time order, so the lateness bound spans the whole month
-    q = ST.new_records_stream(ST.file_stream(spark, src, schema, 2), target, ["event_id"], "ts", "31 days",
-                              sink, ckpt)
+    q = ST.new_records_stream(ST.file_stream(spark, src, schema, 2), target, ["event_id"], sink, ckpt)
     q.awaitTermination()
     return spark.read.schema(schema).parquet(sink).select(*schema.fieldNames())
 
@@ -1853,16 +1851,17 @@ def j1_filter_new_collated(spark, d):
 
 @query("t3_lockout_stream", sql=_LOCKOUT_SQL)
 def t3_lockout_stream(spark, d):
-    """T3 as a stream: attempts arrive day by day (one write per day, so files arrive in time
-    order), micro-batches of a few files, per-user state carried by applyInPandasWithState."""
-    ev = T(spark, d, "events")
-    src = scratch_path(spark, "login-files")
-    days = [r[0] for r in ev.select(F.to_date("ts").alias("day")).distinct().orderBy("day").collect()]
-    for day in days:  # the producer: one file drop per day
-        ev.filter(F.to_date("ts") == F.lit(day)).write.mode("append").parquet(src)
-    stream = LO.login_attempts(ST.file_stream(spark, src, ev.schema, 8))
+    """T3 as a stream: attempts come in files that are not in time order, up to a month late; a closing
+    heartbeat moves the watermark past the last attempt."""
+    src, schema = _events_folder(spark, d)
+    last = T(spark, d, "events").agg(F.max("ts").alias("ts"))
+    heartbeat = last.select(*[(F.col("ts") + F.expr("INTERVAL 63 DAYS") if c == "ts" else F.lit("error") if c == "event_type"
+                               else F.lit(None)).cast(schema[c].dataType).alias(c) for c in schema.fieldNames()])
+    heartbeat.write.mode("append").parquet(src)
+    stream = LO.login_attempts(ST.file_stream(spark, src, schema, 2))
     sink, ckpt = scratch_path(spark, "lock-sink"), scratch_path(spark, "lock-ckpt")
-    q = (LO.lockout_stream(stream).writeStream.format("parquet").option("path", sink)
-         .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
+    with ST.rocksdb_state(spark):
+        q = (LO.lockout_stream(stream, "62 days").writeStream.format("parquet").option("path", sink)
+             .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(sink)

@@ -9,9 +9,9 @@ Checkpoints live under the shared ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,6 +20,21 @@ from ..operators import cdc as CD
 from ..operators import incremental as I
 
 
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB (on the executors' disks, not on the heap)."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def _batch_dir(root: str, batch_id: int) -> str:
     return os.path.join(root, f"batch_id={batch_id}")
 
@@ -42,32 +57,26 @@ def audit_stream(stream: DataFrame, key: str, columns: Sequence[str], sink_dir:
     return w.start()
 
 
-def new_records_stream(stream: DataFrame, target: DataFrame, keys: Sequence[str], event_time: str,
-                       watermark: str, sink_dir: str, checkpoint: str,
+def new_records_stream(stream: DataFrame, target: DataFrame, keys: Sequence[str], sink_dir: str, checkpoint: str,
                        available_now: bool = True) -> StreamingQuery:
-    """Drop in-stream duplicates within the watermark, then keep rows absent from the target and from
-    what earlier batches accepted (their output folders), however late a key comes again.
+    """Keep the first row of each key that the stream brings, then those absent from the target.
 
-    The survivor of an in-stream duplicate is the first to arrive (not a
-    declared row order, unlike the batch ``dedup``).
+    The keys seen so far are the state of a streaming ``dropDuplicates`` in RocksDB, one small entry a key, so a batch
+    looks up its own keys only and never reads earlier output; a key stays known however late it comes again. The
+    target's key columns are read once a batch, in an anti-join whose work doesn't depend on the batch's number.
+    Nulls in keys equal each other. The survivor of an in-stream duplicate is the first to arrive (not a declared
+    row order, unlike the batch ``dedup``). A batch replayed after a failure sees the state it saw first.
     """
-    # watermarks need a zoned TIMESTAMP; the session zone makes the cast an identity on values
-    deduped = (stream.withColumn("_event_time", F.col(event_time).cast("timestamp"))
-               .withWatermark("_event_time", watermark).dropDuplicatesWithinWatermark(list(keys)))
+    fresh_keys = stream.dropDuplicates(list(keys))
+    known = target.select(*keys)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        known = target.select(*keys)
-        try:
-            earlier = batch.sparkSession.read.parquet(sink_dir).filter(F.col("batch_id") < batch_id)
-            known = known.unionByName(earlier.select(*keys))
-        except AnalysisException:  # no batch has written yet
-            pass
-        fresh = I.filter_new(batch.drop("_event_time"), known, keys)
-        fresh.write.mode("overwrite").parquet(_batch_dir(sink_dir, batch_id))
-
-    w = deduped.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        I.filter_new(batch, known, keys).write.mode("overwrite").parquet(_batch_dir(sink_dir, batch_id))
+
+    w = fresh_keys.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+    with rocksdb_state(target.sparkSession):
+        return w.start()
 
 
 def file_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int = 1) -> DataFrame:

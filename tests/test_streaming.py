@@ -24,19 +24,34 @@ def test_lockout_expiry_resets(spark):
     assert out == ["failed", "failed", "locked", "failed", "failed", "locked"]
 
 
-def test_lockout_stream_equals_batch(spark, small_dir):
-    ev = spark.read.parquet(f"{small_dir}/events.parquet")
-    src = scratch_path(spark, "lock-src")
-    ev.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(src)
-    schema = ev.schema
-    stream = LO.login_attempts(ST.file_stream(spark, src, schema, 100))
-    sink, ckpt = scratch_path(spark, "lock-sink"), scratch_path(spark, "lock-ckpt")
-    q = (LO.lockout_stream(stream).writeStream.format("parquet").option("path", sink)
-         .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    got = {(r.event_id, r.outcome) for r in spark.read.parquet(sink).collect()}
-    want = {(r.event_id, r.outcome) for r in LO.lockout_batch(LO.login_attempts(ev)).collect()}
-    assert got == want
+def test_late_attempts_across_batches_equal_the_batch_result(spark):
+    import random
+
+    rnd = random.Random(5)
+    schema = "user_id bigint, event_id bigint, ts timestamp_ntz, success boolean"
+    rows, eid = [], 0
+    for user in range(8):
+        t = 0
+        for _ in range(40):
+            t += rnd.choice([0, 1, 2, 7, 14, 15, 16, 40])
+            eid += 1
+            rows.append((user, eid, T0 + dt.timedelta(minutes=t, microseconds=rnd.randrange(3)), rnd.random() < 0.4))
+    late = sorted(rows, key=lambda r: r[2] + dt.timedelta(minutes=rnd.uniform(0, 30)))  # up to 30 minutes late
+    end = (None, None, max(r[2] for r in rows) + dt.timedelta(hours=1), None)
+    src, sink, ckpt = (scratch_path(spark, x) for x in ("lock-src", "lock-sink", "lock-ckpt"))
+    for i in range(0, len(late), 80):  # a run per file: state and timers come back from the checkpoint
+        part = late[i:i + 80] + ([end] if i + 80 >= len(late) else [])
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = ST.file_stream(spark, src, spark.createDataFrame([], schema).schema, 1)
+        with ST.rocksdb_state(spark):
+            q = (LO.lockout_stream(stream, "31 minutes").writeStream.format("parquet").option("path", sink)
+                 .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+    fields = ("user_id", "event_id", "ts", "success", "outcome", "failures", "locked_until")
+    got = sorted(tuple(r[f] for f in fields) for r in spark.read.parquet(sink).collect())
+    want = sorted(tuple(r[f] for f in fields) for r in LO.lockout_batch(spark.createDataFrame(rows, schema)).collect())
+    assert [r[:6] for r in got] == [r[:6] for r in want]
+    assert [r[6] for r in got] == [r[6] for r in want]
 
 
 def test_stretches_equal_the_sequential_replay(spark):
@@ -62,9 +77,9 @@ def test_accepted_keys_join_the_target(spark):
     schema = "k int, ts timestamp_ntz"
     src, sink, ckpt = (scratch_path(spark, x) for x in ("src", "sink", "ckpt"))
     target = spark.createDataFrame([(1, T0)], schema)
-    for i, ks in enumerate([[1, 2], [2, 3], [2, 3, 4]]):  # a day apart, far beyond the watermark
+    for i, ks in enumerate([[1, 2], [2, 3], [2, 3, 4]]):  # a run per file
         spark.createDataFrame([(k, T0 + dt.timedelta(days=i)) for k in ks], schema).coalesce(1).write.mode("append").parquet(src)
-        ST.new_records_stream(ST.file_stream(spark, src, target.schema), target, ["k"], "ts", "1 minute", sink, ckpt).awaitTermination()
+        ST.new_records_stream(ST.file_stream(spark, src, target.schema), target, ["k"], sink, ckpt).awaitTermination()
     assert sorted(r.k for r in spark.read.parquet(sink).collect()) == [2, 3, 4]
 
 
