@@ -42,27 +42,52 @@ RULES = (
 SPAN = "struct<start:bigint,ord:int,stop:bigint,kind:string>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value`` as a bound variable, so that it is computed once a row however often the body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """Array of spans of one rule: match lengths and the pieces between them give the positions."""
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    between = F.split(text, rule.pattern, -1)
-
-    def step(acc: Column, i: Column) -> Column:
-        hit = F.get(acc["found"], i)
-        start = acc["at"] + F.char_length(F.get(acc["between"], i))
-        stop = start + F.char_length(hit)
-        core = F.regexp_extract(hit, rule.pattern, rule.group)
-        span = F.struct(start.cast("long").alias("start"), F.lit(order).alias("ord"),
-                        stop.cast("long").alias("stop"), F.lit(rule.kind).alias("kind"))
-        kept = F.when(F.char_length(core) >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct(stop.cast("long").alias("at"), acc["found"].alias("found"),
-                        acc["between"].alias("between"), kept.alias("spans"))
+    """Array of spans of one rule: the lengths of matches and of the pieces between them give the positions.
 
+    Positions are running sums. An array grows by copying, so n matches are walked in blocks of about the square root of n:
+    block totals give each block's start, then each block is walked by itself (n to the power of 1.5 small copies).
+    """
     none = F.array().cast(f"array<{SPAN}>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), found.alias("found"), between.alias("between"),
-                     none.alias("spans"))
-    walked = F.aggregate(F.sequence(F.lit(0), F.regexp_count(text, F.lit(rule.pattern)) - 1), start, step)
-    return F.when(text.rlike(rule.pattern), walked["spans"]).otherwise(none)
+
+    def piece(hit: Column, gap: Column) -> Column:  # the last gap has no match: null lengths
+        return F.struct(F.char_length(gap).cast("long").alias("gap"), F.char_length(hit).cast("long").alias("len"),
+                        F.char_length(F.regexp_extract(hit, rule.pattern, rule.group)).alias("core"))
+
+    def blocks(pieces: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(pieces))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(pieces) / size).cast("int") - 1),
+                           lambda k: F.slice(pieces, k * size + 1, size))
+
+    def total(block: Column) -> Column:
+        return F.aggregate(block, F.lit(0).cast("long"), lambda at, p: at + p["gap"] + F.coalesce(p["len"], F.lit(0)))
+
+    def starts(cut: Column) -> Column:
+        first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+        return F.aggregate(F.transform(cut, total), first, lambda acc, n: F.struct(
+            (acc["at"] + n).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")))["starts"]
+
+    def step(acc: Column, p: Column) -> Column:
+        start = acc["at"] + p["gap"]
+        stop = start + F.coalesce(p["len"], F.lit(0))
+        span = F.struct(start.alias("start"), F.lit(order).alias("ord"), stop.alias("stop"), F.lit(rule.kind).alias("kind"))
+        kept = F.when(p["core"] >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
+        return F.struct(stop.alias("at"), kept.alias("spans"))
+
+    def walk(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("spans")), step)["spans"]
+
+    def positions(found: Column) -> Column:
+        pieces = F.zip_with(found, F.split(text, rule.pattern, -1), piece)
+        cut = _let(pieces, blocks)
+        return F.when(F.size(found) > 0, _let(cut, lambda c: F.flatten(F.zip_with(c, starts(c), walk)))).otherwise(none)
+
+    return _let(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), positions)
 
 
 def content_address(text: Column) -> Column:
