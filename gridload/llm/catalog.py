@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None):
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS k
+         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS k
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
 r AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w,
@@ -210,11 +210,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINE_SQL = r"""
 WITH l AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
-p AS (SELECT DISTINCT doc_id, source, regexp_replace(line, '\r$', '') AS line
-      FROM (SELECT doc_id, source, unnest(lines) AS line FROM l) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+p AS (SELECT DISTINCT doc_id, source, h, regexp_replace(line, '\r$', '') AS line
+      FROM (SELECT doc_id, source, md5(text) AS h, unnest(lines) AS line FROM l) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 t AS (SELECT source, count(*) AS host_pages FROM documents GROUP BY 1),
 bad AS (SELECT p.source, p.line FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
-        GROUP BY p.source, p.line, host_pages HAVING count(*) >= 5 AND count(*) > 0.1 * host_pages),
+        GROUP BY p.source, p.line, host_pages HAVING min(h) <> max(h) AND count(*) > 0.1 * host_pages),
 bl AS (SELECT source, list(line) AS bad FROM bad GROUP BY 1),
 k AS (SELECT doc_id, text, lines, list_filter(lines, lambda x: NOT regexp_matches(x, '[^\x20\x09-\x0D]')
         OR NOT list_contains(coalesce(bad, []), regexp_replace(x, '\r$', ''))) AS kept

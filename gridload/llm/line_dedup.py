@@ -1,7 +1,8 @@
 """Line removal by site-relative frequency.
 
-Per host, the number of pages that contain a line is divided by the host's pages; lines above the ratio (and
-on at least ``min_pages`` pages) are boilerplate of that host and dropped from all its pages. Counts are
+Per host, the number of pages that contain a line is divided by the host's pages; lines above the ratio are
+boilerplate of that host and dropped from all its pages, on hosts of any size. A line must stand on two pages of
+different text: one page, or copies of one page, say nothing about what their host repeats. Counts are
 partial and final aggregates over (host, line hash); what a page loses is found by its content (host, text hash),
 so copies are looked up once.
 
@@ -22,13 +23,13 @@ def _line_hash(line: Column) -> Column:
     return F.xxhash64(F.regexp_replace(line, r"\r$", ""))
 
 
-def boilerplate_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = 0.1,
-                      min_pages: int = 5) -> DataFrame:
+def boilerplate_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = 0.1) -> DataFrame:
     """hkey, line: hash of each line above the ratio in its host, with pages and host_pages."""
-    pages = docs.select(_host_key(host_col), F.col(text_col).alias("body"))
+    pages = docs.select(_host_key(host_col), F.xxhash64(text_col).alias("page"), F.col(text_col).alias("body"))
     totals = pages.groupBy("hkey").agg(F.count("*").alias("host_pages"))
-    counts = (pages.select("hkey", F.explode(_lines(F.col("body"))).alias("line"))
-              .groupBy("hkey", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages))
+    counts = (pages.select("hkey", "page", F.explode(_lines(F.col("body"))).alias("line"))
+              .groupBy("hkey", "line").agg(F.count("*").alias("pages"), F.min("page").alias("least"), F.max("page").alias("most"))
+              .where("least != most").drop("least", "most"))
     return counts.join(totals, "hkey").where(F.col("pages") > F.lit(ratio) * F.col("host_pages"))
 
 
@@ -44,10 +45,9 @@ def _lines(text: Column) -> Column:
     return F.array_distinct(F.transform(_filled(text), _line_hash))
 
 
-def drop_boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = 0.1,
-                     min_pages: int = 5) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = 0.1) -> DataFrame:
     """Rows with ``row`` (struct of the input's columns), text (without boilerplate lines), n_lines, n_dropped."""
-    bad = stage(boilerplate_lines(docs, text_col, host_col, ratio, min_pages).select("hkey", "line"), "line-boilerplate")
+    bad = stage(boilerplate_lines(docs, text_col, host_col, ratio).select("hkey", "line"), "line-boilerplate")
     pages = docs.select(_host_key(host_col), F.xxhash64(text_col).alias("page"), F.col(text_col).alias("body"),
                         F.struct("*").alias("row"))
     losses = (pages.select("hkey", "page", F.explode(_lines(F.col("body"))).alias("line")).join(bad, ["hkey", "line"])

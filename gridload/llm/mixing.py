@@ -7,7 +7,7 @@ documents below the cut; the one at the cut is taken in part. No task holds a so
 third of all rows just has more ranges.
 
 Null text has no tokens; null sources form one source, ordered last; a source without tokens gets target 0.
-Repeated rows are separate documents (equal rows are interchangeable). An empty table gives an empty result.
+Repeated rows are separate documents (rows of equal id and text are interchangeable and share a key range). An empty table gives an empty result.
 Input columns are kept in one struct, so names can't clash.
 """
 
@@ -24,9 +24,13 @@ from gridload.operators.cdc import assign_ids
 KEY_BITS = 60
 
 
-def random_key(col: Column, seed: str) -> Column:
-    """Hash-random key: the first 60 bits of an MD5, so that any engine can recompute it."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(col.cast("string"), F.lit(""))))
+def random_key(ident: Column, text: Column, seed: str) -> Column:
+    """Hash-random key of a document: the first 60 bits of an MD5 of id and text, so that any engine can recompute it.
+
+    The text is part of it because many rows may share an id (or have none); equal keys would be one key range.
+    """
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(ident.cast("string"), F.lit("")), F.lit(":"),
+                            F.md5(F.coalesce(text, F.lit("")))))
     return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
@@ -67,7 +71,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     src = F.col(source_col).cast("string")
     narrow = [F.col(id_col).alias("id"), src.alias("src"),
               F.coalesce(F.concat(F.lit("s"), src), F.lit("n")).alias("skey"),
-              token_count(F.col(text_col)).alias("size"), random_key(F.col(id_col), seed).alias("key"),
+              token_count(F.col(text_col)).alias("size"), random_key(F.col(id_col), F.col(text_col), seed).alias("key"),
               F.xxhash64(text_col).alias("tie")]
     sized = stage(docs.select(*narrow), "mix-sizes")
     targets = stage(source_targets(sized, weights, cap), "mix-budgets")

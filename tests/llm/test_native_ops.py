@@ -59,6 +59,15 @@ def test_mix_targets_and_budgets(spark):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
+def test_rows_without_id_get_keys_of_their_own(spark):
+    df = docs_of(spark, [(None, f"w{i} x", "s") for i in range(2000)])
+    keys = df.select(mixing.random_key(F.col("doc_id"), F.col("text"), "s:").alias("k"))
+    assert keys.distinct().count() == 2000
+    got = mixing.mix(docs_of(spark, [(None, f"w{i} x", f"s{i % 2}") for i in range(2000)])).groupBy("source_size", "target").agg(
+        F.sum("taken").alias("taken")).collect()
+    assert all(abs(r.taken - r.target) <= 0.5 for r in got)
+
+
 def test_mixed_documents_hold_the_words_taken(spark):
     rows = [(i, f"  w{i} " + "v\t" * (i % 9) + "end ", f"s{i % 4}") for i in range(100, 160)] + ODD
     docs = docs_of(spark, rows)
@@ -104,6 +113,13 @@ def test_secret_spans(spark):
     assert ledger.count() == 0 and findings.count() == 0
 
 
+def test_a_text_with_very_many_secrets(spark):
+    text = "x" + "".join(f"token={i:016d} \U0001f600 AKIA{i:018d}," for i in range(30_000))
+    docs = docs_of(spark, [(1, text, None), (2, text[:50], None)])
+    _, findings = secrets.scan(docs, "text")
+    assert by_doc(secrets.findings_by_path(docs, "text", ["doc_id"], findings)) == {1: spans(text), 2: spans(text[:50])}
+
+
 def test_ledger_scans_only_unseen_blobs_and_rules(spark):
     first = docs_of(spark, [(i, t, None) for i, t in enumerate(SECRETS[:8])])
     both = docs_of(spark, [(i, t, None) for i, t in enumerate(SECRETS)])
@@ -151,6 +167,12 @@ def test_equal_keys_form_overflow_pages(spark):
     assert all(b <= 100 or count[s] == 1 for s, b in size.items())
 
 
+def test_line_dedup_on_small_hosts(spark):
+    rows = [(i, f"menu\nline {i}", f"host {i // 3}") for i in range(60)] + [(90, "only\ncopies", "c"), (91, "only\ncopies", "c")]
+    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(docs_of(spark, rows)).select("row.doc_id", "text").collect()}
+    assert got == {**{i: f"line {i}" for i in range(60)}, 90: "only\ncopies", 91: "only\ncopies"}
+
+
 def test_line_dedup(spark):
     common = "Share this page"
     rows = [(i, f"{common}\nline {i}\r\n\n{common}\r", "big") for i in range(20)]
