@@ -4,8 +4,9 @@ Each page is parsed into elements, and every block element outside article prose
 (tag, class words, text with digits levelled, child hashes). Spark counts per host on how many pages each
 subtree hash occurs, pages with equal main text as one; subtrees that recur on at least ``min_pages`` pages, or on
 ``ratio`` of the host's pages and at least ``floor`` of them, are template and deleted, with all they hold. Elements that name themselves
-boilerplate (nav, footer, aside, form, script, class words such as ``ad`` or ``comments``) are counted too and
-always go. If a page has an article or main element, only what lies in it is main text. Boxes in it (div, section,
+boilerplate (nav, footer, aside, form, script, class tokens such as ``ad`` or ``cookie-notice``) are counted too and
+go; a token names what its last word says (``related-work`` is work), and nothing after ``with`` or ``no``. A form or named
+box that wraps the only article, main element or h1 of a page and most of its text is no boilerplate, nor one without which the page has no text. If a page has an article or main element, only what lies in it is main text. Boxes in it (div, section,
 lists, tables; in a main element without article also paragraphs) are counted like others, apart from those outside;
 a box with half of the article's text or more is its body and stays unless most of it is links. Prose tags of an
 article are not counted by themselves, so a paragraph that stands in no box stays however often it recurs.
@@ -37,6 +38,16 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol option p pre section summary table
 tbody td tfoot th thead tr ul""".split())
+#: Words of a class token after which it no longer names the element itself (``with-sidebar``).
+STANCE = frozenset("with no has have without not is hide show hidden".split())
+#: Last words that say only that the token's first word is held here (``comment-list``, ``ad-slot``).
+HOLDERS = frozenset("""area bar block body box bottom button buttons card cell col column container content form frame group
+holder inner item items left link links list main outer overlay panel region right row section slot text title top unit wrap
+wrapper zone""".split())
+#: First words with which ``header`` is the page's header, not that of an article or a box.
+PAGE_HEADS = frozenset("header site page global top main web app masthead".split())
+#: Tags that may wrap a whole page although they, or their class, look like boilerplate.
+WRAPPERS = frozenset("form div section table tbody tr td center span main article".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dd dt td th article main body html".split())
 CLOSES_P = BLOCK - {"body", "html", "li", "dd", "dt", "option", "tr", "td", "th", "tbody", "thead", "tfoot", "caption"}
 #: Start tags that end an open element of the named kinds within the given bounds.
@@ -59,6 +70,21 @@ _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
+def named_boilerplate(classes: str, in_main: bool) -> bool:
+    """Does a token of the class and id text (lower case) name boilerplate?"""
+    for token in classes.split():
+        words = [w for w in _WORDS.findall(token.split("--")[0]) if not w.isdigit()]
+        if not words or STANCE & set(words):
+            continue
+        first, last = words[0], words[-1]
+        if last in ("header", "masthead"):
+            if not in_main and first in PAGE_HEADS:
+                return True
+        elif last in BOILERPLATE_WORDS or first in BOILERPLATE_WORDS and last in HOLDERS:
+            return True
+    return False
+
+
 def host_of(url: str | None) -> str:
     """Host of a url without ``www.``, or an empty string."""
     try:
@@ -68,20 +94,28 @@ def host_of(url: str | None) -> str:
 
 
 class _Element:
-    __slots__ = ("tag", "junk", "content", "digest", "counted", "root", "up", "chars", "linked", "key")
+    __slots__ = ("tag", "junk", "content", "digest", "counted", "root", "up", "chars", "linked", "key", "number", "holds", "first", "last")
 
-    def __init__(self, tag: str, junk: bool, content: bool, words: str, counted: bool, root: _Element | None, up: _Element | None):
+    def __init__(self, tag: str, junk: bool, content: bool, words: str, counted: bool, root: _Element | None, up: _Element | None,
+                 number: int | None, holds: bool, first: int):
         self.tag, self.junk, self.content, self.counted, self.root, self.up = tag, junk, content, counted, root, up
         self.digest = hashlib.blake2b(f"{'in ' if root else ''}{tag} {words}".encode(), digest_size=8) if counted else None
         self.chars = self.linked = 0
+        self.number, self.holds, self.first = number, holds, first
         self.key = None
 
 
-def parse_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
-    """Blocks of main text, each with the keys of the subtrees that delete it if they are template; and the
-    distinct keys of all counted subtrees."""
+def parse_page(html: str, spared: frozenset[int] | None = None) -> tuple[list[str], list[tuple[int, int, int]], list[int]]:
+    """Blocks of main text; the counted subtrees that hold some, as (key, first block, end), so that a page needs
+    one entry an element however deep it nests; and the distinct keys of all counted subtrees.
+
+    ``spared`` numbers the elements that look like boilerplate but wrap the main text; a first pass finds them.
+    """
     stack: list[_Element] = []
-    blocks: list[tuple[bool, str, _Element | None]] = []  # in an article or main element, text, innermost element that may be template
+    blocks: list[tuple[bool, str]] = []  # in an article or main element, text
+    suspects = 0  # elements that look like boilerplate
+    wraps: list[_Element] = []  # the outermost of them that may wrap a page, and those that hold an article, main element or h1
+    boxes: list[_Element] = []  # counted elements with text
     open_: Counter[str] = Counter()  # elements of each tag in the stack
     held: _Element | None = None  # innermost open counted element
     keys: set[int] = set()
@@ -96,7 +130,7 @@ def parse_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
             text = " ".join("".join(buffer).split())
             buffer.clear()
             if text:
-                blocks.append((content > 0, text, held))
+                blocks.append((content > 0, text))
 
     def pop() -> None:
         nonlocal junk, content, link, held
@@ -110,13 +144,19 @@ def parse_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
             roots.pop()
         if e.counted:
             held = e.up
+            e.last = len(blocks)
+            if e.last > e.first:
+                boxes.append(e)
             e.key = int.from_bytes(e.digest.digest(), "little", signed=True)
             if e.root:
                 inner.append(e)
             else:
                 keys.add(e.key)
+        if e.junk and e.tag in WRAPPERS and (e.holds or not junk):
+            wraps.append(e)
         if stack:
             up = stack[-1]
+            up.holds = up.holds or e.holds
             if not e.junk:
                 up.chars, up.linked = up.chars + e.chars, up.linked + e.linked
         if held and e.key is not None:
@@ -186,19 +226,23 @@ def parse_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
         attrs = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(m[3])} if m[3].strip(" /") else {}
         words = " ".join(attrs.get(k, "") for k in ("class", "id")).lower()
         role = attrs.get("role", "").lower()
-        named = set(_WORDS.findall(words))
+        comment = tag == "article" and not {"comment", "reply"}.isdisjoint(_WORDS.findall(words))
         bad = (tag in BOILERPLATE_TAGS or role in BOILERPLATE_ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
                or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I) is not None
                or tag == "header" and not content
-               or bool(named & BOILERPLATE_WORDS) and tag not in ("html", "body", "main", "article", "h1"))
-        if bad and tag == "article" or tag == "article" and named & {"comment", "reply"}:
-            bad = True
+               or comment or tag not in ("html", "body", "main", "article", "h1") and named_boilerplate(words, content > 0))
+        holds = tag in ("article", "main", "h1") and not bad
+        suspects += bad
+        number = suspects if bad else None
+        if spared and number in spared:
+            bad = False
         inside = not bad and not junk and (tag in ("article", "main") or role in ("main", "article"))
         if tag in BLOCK:
             flush()
         kept = PROSE | PARTS if any(e.tag == "article" for e in roots) else PARTS if roots else ()
         counted = tag in BLOCK and not (tag in kept or tag in ("html", "body") or inside)
-        stack.append(_Element(tag, bad, inside, words, counted, roots[0] if roots else None, held))
+        stack.append(_Element(tag, bad, inside, words, counted, roots[0] if roots else None, held,
+                              number, holds, len(blocks)))
         open_[tag] += 1
         if counted:
             held = stack[-1]
@@ -216,51 +260,74 @@ def parse_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
         else:
             keys.add(e.key)
     main = any(b[0] for b in blocks)
+    if spared is None and not main:
+        holding = [e for e in wraps if e.holds]
+        outside = sum(len(text) for _, text in blocks)
+        wrapping = frozenset(e.number for e in holding) if sum(e.chars for e in holding) > outside else frozenset()
+        if not wrapping and not blocks and wraps:
+            most = max(wraps, key=lambda e: e.chars)
+            wrapping = frozenset([most.number]) if most.chars > 2 * most.linked else wrapping
+        if wrapping:
+            return parse_page(html, wrapping)
+    before = [0]
+    for b in blocks:
+        before.append(before[-1] + (b[0] == main))
+    spans = [(e.key, before[e.first], before[e.last]) for e in boxes if e.key is not None and before[e.last] > before[e.first]]
+    return [text for in_main, text in blocks if in_main == main], spans, sorted(keys)
 
-    def around(e: _Element | None) -> Iterator[int]:
-        while e:
-            if e.key is not None:
-                yield e.key
-            e = e.up
 
-    return [(text, sorted(set(around(e)))) for in_main, text, e in blocks if in_main == main], sorted(keys)
+def without(blocks: list[str], spans: list[tuple[int, int]]) -> str:
+    """The blocks outside all spans, joined by a space."""
+    kept, at = [], 0
+    for lo, hi in sorted(spans):
+        if lo > at:
+            kept += blocks[at:lo]
+        at = max(at, hi)
+    return " ".join(kept + blocks[at:])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ratio: float = 0.2,
             min_pages: int = 10, floor: int = 3) -> DataFrame:
     """Per page row: id, url, text (empty if none)."""
+    span = pa.struct([("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, texts, open_, counted, digests = [], [], [], [], []
+            hosts, texts, open_, spans, counted, digests = [], [], [], [], [], []
             for url, html in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                blocks, keys = parse_page(html or "")
-                undecided = any(k for _, k in blocks)
+                blocks, boxes, keys = parse_page(html or "")
+                text = " ".join(blocks)
                 hosts.append(host_of(url))
-                texts.append(None if undecided else " ".join(t for t, _ in blocks))
-                open_.append([{"text": t, "keys": k} for t, k in blocks] if undecided else [])
+                texts.append(None if boxes else text)
+                open_.append(blocks if boxes else [])
+                spans.append([{"key": k, "lo": lo, "hi": hi} for k, lo, hi in boxes])
                 counted.append(keys)
-                text = " ".join(t for t, _ in blocks).encode("utf-8", "surrogatepass")
-                digests.append(int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True))
+                raw = text.encode("utf-8", "surrogatepass")
+                digests.append(int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(hosts, pa.string()), pa.array(texts, pa.string()),
-                 pa.array(open_, pa.list_(pa.struct([("text", pa.string()), ("keys", pa.list_(pa.int64()))]))),
+                 pa.array(open_, pa.list_(pa.string())), pa.array(spans, pa.list_(span)),
                  pa.array(counted, pa.list_(pa.int64())), pa.array(digests, pa.int64())],
-                names=["id", "url", "host", "text", "blocks", "keys", "digest"])
+                names=["id", "url", "host", "text", "blocks", "spans", "keys", "digest"])
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [without(blocks, [(h["lo"], h["hi"]) for h in hits or []])
+                     for blocks, hits in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    parsed = stage(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, url string, host string, text string, "
-                                   "blocks array<struct<text:string,keys:array<bigint>>>, keys array<bigint>, digest bigint")
+    id_type = rows.schema["id"].dataType.simpleString()
+    parsed = stage(rows.mapInArrow(run, f"id {id_type}, url string, host string, text string, blocks array<string>, "
+                                   "spans array<struct<key:bigint,lo:int,hi:int>>, keys array<bigint>, digest bigint")
                    .withColumn("rid", F.monotonically_increasing_id()), "pages-parsed")
     template = template_subtrees(parsed, ratio, min_pages, floor)
-    open_ = parsed.where(F.col("text").isNull()).select("rid", "host", F.posexplode("blocks").alias("pos", "block"))
-    dropped = (open_.select("rid", "host", "pos", F.explode("block.keys").alias("key")).join(template, ["host", "key"])
-               .select("rid", "pos").distinct())
-    closed = (open_.join(dropped, ["rid", "pos"], "left_anti").groupBy("rid")  # the blocks of one page
-              .agg(F.array_sort(F.collect_list(F.struct("pos", "block.text"))).alias("kept"))
-              .select("rid", F.array_join(F.col("kept.text"), " ").alias("open_text")))
-    some = parsed.where(F.col("text").isNull()).select("rid", "id", "url").join(closed, "rid", "left")
-    return (parsed.where(F.col("text").isNotNull()).select("id", "url", "text")
-            .unionByName(some.select("id", "url", F.coalesce("open_text", F.lit("")).alias("text")))
+    undecided = parsed.where(F.col("text").isNull())
+    hits = (undecided.select("rid", "host", F.explode("spans").alias("s")).select("rid", "host", "s.*")
+            .join(template, ["host", "key"]).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("hits")))  # of one page
+    closed = (undecided.select("rid", "id", "url", "blocks").join(hits, "rid", "left").select("id", "url", "blocks", "hits")
+              .mapInArrow(close, f"id {id_type}, url string, text string"))
+    return (parsed.where(F.col("text").isNotNull()).select("id", "url", "text").unionByName(closed)
             .withColumnRenamed("id", id_col))
 
 

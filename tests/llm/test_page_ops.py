@@ -34,8 +34,8 @@ PAGES = [
 
 @pytest.mark.parametrize("html,want", PAGES)
 def test_parse(html, want):
-    blocks, _ = page_text.parse_page(html or "")
-    assert " ".join(t for t, _ in blocks) == want
+    blocks, _, _ = page_text.parse_page(html or "")
+    assert " ".join(blocks) == want
 
 
 @pytest.mark.parametrize("html,want", [
@@ -45,7 +45,34 @@ def test_parse(html, want):
     ("<i>" * 50_000 + "x</b>" * 50_000, " ".join(["x" * 50_000])),
 ])
 def test_parse_of_deep_markup(html, want):
-    assert " ".join(t for t, _ in page_text.parse_page(html)[0]) == want
+    assert " ".join(page_text.parse_page(html)[0]) == want
+
+
+@pytest.mark.parametrize("html,want", [
+    ("<div class='content with-sidebar'><p>Main text of it</p></div>", "Main text of it"),
+    ("<main class='no-sidebar'><header class='post-header'><h1>Title</h1></header><p>body</p></main><footer>f</footer>", "Title body"),
+    ("<div><div class='entry-header'><h1>Title</h1></div><p>body</p></div>", "Title body"),
+    ("<article><section id='related-work'><p>earlier papers</p></section><p class='comment-on-policy'>a view</p>"
+     "<p class='menu-item-description'>soup</p></article>", "earlier papers a view soup"),
+    ("<form id='aspnetForm'><div class='menu'><a>m</a></div><article><p>body</p></article><div class='ad'>x</div></form>", "body"),
+    ("<form id='aspnetForm'><div class='nav-links'><a>m</a></div><p>body</p></form>", "body"),
+    ("<article><p>short</p></article><div class='comments'><article class='comment'><p>" + "long " * 99 + "</p></article></div>", "short"),
+    ("<article><p>a</p><ul class='comment-list'><li>no</li></ul><div class='ad-slot'>no</div><div class='site-footer'>no</div></article>", "a"),
+    ("<div class='site-header'><h1>Site</h1></div><article>a</article><aside><article>teaser</article></aside>", "a"),
+    ("<div><h2>T</h2><p>the text itself</p></div><div class='related'><article>teaser</article></div>", "T the text itself"),
+    ("<nav>n</nav><div class='newsletter'>only a form</div><p>text</p>", "text"),
+])
+def test_names_that_only_look_like_boilerplate(html, want):
+    assert " ".join(page_text.parse_page(html)[0]) == want
+
+
+def test_deep_boxes_with_text_stay_linear(spark):
+    n = 20_000
+    blocks, spans, keys = page_text.parse_page("<div>a " * n + "</div>" * n)
+    assert len(blocks) == len(spans) == n and len(keys) == n
+    assert page_text.without(["a", "b", "c", "d"], [(1, 3), (2, 3)]) == "a d"
+    df = spark.createDataFrame([(1, "http://h/1", "<div>a " * n + "</div>" * n)], "page_id long, url string, html string")
+    assert page_text.extract(df).first().text == " ".join(["a"] * n)
 
 
 def test_template_subtrees_go_and_prose_stays(spark):
