@@ -9,7 +9,8 @@
 
 A stage's output is written as Parquet to the shared scratch folder and reread as the next one's input. Toxicity and
 contamination are functions of the text, so their verdicts are joined back by text hash, which also covers
-repeated rows and null ids. Null and empty texts pass the first three stages; the mix has no words to take from them.
+repeated rows and null ids. Null and empty texts pass the first three stages; the mix has no words to take from them. Columns ``shard`` and
+``shard_bytes`` of the input give way to the last stage's. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -56,7 +57,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return sharding.shard(docs, max_bytes=SHARD_BYTES).select("row.*", "shard", "shard_bytes")
+    dealt = sharding.shard(docs, max_bytes=SHARD_BYTES)
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ("shard", "shard_bytes")]
+    return dealt.select(*own, "shard", "shard_bytes")
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_contaminated),
