@@ -113,6 +113,12 @@ def operation_log(batches: DataFrame, group_cols: Sequence[str], operation: Colu
     op = F.lit(operation) if isinstance(operation, str) else operation
     st = F.lit(status) if isinstance(status, str) else status
     counts = batches.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("record_count"))
+    return log_rows(counts, group_cols, op, table_name, as_of, first_id, st, username, schema_name, application)
+
+
+def log_rows(counts: DataFrame, group_cols: Sequence[str], op: Column, table_name: str, as_of: str, first_id: int,
+             st: Column, username: str = "SYSTEM", schema_name: str = "Data", application: str = "gridload") -> DataFrame:
+    """The log's columns over one row per statement with ``group_cols`` and ``record_count``."""
     w = Window.orderBy(*group_cols) if group_cols else Window.orderBy(F.lit(1))
     return counts.select(
         (F.lit(first_id - 1) + F.row_number().over(w)).cast("bigint").alias("log_id"),

@@ -1398,6 +1398,23 @@ def t1_stream_audit(spark, d):
                                                        "data_type")
 
 
+@query("t1_stream_log", sql=f"""
+SELECT 'INSERT' AS operation_type, 'events' AS table_name, 'SUCCESS' AS operation_status, 'SYSTEM' AS username,
+       TIMESTAMP '{X.AS_OF}' AS operation_timestamp, CAST(count(*) AS BIGINT) AS record_count, CAST(0 AS BIGINT) AS uneven_batches
+FROM events
+""")
+def t1_stream_log(spark, d):
+    """The stream's log rows over all batches; a batch is uneven if its details aren't its records times the columns."""
+    src, schema = _events_folder(spark, d)
+    sink, ckpt = scratch_path(spark, "audit-sink"), scratch_path(spark, "audit-ckpt")
+    ST.audit_stream(ST.file_stream(spark, src, schema, 2), "event_id", _EVENT_COLS, sink, ckpt, "events", X.AS_OF).awaitTermination()
+    held = spark.read.parquet(f"{sink}/details").groupBy("log_id").agg(F.count("*").alias("details"))
+    log = spark.read.parquet(f"{sink}/log").join(held, "log_id", "full")
+    even = F.col("details").eqNullSafe(F.col("record_count") * len(_EVENT_COLS))
+    return log.groupBy("operation_type", "table_name", "operation_status", "username", "operation_timestamp").agg(
+        F.sum("record_count").alias("record_count"), F.count_if(~even).alias("uneven_batches"))
+
+
 _STREAM_TARGET_CUTOFF = "2024-01-10 00:00:00"
 
 

@@ -12,7 +12,7 @@ import os
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -42,15 +42,20 @@ def _batch_dir(root: str, batch_id: int) -> str:
 def audit_stream(stream: DataFrame, key: str, columns: Sequence[str], sink_dir: str,
                  checkpoint: str, table_name: str, as_of: str,
                  available_now: bool = True) -> StreamingQuery:
-    """Insert capture (C1) on every micro-batch: detail rows and one log row per batch."""
+    """Insert capture (C1) on every micro-batch: detail rows and one log row per batch.
+
+    The batch is read once: the write of the details also counts its records (an observed metric), and the log row
+    is made of that count.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()  # both writes read it
-        details = CD.insert_details(batch, key, columns, log_id=batch_id)
+        seen = Observation()
+        counted = batch.observe(seen, F.count(F.lit(1)).alias("records"))
+        details = CD.insert_details(counted, key, columns, log_id=batch_id)
         details.write.mode("overwrite").parquet(_batch_dir(os.path.join(sink_dir, "details"), batch_id))
-        log = CD.operation_log(batch, [], "INSERT", table_name, as_of, first_id=batch_id)
+        count = batch.sparkSession.range(1).select(F.lit(seen.get.get("records", 0)).cast("bigint").alias("record_count"))
+        log = CD.log_rows(count, [], F.lit("INSERT"), table_name, as_of, batch_id, F.lit("SUCCESS"))
         log.write.mode("overwrite").parquet(_batch_dir(os.path.join(sink_dir, "log"), batch_id))
-        batch.unpersist()
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
