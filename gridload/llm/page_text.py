@@ -41,9 +41,9 @@ tbody td tfoot th thead tr ul""".split())
 #: Words of a class token after which it no longer names the element itself (``with-sidebar``).
 STANCE = frozenset("with no has have without not is hide show hidden".split())
 #: Last words that say only that the token's first word is held here (``comment-list``, ``ad-slot``).
-HOLDERS = frozenset("""area bar block body box bottom button buttons card cell col column container content form frame group
-holder inner item items left link links list main outer overlay panel region right row section slot text title top unit wrap
-wrapper zone""".split())
+HOLDERS = frozenset("""area articles bar block body box bottom button buttons card cell col column container content form frame
+group holder icons inner item items label left link links list main message news outer overlay panel post posts prompt reading region
+right row section slot stories text thread title top trail unit wrap wrapper zone""".split())
 #: First words with which ``header`` is the page's header, not that of an article or a box.
 PAGE_HEADS = frozenset("header site page global top main web app masthead".split())
 #: Tags that may wrap a whole page although they, or their class, look like boilerplate.
@@ -73,7 +73,7 @@ _WORDS = re.compile(r"[a-z0-9]+")
 def named_boilerplate(classes: str, in_main: bool) -> bool:
     """Does a token of the class and id text (lower case) name boilerplate?"""
     for token in classes.split():
-        words = [w for w in _WORDS.findall(token.split("--")[0]) if not w.isdigit()]
+        words = [w for w in _WORDS.findall(token.split("--")[0]) if not w[0].isdigit()]
         if not words or STANCE & set(words):
             continue
         first, last = words[0], words[-1]

@@ -60,6 +60,7 @@ def test_parse_of_deep_markup(html, want):
     ("<article><p>a</p><ul class='comment-list'><li>no</li></ul><div class='ad-slot'>no</div><div class='site-footer'>no</div></article>", "a"),
     ("<div class='site-header'><h1>Site</h1></div><article>a</article><aside><article>teaser</article></aside>", "a"),
     ("<div><h2>T</h2><p>the text itself</p></div><div class='related'><article>teaser</article></div>", "T the text itself"),
+    ("<article><p>a</p><div class='related-articles'>no</div><div class='advertisement-300x250'>no</div><p class='share-buttons'>no</p></article>", "a"),
     ("<nav>n</nav><div class='newsletter'>only a form</div><p>text</p>", "text"),
 ])
 def test_names_that_only_look_like_boilerplate(html, want):
