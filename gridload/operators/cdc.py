@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,6 +130,48 @@ def log_rows(counts: DataFrame, group_cols: Sequence[str], op: Column, table_nam
         F.lit(application).alias("application_name"))
 
 
+#: The log's columns that a statement may leave empty, with their types.
+LOG_DETAILS = {"session_id": "string", "user_id": "int", "error_message": "string", "execution_time_ms": "int", "source_file": "string",
+               "worksheet_name": "string", "ip_address": "string", "additional_info": "string"}
+
+
+def log_entries(batches: DataFrame, group_cols: Sequence[str], operation: Column | str, table_name: str, as_of: str,
+                details: dict[str, Column] | None = None, status: Column | str = "SUCCESS", username: str = "SYSTEM",
+                schema_name: str = "Data", application: str = "gridload") -> DataFrame:
+    """One entry per group in the log's whole layout, without its id (see :func:`append_log`).
+
+    ``details`` gives any of ``LOG_DETAILS`` as expressions over the group columns and ``record_count``; the others are null.
+    """
+    details = details or {}
+    if unknown := set(details) - set(LOG_DETAILS):
+        raise ValueError(f"not columns of the log: {sorted(unknown)}")
+    lit = lambda x: F.lit(x) if isinstance(x, str) else x
+    counts = batches.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("record_count"))
+    return counts.select(
+        F.lit(username).alias("username"), lit(operation).alias("operation_type"), F.lit(schema_name).alias("schema_name"),
+        F.lit(table_name).alias("table_name"), "record_count", lit(status).alias("operation_status"),
+        F.lit(as_of).cast("timestamp_ntz").alias("operation_timestamp"), F.lit(application).alias("application_name"),
+        *[details.get(c, F.lit(None)).cast(t).alias(c) for c, t in LOG_DETAILS.items()])
+
+
+def append_log(entries: DataFrame, path: str, batch_id: int, order_by: Sequence[str] = ("operation_type", "table_name")) -> DataFrame:
+    """Append entries under dense ids that follow the log's high-water mark; returns the whole log.
+
+    The mark is the largest id of earlier batches (partition folders below ``batch_id``), so a replayed batch gets its ids
+    again and replaces its own folder. Batches must come in order. No task sees more than its own partition.
+    """
+    spark = entries.sparkSession
+    try:
+        earlier = spark.read.parquet(path).filter(F.col("batch_id") < batch_id)
+        mark = earlier.agg(F.max("log_id")).first()[0] or 0
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        mark = 0
+    assign_ids(entries, list(order_by), mark, "log_id").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    return spark.read.parquet(path)
+
+
 def assign_ids(df: DataFrame, order_by: Sequence, start_after: Column | int = 0,
                name: str = "id") -> DataFrame:
     """Dense ids ``start_after + 1 …`` in the declared order, without a single-task window.

@@ -162,6 +162,59 @@ def reconciliation_update(rows: DataFrame, pairs: dict[str, tuple[str, str]], co
         ("accounts", accounts, [(F.col(account), "account"), (F.year(d), "year"), (F.month(d) - 1, "month")], ["name"])])
 
 
+def matched_payments(captures: DataFrame, budget: DataFrame) -> DataFrame:
+    """J4 as the reconciliation load does it: captured payments joined to budget lines by their package, distinct.
+
+    ``captures``: id_number, capture_id, account_no, collection_date, payer_name, value; ``budget``: invoice, third_id,
+    third_name, value, code. The record id joins the payer's number and the package number (null parts and package
+    texts that aren't numbers count as empty); the third party's name starts after its second dash. Rows without
+    package match nothing. The package is among the distinct columns, so the join's partitioning serves both.
+    """
+    p = captures.select("id_number", "capture_id", "account_no", "collection_date", "payer_name", F.col("value").alias("movement_value"))
+    b = budget.select("invoice", "third_id", "third_name", F.col("value").alias("captured_value"), "code")
+    return p.join(b, p["capture_id"] == b["invoice"]).select(
+        C.concat_skip_nulls("id_number", F.col("capture_id").try_cast("bigint")).alias("id"), F.lit("").alias("month"),
+        "account_no", "collection_date", F.col("id_number").alias("nit_payer"), "payer_name", "movement_value",
+        F.col("third_id").alias("nit_beneficiary"), C.after_second_dash(F.col("third_name")).alias("third_name"), "captured_value",
+        "code", F.col("capture_id").alias("package_id_captured"), F.col("invoice").alias("package_id")).distinct()
+
+
+def reconciliation_load(captures: DataFrame, budget: DataFrame, codes: DataFrame, accounts: DataFrame,
+                        pairs: dict[str, tuple[str, str]], captured: dict[str, str], language: str = "es") -> DataFrame:
+    """E4 whole: distinct join (J4), defaults on write (P12), then the write trigger's update (P16 with J5's joins)."""
+    rows = default_on_write(matched_payments(captures, budget), "id", ["nit_payer", "package_id"], "month", "collection_date", language)
+    return reconciliation_update(rows, pairs, codes, accounts, "code", "account_no", "collection_date", captured)
+
+
+def dimension_chain(rows: DataFrame, levels: Sequence[tuple[DataFrame, Sequence[tuple[str, str]], dict[str, str]]],
+                    depth: str = "levels_matched") -> DataFrame:
+    """Left joins of ``rows`` to one dimension after another, each on several columns.
+
+    A level is (dimension, [(column so far, dimension column)], {dimension column: name}); its key columns are dropped.
+    A row without a match reads nulls, so it matches no later level that is keyed on them; ``depth`` counts the levels it
+    matched. Several matches multiply a row, as in SQL; null keys match nothing.
+    """
+    out, hits = rows, []
+    for i, (dim, on, keep) in enumerate(levels):
+        keys = [f"_k{i}_{j}" for j in range(len(on))]
+        side = dim.select(*[F.col(c).alias(k) for (_, c), k in zip(on, keys)], *[F.col(c).alias(n) for c, n in keep.items()],
+                          F.lit(1).alias(f"_hit{i}"))
+        cond = F.lit(True)
+        for (c, _), k in zip(on, keys):
+            cond = cond & (F.col(c) == F.col(k))
+        out = out.join(side, cond, "left").drop(*keys)
+        hits.append(f"_hit{i}")
+    total = F.lit(0)
+    for h in hits:
+        total = total + F.coalesce(F.col(h), F.lit(0))
+    return out.withColumn(depth, total).drop(*hits)
+
+
+def mentioned(rows: DataFrame, name: str, text: str) -> DataFrame:
+    """J6's filter: rows whose ``text`` contains the upper-cased ``name``; null and empty names are nowhere."""
+    return rows.filter((F.col(name) != "") & (F.instr(F.col(text), F.upper(name)) > 0))
+
+
 def phase_durations(events: DataFrame, user: str, ts: str) -> DataFrame:
     """Per user and day, the phase start/end and its duration in milliseconds."""
     per = events.groupBy(user, F.to_date(ts).alias("day")).agg(

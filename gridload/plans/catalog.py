@@ -980,12 +980,17 @@ def _recon_raw(spark, d):
 
 
 _MONTHS_ES_SQL = "[" + ", ".join(f"'{m}'" for m in K.SPANISH_MONTHS) + "]"
-_P12_SQL = f"""(SELECT * REPLACE (
+
+def _sql_p12(src):
+    return f"""(SELECT * REPLACE (
     coalesce(CASE WHEN length(rtrim(id)) = 0 THEN NULL ELSE id END, concat_ws('', nit_payer, package_id)) AS id,
     coalesce(CASE WHEN length(rtrim(month)) = 0 THEN NULL ELSE month END,
              list_extract({_MONTHS_ES_SQL}, month(TRY_CAST(collection_date AS DATE)))) AS month,
     TRY_CAST(collection_date AS DATE) AS collection_date)
-  FROM {_RECON_RAW_SQL})"""
+  FROM {src})"""
+
+
+_P12_SQL = _sql_p12(_RECON_RAW_SQL)
 
 
 def _p12(spark, d):
@@ -1460,6 +1465,7 @@ def t3_lockout_batch(spark, d):
 # =============================================================================
 from ..sources import exports as EX  # noqa: E402
 from ..sources import keys as KY  # noqa: E402
+from ..sources import sinks as SK  # noqa: E402
 from . import pipelines as PL  # noqa: E402
 
 _EXPORT_HEADERS = ["Customer Key!", "  Company   Name ", "Nation#Key", "Acct Bal ($)", "Segment?"]
@@ -1882,3 +1888,168 @@ def t3_lockout_stream(spark, d):
              .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(sink)
+
+
+# =============================================================================
+# Whole loads: E2 totals, E4 from its distinct join, J6's chain, the log's layout, written tables
+# =============================================================================
+
+_REPEATED_SQL = f"(SELECT * FROM {_E1_SQL} UNION ALL SELECT * FROM {_E1_SQL} WHERE order_id % 7 = 0)"
+
+
+@query("e2_load_totals", sql=f"""
+WITH b AS {_REPEATED_SQL}, k AS (SELECT DISTINCT order_id FROM b),
+f AS (SELECT EXISTS (SELECT 1 FROM {X.TARGET_ORDERS_SQL} t WHERE t.o_orderkey = k.order_id) AS old FROM k)
+SELECT (SELECT count(*) FROM b) AS rows_read, (SELECT count(*) FROM b) - count(*) AS duplicates_in_batch,
+  count(*) FILTER (old) AS existing, count(*) FILTER (NOT old) AS inserted FROM f
+""")
+def e2_load_totals(spark, d):
+    """E2's totals over a batch in which every seventh order comes twice."""
+    batch, target = _e1(spark, d), X.target_orders(spark, d).select(F.col("o_orderkey").alias("order_id"), "o_custkey", "o_orderdate")
+    batch = batch.unionByName(batch.filter("order_id % 7 = 0"))
+    cands = [("PK_orders", "PRIMARY KEY", ["order_id"]), ("UQ_cust_date", "UNIQUE", ["o_custkey", "o_orderdate"])]
+    return PL.enhanced_load_totals(batch, target, cands, ["order_date", "order_id"]).counts
+
+
+_CAPTURES_SQL = """(SELECT CAST(o_custkey AS VARCHAR) AS id_number, lpad(CAST(o_orderkey AS VARCHAR), 13, '0') AS capture_id,
+  o_orderpriority AS account_no, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS collection_date, 'ENTIDAD ' || o_orderstatus AS payer_name,
+  CAST(CAST(floor(o_totalprice / 50000) AS BIGINT) AS VARCHAR) AS value FROM orders)"""
+_BUDGET_SQL = """(SELECT lpad(CAST(l_orderkey AS VARCHAR), 13, '0') AS invoice,
+  CASE WHEN l_linenumber = 7 THEN '' ELSE CAST(l_suppkey AS VARCHAR) END AS third_id,
+  'T-' || CAST(l_suppkey AS VARCHAR) || '-' || l_linestatus AS third_name,
+  CAST(CAST(floor(l_extendedprice / 50000) AS BIGINT) AS VARCHAR) AS value, 'R' || CAST(l_partkey % 9 AS VARCHAR) AS code,
+  l_linenumber AS line_no, 'PAGO ' || upper(p_name) AS description FROM lineitem LEFT JOIN part ON p_partkey = l_partkey)"""
+_PAYMENTS_SQL = f"""(SELECT DISTINCT concat_ws('', p.id_number, CAST(TRY_CAST(p.capture_id AS BIGINT) AS VARCHAR)) AS id, '' AS month,
+  p.account_no, p.collection_date, p.id_number AS nit_payer, p.payer_name, p.value AS movement_value, b.third_id AS nit_beneficiary,
+  regexp_replace(b.third_name, '^[^-]*-[^-]*-', '') AS third_name, b.value AS captured_value, b.code,
+  p.capture_id AS package_id_captured, b.invoice AS package_id
+  FROM {_CAPTURES_SQL} p JOIN {_BUDGET_SQL} b ON p.capture_id = b.invoice)"""
+
+
+def _captures(spark, d):
+    o = X.orders(spark, d)
+    return o.select(F.col("o_custkey").cast("string").alias("id_number"), F.lpad(F.col("o_orderkey").cast("string"), 13, "0").alias("capture_id"),
+                    F.col("o_orderpriority").alias("account_no"), F.col("o_orderdate").cast("date").cast("string").alias("collection_date"),
+                    F.concat(F.lit("ENTIDAD "), "o_orderstatus").alias("payer_name"),
+                    F.floor(F.col("o_totalprice") / 50000).cast("bigint").cast("string").alias("value"))
+
+
+def _budget(spark, d):
+    supp, part = F.col("l_suppkey").cast("string"), T(spark, d, "part").select("p_partkey", "p_name")
+    return T(spark, d, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey"), "left").select(
+        F.lpad(F.col("l_orderkey").cast("string"), 13, "0").alias("invoice"),
+        F.when(F.col("l_linenumber") == 7, "").otherwise(supp).alias("third_id"),
+        F.concat(F.lit("T-"), supp, F.lit("-"), "l_linestatus").alias("third_name"),
+        F.floor(F.col("l_extendedprice") / 50000).cast("bigint").cast("string").alias("value"),
+        F.concat(F.lit("R"), (F.col("l_partkey") % 9).cast("string")).alias("code"), F.col("l_linenumber").alias("line_no"),
+        F.concat(F.lit("PAGO "), F.upper("p_name")).alias("description"))
+
+
+@query("e4_whole_load", sql=f"SELECT * FROM {_sql_update(_sql_p12(_PAYMENTS_SQL), False)}")
+def e4_whole_load(spark, d):
+    """E4 from its sources: distinct join, defaults on write, then the trigger with both joins and captured values."""
+    accounts = _month_dim(spark, d).select(F.col("acct").alias("account"), F.col("y").alias("year"), F.col("m").alias("month"), "name")
+    return RC.reconciliation_load(_captures(spark, d), _budget(spark, d), _codes(spark, d), accounts, _P16_PAIRS,
+                                  {"nit_captured": "nit_payer", "value_captured": "movement_value"})
+
+
+#: Source dimensions by budget code: codes 7 and 8 have no group, 6 no subgroup, some subgroups no concept, code 4 no type.
+_LEVELS_SQL = """levels AS (SELECT 'R' || CAST(n AS VARCHAR) AS code, n, s, n % 3 AS group_key, (n % 3) * 10 + s AS subgroup_key,
+  'C' || CAST((n % 3) * 10 + s AS VARCHAR) AS concept_key, CASE WHEN s = 1 THEN 'Widget' ELSE 'Bolt' END AS type_name
+  FROM (SELECT DISTINCT l_partkey % 9 AS n FROM lineitem), (SELECT unnest([1, 2]) AS s)),
+chain AS (SELECT p.capture_id, b.line_no, b.third_id, b.code, b.description, g.group_key, sb.subgroup_key, c.concept_key, t.type_name,
+    (g.code IS NOT NULL)::INT + (sb.code IS NOT NULL)::INT + (c.code IS NOT NULL)::INT + (t.code IS NOT NULL)::INT AS levels_matched
+  FROM (SELECT DISTINCT * FROM {captures}) p JOIN {budget} b ON p.capture_id = b.invoice
+  LEFT JOIN (SELECT DISTINCT code, group_key FROM levels WHERE n <= 6) g ON g.code = b.code
+  LEFT JOIN (SELECT code, group_key, subgroup_key FROM levels WHERE n <= 5) sb ON sb.group_key = g.group_key AND sb.code = b.code
+  LEFT JOIN (SELECT code, subgroup_key, concept_key FROM levels WHERE s = 1 OR n <= 2) c ON c.subgroup_key = sb.subgroup_key AND c.code = b.code
+  LEFT JOIN (SELECT code, concept_key, type_name FROM levels WHERE n <> 4) t ON t.concept_key = c.concept_key AND t.code = b.code)
+""".format(captures=_CAPTURES_SQL, budget=_BUDGET_SQL)
+
+
+def _chain(spark, d):
+    n, s = F.col("n"), F.col("s")
+    levels = (T(spark, d, "lineitem").select((F.col("l_partkey") % 9).alias("n")).distinct()
+              .withColumn("s", F.explode(F.array(F.lit(1), F.lit(2))))
+              .select("n", "s", F.concat(F.lit("R"), n.cast("string")).alias("code"), (n % 3).alias("group_key"),
+                      ((n % 3) * 10 + s).alias("subgroup_key"), F.concat(F.lit("C"), ((n % 3) * 10 + s).cast("string")).alias("concept_key"),
+                      F.when(s == 1, "Widget").otherwise("Bolt").alias("type_name")))
+    budget = _budget(spark, d).select("invoice", "line_no", "third_id", "code", "description")
+    rows = _captures(spark, d).distinct().select("capture_id").join(budget, F.col("capture_id") == F.col("invoice")).drop("invoice")
+    return RC.dimension_chain(rows, [
+        (levels.filter("n <= 6").select("code", "group_key").distinct(), [("code", "code")], {"group_key": "group_key"}),
+        (levels.filter("n <= 5"), [("group_key", "group_key"), ("code", "code")], {"subgroup_key": "subgroup_key"}),
+        (levels.filter("s = 1 OR n <= 2"), [("subgroup_key", "subgroup_key"), ("code", "code")], {"concept_key": "concept_key"}),
+        (levels.filter("n <> 4"), [("concept_key", "concept_key"), ("code", "code")], {"type_name": "type_name"})])
+
+
+@query("j6_budget_chain", sql=f"""
+WITH {_LEVELS_SQL} SELECT * FROM chain WHERE type_name <> '' AND instr(description, upper(type_name)) > 0
+""")
+def j6_budget_chain(spark, d):
+    """Four left joins, three of them on two columns, and the record type named in the line's description."""
+    return RC.mentioned(_chain(spark, d), "type_name", "description").orderBy("third_id")
+
+
+@query("j6_chain_depth", sql=f"WITH {_LEVELS_SQL} SELECT levels_matched, count(*) AS n_rows FROM chain GROUP BY 1")
+def j6_chain_depth(spark, d):
+    """Rows by the number of levels they matched: those that the chain's filter drops are counted here."""
+    return _chain(spark, d).groupBy("levels_matched").agg(F.count("*").alias("n_rows"))
+
+
+@query("c5_log_appended", sql=f"""
+WITH e AS (SELECT 1 AS batch_id, 'INSERT' AS operation_type, count(*) AS record_count, 'orders.csv' AS source_file
+    FROM orders o WHERE o.o_orderkey NOT IN (SELECT o_orderkey FROM {X.TARGET_ORDERS_SQL})
+  UNION ALL SELECT 2, change_type, count(*), NULL FROM {_CLASSIFY_SQL} WHERE change_type <> 'UNCHANGED' GROUP BY change_type)
+SELECT CAST(row_number() OVER (ORDER BY batch_id, operation_type) AS BIGINT) AS log_id, batch_id, 'SYSTEM' AS username, operation_type,
+  'Data' AS schema_name, 'orders' AS table_name, record_count, 'SUCCESS' AS operation_status,
+  TIMESTAMP '{X.AS_OF}' AS operation_timestamp, 'gridload' AS application_name, CAST(NULL AS VARCHAR) AS session_id,
+  CAST(7 AS INTEGER) AS user_id, CAST(NULL AS VARCHAR) AS error_message, CAST(NULL AS INTEGER) AS execution_time_ms, source_file,
+  CAST(NULL AS VARCHAR) AS worksheet_name, CAST(NULL AS VARCHAR) AS ip_address,
+  'rows=' || CAST(record_count AS VARCHAR) AS additional_info FROM e
+""")
+def c5_log_appended(spark, d):
+    """Two batches appended to a log in its whole layout, the second one twice: ids stay dense, nothing doubles."""
+    path = scratch_path(spark, "operation-log")
+    common = {"user_id": F.lit(7), "additional_info": F.concat(F.lit("rows="), F.col("record_count").cast("string"))}
+    loaded = CD.log_entries(_new_orders(spark, d), [], "INSERT", "orders", X.AS_OF, {**common, "source_file": F.lit("orders.csv")})
+    CD.append_log(loaded, path, 1)
+    changed = c4_classify_changes(spark, d).filter(F.col("change_type") != "UNCHANGED")
+    changes = CD.log_entries(changed, ["change_type"], F.col("change_type"), "orders", X.AS_OF, common)
+    CD.append_log(changes, path, 2)
+    return CD.append_log(changes, path, 2)
+
+
+@query("s6_bucket_upsert", sql=f"""
+WITH c AS (SELECT * REPLACE ('X' AS o_orderstatus) FROM orders WHERE o_orderkey % 97 = 0)
+SELECT * FROM {X.TARGET_ORDERS_SQL} t WHERE t.o_orderkey NOT IN (SELECT o_orderkey FROM c) UNION ALL SELECT * FROM c
+""")
+def s6_bucket_upsert(spark, d):
+    """The target written in key buckets, then changed and new orders merged in place; read back."""
+    path, buckets = scratch_path(spark, "bucketed-orders"), spark.sparkContext.defaultParallelism * 4
+    SK.write_buckets(X.target_orders(spark, d), path, ["o_orderkey"], buckets)
+    changes = X.orders(spark, d).filter("o_orderkey % 97 = 0").withColumn("o_orderstatus", F.lit("X"))
+    SK.upsert_buckets(changes, path, ["o_orderkey"], buckets)
+    return spark.read.parquet(path).drop("bucket")
+
+
+@query("s5_written_split", sql=ORACLE["s5_split_valid_reject"])
+def s5_written_split(spark, d):
+    """S5 through its sinks: valid rows and rejects written to their tables and counted there; the issues are staged once."""
+    o, target, quarantine = X.nullkey_orders(spark, d), scratch_path(spark, "valid"), scratch_path(spark, "rejects")
+    found, at = R.validate(o, _ORDER_SPECS, F.col("o_orderkey") + 2, _ORDER_CONSTRAINTS, as_of=X.AS_OF), scratch_path(spark, "issues")
+    found.write.parquet(at)
+    issues = spark.read.schema(found.schema).parquet(at)
+    SK.append_with_quarantine(*PL.split_valid(o, issues, F.col("o_orderkey") + 2), target, quarantine)
+    rows = (spark.read.parquet(target).select(F.lit("valid").alias("outcome"), F.lit(None).cast("string").alias("reject_rule"))
+            .unionByName(spark.read.parquet(quarantine).select(F.lit("rejected").alias("outcome"), "reject_rule")))
+    return rows.groupBy("outcome", "reject_rule").agg(F.count("*").alias("n_rows"))
+
+
+@query("s7_written_partitions", sql=f"SELECT * FROM ({ORACLE['s7_range_partitions']}) WHERE partition_no >= 3")
+def s7_written_partitions(spark, d):
+    """S7 through its sink: written by range number, then only the folders of later ranges are read."""
+    path = scratch_path(spark, "ranges")
+    SK.write_range_partitioned(X.orders(spark, d), "o_orderdate", path, _YEAR_BOUNDS)
+    return spark.read.parquet(path).filter("partition_no >= 3").groupBy("partition_no").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("o_orderdate").alias("min_date"), F.max("o_orderdate").alias("max_date"))

@@ -100,6 +100,38 @@ def enhanced_load(batch: DataFrame, target: DataFrame, candidates, order_by: Seq
     return I.filter_new(D.dedup(batch, keys, order_by, keep), target, keys)
 
 
+@dataclass
+class EnhancedLoad:
+    rows: DataFrame  #: the rows to insert
+    counts: DataFrame  #: one row: rows_read, duplicates_in_batch, existing, inserted
+
+
+def enhanced_load_totals(batch: DataFrame, target: DataFrame, candidates, order_by: Sequence[str],
+                         keep: str = "first") -> EnhancedLoad:
+    """E2 with its totals. The typed batch and the flagged rows are each written once to the shared folder; the rows to
+    insert and all totals are read from there, so nothing is computed twice and a lost executor changes no total.
+
+    Without a verified key of the target every row is new. An empty batch gives zeros.
+    """
+    spark, keys = batch.sparkSession, KY.best_key_columns(target, candidates)
+
+    def staged(df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    read = staged(batch, "load-batch")
+    flag = "_existing"
+    flagged = (staged(I.flag_existing(D.dedup(read, keys, order_by, keep), target, keys, flag=flag), "load-flagged") if keys
+               else read.withColumn(flag, F.lit(False)))
+    tagged = (read.select(F.lit("read").alias("_of"))
+              .unionByName(flagged.select(F.when(F.col(flag), "existing").otherwise("inserted").alias("_of"))))
+    n = lambda kind: F.count_if(F.col("_of") == kind)
+    counts = tagged.agg(n("read").alias("rows_read"), (n("read") - n("existing") - n("inserted")).alias("duplicates_in_batch"),
+                        n("existing").alias("existing"), n("inserted").alias("inserted"))
+    return EnhancedLoad(flagged.filter(~F.col(flag)).drop(flag), counts)
+
+
 def split_valid(df: DataFrame, issues: DataFrame, row_number: Column) -> tuple[DataFrame, DataFrame]:
     """Rows without ERROR issues, and rejected rows with their first error (rule, message).
 

@@ -52,6 +52,41 @@ def insert_if_absent_version(target: DataFrame, incoming: DataFrame, keys: Seque
     return path
 
 
+def _bucket(keys: Sequence[str], buckets: int):
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def write_buckets(df: DataFrame, path: str, keys: Sequence[str], buckets: int) -> None:
+    """A table as one folder per key bucket. ``buckets`` should make a bucket one task's work."""
+    df.withColumn("bucket", _bucket(keys, buckets)).repartition("bucket").write.partitionBy("bucket").parquet(path)
+
+
+def upsert_buckets(incoming: DataFrame, path: str, keys: Sequence[str], buckets: int) -> None:
+    """S6/C2 as a table update: rows of ``incoming`` replace the table's rows of equal keys (null equals null) or are added.
+
+    Only the buckets that ``incoming`` touches are read and rewritten; the files of all others stay. Keys must be unique in
+    ``incoming`` (a repeat raises before anything is written). The merged buckets are staged in the shared folder before the
+    overwrite, and running the same upsert again gives the same table. Back to the driver come at most ``buckets`` numbers.
+    """
+    spark = incoming.sparkSession
+
+    def staged(df: DataFrame, name: str) -> DataFrame:
+        at = scratch_path(spark, name)
+        df.write.parquet(at)
+        return spark.read.schema(df.schema).parquet(at)
+
+    rows = staged(incoming.withColumn("bucket", _bucket(keys, buckets)), "upsert-rows")
+    if not rows.groupBy(*keys).count().filter("count > 1").isEmpty():
+        raise ValueError(f"repeated keys {list(keys)} in the incoming rows")
+    touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
+    if not touched:
+        return
+    old = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
+    merged = staged(I.filter_new(old, rows, keys).select(rows.columns).unionByName(rows), "upsert-merged")
+    (merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket")
+     .parquet(path))
+
+
 def partition_of(ts: str, boundaries: Sequence[str] = tuple(K.AUDIT_MONTH_BOUNDARIES)) -> int:
     """Driver-side partition number of one timestamp literal, for pruning filters."""
     return 1 + sum(1 for b in boundaries if ts >= b)
