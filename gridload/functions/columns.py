@@ -49,6 +49,12 @@ def month_name_upper(col, language: str = "en") -> Column:
     return F.upper(F.date_format(c, "MMMM"))
 
 
+def to_uuid(col) -> Column:
+    """F5's guard of session ids: a UUID in upper case, braces dropped; anything else null."""
+    c = F.regexp_replace(_c(col).cast("string"), r"^\{(.*)\}$", "$1")
+    return F.when(c.rlike(r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"), F.upper(c))
+
+
 # -- P5 .. P11: casts --------------------------------------------------------
 
 #: Blanks that a text strip removes at both ends: Unicode white space and the ASCII separators.

@@ -141,8 +141,11 @@ def log_entries(batches: DataFrame, group_cols: Sequence[str], operation: Column
     """One entry per group in the log's whole layout, without its id (see :func:`append_log`).
 
     ``details`` gives any of ``LOG_DETAILS`` as expressions over the group columns and ``record_count``; the others are null.
+    A session id that is no UUID becomes null.
     """
-    details = details or {}
+    details = dict(details or {})
+    if "session_id" in details:
+        details["session_id"] = C.to_uuid(details["session_id"])
     if unknown := set(details) - set(LOG_DETAILS):
         raise ValueError(f"not columns of the log: {sorted(unknown)}")
     lit = lambda x: F.lit(x) if isinstance(x, str) else x

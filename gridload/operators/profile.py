@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import constants as K
+from . import typing_ops as TY
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False,
@@ -30,6 +31,15 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, approx:
     return out
 
 
+def column_report(df: DataFrame, order_by: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """A2 whole: the profile with each column's data type and inferred kind (A8, ``unknown`` without values)."""
+    cols = list(columns or df.columns)
+    types = dict(df.dtypes)
+    named = F.create_map(*[F.lit(x) for c in cols for x in (c, types[c])])
+    kinds = TY.semantic_kind(df, order_by, cols).select("column_name", "inferred_kind")
+    return column_profile(df, cols).withColumn("data_type", named[F.col("column_name")]).join(kinds, "column_name", "left")
+
+
 def _column_profile(df: DataFrame, columns: Sequence[str] | None, approx: bool) -> DataFrame:
     cols = list(columns or df.columns)
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]) \

@@ -2033,11 +2033,20 @@ def s6_bucket_upsert(spark, d):
     return spark.read.parquet(path).drop("bucket")
 
 
-@query("s5_written_split", sql=ORACLE["s5_split_valid_reject"])
+_SPLIT_SPECS = [R.ColumnSpec("o_custkey_n", "customer_id", "INTEGER", nullable=False),
+                R.ColumnSpec("o_orderpriority", "priority", "STRING", max_length=8)]
+
+
+@query("s5_written_split", sql=f"""
+SELECT CASE WHEN r IS NULL THEN 'valid' ELSE 'rejected' END AS outcome, r AS reject_rule, count(*) AS n_rows FROM (
+  SELECT CASE WHEN o_custkey_n IS NULL THEN 'not_null_constraint' WHEN length(o_orderpriority) > 8 THEN 'string_length' END AS r
+  FROM {X.NULLKEY_ORDERS_SQL}) GROUP BY ALL
+""")
 def s5_written_split(spark, d):
     """S5 through its sinks: valid rows and rejects written to their tables and counted there; the issues are staged once."""
     o, target, quarantine = X.nullkey_orders(spark, d), scratch_path(spark, "valid"), scratch_path(spark, "rejects")
-    found, at = R.validate(o, _ORDER_SPECS, F.col("o_orderkey") + 2, _ORDER_CONSTRAINTS, as_of=X.AS_OF), scratch_path(spark, "issues")
+    found = R.validate(o, _SPLIT_SPECS, F.col("o_orderkey") + 2, {"not_null_columns": ["customer_id"]}, as_of=X.AS_OF)
+    at = scratch_path(spark, "issues")
     found.write.parquet(at)
     issues = spark.read.schema(found.schema).parquet(at)
     SK.append_with_quarantine(*PL.split_valid(o, issues, F.col("o_orderkey") + 2), target, quarantine)
@@ -2053,3 +2062,45 @@ def s7_written_partitions(spark, d):
     SK.write_range_partitioned(X.orders(spark, d), "o_orderdate", path, _YEAR_BOUNDS)
     return spark.read.parquet(path).filter("partition_no >= 3").groupBy("partition_no").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("o_orderdate").alias("min_date"), F.max("o_orderdate").alias("max_date"))
+
+
+def _sql_type(c):
+    return f"(SELECT CASE typeof({c}) WHEN 'VARCHAR' THEN 'string' ELSE lower(typeof({c})) END FROM {X.CUSTOMER_SHEET_SQL} LIMIT 1)"
+
+
+@query("a2_column_report", sql=f"""
+SELECT p.*, CASE column_name {' '.join(f"WHEN '{c}' THEN {_sql_type(c)}" for c in _SHEET_COLS)} END AS data_type, k.inferred_kind
+FROM ({_sql_profile(X.CUSTOMER_SHEET_SQL, _SHEET_COLS)}) p
+JOIN ({_sql_kind(X.CUSTOMER_SHEET_SQL, _SHEET_COLS, "customer_id")}) k USING (column_name)
+""")
+def a2_column_report(spark, d):
+    return PR.column_report(X.customer_sheet(spark, d).withColumn("_k", F.col("customer_id")), ["_k"], _SHEET_COLS)
+
+
+#: Cells of wrong types among right ones, and dates before, beyond and too far ahead.
+_CELLS_SQL = """(SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '12d' WHEN o_orderkey % 3 = 1 THEN '1,200' ELSE CAST(o_orderkey AS VARCHAR) END AS pieces,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'x1' ELSE '10.5' END AS weight, CASE WHEN o_orderkey % 5 = 0 THEN 'no date' ELSE '1997-01-05' END AS day_text,
+  o_orderdate + CASE o_orderkey % 7 WHEN 0 THEN INTERVAL 150 YEARS WHEN 1 THEN INTERVAL 90 YEARS WHEN 2 THEN INTERVAL (-120) YEARS
+    ELSE INTERVAL 0 YEARS END AS due FROM orders)"""
+_CELL_SPECS = [R.ColumnSpec("pieces", "pieces", "INTEGER"), R.ColumnSpec("weight", "weight", "DECIMAL"),
+               R.ColumnSpec("day_text", "day_text", "DATE"), R.ColumnSpec("due", "due", "DATETIME")]
+_RANGE_SQL = f"(due < TIMESTAMP '{K.DATE_RANGE_MIN}' OR due > TIMESTAMP '{K.DATE_RANGE_MAX}')"
+
+
+@query("v_issues_cells", sql=" UNION ALL ".join([
+    _issue_sql("o_orderkey + 2", c, c, "data_type_validation", _q(m), "ERROR", f"Convert to type {t}", _CELLS_SQL, w)
+    for c, t, m, w in [("pieces", "INTEGER", "Not a valid integer", "pieces = '12d'"),
+                       ("weight", "DECIMAL", "Not a valid decimal number", "weight = 'x1'"),
+                       ("day_text", "DATE", "Not a valid date/time", "day_text = 'no date'")]] + [
+    _issue_sql("o_orderkey + 2", "due", "due", "date_range",
+               f"CASE WHEN {_RANGE_SQL} THEN 'Date outside the valid range (1900-2100)' ELSE 'Date too far in the future' END", "WARNING",
+               None, _CELLS_SQL, f"{_RANGE_SQL} OR due > TIMESTAMP '{X.AS_OF}' + INTERVAL {K.FUTURE_YEARS} YEARS")]))
+def v_issues_cells(spark, d):
+    """V5 and V8's integer, decimal and date branches."""
+    key = F.col("o_orderkey")
+    years = F.when(key % 7 == 0, 150).when(key % 7 == 1, 90).when(key % 7 == 2, -120).otherwise(0)
+    cells = X.orders(spark, d).select(
+        key, F.when(key % 3 == 0, "12d").when(key % 3 == 1, "1,200").otherwise(key.cast("string")).alias("pieces"),
+        F.when(key % 4 == 0, "x1").otherwise("10.5").alias("weight"), F.when(key % 5 == 0, "no date").otherwise("1997-01-05").alias("day_text"),
+        (F.col("o_orderdate").cast("timestamp_ntz") + F.make_ym_interval(years)).alias("due"))
+    return R.validate(cells, _CELL_SPECS, key + 2, as_of=X.AS_OF, structure=False)

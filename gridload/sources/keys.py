@@ -18,25 +18,21 @@ PRIORITY = {"PRIMARY KEY": 1, "UNIQUE": 2, "UNIQUE INDEX": 3}
 def verify_candidates(df: DataFrame, candidates: Sequence[tuple[str, str, Sequence[str]]]) -> DataFrame:
     """Per candidate ``(name, kind, columns)``: rows, distinct key tuples, uniqueness and priority.
 
-    One aggregate per candidate (grouping on the key, so a hot key tuple is
-    absorbed by the partial aggregate), unioned.
+    All candidates are grouping sets of one aggregate: one scan and one shuffle, exact, and a hot key tuple is absorbed
+    by the partial aggregate. An empty table has no rows to tell: uniqueness is null.
     """
-    out = None
-    for name, kind, cols in candidates:
-        per_key = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
-        one = per_key.agg(F.sum("_n").cast("bigint").alias("n_rows"),
-                          F.count(F.lit(1)).alias("n_distinct")).select(
-            F.lit(name).alias("key_name"), F.lit(kind).alias("key_type"),
-            F.lit(",".join(cols)).alias("key_columns"), F.lit(PRIORITY.get(kind, 9)).alias("priority"),
-            "n_rows", "n_distinct", (F.col("n_rows") == F.col("n_distinct")).alias("is_unique"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def best_identifier(verified: DataFrame) -> DataFrame:
-    """The unique candidate with the lowest priority (first declared on ties); empty if none."""
-    ranked = verified.filter("is_unique").orderBy("priority", "key_name")
-    return ranked.limit(1)
+    cols = list(dict.fromkeys(c for _, _, key in candidates for c in key))
+    number = lambda key: sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in key)
+    sets = {number(key): list(dict.fromkeys(key)) for _, _, key in candidates}
+    per_key = df.groupingSets([[df[c] for c in key] for key in sets.values()], *[df[c] for c in cols]).agg(
+        F.grouping_id().cast("bigint").alias("_set"), F.count(F.lit(1)).alias("_n"))
+    per_set = per_key.groupBy("_set").agg(F.sum("_n").cast("bigint").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct"))
+    names = df.sparkSession.createDataFrame(
+        [(name, kind, ",".join(key), PRIORITY.get(kind, 9), number(key)) for name, kind, key in candidates],
+        "key_name string, key_type string, key_columns string, priority int, _set bigint")
+    return names.join(per_set, "_set", "left").select(
+        "key_name", "key_type", "key_columns", "priority", "n_rows", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"),
+        (F.col("n_rows") == F.col("n_distinct")).alias("is_unique"))
 
 
 def best_key_columns(df: DataFrame, candidates: Sequence[tuple[str, str, Sequence[str]]]) -> list[str] | None:

@@ -5,9 +5,12 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from gridload.functions import columns as C
 from gridload.operators import cdc as CD
+from gridload.operators import profile as PR
 from gridload.operators import recon as RC
 from gridload.plans import pipelines as PL
+from gridload.sources import keys as KY
 from gridload.sources import sinks as SK
 
 AS_OF = "2025-01-01 00:00:00"
@@ -123,3 +126,28 @@ def test_upsert_adds_rows_takes_null_keys_and_refuses_repeats(spark, tmp_path):
         SK.upsert_buckets(spark.createDataFrame([(3, "x"), (3, "y")], "id int, v string"), path, ["id"], 4)
     SK.upsert_buckets(spark.createDataFrame([], "id int, v string"), path, ["id"], 4)
     assert rows(spark.read.parquet(path), "id", "v") == want
+
+
+def test_session_ids_that_are_no_uuid_become_null(spark):
+    text = ["{0e984725-c51c-4bf4-9960-e1c80e27aba0}", "0E984725-C51C-4BF4-9960-E1C80E27ABA0", "0e984725c51c4bf49960e1c80e27aba0", "", None, "x"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "i int, t string").select("i", C.to_uuid("t").alias("u"))
+    assert [r["u"] for r in got.orderBy("i").collect()] == ["0E984725-C51C-4BF4-9960-E1C80E27ABA0"] * 2 + [None] * 4
+
+
+def test_key_candidates_share_one_scan(spark, tmp_path):
+    path = f"{tmp_path}/k"
+    spark.createDataFrame([(1, None, "a"), (None, 1, "a"), (1, 2, "a"), (1, None, "b")], "x int, y int, z string").write.parquet(path)
+    keys = [("p", "PRIMARY KEY", ["x", "y"]), ("u", "UNIQUE", ["z", "x", "y"]), ("v", "UNIQUE", ["y", "x"]), ("w", "UNIQUE INDEX", ["z"])]
+    got = KY.verify_candidates(spark.read.parquet(path), keys)
+    assert rows(got, "key_name", "n_rows", "n_distinct", "is_unique") == [
+        ("p", 4, 3, False), ("u", 4, 4, True), ("v", 4, 3, False), ("w", 4, 2, False)]
+    assert got._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
+    empty = KY.verify_candidates(spark.read.parquet(path).filter("false"), keys)
+    assert {(r["n_distinct"], r["is_unique"]) for r in empty.collect()} == {(0, None)}
+
+
+def test_column_report_joins_profile_type_and_kind(spark):
+    df = spark.createDataFrame([(1, "a@b.co", None), (2, None, None), (3, "c@d.org", None)], "k int, mail string, void string")
+    got = {r["column_name"]: r for r in PR.column_report(df, ["k"]).collect()}
+    assert (got["mail"]["data_type"], got["mail"]["inferred_kind"], got["mail"]["null_count"]) == ("string", "email", 1)
+    assert (got["k"]["data_type"], got["void"]["inferred_kind"], got["void"]["distinct_count"]) == ("int", "unknown", 0)
