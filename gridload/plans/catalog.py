@@ -1582,12 +1582,12 @@ def _sheet_folder(spark, d):
 
 
 _SHEET_MAPPING = {("Order_Key" if k == "order_key" else "cust_key!" if k == "cust_key" else k): v for k, v in _ORDER_TEXT_MAPPING.items()}
-_SHEET_SPECS = [R.ColumnSpec("order_id", "order_id", "INTEGER", nullable=False), R.ColumnSpec("customer_id", "customer_id", "INTEGER"),
+_FILE_SPECS = [R.ColumnSpec("order_id", "order_id", "INTEGER", nullable=False), R.ColumnSpec("customer_id", "customer_id", "INTEGER"),
                 R.ColumnSpec("total", "total", "DECIMAL")]
 
 
 def _file_load(spark, d):
-    return PL.file_load(spark, _sheet_folder(spark, d), _SHEET_MAPPING, _ORDER_TEXT_TYPES, _SHEET_SPECS, max_bytes=1 << 30)
+    return PL.file_load(spark, _sheet_folder(spark, d), _SHEET_MAPPING, _ORDER_TEXT_TYPES, _FILE_SPECS, max_bytes=1 << 30)
 
 
 @query("e1_file_load", sql=f"""
