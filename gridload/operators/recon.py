@@ -162,16 +162,24 @@ def reconciliation_update(rows: DataFrame, pairs: dict[str, tuple[str, str]], co
         ("accounts", accounts, [(F.col(account), "account"), (F.year(d), "year"), (F.month(d) - 1, "month")], ["name"])])
 
 
+#: Rows of a list that a task of the distinct join takes, about.
+PACKAGE_ROWS = 200_000
+
+
 def matched_payments(captures: DataFrame, budget: DataFrame) -> DataFrame:
     """J4 as the reconciliation load does it: captured payments joined to budget lines by their package, distinct.
 
     ``captures``: id_number, capture_id, account_no, collection_date, payer_name, value; ``budget``: invoice, third_id,
     third_name, value, code. The record id joins the payer's number and the package number (null parts and package
     texts that aren't numbers count as empty); the third party's name starts after its second dash. Rows without
-    package match nothing. The package is among the distinct columns, so the join's partitioning serves both.
+    package match nothing. The package is among the distinct columns, so the join's partitioning serves both: it deals
+    packages by the rows there are, as repeated texts pack so well that bytes say little of a task's memory.
     """
     p = captures.select("id_number", "capture_id", "account_no", "collection_date", "payer_name", F.col("value").alias("movement_value"))
     b = budget.select("invoice", "third_id", "third_name", F.col("value").alias("captured_value"), "code")
+    # with fewer parts than a shuffle has by default, Spark would deal the rows once more
+    tasks = max(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-max(p.count(), b.count()) // PACKAGE_ROWS))
+    p, b = p.repartition(tasks, "capture_id"), b.repartition(tasks, "invoice")
     return p.join(b, p["capture_id"] == b["invoice"]).select(
         C.concat_skip_nulls("id_number", F.col("capture_id").try_cast("bigint")).alias("id"), F.lit("").alias("month"),
         "account_no", "collection_date", F.col("id_number").alias("nit_payer"), "payer_name", "movement_value",

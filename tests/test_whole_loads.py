@@ -60,6 +60,20 @@ def test_payments_join_once_and_survive_odd_packages(spark):
     assert ("97", "9", "Uno-Dos", "007") in got and len(got) == 2
 
 
+def test_payments_are_dealt_by_rows_not_bytes(spark, monkeypatch):
+    """Repeated texts pack into few bytes; a task still gets few packages."""
+    monkeypatch.setattr(RC, "PACKAGE_ROWS", 100)
+    n = F.col("id").cast("string")
+    captures = spark.range(4000).select(F.lit("9").alias("id_number"), n.alias("capture_id"), *[F.lit("x").alias(c) for c in ("account_no", "collection_date", "payer_name", "value")])
+    budget = spark.range(4000).select(n.alias("invoice"), *[F.lit("x").alias(c) for c in ("third_id", "third_name", "value", "code")])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        per_task = RC.matched_payments(captures, budget).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(r["count"] for r in per_task) == 4000 and max(r["count"] for r in per_task) < 300
+
+
 def test_reconciliation_load_defaults_and_checks(spark):
     captures = spark.createDataFrame([("9", "007", "A", "2024-03-05", "N", "5"), ("9", "008", "A", "2024-01-05", "N", "6")], CAPTURES)
     budget = spark.createDataFrame([("007", "9", "T-1-Uno", "5", "R1"), ("008", "", "T-1-Dos", "6", "R9")], BUDGET)
