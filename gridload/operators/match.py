@@ -493,10 +493,17 @@ def alternatives(left: DataFrame, right: DataFrame, lid: str, lname: str, rname:
         return names.map(lambda x: " ".join(sorted(_tokens(x))))
 
     free = right if taken is None else right.join(taken.toDF(rname).distinct(), rname, "left_anti")
-    sources, targets = _names(left, lname, sorted_words(lname)), _names(free, rname, sorted_words(rname), "target", "tkey")
+    def staged(df: DataFrame) -> DataFrame:
+        path = scratch_path(left.sparkSession, "names")
+        df.write.parquet(path)
+        return left.sparkSession.read.schema(df.schema).parquet(path)
+
+    sources, targets = staged(_names(left, lname, sorted_words(lname))), staged(_names(free, rname, sorted_words(rname), "target", "tkey"))
     pairs = pairs_above(sources, targets, lambda *x: _indel_bound(*x) + 0.5, min_score)  # scores are rounded
     wordless = sources.filter("key = ''").join(targets.filter("tkey = ''"), F.col("key") == F.col("tkey")).select("name", "key", "target", "tkey")
-    hits = _scored(pairs.unionByName(wordless).distinct(), ratio).filter(F.col("score") >= min_score)
+    # wordless names are apart from the others, so that pairs are scored in the tasks that met them
+    worded = pairs.filter("key <> '' or tkey <> ''")
+    hits = _scored(worded.unionByName(wordless), ratio).filter(F.col("score") >= min_score)
     w = Window.partitionBy("name").orderBy(F.col("score").desc(), F.col("target"))
     top = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return (left.select(F.col(lid).alias("left_id"), F.col(lname).alias("left_name")).join(top, F.col("left_name") == F.col("name"))

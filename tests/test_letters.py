@@ -2,8 +2,10 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridload.operators import match as M
 from gridload.operators.letters import common_needed, pairs_above
@@ -77,3 +79,29 @@ def test_alternatives_over_thousands_of_names(spark):
     for i in rng.sample(range(len(left)), 150):
         scored = sorted((-M.token_sort_ratio(left[i], t), t) for t in right)[:3]
         assert sorted(got.get(i, [])) == [(k + 1, t, -s) for k, (s, t) in enumerate(scored) if -s >= 50]
+
+
+def test_a_letter_that_all_names_hold_is_dealt_to_many_tasks(spark, monkeypatch):
+    from gridload.operators import letters as L
+
+    for name, value in (("SIDE", 16), ("PAIRS", 100), ("NAMES", 50)):
+        monkeypatch.setattr(L, name, value)
+    left, right = words(1, 120, "ab"), words(2, 60, "ab")
+    ldf, rdf = tables(spark, left, right)
+    found = pairs_above(ldf, rdf, lambda *x: M._indel_bound(*x) + 0.5, 60)
+    got = found.select("name", "target", F.spark_partition_id().alias("task")).collect()
+    pairs = [(r.name, r.target) for r in got]
+    assert len(pairs) == len(set(pairs))
+    assert {(a, b) for a in left for b in right if a and b and M.ratio(a, b) >= 60} <= set(pairs)
+    per_task = Counter(r.task for r in got)
+    assert len(per_task) > 10 and max(per_task.values()) < len(pairs) / 4
+
+
+def test_letters_beyond_the_known_ones_keep_all_pairs(spark, monkeypatch):
+    from gridload.operators import letters as L
+
+    monkeypatch.setattr(L, "KNOWN", 2)
+    left, right = words(3, 60), words(4, 60)
+    ldf, rdf = tables(spark, left, right)
+    got = {(r.name, r.target) for r in pairs_above(ldf, rdf, lambda *x: M._indel_bound(*x) + 0.5, 70).collect()}
+    assert {(a, b) for a in left for b in right if a and b and M.ratio(a, b) >= 70} <= got
