@@ -15,7 +15,7 @@ own band and for that of its largest possible partner, which covers every pair o
 
 A token's class only has to be the same for every document, so counting is lazy: first all documents show the tokens of
 their prefix by hash alone, and tokens shown by more documents than class 1 allows are frequent; for each frequent token that its prefix
-passes over, a document shows two of the others, until hardly any new token turns frequent. Most tokens are never shuffled. A bounded
+passes over, a document shows ``1 + AHEAD`` of the others, until hardly any new token turns frequent. Most tokens are never shuffled. A bounded
 prefilter holds the frequent tokens: what it doesn't know is rare; documents without enough rare tokens have the
 others' counts joined to them. Where it fills up, more tokens are looked up; the links stay the same.
 
@@ -51,8 +51,12 @@ from gridload.llm.minhash import set_ids, shingle_sets
 LEVELS = (32,)
 #: Turns end when they add no more than this share of frequent tokens; some then stay in class 1.
 LATE = 0.01
+#: Tokens that a set shows beyond its prefix for each frequent one passed over: looking ahead saves turns, each a pass over the texts.
+AHEAD = 4
 #: A bucket of over SMALL members is compared in blocks of at most CHUNK members and about CHUNK_BYTES of tokens.
 SMALL, CHUNK, CHUNK_BYTES = 24, 256, 4 << 20
+#: Bytes of text cut into tokens at once: the arrays of a slice stay in the processor's cache. Rows whose copies are left out at once.
+SLICE, ROWS = 1 << 19, 512
 
 
 def _binary16(ids: np.ndarray) -> pa.Array:
@@ -126,7 +130,7 @@ def _sizes(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = blank_mask()
         for b in batches:
-            for lo, hi, data, off in text_slices(b.column(1)):
+            for lo, hi, data, off in text_slices(b.column(1), SLICE):
                 flat, bounds = shingle_sets(Words(data, off, mask), k)
                 n = np.diff(bounds)
                 node = pc.if_else(pa.array(n == 0), pa.scalar(None, pa.binary()), _binary16(set_ids(flat, bounds)))
@@ -137,16 +141,15 @@ def _sizes(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
 
 def _each_set(texts: DataFrame, k: int, may_lead, then, schema: str) -> DataFrame:
-    """``then(flat, bounds, ids)`` of each slice's sets, of the rows that may lead their node (others are copies)."""
+    """``then(flat, bounds)`` of each slice's sets, of the rows that may lead their node (others are copies)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = blank_mask()
         for b in batches:
-            t = pa.Table.from_batches([b]).filter(pa.array(may_lead(b.column(0).to_numpy().view(np.uint64)))).combine_chunks()
-            if not t.num_rows:
-                continue
-            for _, _, data, off in text_slices(t.column("text")):
-                flat, bounds = shingle_sets(Words(data, off, mask), k)
-                yield from then(flat, bounds, set_ids(flat, bounds))
+            for at in range(0, b.num_rows, ROWS):
+                t = b.slice(at, ROWS)
+                t = t.filter(pa.array(may_lead(t.column(0).to_numpy().view(np.uint64))))
+                for _, _, data, off in text_slices(t.column(1), SLICE):
+                    yield from then(*shingle_sets(Words(data, off, mask), k))
 
     return texts.mapInArrow(run, schema)
 
@@ -171,15 +174,26 @@ def _count_tokens(texts: DataFrame, k: int, percent: int, may_lead, rare: int) -
     def shown(flat, bounds, need, owner, frequent) -> np.ndarray:
         rank = _ranks(~frequent, bounds)
         passed = np.bincount(owner[frequent & (rank < need[owner])], minlength=len(need))  # frequent tokens before the prefix's end
-        return ~frequent & (rank <= (need + passed)[owner])
+        return ~frequent & (rank <= (need + AHEAD * passed)[owner])
 
     def of(turn: int, now, before):
-        def run(flat, bounds, ids) -> Iterator[pa.RecordBatch]:
-            n = np.diff(bounds)
-            need, owner, none = _needed(n, percent), np.repeat(np.arange(len(n)), n), np.zeros(len(flat), dtype=bool)
-            show = shown(flat, bounds, need, owner, now(flat) if now else none)
+        def run(flat, bounds) -> Iterator[pa.RecordBatch]:
+            n, was = np.diff(bounds), np.zeros(len(flat), dtype=bool)
+            hot = now(flat) if turn else was
+            if turn > 1:
+                at = np.flatnonzero(hot)  # what was frequent stays so
+                was[at] = before(flat[at])
+            if turn:  # only sets with a token that has turned frequent show more
+                more = np.bincount(np.repeat(np.arange(len(n)), n)[hot & ~was], minlength=len(n)) > 0
+                kept = np.repeat(more, n)
+                flat, hot, was, n = flat[kept], hot[kept], was[kept], n[more]
+                bounds = np.concatenate(([0], np.cumsum(n)))
+            if not len(n):
+                return
+            need, owner = _needed(n, percent), np.repeat(np.arange(len(n)), n)
+            show = shown(flat, bounds, need, owner, hot)
             if turn:
-                show &= ~shown(flat, bounds, need, owner, before(flat) if before else none)
+                show &= ~shown(flat, bounds, need, owner, was)
             token, c = np.unique(flat[show], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(as_long(token)), pa.array(c)], names=["token", "c"])
         return run
@@ -204,12 +218,13 @@ def _index(texts: DataFrame, k: int, percent: int, may_lead, levels: tuple[int,
     counts, frequent = _count_tokens(texts, k, percent, may_lead, levels[0])
     may_repeat, may_be_frequent = BoundedFilter(texts.sparkSession, counts, "token").tester(), frequent.tester()
 
-    def first(flat, bounds, ids) -> Iterator[pa.RecordBatch]:
-        n = np.diff(bounds)
+    def first(flat, bounds) -> Iterator[pa.RecordBatch]:
+        n, ids = np.diff(bounds), set_ids(flat, bounds)
         need, owner = _needed(n, percent), np.repeat(np.arange(len(n)), n)
         known = ~may_be_frequent(flat)
         total = np.bincount(owner[known], minlength=len(n))
-        single = known & (_ranks(known, bounds) <= need[owner]) & may_repeat(flat)
+        single = known & (_ranks(known, bounds) <= need[owner])
+        single[np.flatnonzero(single)] = may_repeat(flat[single])
         asks = ~known & (total < need)[owner]
         pick = np.flatnonzero(single | asks)
         at = owner[pick]
@@ -267,7 +282,8 @@ def _of_nodes(texts: DataFrame, k: int, may_lead, nodes: DataFrame, pack, column
     head = F.expr("cast(conv(concat(" + ", ".join(f"substr(hex(node), {2 * i + 1}, 2)" for i in range(7, -1, -1)) + "), 16, -10) as bigint)")
     wanted = BoundedFilter(texts.sparkSession, nodes.select("node").distinct().select(head.alias("h")), "h").tester()
 
-    def run(flat, bounds, ids) -> Iterator[pa.RecordBatch]:
+    def run(flat, bounds) -> Iterator[pa.RecordBatch]:
+        ids = set_ids(flat, bounds)
         rows = np.flatnonzero((np.diff(bounds) > 0) & wanted(ids[:, 0]))
         if len(rows):
             yield pa.RecordBatch.from_arrays([_binary16(ids[rows]), pa.array([pack(flat[bounds[i]: bounds[i + 1]]) for i in rows], pa.binary())],

@@ -39,22 +39,20 @@ CHUNK, SMALL = 256, 24
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, flat, and their bounds."""
     at = gram_starts(words.bounds, k)
-    g = grams(words.hash, k)[at] if len(at) else np.zeros(0, np.uint64)
+    g = grams(words.hash, k)[at]
     cut = np.searchsorted(at, words.bounds)
-    parts, sizes = [], np.zeros(len(words.count), dtype=np.int64)
-    for i, n in enumerate(words.count):
-        if n >= k:
-            s = np.sort(g[cut[i]: cut[i + 1]])
-            s = s[np.concatenate(([True], s[1:] != s[:-1]))]
-        elif n:
-            s = grams(words.hash[words.bounds[i]: words.bounds[i + 1]], int(n))
-        else:
-            continue
-        parts.append(s)
-        sizes[i] = len(s)
-    bounds = np.zeros(len(sizes) + 1, dtype=np.int64)
-    np.cumsum(sizes, out=bounds[1:])
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), bounds
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        g[lo:hi].sort()
+    new = np.ones(len(g), dtype=bool)
+    new[1:] = g[1:] != g[:-1]
+    new[cut[cut < len(g)]] = True
+    flat, bounds = g[new], np.concatenate(([0], np.cumsum(new)))[cut]
+    few = (words.count > 0) & (words.count < k)
+    if few.any():
+        whole = [grams(words.hash[words.bounds[i]: words.bounds[i + 1]], int(words.count[i])) for i in np.flatnonzero(few)]
+        flat = np.insert(flat, bounds[:-1][few], np.concatenate(whole))
+        bounds = bounds + np.concatenate(([0], np.cumsum(few)))
+    return flat, bounds
 
 
 def sketches(flat: np.ndarray, bounds: np.ndarray, t: int) -> np.ndarray:

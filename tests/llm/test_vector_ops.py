@@ -205,3 +205,15 @@ def test_hard_negatives_search_prunes():
     negatives._best_first(tree, a, -1, 0, True, [best], least[0], most[0])
     want = np.lexsort((np.arange(4096), -(x @ a)))[:5]
     assert best.id.tolist() == want.tolist() and len(opened) < tree.leaves / 2
+
+
+def test_gram_join_counts_in_few_passes(spark, monkeypatch):
+    """Texts that share most of their words: each counting turn is a pass over all texts, so there must be few."""
+    shared, rng = [f"s{i}" for i in range(300)], random.Random(4)
+    rows = [(i, " ".join(shared + [f"own{i}_{j}" for j in range(rng.choice((90, 150)))])) for i in range(40)]
+    rows += [(100 + i, f"{t} more words") for i, t in rows[:5]]
+    names, stage = [], gram_join.stage
+    monkeypatch.setattr(gram_join, "stage", lambda df, name: names.append(name) or stage(df, name))
+    got = gram_join.gram_join(docs(spark, rows), k=1, levels=(4,)).collect()
+    assert sorted(((False, r.id), r.n, r.component) for r in got) == joined(rows, 1, 80)
+    assert names.count("gj-counts") <= 3
