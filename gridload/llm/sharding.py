@@ -4,7 +4,7 @@ A directory is indexed by the leading bits of a 60-bit key hash. A bucket splits
 its bytes pass the limit, so every shard is the shortest prefix that fits. Bytes are summed once per cell of
 a fine prefix (a few bits deeper than the mean shard needs) and rolled up to all coarser prefixes; only cells
 that still don't fit go to a round with more bits. The directory has a row per cell and is joined, never
-collected.
+collected; above ``SENT_ROWS`` rows both sides of the join are shuffled, so the driver's memory doesn't follow the input.
 
 Rows with equal keys can't be split by bits. If they pass the limit together, they form a chain of overflow
 pages ``<prefix>.<salt>.<page>``, each within the limit unless one row alone is larger. Null text has 0 bytes, a
@@ -23,6 +23,9 @@ from gridload.llm.common import stage
 
 BITS = 60
 
+#: Rows of a directory that may be sent whole to every task, through the driver (about 150 bytes a row there).
+SENT_ROWS = 20_000
+
 
 def shard_key(col: Column) -> Column:
     """60 hash bits (an MD5's first), so that any engine can recompute them."""
@@ -38,13 +41,23 @@ def _label(prefix: Column, depth: Column) -> Column:
     return F.when(depth == 0, F.lit("")).otherwise(F.lpad(F.bin(prefix), depth.cast("int"), F.lit("0")))
 
 
+def _dealt(table: DataFrame) -> DataFrame:
+    """A staged table as the smaller side of a join. Spark would go by its files' bytes, of which packed rows have few."""
+    return table.hint("merge") if table.count() > SENT_ROWS else table
+
+
 def _round(live: DataFrame, depth: int, above: int, max_bytes: int) -> DataFrame:
     """Per cell of ``depth`` bits: the shortest prefix that fits (depth null if none of up to ``depth`` bits does)."""
     cells = stage(live.groupBy(_cell(depth).alias("cell")).agg(F.sum("n_bytes").alias("b")), "shard-cells")
-    each = cells.select("cell", "b", F.explode(F.sequence(F.lit(above), F.lit(depth))).alias("d")).withColumn(
-        "prefix", F.expr(f"shiftright(cell, {depth} - d)"))
-    fits = (each.groupBy("d", "prefix").agg(F.sum("b").alias("shard_bytes")).where(F.col("shard_bytes") <= max_bytes))
-    best = (each.join(fits, ["d", "prefix"]).groupBy("cell")
+
+    def each(least: int) -> DataFrame:
+        return cells.select("cell", "b", F.explode(F.sequence(F.lit(least), F.lit(depth))).alias("d")).withColumn(
+            "prefix", F.expr(f"shiftright(cell, {depth} - d)"))
+
+    fits = stage(each(above).groupBy("d", "prefix").agg(F.sum("b").alias("shard_bytes")).where(F.col("shard_bytes") <= max_bytes),
+                 "shard-prefixes")
+    least = fits.agg(F.min("d")).first()[0]  # shorter prefixes would only gather many cells under one key
+    best = (each(depth if least is None else least).join(fits.hint("merge"), ["d", "prefix"]).groupBy("cell")
             .agg(F.min(F.struct("d", "prefix", "shard_bytes")).alias("s")))
     return stage(cells.select("cell").join(best, "cell", "left").select(
         "cell", F.col("s.d").alias("depth"), _label(F.col("s.prefix"), F.col("s.d")).alias("shard"), "s.shard_bytes"),
@@ -64,14 +77,14 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_b
         wide = directory.where(F.col("depth").isNull()).select("cell")
         if depth == BITS or wide.isEmpty():
             break
-        live = live.join(wide.withColumnRenamed("cell", "c"), _cell(depth) == F.col("c"), "left_semi")
+        live = live.join(_dealt(wide.withColumnRenamed("cell", "c")), _cell(depth) == F.col("c"), "left_semi")
         depth, above = min(BITS, depth + 6), depth + 1
     out = docs.select(F.struct("*").alias("row"), key, n_bytes)
     found = None
     for depth, directory in rounds:
         part = directory.where(F.col("depth").isNotNull()) if len(rounds) > 1 else directory
         got = part.select(F.col("cell").alias(f"cell{depth}"), F.struct("depth", "shard", "shard_bytes").alias(f"at{depth}"))
-        out = out.withColumn(f"cell{depth}", _cell(depth)).join(got, f"cell{depth}", "left").drop(f"cell{depth}")
+        out = out.withColumn(f"cell{depth}", _cell(depth)).join(_dealt(got), f"cell{depth}", "left").drop(f"cell{depth}")
         found = F.col(f"at{depth}") if found is None else F.coalesce(found, F.col(f"at{depth}"))
     out = out.withColumn("at", found)
     plain = out.select("row", "n_bytes", F.col("at.shard").alias("shard"), F.col("at.depth").alias("depth"),
@@ -88,7 +101,7 @@ def _overflow(rows: DataFrame, max_bytes: int) -> DataFrame:
     salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.ceil(F.col("n") / 1000)).cast("long")
     w = Window.partitionBy("key", "salt").orderBy("n_bytes").rowsBetween(Window.unboundedPreceding, 0)
     width = F.greatest(F.lit(1), F.lit(max_bytes) - F.col("most") + 1)
-    paged = (rows.join(groups, "key").withColumn("salt", salt)
+    paged = (rows.join(_dealt(groups), "key").withColumn("salt", salt)
              .withColumn("page", F.floor((F.greatest(F.sum("n_bytes").over(w), F.lit(1)) - 1) / width)))
     label = F.concat_ws(".", _label(F.col("key"), F.lit(BITS)), F.col("salt").cast("string"), F.col("page").cast("string"))
     return paged.select("row", "n_bytes", label.alias("shard"), F.lit(BITS).alias("depth"),

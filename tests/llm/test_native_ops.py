@@ -167,6 +167,40 @@ def test_equal_keys_form_overflow_pages(spark):
     assert all(b <= 100 or count[s] == 1 for s, b in size.items())
 
 
+def test_large_directories_stay_off_the_driver(spark, monkeypatch):
+    """Cells pack into few file bytes; no join may send so many rows to every task through the driver."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans = {}
+    monkeypatch.setattr(sharding, "stage", lambda df, name: plans.update({name: plan(df)}) or stage(df, name))
+    n, limit = 30_000, 100
+    out = sharding.shard(spark.range(n).select(F.col("id").alias("doc_id"), F.lit("x" * 10).alias("text")), max_bytes=limit)
+    got = out.select("row.doc_id", "shard", "depth", "shard_bytes").collect()
+    plans["result"] = plan(out)
+    assert [name for name, p in plans.items() if "Broadcast" in p] == []
+    totals = Counter((d, key_of(i) >> (60 - d)) for i in range(n) for d in range(19))
+    for r in got:
+        d = next(d for d in range(19) if 10 * totals[d, key_of(r.doc_id) >> (60 - d)] <= limit)
+        prefix = key_of(r.doc_id) >> (60 - d)
+        assert (r.depth, r.shard, r.shard_bytes) == (d, bin(prefix)[2:].zfill(d), 10 * totals[d, prefix])
+    assert sorted(r.doc_id for r in got) == list(range(n))
+
+
+def test_every_round_may_deal_its_rows_out(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SENT_ROWS", 0)
+    monkeypatch.setattr(sharding, "BITS", 24)  # three rounds
+    rows = [(7, "x" * 10, None)] * 50 + [(None, "y" * 500, None)] * 2 + [(i, "z" * (i % 41), None) for i in range(20, 200)]
+    got = sharding.shard(docs_of(spark, rows), max_bytes=100).select("row.doc_id", "n_bytes", "depth", "shard", "shard_bytes").collect()
+    assert Counter((r.doc_id, r.n_bytes) for r in got) == Counter((i, len(t)) for i, t, _ in rows)
+    assert {r.doc_id for r in got if "." in r.shard} == {7, None}
+    for r in got:
+        total = lambda d: sum(len(t) for i, t, _ in rows if key_of(i) >> (60 - d) == key_of(r.doc_id) >> (60 - d))
+        if "." in r.shard:
+            assert total(24) > 100 and (r.shard_bytes <= 100 or r.shard_bytes == r.n_bytes == 500)
+        else:
+            assert r.shard_bytes == total(r.depth) <= 100 < total(r.depth - 1)
+            assert r.shard == bin(key_of(r.doc_id) >> (60 - r.depth))[2:].zfill(r.depth)
+
+
 def test_line_dedup_on_small_hosts(spark):
     rows = [(i, f"menu\nline {i}", f"host {i // 3}") for i in range(60)] + [(90, "only\ncopies", "c"), (91, "only\ncopies", "c")]
     got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(docs_of(spark, rows)).select("row.doc_id", "text").collect()}
